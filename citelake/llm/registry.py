@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_chunks import op7_bpe_chunks
 from .token_counts import op3_token_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_token_counts": op3_token_counts}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_counts": op3_token_counts,
+    "op7_bpe_chunks": op7_bpe_chunks,
+}
 ORACLES: dict[str, str] = {}
