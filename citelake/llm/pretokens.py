@@ -18,12 +18,21 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
+def runs(text: str) -> list[str]:
+    """The text cut at ASCII white space, empty pieces included.
+
+    Tokens never span white space and special strings hold none, so each run has the tokens that it has alone."""
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
+
 class Pretokenizer:
-    """Cuts a text into pre-tokens, with special strings as pieces of their own, and encodes single pre-tokens.
+    """Cuts runs of characters into pre-tokens, special strings as pieces of their own, and encodes texts run by run.
 
-    Encoding a text equals encoding its pre-tokens one by one, because merges never cross a pre-token."""
+    cache: the most runs that are remembered; longer ones than LONG never are."""
 
-    def __init__(self, spec: str, cache: int = 400_000) -> None:
+    LONG = 64
+
+    def __init__(self, spec: str, cache: int = 250_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -32,49 +41,42 @@ class Pretokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         special = parsed["added_tokens"]
-        odd = [x["content"] for x in special if x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"]]
+        odd = [x["content"] for x in special if x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] or " " in x["content"]]
         split = next(x for x in parsed["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         if odd or not (split["invert"] and split["behavior"] == "Removed") or parsed["post_processor"] or parsed["decoder"]:
             raise ValueError("this tokenizer file is of another kind than those that pre-tokens can be counted for")
-        self.special = {x["content"]: x["id"] for x in special}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if special else None
+        names = sorted((x["content"] for x in special), key=len, reverse=True)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.normalize = self.tokenizer.normalizer.normalize_str
         self.ids: dict[str, tuple[int, ...]] = {}
         self.cache = cache
 
-    def plain(self, text: str) -> list[str]:
-        """Pre-tokens of a text without special strings."""
+    def _plain(self, text: str) -> list[str]:
         text = self.normalize(text)
         if _PLAIN.fullmatch(text):
             return self.find(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
-    def pretokens(self, text: str) -> list[str]:
-        """All pre-tokens in order; a special string stands as itself."""
-        if self.cut is None or "<" not in text or not self.cut.search(text):
-            return self.plain(text)
+    def pretokens(self, run: str) -> list[str]:
+        """Pre-tokens in order; a special string stands as itself."""
+        if self.cut is None or "<" not in run or not self.cut.search(run):
+            return self._plain(run)
         out: list[str] = []
-        for i, part in enumerate(self.cut.split(text)):
-            out += [part] if i % 2 else self.plain(part)
+        for i, part in enumerate(self.cut.split(run)):
+            out += [part] if i % 2 else self._plain(part)
         return out
 
-    def encode_terms(self, terms: list[str]) -> None:
-        """Put the ids of all given pre-tokens into self.ids."""
-        new = list({x for x in terms if x not in self.ids})
-        if not new:
-            return
-        if len(self.ids) + len(new) > self.cache:
-            self.ids.clear()
-            new = list(set(terms))
-        for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.ids[x] = tuple(e.ids)
-
     def encode(self, text: str) -> list[int]:
-        terms = self.pretokens(text)
-        ids = self.ids
+        """The ids of a text, each distinct run being encoded once."""
+        words, known = runs(text), self.ids
         try:
-            return [i for x in terms for i in ids[x]]
+            return [i for x in words for i in known[x]]
         except KeyError:
-            self.encode_terms(terms)
-            return [i for x in terms for i in self.ids[x]]
+            new = list({x for x in words if x not in known})
+            if len(known) + len(new) > self.cache:
+                known.clear()
+                new = list(set(words))
+            found = {x: tuple(e.ids) for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
+            known.update((x, e) for x, e in found.items() if len(x) <= self.LONG)
+            return [i for x in words for i in (known.get(x) if x in known else found[x])]

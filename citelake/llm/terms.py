@@ -15,31 +15,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import pieces, row_ids
+from .pretokens import runs
 
 #: The broadcast part's bound: entries, and characters of each.
 HEAD, HEAD_CHARS = 65_536, 64
-#: A task hands on its counts when it holds so many distinct terms.
+#: A task hands on its counts when it holds so many distinct runs, and forgets what it knew about so many.
 FLUSH = 300_000
+#: Made once per task: from a run of characters without white space to its terms, in order and with repeats.
+Cutter = Callable[[], Callable[[str], list[str]]]
 
 
-def corpus_terms(docs: DataFrame, counter: Callable[[], Callable[[str], Counter]]) -> DataFrame:
-    """(term, n): how often each term stands in all texts; a null text has none. `docs` has the column text.
-
-    counter: makes, once per task, the function from a text to its Counter of terms."""
-    schema = pa.schema([("term", pa.string()), ("n", pa.int64())])
+def corpus_terms(docs: DataFrame, cutter: Cutter) -> DataFrame:
+    """(term, n): how often each term stands in all texts; a null text has none. `docs` has the column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, held = counter(), Counter()
+        cut, held = cutter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            terms: Counter = Counter()
+            for word, n in held.items():
+                for x in cut(word):
+                    terms[x] += n
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(terms.keys(), pa.string()), pa.array(terms.values(), pa.int64())], names=["term", "n"])
+
         for batch in batches:
             for part in pieces(batch, "text"):
                 for text in part.column("text").to_pylist():
                     if text:
-                        held.update(count(text))
+                        held.update(runs(text))
                 if len(held) >= FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], schema=schema)
-                    held = Counter()
+                    yield out()
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], schema=schema)
+            yield out()
 
     return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
@@ -50,7 +58,7 @@ def head_of(values: DataFrame, names: list[str], head: int = HEAD) -> dict[str,
     return {r[0]: tuple(r[1:]) for r in rows}
 
 
-def document_sums(docs: DataFrame, keep: list[str], values: DataFrame, names: list[str], counter: Callable[[], Callable[[str], Counter]], head: int = HEAD) -> DataFrame:
+def document_sums(docs: DataFrame, keep: list[str], values: DataFrame, names: list[str], cutter: Cutter, head: int = HEAD) -> DataFrame:
     """A row for each row of `docs`: its columns `keep`, and for each of `names` the sum of that value over its terms.
 
     values: (term, n, *names), a written table, with each distinct term once. Rows of `docs` may repeat and may
@@ -64,22 +72,45 @@ def document_sums(docs: DataFrame, keep: list[str], values: DataFrame, names: li
     out = ", ".join(["rid long", "term string", "n long", *(f"{s} double" for s in sums), *(f"`{c}` {kept[c].dataType.simpleString()}" for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, known, ids = counter(), held.value, row_ids()
+        cut, known, ids = cutter(), held.value, row_ids()
+        none = (0.0,) * width
+        seen: dict[str, tuple] = {}  # of a run: the sums over its terms in the head, and its other terms
+
+        def look(word: str) -> tuple:
+            total, rest = none, []
+            for x in cut(word):
+                if (v := known.get(x)) is None:
+                    rest.append(x)
+                else:
+                    total = tuple([a + b for a, b in zip(total, v, strict=True)])
+            if len(seen) >= FLUSH:
+                seen.clear()
+            if len(word) <= HEAD_CHARS:
+                seen[word] = total, rest
+            return total, rest
+
         for batch in batches:
             for part in pieces(batch, "text"):
                 rid, term, number, own, total = [], [], [], [], [[] for _ in sums]
                 for k, text in enumerate(part.column("text").to_pylist()):
-                    r, s = next(ids), [0.0] * width
-                    for x, n in (count(text) if text else {}).items():
-                        if (v := known.get(x)) is None:
-                            rid.append(r), term.append(x), number.append(n), own.append(None)
-                            for t in total:
-                                t.append(None)
-                        else:
+                    r, s, tail = next(ids), [0.0] * width, {}
+                    for word, n in (Counter(runs(text)) if text else {}).items():
+                        v, rest = seen.get(word) or look(word)
+                        if v is not none:
                             for i in range(width):
                                 s[i] += n * v[i]
-                    rid.append(r), term.append(f" {r}"), number.append(0), own.append(k)
+                        for x in rest:
+                            tail[x] = tail.get(x, 0) + n
+                    m = len(tail)
+                    rid += [r] * (m + 1)
+                    term += tail.keys()
+                    term.append(f" {r}")
+                    number += tail.values()
+                    number.append(0)
+                    own += [None] * m
+                    own.append(k)
                     for t, x in zip(total, s, strict=True):
+                        t += [None] * m
                         t.append(x)
                 take = pa.array(own, pa.int64())
                 columns = [pa.array(rid, pa.int64()), pa.array(term, pa.string()), pa.array(number, pa.int64()), *(pa.array(t, pa.float64()) for t in total), *(part.column(c).take(take) for c in keep)]

@@ -9,7 +9,6 @@ null; columns of `docs` other than doc_id and text are not read; an empty table
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,9 +23,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, head:
     """(doc_id, n_bytes, n_tokens, over_limit), a row for each row of `docs`."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
 
-    def counter() -> Callable[[str], Counter]:
-        cut = Pretokenizer(spec.value).pretokens
-        return lambda text: Counter(cut(text))
+    def cutter() -> Callable[[str], list[str]]:
+        return Pretokenizer(spec.value).pretokens
 
     def count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Pretokenizer(spec.value).tokenizer
@@ -34,9 +32,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, head:
             encoded = tokenizer.encode_batch(batch.column("term").to_pylist(), add_special_tokens=False)
             yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("n"), pa.array([len(e.ids) for e in encoded], pa.int64())], names=["term", "n", "pieces"])
 
-    values = durable(corpus_terms(docs, counter).mapInArrow(count_pieces, "term string, n long, pieces long"))
+    values = durable(corpus_terms(docs, cutter).mapInArrow(count_pieces, "term string, n long, pieces long"))
     source = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    counted = document_sums(source, ["doc_id", "n_bytes"], values, ["pieces"], counter, head)
+    counted = document_sums(source, ["doc_id", "n_bytes"], values, ["pieces"], cutter, head)
     n = F.round("pieces").cast("long")
     return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
