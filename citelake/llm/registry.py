@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_chunks import op7_bpe_chunks
 from .decontamination import ORACLE_OP9, op9_decontamination
+from .simhash import op8_simhash
 from .token_counts import op3_token_counts
 from .toxicity import op6_toxicity
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op6_toxicity": op6_toxicity,
     "op7_bpe_chunks": op7_bpe_chunks,
+    "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
 }
 ORACLES: dict[str, str] = {"op9_decontamination": ORACLE_OP9}
