@@ -18,27 +18,30 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import ASCII_LOWER, WORD, pieces
+from .common import WORD, pieces
 
 WINDOW = 13
 #: Item words in one automaton: about 2.6 million nodes, some 150 MB in a worker.
 BLOCK_WORDS = 200_000
 ADDED = ["n_words", "n_hit", "items", "spans"]
-_WORDS = re.compile(WORD)
+#: Where words stand in the original text; letters of either case are words' letters there.
+_PLACES = re.compile(WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))
+#: Of UTF-8: A-Z in lower case, every other ASCII byte outside of words as a blank.
+_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: The automaton that this worker process built last, by its broadcast's number.
 _BUILT: dict[int, tuple] = {}
 
 
-def words(text: str | None) -> list[str]:
-    return _WORDS.findall(text.translate(ASCII_LOWER)) if text else []
+def words(text: str | None) -> list[bytes]:
+    return text.encode().translate(_BYTES).split() if text else []
 
 
-def _automaton(number: int, items: list[tuple[str, list[str]]], window: int) -> tuple:
+def _automaton(number: int, items: list[tuple[str, list[bytes]]], window: int) -> tuple:
     if number not in _BUILT:
         import ahocorasick
 
         _BUILT.clear()
-        vocabulary: dict[str, int] = {}
+        vocabulary: dict[bytes, int] = {}
         found: dict[tuple[int, ...], set[str]] = {}
         for item, own in items:
             ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in own]
@@ -63,7 +66,7 @@ def _merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list[str]]]]:
+def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
     """Items as (id, words), in blocks of about BLOCK_WORDS words; the driver holds one block at a time."""
     block, total = [], 0
     for item, text in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "text").toLocalIterator():
@@ -82,52 +85,47 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     with an occurring window, sorted as strings), spans (character offsets [start, end) of hit stretches in the original text)."""
     keep = [c for c in docs.columns if c not in ADDED]
     plain = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    so_far = ["_from", "_to", "_items"]
-    held = "_from array<int>, _to array<int>, _items array<string>"
-    out = docs.select(*keep, *(F.lit(None).cast(x.partition(" ")[2]).alias(x.partition(" ")[0]) for x in held.split(", ")))
+    so_far = {"_from": "array<int>", "_to": "array<int>", "_items": "array<string>"}
+    added = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": "array<struct<start:int,end:int>>"}
+    arrow = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+    final = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+
+    def scan(block, number: int, last: bool):
+        """One block's pass; the last one reports. Intervals and items so far travel with the row."""
 
-    def scan(block, number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine, vocabulary = _automaton(number, block.value, window)
+            machine, vocabulary = _automaton(number, block.value, window) if block.value else (None, {})
+            known = vocabulary.get
             for batch in batches:
                 for part in pieces(batch, "text"):
-                    starts, ends, found = [], [], []
-                    before = zip(*(part.column(c).to_pylist() for c in ("text", *so_far)), strict=True)
-                    for text, a, b, ids in before:
+                    rows = []
+                    for text, a, b, ids in zip(*(part.column(c).to_pylist() for c in ("text", *so_far)), strict=True):
+                        own = words(text)
                         hits, names = list(zip(a or (), b or (), strict=True)), set(ids or ())
-                        symbols = tuple([vocabulary.get(w, 0) for w in words(text)])
-                        if symbols and any(symbols):
+                        symbols = tuple([known(w, 0) for w in own]) if machine else ()
+                        if any(symbols):
                             for end, (n, by) in machine.iter(symbols):
                                 hits.append((end - n + 1, end + 1))
                                 names |= by
                         hits = _merged(hits)
-                        starts.append([x for x, _ in hits]), ends.append([x for _, x in hits]), found.append(sorted(names))
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], names=[*keep, *so_far])
+                        if last:
+                            at = [m.span() for m in _PLACES.finditer(text)] if hits else []
+                            rows.append((len(own), sum(y - x for x, y in hits), sorted(names), [{"start": at[x][0], "end": at[y - 1][1]} for x, y in hits]))
+                        else:
+                            rows.append(([x for x, _ in hits], [y for _, y in hits], sorted(names)))
+                    kinds, labels = (final, added) if last else (arrow, so_far)
+                    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], names=[*keep, *labels])
 
         return run
 
-    spark = docs.sparkSession
-    for block in _blocks(items):
-        shipped = spark.sparkContext.broadcast(block)
-        out = out.mapInArrow(scan(shipped, uuid.uuid4().int), ", ".join([*plain, held]))
-
-    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                total, hit, items_, spans = [], [], [], []
-                for text, a, b, ids in zip(*(part.column(c).to_pylist() for c in ("text", *so_far)), strict=True):
-                    total.append(len(words(text)))
-                    hit.append(sum(b or ()) - sum(a or ()))
-                    items_.append(ids or [])
-                    if a:
-                        at = [m.span() for m in _WORDS.finditer(text.translate(ASCII_LOWER))]
-                        spans.append([{"start": at[x][0], "end": at[y - 1][1]} for x, y in zip(a, b, strict=True)])
-                    else:
-                        spans.append([])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(total, pa.int64()), pa.array(hit, pa.int64()), pa.array(items_, pa.list_(pa.string())), pa.array(spans, kind)], names=[*keep, *ADDED])
-
-    return out.mapInArrow(report, ", ".join([*plain, "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>"]))
+    context = docs.sparkSession.sparkContext
+    blocks = [context.broadcast(b) for b in _blocks(items)] or [context.broadcast([])]
+    out = docs.select(*keep, *(F.lit(None).cast(kind).alias(c) for c, kind in so_far.items()))
+    for k, block in enumerate(blocks, 1):
+        last = k == len(blocks)
+        out = out.mapInArrow(scan(block, uuid.uuid4().int, last), ", ".join([*plain, *(f"{c} {kind}" for c, kind in (added if last else so_far).items())]))
+    return out
 
 
 def contaminated(n_hit, n_words):
