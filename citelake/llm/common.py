@@ -27,6 +27,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def words_of(text: Column) -> Column:
+    """The array of a text's words (see WORD), A-Z in lower case."""
+    return F.filter(F.split(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+
+
+def tokens_of(text: Column) -> Column:
+    """The array of a text's runs without ASCII white space (see TOKEN)."""
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo `modulus`; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)).cast("int")

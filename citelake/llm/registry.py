@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_chunks import op7_bpe_chunks
 from .decontamination import ORACLE_OP9, op9_decontamination
+from .licenses import ORACLE_OP1, op1_license_scan
+from .line_dedup import ORACLE_OP4, op4_line_dedup
 from .simhash import op8_simhash
 from .token_counts import op3_token_counts
 from .toxicity import op6_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op3_token_counts": op3_token_counts,
+    "op4_line_dedup": op4_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_bpe_chunks": op7_bpe_chunks,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
 }
-ORACLES: dict[str, str] = {"op9_decontamination": ORACLE_OP9}
+ORACLES: dict[str, str] = {"op1_license_scan": ORACLE_OP1, "op4_line_dedup": ORACLE_OP4, "op9_decontamination": ORACLE_OP9}
