@@ -13,9 +13,11 @@ from .line_dedup import ORACLE_OP4, op4_line_dedup
 from .simhash import op8_simhash
 from .token_counts import op3_token_counts
 from .toxicity import op6_toxicity
+from .url_filter import ORACLE_OP2, op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
+    "op2_url_filter": op2_url_filter,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
     "op6_toxicity": op6_toxicity,
@@ -23,4 +25,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
 }
-ORACLES: dict[str, str] = {"op1_license_scan": ORACLE_OP1, "op4_line_dedup": ORACLE_OP4, "op9_decontamination": ORACLE_OP9}
+ORACLES: dict[str, str] = {"op1_license_scan": ORACLE_OP1, "op2_url_filter": ORACLE_OP2, "op4_line_dedup": ORACLE_OP4, "op9_decontamination": ORACLE_OP9}
