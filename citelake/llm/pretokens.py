@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import regex
 
@@ -18,6 +19,10 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
+#: Texts of these characters alone are composed already, and str.lower() is what the library's lower-casing gives.
+_SIMPLE = re.compile(r"[\x00-\u012f\u0131-\u024f]*").fullmatch
+
+
 def runs(text: str) -> list[str]:
     """The text cut at ASCII white space, empty pieces included.
 
@@ -47,11 +52,19 @@ class Pretokenizer:
             raise ValueError("this tokenizer file is of another kind than those that pre-tokens can be counted for")
         names = sorted((x["content"] for x in special), key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        self.marks = [x.lower() for x in names]
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.normalize = self.tokenizer.normalizer.normalize_str
         self.ids: dict[str, tuple[int, ...]] = {}
         self.cache = cache
 
+    def prepare(self, text: str) -> list[str]:
+        """The runs of a text, in lower case where that changes no token."""
+        lower = text.lower()
+        if _SIMPLE(text) and not any(x in lower for x in self.marks):
+            return runs(lower)
+        return runs(text)
+
     def _plain(self, text: str) -> list[str]:
         text = self.normalize(text)
         if _PLAIN.fullmatch(text):
@@ -59,17 +72,20 @@ class Pretokenizer:
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def pretokens(self, run: str) -> list[str]:
-        """Pre-tokens in order; a special string stands as itself."""
-        if self.cut is None or "<" not in run or not self.cut.search(run):
-            return self._plain(run)
-        out: list[str] = []
-        for i, part in enumerate(self.cut.split(run)):
-            out += [part] if i % 2 else self._plain(part)
-        return out
+        """Pre-tokens of a run in order; a special string stands as itself."""
+        if self.cut is not None and self.cut.search(run):
+            out: list[str] = []
+            for i, part in enumerate(self.cut.split(run)):
+                out += [part] if i % 2 else self._plain(part)
+            return out
+        if _SIMPLE(run):
+            run = run.lower()
+            return [run] if run.isalpha() else self.find(run)
+        return self._plain(run)
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text, each distinct run being encoded once."""
-        words, known = runs(text), self.ids
+        words, known = self.prepare(text), self.ids
         try:
             return [i for x in words for i in known[x]]
         except KeyError:

@@ -15,21 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import pieces, row_ids
-from .pretokens import runs
 
 #: The broadcast part's bound: entries, and characters of each.
 HEAD, HEAD_CHARS = 65_536, 64
 #: A task hands on its counts when it holds so many distinct runs, and forgets what it knew about so many.
 FLUSH = 300_000
-#: Made once per task: from a run of characters without white space to its terms, in order and with repeats.
-Cutter = Callable[[], Callable[[str], list[str]]]
+#: Made once per task: (from a text to its runs of characters without white space, from a run to its terms, repeats included).
+Cutter = Callable[[], tuple[Callable[[str], list[str]], Callable[[str], list[str]]]]
 
 
 def corpus_terms(docs: DataFrame, cutter: Cutter) -> DataFrame:
     """(term, n): how often each term stands in all texts; a null text has none. `docs` has the column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, held = cutter(), Counter()
+        (prepare, cut), held = cutter(), Counter()
 
         def out() -> pa.RecordBatch:
             terms: Counter = Counter()
@@ -43,7 +42,7 @@ def corpus_terms(docs: DataFrame, cutter: Cutter) -> DataFrame:
             for part in pieces(batch, "text"):
                 for text in part.column("text").to_pylist():
                     if text:
-                        held.update(runs(text))
+                        held.update(prepare(text))
                 if len(held) >= FLUSH:
                     yield out()
         if held:
@@ -72,7 +71,7 @@ def document_sums(docs: DataFrame, keep: list[str], values: DataFrame, names: li
     out = ", ".join(["rid long", "term string", "n long", *(f"{s} double" for s in sums), *(f"`{c}` {kept[c].dataType.simpleString()}" for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, known, ids = cutter(), held.value, row_ids()
+        (prepare, cut), known, ids = cutter(), held.value, row_ids()
         none = (0.0,) * width
         seen: dict[str, tuple] = {}  # of a run: the sums over its terms in the head, and its other terms
 
@@ -94,11 +93,12 @@ def document_sums(docs: DataFrame, keep: list[str], values: DataFrame, names: li
                 rid, term, number, own, total = [], [], [], [], [[] for _ in sums]
                 for k, text in enumerate(part.column("text").to_pylist()):
                     r, s, tail = next(ids), [0.0] * width, {}
-                    for word, n in (Counter(runs(text)) if text else {}).items():
+                    for word, n in (Counter(prepare(text)) if text else {}).items():
                         v, rest = seen.get(word) or look(word)
-                        if v is not none:
-                            for i in range(width):
-                                s[i] += n * v[i]
+                        if width == 1:
+                            s[0] += n * v[0]
+                        elif v is not none:
+                            s = [a + n * b for a, b in zip(s, v, strict=True)]
                         for x in rest:
                             tail[x] = tail.get(x, 0) + n
                     m = len(tail)

@@ -23,8 +23,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, head:
     """(doc_id, n_bytes, n_tokens, over_limit), a row for each row of `docs`."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
 
-    def cutter() -> Callable[[str], list[str]]:
-        return Pretokenizer(spec.value).pretokens
+    def cutter() -> tuple[Callable[[str], list[str]], Callable[[str], list[str]]]:
+        own = Pretokenizer(spec.value)
+        return own.prepare, own.pretokens
 
     def count_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = Pretokenizer(spec.value).tokenizer
