@@ -10,6 +10,7 @@ from .bpe_chunks import op7_bpe_chunks
 from .decontamination import ORACLE_OP9, op9_decontamination
 from .licenses import ORACLE_OP1, op1_license_scan
 from .line_dedup import ORACLE_OP4, op4_line_dedup
+from .quality import op5_quality
 from .simhash import op8_simhash
 from .token_counts import op3_token_counts
 from .toxicity import op6_toxicity
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": op2_url_filter,
     "op3_token_counts": op3_token_counts,
     "op4_line_dedup": op4_line_dedup,
+    "op5_quality": op5_quality,
     "op6_toxicity": op6_toxicity,
     "op7_bpe_chunks": op7_bpe_chunks,
     "op8_simhash": op8_simhash,
