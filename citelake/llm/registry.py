@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_chunks import op7_bpe_chunks
 from .decontamination import ORACLE_OP9, op9_decontamination
+from .language_id import op10_language_id
 from .licenses import ORACLE_OP1, op1_license_scan
 from .line_dedup import ORACLE_OP4, op4_line_dedup
 from .quality import op5_quality
@@ -26,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe_chunks": op7_bpe_chunks,
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {"op1_license_scan": ORACLE_OP1, "op2_url_filter": ORACLE_OP2, "op4_line_dedup": ORACLE_OP4, "op9_decontamination": ORACLE_OP9}

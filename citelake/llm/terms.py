@@ -24,31 +24,37 @@ FLUSH = 300_000
 Cutter = Callable[[], tuple[Callable[[str], list[str]], Callable[[str], list[str]]]]
 
 
-def corpus_terms(docs: DataFrame, cutter: Cutter) -> DataFrame:
-    """(term, n): how often each term stands in all texts; a null text has none. `docs` has the column text."""
+def corpus_terms(docs: DataFrame, cutter: Cutter, classes: int = 0) -> DataFrame:
+    """(term, n): how often each term stands in all texts; a null text has none. `docs` has the column text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (prepare, cut), held = cutter(), Counter()
+    With classes, `docs` also has the column cls, and c0, c1, ... are the counts in texts of the classes 0, 1, ...; texts of other
+    classes, or of none, only count in n."""
 
-        def out() -> pa.RecordBatch:
-            terms: Counter = Counter()
-            for word, n in held.items():
-                for x in cut(word):
-                    terms[x] += n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (prepare, cut), held = cutter(), {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for cls, words in held.items():
+                terms: Counter = Counter()
+                for word, n in words.items():
+                    for x in cut(word):
+                        terms[x] += n
+                yield pa.RecordBatch.from_arrays([pa.array(terms.keys(), pa.string()), pa.array([cls] * len(terms), pa.int32()), pa.array(terms.values(), pa.int64())], names=["term", "cls", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(terms.keys(), pa.string()), pa.array(terms.values(), pa.int64())], names=["term", "n"])
 
         for batch in batches:
             for part in pieces(batch, "text"):
-                for text in part.column("text").to_pylist():
+                own = part.column("cls").to_pylist() if classes else [-1] * part.num_rows
+                for text, cls in zip(part.column("text").to_pylist(), own, strict=True):
                     if text:
-                        held.update(prepare(text))
-                if len(held) >= FLUSH:
-                    yield out()
-        if held:
-            yield out()
-
-    return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+                        held.setdefault(-1 if cls is None else cls, Counter()).update(prepare(text))
+                if sum(map(len, held.values())) >= FLUSH:
+                    yield from out()
+        yield from out()
+
+    counted = docs.select("text", *(["cls"] if classes else [])).mapInArrow(run, "term string, cls int, n long")
+    by_class = [F.sum(F.when(F.col("cls") == i, F.col("n")).otherwise(0)).alias(f"c{i}") for i in range(classes)]
+    return counted.groupBy("term").agg(F.sum("n").alias("n"), *by_class)
 
 
 def head_of(values: DataFrame, names: list[str], head: int = HEAD) -> dict[str, tuple]:
