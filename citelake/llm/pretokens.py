@@ -23,6 +23,11 @@ def read_spec(path: str) -> str:
 _SIMPLE = re.compile(r"[\x00-\u012f\u0131-\u024f]*").fullmatch
 
 
+#: Byte-level BPE writes bytes as printable characters: these as themselves, the others, in order, as those from U+0100 on.
+_SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_SYMBOLS = {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_SELF}))}
+
+
 def runs(text: str) -> list[str]:
     """The text cut at ASCII white space, empty pieces included.
 
@@ -33,7 +38,7 @@ def runs(text: str) -> list[str]:
 class Pretokenizer:
     """Cuts runs of characters into pre-tokens, special strings as pieces of their own, and encodes texts run by run.
 
-    cache: the most runs that are remembered; longer ones than LONG never are."""
+    cache: about half of the runs that are remembered, and the most pre-tokens; longer ones than LONG never are."""
 
     LONG = 64
 
@@ -50,12 +55,15 @@ class Pretokenizer:
         split = next(x for x in parsed["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         if odd or not (split["invert"] and split["behavior"] == "Removed") or parsed["post_processor"] or parsed["decoder"]:
             raise ValueError("this tokenizer file is of another kind than those that pre-tokens can be counted for")
-        names = sorted((x["content"] for x in special), key=len, reverse=True)
+        self.special = {x["content"]: x["id"] for x in special}
+        names = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.marks = [x.lower() for x in names]
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.normalize = self.tokenizer.normalizer.normalize_str
         self.ids: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.terms: dict[str, list[int]] = {}
         self.cache = cache
 
     def prepare(self, text: str) -> list[str]:
@@ -83,16 +91,36 @@ class Pretokenizer:
             return [run] if run.isalpha() else self.find(run)
         return self._plain(run)
 
+    def encode_pretoken(self, term: str) -> list[int]:
+        if term in self.special:
+            return [self.special[term]]
+        symbols = term if term.isascii() and term.isprintable() else term.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+        return [t.id for t in self.tokenizer.model.tokenize(symbols)]
+
+    def encode_run(self, run: str) -> tuple[int, ...]:
+        """The ids of a run, from its pre-tokens, each of which is encoded once."""
+        out: list[int] = []
+        for x in self.pretokens(run):
+            if (ids := self.terms.get(x)) is None:
+                ids = self.encode_pretoken(x)
+                if len(self.terms) >= self.cache:
+                    self.terms.clear()
+                if len(x) <= self.LONG:
+                    self.terms[x] = ids
+            out += ids
+        return tuple(out)
+
     def encode(self, text: str) -> list[int]:
-        """The ids of a text, each distinct run being encoded once."""
+        """The ids of a text. Runs are remembered; when there are too many, those that the latest texts didn't use are forgotten."""
         words, known = self.prepare(text), self.ids
-        try:
-            return [i for x in words for i in known[x]]
-        except KeyError:
-            new = list({x for x in words if x not in known})
-            if len(known) + len(new) > self.cache:
-                known.clear()
-                new = list(set(words))
-            found = {x: tuple(e.ids) for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
-            known.update((x, e) for x, e in found.items() if len(x) <= self.LONG)
-            return [i for x in words for i in (known.get(x) if x in known else found[x])]
+        long = []
+        for x in set(words).difference(known):
+            known[x] = self.older.get(x) or self.encode_run(x)
+            if len(x) > self.LONG:
+                long.append(x)
+        out = [i for x in words for i in known[x]]
+        for x in long:
+            del known[x]
+        if len(known) > self.cache:
+            self.older, self.ids = known, {}
+        return out
