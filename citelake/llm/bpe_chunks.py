@@ -78,42 +78,39 @@ class Encoder:
     def __init__(self, spec: str, dictionary: dict[bytes, tuple[int, int, int, bytes]]) -> None:
         self.own = Pretokenizer(spec)
         self.dictionary = dictionary
-        self.pieces: dict[int, str] = {}
+        tokenizer = self.own.tokenizer
+        self.pieces = np.array([tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())], dtype=object)
 
-    def inner(self, chunk: str) -> tuple[int, int, int, np.ndarray] | None:
-        """(start, end, ids of the first run, all ids) of the stretch between white space; None if there is none."""
+    def inner(self, chunk: str) -> tuple[int, int, int, bytes] | None:
+        """(start, end, number of ids of the first run, all ids) of the stretch between white space; None if there is none."""
         found = [m.start() for m in _SPACE.finditer(chunk)]
         if len(found) < 2:
             return None
         a, b = found[0], found[-1]
         run = next((x for x in found[1:] if x > a + 1), b)
-        return a, b, len(self.own.encode(chunk[a:run])), np.array(self.own.encode(chunk[a:b]), dtype=np.int32)
+        return a, b, len(self.own.encode(chunk[a:run])), self.own.encode(chunk[a:b]).tobytes()
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str) -> np.ndarray:
+        out: list[np.ndarray] = []
         left = 0  # all before it is encoded
         for start, end, key in chunks(text) if self.dictionary else ():
             if (known := self.dictionary.get(key)) is None:
                 continue
             a, b, first, ids = known
-            ids = np.frombuffer(ids, dtype=np.int32).tolist()
+            ids = np.frombuffer(ids, dtype=np.int32)
             run = a + 1
             while run < b and (text[start + run] not in " \n\t\r" or run == a + 1):
                 run += 1
             window = self.own.encode(text[left : start + run])
-            if first and window[-first:] != ids[:first]:  # no agreement: the window takes the whole chunk
-                out += self.own.encode(text[left : start + b])
+            if first and not np.array_equal(window[-first:], ids[:first]):  # no agreement: the window takes the whole chunk
+                out.append(self.own.encode(text[left : start + b]))
             else:
-                out += window[: len(window) - first] if first else window
-                out += ids
+                out += [window[: len(window) - first], ids]
             left = start + b
-        return out + self.own.encode(text[left:])
+        return np.concatenate([*out, self.own.encode(text[left:])])
 
-    def decode(self, ids: list[int]) -> str:
-        names, token = self.pieces, self.own.tokenizer.id_to_token
-        for i in set(ids).difference(names):
-            names[i] = token(i) or ""
-        return " ".join([names[i] for i in ids])
+    def decode(self, ids: np.ndarray) -> str:
+        return " ".join(self.pieces[ids].tolist())
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, dictionary: int = DICTIONARY) -> DataFrame:
@@ -159,7 +156,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, dictionary: int = DIC
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec.value, {})
         for batch in batches:
-            rows = [(k, *v[:3], v[3].tobytes()) for k, x in zip(batch.column("chunk").to_pylist(), batch.column("text").to_pylist(), strict=True) if (v := encoder.inner(x))]
+            rows = [(k, *v) for k, x in zip(batch.column("chunk").to_pylist(), batch.column("text").to_pylist(), strict=True) if (v := encoder.inner(x))]
             kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["chunk", "a", "b", "first", "ids"])
 
@@ -177,8 +174,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, dictionary: int = DIC
         encoder = Encoder(spec.value, held.value)
         for batch in batches:
             for part in pieces(batch, "text", 1_000_000):
-                ids = [encoder.encode(text) if text else [] for text in part.column("text").to_pylist()]
-                added = [pa.array(ids, pa.list_(pa.int32())), pa.array([encoder.decode(x) for x in ids], pa.string())]
+                ids = [encoder.encode(text or "") for text in part.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                added = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array([encoder.decode(x) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*keep, "ids", "decoded"])
 
     return source.mapInArrow(assemble, schema)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
+import numpy as np
 import regex
 
 #: Code points on which the regex module and the library agree about letters, numbers and white space
@@ -61,8 +63,8 @@ class Pretokenizer:
         self.marks = [x.lower() for x in names]
         self.find = regex.compile(split["pattern"]["Regex"]).findall
         self.normalize = self.tokenizer.normalizer.normalize_str
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.terms: dict[str, list[int]] = {}
         self.cache = cache
 
@@ -97,8 +99,8 @@ class Pretokenizer:
         symbols = term if term.isascii() and term.isprintable() else term.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
         return [t.id for t in self.tokenizer.model.tokenize(symbols)]
 
-    def encode_run(self, run: str) -> tuple[int, ...]:
-        """The ids of a run, from its pre-tokens, each of which is encoded once."""
+    def encode_run(self, run: str) -> bytes:
+        """The ids of a run as 32-bit numbers, from its pre-tokens, each of which is encoded once."""
         out: list[int] = []
         for x in self.pretokens(run):
             if (ids := self.terms.get(x)) is None:
@@ -108,17 +110,17 @@ class Pretokenizer:
                 if len(x) <= self.LONG:
                     self.terms[x] = ids
             out += ids
-        return tuple(out)
+        return array("i", out).tobytes()
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         """The ids of a text. Runs are remembered; when there are too many, those that the latest texts didn't use are forgotten."""
-        words, known = self.prepare(text), self.ids
+        words, known, older = self.prepare(text), self.ids, self.older
         long = []
         for x in set(words).difference(known):
-            known[x] = self.older.get(x) or self.encode_run(x)
+            known[x] = older[x] if x in older else self.encode_run(x)
             if len(x) > self.LONG:
                 long.append(x)
-        out = [i for x in words for i in known[x]]
+        out = np.frombuffer(b"".join([known[x] for x in words]), dtype=np.int32)
         for x in long:
             del known[x]
         if len(known) > self.cache:
