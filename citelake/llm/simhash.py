@@ -7,13 +7,17 @@ skipped. A tile and its neighbours are cut by a hash into blocks of about BLOCK
 task ever holds more than one pair of blocks, however many fingerprints share their counts. A pair of blocks gives
 back a forest of its links, never all pairs. Equal texts have equal fingerprints and are one row here however often they stand.
 
+drop_near_duplicates, the form for pipelines, has wide fingerprints of five-word shingles and compares similarities instead.
+
 Defined results: a text without words (null, empty, blank) has fingerprint zero and links like any other; rows that
 repeat, ids that repeat and null ids each keep their own row; a component's id is its smallest non-null doc_id, null
 if there is none; other columns don't matter."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
@@ -27,7 +31,6 @@ from .components import components
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: Fingerprints on each side of one numpy comparison.
 BLOCK = 4096
-_SIDE = 17
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -57,40 +60,43 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
-def _tiles(fp: np.ndarray) -> np.ndarray:
-    """The tile number of each fingerprint: its quarters' population counts as digits to the base 17."""
-    quarters = np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int64)
-    return quarters @ np.array([_SIDE**3, _SIDE**2, _SIDE, 1])
+@dataclass(frozen=True)
+class Tiling:
+    """How fingerprints are dealt into numbered tiles, and which steps lead from a tile to those that may hold links.
 
+    digits: the number of each digit's values; a tile's number is read from its digits. steps: from a tile to itself and to half of the
+    tiles that aren't skipped, so that each pair of tiles comes once."""
 
-def _ahead(radius: int) -> list[tuple[int, ...]]:
-    """Steps from a tile to itself and to half of the tiles within the radius, so that each pair of tiles comes once."""
-    near = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius]
-    return [d for d in near if d >= (0, 0, 0, 0)]
+    digits: tuple[int, ...]
+    steps: tuple[tuple[int, ...], ...]
 
+    @property
+    def tiles(self) -> int:
+        return math.prod(self.digits)
 
-def _step(digits: np.ndarray, d: tuple[int, ...], sign: int) -> tuple[np.ndarray, np.ndarray]:
-    moved = digits + sign * np.array(d)
-    return ((moved >= 0) & (moved < _SIDE)).all(axis=1), moved @ np.array([_SIDE**3, _SIDE**2, _SIDE, 1])
+    def weights(self) -> np.ndarray:
+        return np.array([math.prod(self.digits[k + 1 :]) for k in range(len(self.digits))])
 
+    def split(self, tiles: np.ndarray) -> np.ndarray:
+        return tiles[:, None] // self.weights() % np.array(self.digits)
 
-def _digits(tiles: np.ndarray) -> np.ndarray:
-    return np.stack([tiles // _SIDE**k % _SIDE for k in (3, 2, 1, 0)], axis=1)
+    def step(self, digits: np.ndarray, d: tuple[int, ...], sign: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which tiles have a tile at that step, and its number."""
+        moved = digits + sign * np.array(d)
+        return ((moved >= 0) & (moved < np.array(self.digits))).all(axis=1), moved @ self.weights()
 
 
-def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links from fingerprints to the least one of their component within these two blocks."""
-    found = []
-    for i in range(0, len(left), 256):
-        x, y = np.nonzero(np.bitwise_count(left[i : i + 256, None] ^ right[None, :]) <= radius)
-        found.append((left[i : i + 256][x], right[y]))
-    a, b = np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-    a, b = a[(differ := a != b)], b[differ]
-    if not len(a):
-        return a, b
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    root = np.arange(len(nodes))
+def by_counts(radius: int) -> Tiling:
+    """Tiles by the population counts of a fingerprint's 16-bit quarters."""
+    near = [d for d in product(range(-radius, radius + 1), repeat=4) if sum(map(abs, d)) <= radius]
+    return Tiling((17,) * 4, tuple(d for d in near if d >= (0, 0, 0, 0)))
+
+
+def _links(nodes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links given by node: each node of a component but the least, and the least; a forest with the same components."""
+    names, ends = np.unique(np.concatenate([nodes[left], nodes[right]]), return_inverse=True)
+    x, y = ends[: len(left)], ends[len(left) :]
+    root = np.arange(len(names))
     while True:
         before = root.copy()
         least = np.minimum(root[x], root[y])
@@ -99,34 +105,33 @@ def _forest(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarra
         root = root[root]
         if (root == before).all():
             break
-    own = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[own], nodes[root[own]]
+    own = np.flatnonzero(root != np.arange(len(names)))
+    return names[own], names[root[own]]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """(a, b): a forest of the links within the radius among the distinct fingerprints of `distinct` (fp).
-
-    The driver receives the number of fingerprints of each tile: 83,521 numbers at most."""
-    spark = distinct.sparkSession
-    quarter = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(65535))) for k in range(4)]
-    tile = sum((q * _SIDE ** (3 - k) for k, q in enumerate(quarter)), F.lit(0))
-    count = np.zeros(_SIDE**4, dtype=np.int64)
-    for r in distinct.groupBy(tile.alias("tile")).count().collect():
+def tiled_links(items: DataFrame, tiling: Tiling, near: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], block: int = BLOCK) -> DataFrame:
+    """(a, b): a forest of all links among `items` (node, tile, and any number of long columns).
+
+    near: from two blocks of the long columns to the rows of each that link. A tile and what lies ahead of it are cut by a hash of
+    the node into blocks of about `block` rows. The driver receives the number of rows of each tile: `tiling.tiles` numbers at most."""
+    payload = [c for c in items.columns if c not in ("node", "tile")]
+    count = np.zeros(tiling.tiles, dtype=np.int64)
+    for r in items.groupBy("tile").count().collect():
         count[r["tile"]] = r["count"]
-    steps, digits, ahead = _ahead(radius), _digits(np.arange(_SIDE**4)), np.zeros_like(count)
-    for d in steps:
-        inside, to = _step(digits, d, 1)
+    digits, ahead = tiling.split(np.arange(tiling.tiles)), np.zeros_like(count)
+    for d in tiling.steps:
+        inside, to = tiling.step(digits, d, 1)
         ahead[inside] += count[to[inside]]
-    plan = spark.sparkContext.broadcast((np.maximum(1, -(-count // block)), np.maximum(1, -(-ahead // block)), count > 0))
+    plan = items.sparkSession.sparkContext.broadcast((np.maximum(1, -(-count // block)), np.maximum(1, -(-ahead // block)), count > 0))
+    names = ["pair", "is_left", "node", *payload]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lefts, rights, used = plan.value
         for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            for at in range(0, len(fp), 20_000):
-                own = fp[at : at + 20_000]
-                tiles = _tiles(own)
-                mixed = (own.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tile", "node", *payload)]
+            for at in range(0, batch.num_rows, 20_000):
+                tiles, *own = (c[at : at + 20_000] for c in columns)
+                mixed = (own[0].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 out = []
 
                 def emit(rows: np.ndarray, to: np.ndarray, side: bool) -> None:
@@ -137,75 +142,152 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
                     part = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
                     mine = (mixed[rows] % one[to].astype(np.uint64)).astype(np.int64)[which]
                     i, j = (mine, part) if side else (part, mine)
-                    out.append((to[which] << 40 | i << 20 | j, np.full(len(which), side), own[rows][which]))
+                    out.append((to[which] << 44 | i << 22 | j, np.full(len(which), side), rows[which]))
 
-                everyone = np.arange(len(own))
+                everyone = np.arange(len(tiles))
                 emit(everyone, tiles, True)
-                own_digits = _digits(tiles)
-                for d in steps:
-                    inside, to = _step(own_digits, d, -1)
+                own_digits = tiling.split(tiles)
+                for d in tiling.steps:
+                    inside, to = tiling.step(own_digits, d, -1)
                     rows = everyone[inside][used[to[inside]]]
-                    emit(rows, to[rows], False)
-                columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-                for k in range(0, len(columns[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 100_000]) for c in columns], names=["pair", "is_left", "fp"])
+                    emit(rows, to[inside][used[to[inside]]], False)
+                pair, side, rows = (np.concatenate(x) for x in zip(*out, strict=True))
+                for k in range(0, len(pair), 100_000):
+                    part = slice(k, k + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[part]), pa.array(side[part]), *(pa.array(c[rows[part]]) for c in own)], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = [np.empty(0, np.int64), np.empty(0, bool), np.empty(0, np.int64)]
-        for batch in batches_with_end(batches):
+        rest = None
+        for batch in _with_end(batches):
             last = batch is None
             if not last:
-                rest = [np.concatenate([x, batch.column(i).to_numpy(zero_copy_only=False)]) for i, x in enumerate(rest)]
-            pair, is_left, fp = rest
-            if not len(pair):
+                new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+                rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
+            if rest is None or not len(rest[0]):
                 continue
+            pair, is_left, node, *own = rest
+            values = np.stack(own, axis=1)
             starts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
             ends = np.r_[starts[1:], len(pair)]
             done = len(starts) if last else len(starts) - 1
             a, b = [], []
             for s, e in zip(starts[:done].tolist(), ends[:done].tolist(), strict=True):
-                left = is_left[s:e]
-                if left.any() and not left.all():
-                    x, y = _forest(fp[s:e][left], fp[s:e][~left], radius)
-                    a.append(x), b.append(y)
+                left, right = np.flatnonzero(is_left[s:e]) + s, np.flatnonzero(~is_left[s:e]) + s
+                found = [near(values[left[i : i + 256]], values[right]) for i in range(0, len(left) * bool(len(right)), 256)]
+                if not found:
+                    continue
+                x = np.concatenate([left[i * 256 + f[0]] for i, f in enumerate(found)])
+                y = np.concatenate([right[f[1]] for f in found])
+                differ = node[x] != node[y]
+                if differ.any():
+                    p, q = _links(node, x[differ], y[differ])
+                    a.append(p), b.append(q)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
             cut = ends[done - 1] if done else 0
             rest = [x[cut:] for x in rest]
 
-    dealt = distinct.select("fp").mapInArrow(deal, "pair long, is_left boolean, fp long")
+    dealt = items.mapInArrow(deal, ", ".join(["pair long", "is_left boolean", "node long", *(f"{c} long" for c in payload)]))
     return dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "a long, b long")
 
 
-def batches_with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
 
 
-def _grouped(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
-    """The written fingerprints of all rows, and (_fp, first): for each distinct one, the first row of its component
-    as (whether the id is null, doc_id, text_hash)."""
-    rows = durable(fingerprints(docs, shingle))
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    distinct = durable(rows.groupBy("fp").agg(F.min(first).alias("first")))
-    found = components(links(distinct, radius))
-    member = distinct.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    linked = durable(member)
+def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """(a, b): a forest of the links within the radius among the distinct fingerprints of `distinct` (fp)."""
+    quarters = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(65535))) for k in range(4)]
+    tile = sum((q * 17 ** (3 - k) for k, q in enumerate(quarters)), F.lit(0))
+
+    def near(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b = left[:, 0].astype(np.uint64), right[:, 0].astype(np.uint64)  # of signed numbers numpy counts the magnitude's bits
+        return np.nonzero(np.bitwise_count(a[:, None] ^ b[None, :]) <= radius)
+
+    return tiled_links(distinct.select(F.col("fp").alias("node"), tile.alias("tile"), "fp"), by_counts(radius), near, block)
+
+
+def _components_of(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """distinct: (node, first), first being the first row of that node; gives (_node, first) with the first row of the component."""
+    member = distinct.join(components(found).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
+    linked = durable(member.select("node", "first", F.coalesce("root", "node").alias("root")))
     least = linked.groupBy("root").agg(F.min("first").alias("least")).select(F.col("root").alias("_root"), "least")
-    return rows, linked.join(least, F.col("root") == F.col("_root")).select(F.col("fp").alias("_fp"), F.col("least").alias("first"))
+    return linked.join(least, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), F.col("least").alias("first"))
+
+
+def _first():
+    """Orders the rows of a group: rows with an id come first, by id, then by the hash of the text."""
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of `docs`; component_id is the smallest doc_id reachable."""
-    rows, groups = _grouped(docs, shingle, radius)
-    return rows.join(groups, F.col("fp") == F.col("_fp")).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+    rows = durable(fingerprints(docs, shingle))
+    distinct = durable(rows.groupBy("fp").agg(F.min(_first()).alias("first")))
+    groups = _components_of(distinct.withColumnRenamed("fp", "node"), links(distinct, radius))
+    return rows.join(groups, F.col("fp") == F.col("_node")).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
+
+
+#: The wide form: bits of a fingerprint, words of a shingle, and the least similarity (Jaccard, of sets of shingles).
+WIDE, WIDE_SHINGLE, SIMILARITY = 256, 5, 0.8
+#: The estimate's standard error at 0.8 is 0.05; links are made down to this much below, so that few pairs at 0.8 are lost.
+MARGIN = 0.08
+#: Bits by which the first 64 may differ: the expected number at the least similarity and four standard deviations.
+FIRST_BITS = 24
+#: Widths of the size classes by which the wide form's tiles are made: sets whose sizes differ more than the similarity allows can't be as similar.
+_CLASS = math.log(1.25) / 2
+
 
+def wide_fingerprint(text: str | None) -> tuple[int, ...]:
+    """(number of distinct shingles, four 64-bit parts) of a text: the majority of the bits of its distinct shingles' hashes."""
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return 0, 0, 0, 0, 0
+    digest, n = xxhash.xxh3_128_digest, WIDE_SHINGLE
+    joined = {b" ".join(x) for x in zip(*(words[k:] for k in range(n)), strict=False)} if len(words) >= n else {b" ".join(words)}
+    hashes = np.frombuffer(b"".join([digest(x, 0) + digest(x, 1) for x in joined]), dtype=np.uint8).reshape(-1, WIDE // 8)
+    bits = np.unpackbits(hashes, axis=1, bitorder="little").sum(axis=0, dtype=np.int64) * 2 > len(joined)
+    return len(joined), *np.packbits(bits, bitorder="little").view("<i8").tolist()
+
+
+def similar(left: np.ndarray, right: np.ndarray, least: float = SIMILARITY - MARGIN) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of two blocks of wide fingerprints whose estimated similarity is at least `least`."""
+    left, right = left.astype(np.uint64), right.astype(np.uint64)
+    x, y = np.nonzero(np.bitwise_count(left[:, 1][:, None] ^ right[:, 1][None, :]) <= FIRST_BITS)
+    a, b = left[x], right[y]
+    cosine = np.cos(np.pi * np.bitwise_count(a[:, 1:] ^ b[:, 1:]).sum(axis=1, dtype=np.int64) / WIDE)
+    shared = np.maximum(cosine, 0) * np.sqrt(a[:, 0].astype(float) * b[:, 0].astype(float))
+    fits = shared >= least * (a[:, 0].astype(float) + b[:, 0] - shared)
+    fits |= (a == b).all(axis=1)
+    return x[fits], y[fits]
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, margin: float = MARGIN) -> DataFrame:
+    """The rows of `docs` of which one stays for each group of texts whose five-word shingles are similar, directly or by others.
+
+    Similarity is estimated from the share of equal bits of 256-bit fingerprints of the sets of shingles. Tiles are classes of set sizes: a pair of
+    tiles is skipped if the sizes alone rule the similarity out. The row with the smallest doc_id stays (of several with that id the one
+    with the smallest text hash; of equal rows, one). All columns of `docs` are kept; texts without words are one group."""
+    least = similarity - margin
+    source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    parts = [f"f{k}" for k in range(WIDE // 64)]
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of `docs` of which one stays for each component: that with the smallest doc_id (of several with that
-    id the one with the smallest text hash; of equal ones, one). All columns of `docs` are kept."""
-    _, groups = _grouped(docs, shingle, radius)
-    stays = groups.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                found = [wide_fingerprint(t) for t in part.column("text").to_pylist()]
+                columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(len(parts) + 1)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *columns], names=["doc_id", "text_hash", "size", *parts])
+
+    kind = source.schema["doc_id"].dataType.simpleString()
+    rows = source.mapInArrow(run, ", ".join([f"doc_id {kind}", "text_hash long", "size long", *(f"{p} long" for p in parts)]))
+    distinct = durable(rows.groupBy("size", *parts).agg(F.min(_first()).alias("first")).withColumn("node", F.xxhash64("size", *parts)))
+    classes = math.ceil(math.log(2**31) / _CLASS) + 1
+    tile = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / _CLASS).cast("int")
+    tiling = Tiling((classes,), tuple((k,) for k in range(math.ceil(-math.log(least) / _CLASS) + 1)))
+    found = tiled_links(distinct.select("node", tile.alias("tile"), "size", *parts), tiling, lambda a, b: similar(a, b, least))
+    stays = _components_of(distinct.select("node", "first"), found).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text")).distinct()
     own = docs.withColumn("_own", F.xxhash64("text"))
     met = own.join(stays, own["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_text")))
     return met.dropDuplicates(["doc_id", "_own"]).select(*(met[c] for c in docs.columns))
