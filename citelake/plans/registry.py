@@ -1,6 +1,6 @@
 """All queries of the citation operators."""
 
-from citelake.plans import citations
+from citelake.plans import records
 
-QUERIES = {**citations.QUERIES}
-ORACLES = {**citations.ORACLES}
+QUERIES = dict(records.QUERIES)
+ORACLES = dict(records.ORACLES)
