@@ -12,8 +12,6 @@ from citelake.operators import records as R
 from citelake.sources import tables
 from citelake.sources.tables import SQL
 
-from .citations import ORACLES as _ORACLES
-from .citations import QUERIES as _QUERIES
 from .citations import query
 
 _LETTERS = list(T.LETTERS.items())
@@ -289,5 +287,3 @@ def merged_creators(spark, d):
     local = r.withColumn("name", F.when(F.col("pos") % 4 == 0, name(F.lit("Müller"), F.lit("x"))).otherwise(name(F.lit("muller"), F.lit("PROTECTED"))))
     return R.merge_creators(local, r.withColumn("name", name(F.lit("Muller"), F.lit("protected"))), ["Protected 1"])
 
-
-QUERIES, ORACLES = _QUERIES, _ORACLES

@@ -1,6 +1,7 @@
-"""All queries of the citation operators."""
+"""All queries of the citation operators: importing a module of plans registers its queries."""
 
-from citelake.plans import records
+from citelake.plans import citations, records, streams
 
-QUERIES = dict(records.QUERIES)
-ORACLES = dict(records.ORACLES)
+QUERIES = dict(citations.QUERIES)
+ORACLES = dict(citations.ORACLES)
+MODULES = (citations, records, streams)
