@@ -29,8 +29,9 @@ from .common import durable, pieces
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
-#: Fingerprints on each side of one numpy comparison.
-BLOCK = 4096
+#: Fingerprints on each side of a pair of blocks (a task holds one such pair, some 8 MB), and pairs in one numpy comparison. Each
+#: fingerprint is sent to as many pairs as its tile and those ahead hold blocks, so large blocks mean few copies.
+BLOCK, PAIRS = 65_536, 2_000_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -173,11 +174,12 @@ def tiled_links(items: DataFrame, tiling: Tiling, near: Callable[[np.ndarray, np
             a, b = [], []
             for s, e in zip(starts[:done].tolist(), ends[:done].tolist(), strict=True):
                 left, right = np.flatnonzero(is_left[s:e]) + s, np.flatnonzero(~is_left[s:e]) + s
-                found = [near(values[left[i : i + 256]], values[right]) for i in range(0, len(left) * bool(len(right)), 256)]
-                if not found:
+                if not len(left) or not len(right):
                     continue
-                x = np.concatenate([left[i * 256 + f[0]] for i, f in enumerate(found)])
-                y = np.concatenate([right[f[1]] for f in found])
+                rows = max(1, PAIRS // len(right))
+                found = [(i, *near(values[left[i : i + rows]], values[right])) for i in range(0, len(left), rows)]
+                x = np.concatenate([left[i + f] for i, f, _ in found])
+                y = np.concatenate([right[f] for _, _, f in found])
                 differ = node[x] != node[y]
                 if differ.any():
                     p, q = _links(node, x[differ], y[differ])
