@@ -27,6 +27,8 @@ from .terms import HEAD, corpus_terms, document_sums
 
 #: Longest n-gram, bound of the broadcast n-gram table, and what smoothing adds to a word's and an n-gram's count.
 NGRAM, GRAMS, SMOOTH_WORD, SMOOTH_GRAM = 4, 100_000, 0.5, 0.5
+#: Parts of a natural logarithm that scores are counted in.
+UNIT = 1000
 _LETTERS = regex.compile(r"\p{L}+").findall
 
 
@@ -47,7 +49,8 @@ def gram_counts(table: DataFrame, languages: int, grams: int = GRAMS) -> dict[st
 
 
 def word_scores(table: DataFrame, languages: int) -> DataFrame:
-    """(term, n, words, s0, s1, ...): the log score of each distinct word in each language; words is 1."""
+    """(term, n, words, s0, s1, ...): for each distinct word how much less likely it is in each language than in the likeliest, in
+    thousandths of a natural logarithm; words is 1."""
     cols = [f"c{i}" for i in range(languages)]
     known = F.greatest(*(F.col(c) for c in cols), F.lit(0)) > 0
     sums = table.agg(F.count_if(known).alias("v"), *(F.sum(c).alias(c) for c in cols)).first()
@@ -56,11 +59,11 @@ def word_scores(table: DataFrame, languages: int) -> DataFrame:
     by_length = [sum((x for g, x in grams.items() if len(g) == n), np.zeros(languages)) for n in range(1, NGRAM + 1)]
     sizes = [sum(len(g) == n for g in grams) for n in range(1, NGRAM + 1)]
     logs = {g: np.log((x + SMOOTH_GRAM) / (by_length[len(g) - 1] + SMOOTH_GRAM * (sizes[len(g) - 1] + 1))) for g, x in grams.items()}
-    shipped = table.sparkSession.sparkContext.broadcast(logs)
+    shipped = table.sparkSession.sparkContext.broadcast((list(logs), np.array(list(logs.values()), dtype=np.float32)))
     names = ["term", "n", "words", *(f"s{i}" for i in range(languages))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = shipped.value
+        logs = dict(zip(*shipped.value, strict=True))
         for batch in batches:
             c = np.stack([batch.column(x).to_numpy(zero_copy_only=False) for x in cols], axis=1).astype(np.float64)
             out = np.log((c + SMOOTH_WORD) / (totals + SMOOTH_WORD * (v + 1)))
@@ -72,9 +75,10 @@ def word_scores(table: DataFrame, languages: int) -> DataFrame:
                             found.append(x)
                             break
                 out[k] = np.mean(found, axis=0) if found else 0.0
-            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("n"), pa.array(np.ones(len(c))), *(pa.array(out[:, i]) for i in range(languages))], names=names)
+            less = np.rint((out.max(axis=1, keepdims=True) - out) * UNIT).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("term"), batch.column("n"), pa.array(np.ones(len(c), np.int32)), *(pa.array(less[:, i]) for i in range(languages))], names=names)
 
-    return table.mapInArrow(run, ", ".join(["term string", "n long", *(f"{x} double" for x in names[2:])]))
+    return table.mapInArrow(run, ", ".join(["term string", "n long", *(f"{x} int" for x in names[2:])]))
 
 
 def identify_languages(docs: DataFrame, modulus: int = 5, held_out: int = 0, head: int = HEAD) -> DataFrame:
@@ -90,11 +94,11 @@ def identify_languages(docs: DataFrame, modulus: int = 5, held_out: int = 0, hea
     values = durable(word_scores(table, len(languages)))
     names = ["words", *(f"s{i}" for i in range(len(languages)))]
     sums = document_sums(docs.select("doc_id", "text"), ["doc_id"], values, names, words, head)
-    scores = [F.col(x) for x in names[1:]]
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    first = F.coalesce(*(F.when(s == best, F.lit(x)) for s, x in zip(scores, languages, strict=True)))
-    rest = sum((F.exp((s - best) / F.col("words")) for s in scores), F.lit(0.0))
-    blank = F.col("words") < 0.5
+    losses = [F.col(x) for x in names[1:]]
+    best = F.least(*losses) if len(losses) > 1 else losses[0]
+    first = F.coalesce(*(F.when(x == best, F.lit(name)) for x, name in zip(losses, languages, strict=True)))
+    rest = sum((F.exp((best - x) / (UNIT * F.col("words"))) for x in losses), F.lit(0.0))
+    blank = F.col("words") == 0
     return sums.select("doc_id", out, F.when(blank, "und").otherwise(first).alias("lang_pred"), F.when(blank, 0.0).otherwise(1 / rest).alias("score"))
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -57,16 +58,17 @@ def corpus_terms(docs: DataFrame, cutter: Cutter, classes: int = 0) -> DataFrame
     return counted.groupBy("term").agg(F.sum("n").alias("n"), *by_class)
 
 
-def head_of(values: DataFrame, names: list[str], head: int = HEAD) -> dict[str, tuple]:
-    """The values of the most frequent terms, as a dict of at most `head` entries."""
+def head_of(values: DataFrame, names: list[str], head: int = HEAD) -> tuple[list[str], np.ndarray]:
+    """The most frequent terms, at most `head` of them, and their values as an array of as many rows."""
     rows = values.filter(F.length("term") <= HEAD_CHARS).orderBy(F.desc("n"), "term").limit(head).select("term", *names).collect()
-    return {r[0]: tuple(r[1:]) for r in rows}
+    return [r[0] for r in rows], np.array([r[1:] for r in rows], dtype=np.int64).reshape(len(rows), len(names))
 
 
 def document_sums(docs: DataFrame, keep: list[str], values: DataFrame, names: list[str], cutter: Cutter, head: int = HEAD) -> DataFrame:
-    """A row for each row of `docs`: its columns `keep`, and for each of `names` the sum of that value over its terms.
+    """A row for each row of `docs`: its columns `keep`, and for each of `names` the sum (a long) of that value over its terms.
 
-    values: (term, n, *names), a written table, with each distinct term once. Rows of `docs` may repeat and may
+    values: (term, n, *names), a written table, with each distinct term once; the values are whole numbers, so that sums don't depend
+    on their order, and small ones, so that they take little room in shuffles. Rows of `docs` may repeat and may
     hold nulls; a null text has no terms and sums of 0."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(head_of(values, names, head))
@@ -74,11 +76,12 @@ def document_sums(docs: DataFrame, keep: list[str], values: DataFrame, names: li
     width = len(names)
     # A document's own row carries its columns and the head's sums; its key is a blank and its number, which is no term.
     sums = [f"s{i}" for i in range(width)]
-    out = ", ".join(["rid long", "term string", "n long", *(f"{s} double" for s in sums), *(f"`{c}` {kept[c].dataType.simpleString()}" for c in keep)])
+    out = ", ".join(["rid long", "term string", "n long", *(f"{s} long" for s in sums), *(f"`{c}` {kept[c].dataType.simpleString()}" for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (prepare, cut), known, ids = cutter(), held.value, row_ids()
-        none = (0.0,) * width
+        (prepare, cut), ids = cutter(), row_ids()
+        known = dict(zip(held.value[0], map(tuple, held.value[1].tolist()), strict=True))
+        none = (0,) * width
         seen: dict[str, tuple] = {}  # of a run: the sums over its terms in the head, and its other terms
 
         def look(word: str) -> tuple:
@@ -98,7 +101,7 @@ def document_sums(docs: DataFrame, keep: list[str], values: DataFrame, names: li
             for part in pieces(batch, "text"):
                 rid, term, number, own, total = [], [], [], [], [[] for _ in sums]
                 for k, text in enumerate(part.column("text").to_pylist()):
-                    r, s, tail = next(ids), [0.0] * width, {}
+                    r, s, tail = next(ids), [0] * width, {}
                     for word, n in (Counter(prepare(text)) if text else {}).items():
                         v, rest = seen.get(word) or look(word)
                         if width == 1:
@@ -119,11 +122,11 @@ def document_sums(docs: DataFrame, keep: list[str], values: DataFrame, names: li
                         t += [None] * m
                         t.append(x)
                 take = pa.array(own, pa.int64())
-                columns = [pa.array(rid, pa.int64()), pa.array(term, pa.string()), pa.array(number, pa.int64()), *(pa.array(t, pa.float64()) for t in total), *(part.column(c).take(take) for c in keep)]
+                columns = [pa.array(rid, pa.int64()), pa.array(term, pa.string()), pa.array(number, pa.int64()), *(pa.array(t, pa.int64()) for t in total), *(part.column(c).take(take) for c in keep)]
                 yield pa.RecordBatch.from_arrays(columns, names=["rid", "term", "n", *sums, *keep])
 
     rows = docs.select(*keep, "text").mapInArrow(run, out)
-    right = values.select(F.col("term").alias("_t"), *(F.col(x).cast("double").alias(f"_v{i}") for i, x in enumerate(names)))
+    right = values.select(F.col("term").alias("_t"), *(F.col(x).cast("long").alias(f"_v{i}") for i, x in enumerate(names)))
     joined = rows.join(right, F.col("term") == F.col("_t"), "left")
     added = [F.sum(F.coalesce(F.col(s), F.col("n") * F.col(f"_v{i}"))).alias(names[i]) for i, s in enumerate(sums)]
     return joined.groupBy("rid").agg(*(F.max(c).alias(c) for c in keep), *added).drop("rid")

@@ -36,8 +36,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, head:
     values = durable(corpus_terms(docs, cutter).mapInArrow(count_pieces, "term string, n long, pieces long"))
     source = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     counted = document_sums(source, ["doc_id", "n_bytes"], values, ["pieces"], cutter, head)
-    n = F.round("pieces").cast("long")
-    return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    return counted.select("doc_id", "n_bytes", F.col("pieces").alias("n_tokens"), (F.col("pieces") > limit).alias("over_limit"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
