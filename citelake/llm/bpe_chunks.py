@@ -28,7 +28,7 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import pieces
+from .common import pieces, quoted
 from .pretokens import Pretokenizer, read_spec
 
 #: Of a chunk: window of the rolling hash, mean length (a power of two), least and greatest length in characters.
@@ -166,8 +166,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, dictionary: int = DIC
         rows = texts.mapInArrow(encode_chunks, "chunk binary, a int, b int, first int, ids binary").collect()
         known = {bytes(r[0]): (r[1], r[2], r[3], bytes(r[4])) for r in rows}
     held = spark.sparkContext.broadcast(known)
-    keep = [c for c in docs.columns if c not in ("ids", "decoded")]
-    source = docs.select(*keep)
+    keep = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
+    source = docs.select(*map(quoted, keep))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), "ids array<int>", "decoded string"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,8 +23,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col(f"`{name}`")
+
+
+def packed(docs: DataFrame, added: list[str]) -> Column:
+    """All columns but those named like added ones, as one struct `row`: no column of the caller's meets a name used on the way."""
+    return F.struct(*(quoted(c) for c in docs.columns if c.lower() not in added)).alias("row")
 
 
 def words_of(text: Column) -> Column:

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WORD, pieces
+from .common import WORD, pieces, quoted
 
 WINDOW = 13
 #: Item words in one automaton: about 2.6 million nodes, some 150 MB in a worker.
@@ -83,9 +83,10 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs` with added columns: n_words and n_hit (words inside any occurrence of a window), items (ids
     with an occurring window, sorted as strings), spans (character offsets [start, end) of hit stretches in the original text)."""
-    keep = [c for c in docs.columns if c not in ADDED]
-    plain = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    so_far = {"_from": "array<int>", "_to": "array<int>", "_items": "array<string>"}
+    keep = [c for c in docs.columns if c.lower() not in ADDED]
+    plain = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*map(quoted, keep)).schema]
+    mark = max(("_" * (len(c) - len(c.lstrip("_"))) for c in keep), key=len, default="") + "_"  # begins no column of the caller's
+    so_far = {f"{mark}from": "array<int>", f"{mark}to": "array<int>", f"{mark}items": "array<string>"}
     added = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": "array<struct<start:int,end:int>>"}
     arrow = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
     final = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
@@ -121,7 +122,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
     context = docs.sparkSession.sparkContext
     blocks = [context.broadcast(b) for b in _blocks(items)] or [context.broadcast([])]
-    out = docs.select(*keep, *(F.lit(None).cast(kind).alias(c) for c, kind in so_far.items()))
+    out = docs.select(*map(quoted, keep), *(F.lit(None).cast(kind).alias(c) for c, kind in so_far.items()))
     for k, block in enumerate(blocks, 1):
         last = k == len(blocks)
         out = out.mapInArrow(scan(block, uuid.uuid4().int, last), ", ".join([*plain, *(f"{c} {kind}" for c, kind in (added if last else so_far).items())]))

@@ -17,7 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import words_of
+from .common import packed, words_of
 
 #: Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -99,13 +99,12 @@ def license_scan(docs: DataFrame, anchors: int = ANCHORS, share: float = SHARE)
     frequency = {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in counted.collect()}
     # The rarest words first: an array of the vocabulary in that order is the index's word list.
     by_rarity = F.array(*(F.lit(w) for w in sorted(vocabulary, key=lambda w: (frequency[w], w))))
-    keep = [c for c in docs.columns if c not in ADDED]
-    found = docs.select(*keep, words_of(F.coalesce("text", F.lit(""))).alias("_w"))
-    found = found.select(*keep, "_w", _base(F.col("_w")).alias("_base"), F.slice(F.array_intersect(by_rarity, F.col("_w")), 1, anchors).alias("_rare"))
+    found = docs.select(packed(docs, ADDED), words_of(F.coalesce("text", F.lit(""))).alias("_w"))
+    found = found.select("row", "_w", _base(F.col("_w")).alias("_base"), F.slice(F.array_intersect(by_rarity, F.col("_w")), 1, anchors).alias("_rare"))
     joined = F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))
     found = found.withColumn("_text", F.when(F.size("_rare") > 1, joined).otherwise(F.lit("")))
     verified = F.filter(F.array(*(F.when(reduce(lambda a, b: a & b, [F.contains(F.col("_text"), F.lit(f" {p} ")) for p in phrases]), F.lit(label)) for label, _, _, phrases in index)), lambda x: x.isNotNull())
-    found = found.select(*keep, "_w", "_base", "_rare", verified.alias("_verified"))
+    found = found.select("row", "_w", "_base", "_rare", verified.alias("_verified"))
     hits = F.filter(F.transform("_w", lambda w, i: F.when(F.array_contains(F.col("_rare"), w), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
     found = found.withColumn("_hits", F.when(F.size("_verified") > 0, hits))
     scores = []
@@ -118,7 +117,7 @@ def license_scan(docs: DataFrame, anchors: int = ANCHORS, share: float = SHARE)
     best = F.coalesce(F.array_max(F.transform("_scored", lambda x: x["score"])), F.lit(0.0))
     starts = F.transform("_base", lambda x: x["start"])
     return found.select(
-        *keep,
+        "row.*",
         F.size("_w").cast("long").alias("n_words"),
         F.size("_base").cast("long").alias("n_base"),
         F.array_min(starts).cast("long").alias("first_word"),

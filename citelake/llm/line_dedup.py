@@ -13,6 +13,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import packed
+
 #: A line on at least this share of a host's pages goes, if it stands on MIN_PAGES pages at least.
 RATIO, MIN_PAGES = 0.1, 10
 
@@ -34,14 +36,13 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
 def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """The rows of `docs` with boilerplate lines taken out of text, and the added column n_dropped (lines taken out)."""
     found = boilerplate(docs, host, ratio, min_pages).groupBy("host").agg(F.collect_list("line").alias("_lines")).withColumnRenamed("host", "_host")
-    keep = [c for c in docs.columns if c != "n_dropped"]
-    joined = docs.select(*keep).join(found, F.col(host).eqNullSafe(F.col("_host")), "left")
-    split = F.split("text", "\n")
-    stays = F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_lines"), _key(x)))
-    own = F.when(F.col("_lines").isNull(), split).otherwise(stays)
-    text = F.when(F.col("_lines").isNull() | (F.size("_own") == F.size(split)), F.col("text")).otherwise(F.array_join("_own", "\n"))
-    dropped = F.coalesce(F.size(split) - F.size("_own"), F.lit(0)).cast("long")
-    return joined.withColumn("_own", own).select(*((text.alias("text") if c == "text" else F.col(c)) for c in keep), dropped.alias("n_dropped"))
+    own = docs.select(packed(docs, ["n_dropped"]), F.col(host).alias("_own_host"), F.split("text", "\n").alias("_split"))
+    met = own.join(found, F.col("_own_host").eqNullSafe(F.col("_host")), "left")
+    stays = F.filter("_split", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_lines"), _key(x)))
+    met = met.select("row", "_split", F.when(F.col("_lines").isNull(), F.col("_split")).otherwise(stays).alias("_stay"))
+    n = F.coalesce(F.size("_split") - F.size("_stay"), F.lit(0)).cast("long")
+    text = F.when(n == 0, F.col("row.text")).otherwise(F.array_join("_stay", "\n"))
+    return met.select(*((text if c.lower() == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c.lower() != "n_dropped"), n.alias("n_dropped"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

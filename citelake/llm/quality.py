@@ -19,7 +19,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import tokens_of
+from .common import packed, tokens_of
 
 #: Hash buckets of words and pairs, the bound of the trusted sample, the window of repeats.
 BUCKETS, SAMPLE, WINDOW = 16_384, 20_000, 8
@@ -49,7 +49,7 @@ def trusted_ids(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
 def log_ratios(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[float]:
     """ln(P trusted / P raw) for each bucket; zeros without trusted words."""
     ids = F.broadcast(trusted_ids(labels, sample).select(F.col("doc_id").alias("_id"), F.lit(1).alias("_good")))
-    flagged = docs.join(ids, F.col("doc_id") == F.col("_id"), "left").select("_good", _hashes(tokens_of(F.coalesce("text", F.lit("")))).alias("h"))
+    flagged = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("_id"), "left").select("_good", _hashes(tokens_of(F.coalesce("text", F.lit("")))).alias("h"))
     grams = flagged.select("_good", F.explode(_buckets(F.col("h"))).alias("bucket"))
     raw, good = [0] * BUCKETS, [0] * BUCKETS
     for r in grams.groupBy("bucket").agg(F.count("*").alias("n"), F.count("_good").alias("g")).collect():
@@ -68,9 +68,8 @@ def _repeated(h: Column) -> Column:
 
 def quality_rules(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` with the added columns of ADDED."""
-    keep = [c for c in docs.columns if c not in ADDED]
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select(*keep, tokens_of(text).alias("_w"), F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))).alias("_lines"))
+    out = docs.select(packed(docs, ADDED), text.alias("_text"), tokens_of(text).alias("_w"), F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))).alias("_lines"))
     out = out.withColumn("_h", _hashes(F.col("_w"))).withColumn("_win", _repeated(F.col("_h")))
     placed = F.sort_array(F.transform("_win", lambda x, i: F.struct(x.alias("key"), i.alias("at"))))
     out = out.withColumn("_sorted", F.when(F.size(F.array_distinct("_win")) < F.size("_win"), placed))
@@ -84,16 +83,16 @@ def quality_rules(docs: DataFrame, ratios: list[float], threshold: float = THRES
     n = F.size("_w")
     score = F.when(n > 0, total / (2 * n - 1)).otherwise(F.lit(0.0))
     out = out.select(
-        *keep,
+        "row.*",
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         score.alias("score"),
     )
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import durable, pieces
+from .common import durable, packed, pieces
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -290,9 +290,9 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, margin
     tiling = Tiling((classes,), tuple((k,) for k in range(math.ceil(-math.log(least) / _CLASS) + 1)))
     found = tiled_links(distinct.select("node", tile.alias("tile"), "size", *parts), tiling, lambda a, b: similar(a, b, least))
     stays = _components_of(distinct.select("node", "first"), found).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text")).distinct()
-    own = docs.withColumn("_own", F.xxhash64("text"))
-    met = own.join(stays, own["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_text")))
-    return met.dropDuplicates(["doc_id", "_own"]).select(*(met[c] for c in docs.columns))
+    own = docs.select(packed(docs, []), F.col("doc_id").alias("_own_id"), F.xxhash64("text").alias("_own"))
+    met = own.join(stays, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_text")))
+    return met.dropDuplicates(["_own_id", "_own"]).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

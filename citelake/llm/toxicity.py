@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold, pieces
+from .common import fold, pieces, quoted
 
 #: The grammar's words. Weights of insult and threat arcs are 1 unless learned.
 SEEDS = {
@@ -37,8 +37,8 @@ SEEDS = {
 SCOPE, NEGATED, REPORTED, AIMED = 4, 0.3, 0.5, 1.5
 #: Bounds of learning: labelled rows, learned words, and the least lower bound (two standard errors) of their log odds.
 SAMPLE, LEARNED, LEAST_ODDS = 20_000, 500, 1.5
-#: Logistic weights without training rows: constant, asserted, negated, reported, threats, any asserted match.
-PRIOR = (-3.0, 1.5, 0.3, 0.5, 1.5, 2.0)
+#: Logistic weights without training rows: constant, asserted, negated, reported, threats, worst clause; and how strongly fitted ones keep to them.
+PRIOR, RIDGE = (-3.5, 1.5, 0.3, 0.5, 1.5, 5.0), 0.1
 FEATURES = len(PRIOR)
 _LETTERS = r"[^\W\d_]+"
 _TOKENS = re.compile(rf"{_LETTERS}(?:['’]{_LETTERS})?|[.!?;:\n]|[\"“”«»]")
@@ -63,23 +63,25 @@ class Grammar:
         self.trigger.make_automaton()
 
     def features(self, text: str | None) -> list[float]:
-        """Constant, log sums of asserted, negated and reported insults and of threats, and whether any insult is asserted."""
-        sums = [0.0] * 4
+        """Constant, log sums of asserted, negated and reported insults and of threats, and the log of the worst clause's sum of asserted ones."""
+        sums, worst = [0.0] * 4, 0.0
         lower = text.lower() if text else ""
         if next(iter(self.trigger.iter(lower)), None):
             clause: list[str] = []
             for token in _TOKENS.findall(lower):
                 if token in _ENDS:
-                    self.clause(clause, sums)
+                    worst = max(worst, self.clause(clause, sums))
                     clause = []
                 else:
                     clause.append(token)
-            self.clause(clause, sums)
-        return [1.0, *map(math.log1p, sums), float(sums[0] > 0)]
+            worst = max(worst, self.clause(clause, sums))
+        return [1.0, *map(math.log1p, sums), math.log1p(worst)]
 
-    def clause(self, words: list[str], sums: list[float]) -> None:
+    def clause(self, words: list[str], sums: list[float]) -> float:
+        """Adds a clause's events to the sums, and gives what it adds to the asserted insults."""
         if not any(w in self.insult or w in self.threat for w in words):
-            return
+            return 0.0
+        before = sums[0]
         negated, reported, quoted = 0, False, False  # the product state
         aimed = AIMED if any(w in self.target for w in words) else 1.0
         for w in words:
@@ -96,6 +98,7 @@ class Grammar:
             elif w in self.threat and aimed > 1 and not negated:  # a threat needs someone it is aimed at
                 sums[3] += REPORTED if reported or quoted else 1.0
             negated = max(0, negated - 1)
+        return sums[0] - before
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -116,18 +119,19 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     sure = odds - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     best = counted.filter((sure >= LEAST_ODDS) & (F.length("word") <= 40)).orderBy(F.desc(sure), "word").limit(LEARNED).select("word", sure.alias("sure")).collect()
-    return {r["word"]: min(1.5, max(0.5, r["sure"] / 3)) for r in best}
+    return {r["word"]: min(1.5, max(0.3, r["sure"] / 3)) for r in best}
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
-    """Logistic regression by Newton steps; the constant isn't shrunk."""
+def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression by Newton steps, drawn towards PRIOR: few rows change little. The constant is all but free."""
+    prior = np.array(PRIOR)
     if not len(y) or y.min() == y.max():
-        return np.array(PRIOR)
-    w, shrink = np.zeros(x.shape[1]), np.diag([1e-6] + [ridge] * (x.shape[1] - 1))
-    for _ in range(50):
+        return prior
+    w, shrink = prior.copy(), np.diag([1e-3] + [RIDGE] * (x.shape[1] - 1))
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + shrink, x.T @ (y - p) - shrink @ w)
-        w += step
+        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + shrink, x.T @ (y - p) - shrink @ (w - prior))
+        w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
     return w
@@ -160,8 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` with the added column score, between 0 and 1."""
-    keep = [c for c in docs.columns if c != "score"]
-    source = docs.select(*keep)
+    keep = [c for c in docs.columns if c.lower() != "score"]
+    source = docs.select(*map(quoted, keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar, w = Grammar(model.insult), np.array(model.weights)

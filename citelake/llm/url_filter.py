@@ -20,7 +20,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ascii_lower, durable
+from .common import ascii_lower, durable, packed
 
 #: (verdict, host and path): fits the host and its subdomains where the path starts with the rule's.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -30,13 +30,12 @@ ADDED = ["host", "path", "rule", "verdict", "score"]
 
 def _rest(url: Column) -> Column:
     at = F.locate("://", url)
-    return F.when(at > 0, F.expr(f"substring(url, locate('://', url) + 3)")).otherwise(F.lit(""))
+    return F.when(at > 0, F.expr("substring(url, locate('://', url) + 3)")).otherwise(F.lit(""))
 
 
 def _parsed(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """The rows with host, path, _rule (struct verdict, rule; null if none fits) and _s, the model string."""
-    keep = [c for c in pages.columns if c not in ADDED]
-    rest = pages.select(*keep, F.coalesce(_rest(F.col("url")), F.lit("")).alias("_rest"))
+    """(row, host, path, _rule, _s): the caller's columns, the parts, struct verdict, rule (null if none fits), the model string."""
+    rest = pages.select(packed(pages, ADDED), F.coalesce(_rest(F.col("url")), F.lit("")).alias("_rest"))
     out = rest.withColumn("host", ascii_lower(F.regexp_extract("_rest", r"^[^/?#]*", 0))).withColumn("path", F.regexp_extract("_rest", r"^[^/?#]*([^?#]*)", 1))
     fitting = []
     for verdict, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
@@ -46,7 +45,7 @@ def _parsed(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     s = F.regexp_replace(ascii_lower("_rest"), "[0-9]+", "0")
     s = F.regexp_replace(F.regexp_replace(s, "[?=&#%_~+:]", "?"), "[^a-z0./?-]", "*")
     s = F.concat(F.lit("^" * ORDER), s, F.lit("$"))
-    return out.select(*keep, "host", "path", F.coalesce(*fitting).alias("_rule"), s.alias("_s"))
+    return out.select("row", "host", "path", F.coalesce(*fitting).alias("_rule"), s.alias("_s"))
 
 
 def _positions(strings: DataFrame) -> DataFrame:
@@ -93,8 +92,7 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFr
     is_ = lambda v: F.coalesce(F.col("_rule.verdict") == v, F.lit(False)).cast("long")
     strings = durable(parsed.groupBy(F.col("_s").alias("s")).agg(F.sum(is_("allow")).alias("allowed"), F.sum(is_("block")).alias("blocked")))
     seen = strings.agg(F.sum("allowed"), F.sum("blocked")).first()
-    keep = [F.col(c) for c in pages.columns if c not in ADDED]
-    own = [*keep, "host", "path", F.col("_rule.rule").alias("rule")]
+    own = ["row.*", "host", "path", F.col("_rule.rule").alias("rule")]
     if not seen[0] or not seen[1]:
         verdict, score = F.coalesce(F.col("_rule.verdict"), F.lit("allow")), F.when(F.col("_rule").isNull(), F.lit(0.0))
         return parsed.select(*own, verdict.alias("verdict"), score.alias("score"))

@@ -1,0 +1,285 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and columns with clashing names."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import public_tokenizers
+from citelake.llm import bpe_chunks, decontamination, language_id, licenses, line_dedup, quality, simhash, token_counts, toxicity, url_filter
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+LONG = " ".join(f"word{i % 5000} of the long text" for i in range(30_000))
+TEXTS = [None, "", " \n\t ", "The MIT License, you idiot.", "The MIT License, you idiot.", "Ünïcode ß 漢字 😀 <|endoftext|>", "!!! ??? ...", LONG]
+#: Names that operators use for what they add or for what they need on the way.
+CLASHING = ["score", "labels", "n_words", "items", "ids", "decoded", "kept", "host", "rule", "n_dropped", "row", "term", "n", "word", "page", "pair", "node", "_w", "_base", "_lines", "_own", "_host", "_id", "_text", "_from", "_rest", "_s", "_good", "rid", "first", "root"]
+SCHEMA = "doc_id long, text string, lang string, source string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    data = [(i if i != 3 else None, t, "en" if i % 2 else None, None if i == 2 else "s") for i, t in enumerate(TEXTS)]
+    table = spark.createDataFrame(data + [data[4], data[4]], SCHEMA)
+    return table.select("*", *(F.lit("x").alias(c) for c in CLASHING)).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(4, 1, 1), (4, 1, 0), (5, 1, 0), (6, None, None), (None, 1, 1), (7, 0, 0)], "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    return spark.createDataFrame([(1, "the mit license you"), (1, "the mit license you"), (2, None), (3, ""), (None, "UNICODE")], "item_id long, text string")
+
+
+#: (operator, columns it adds); each takes the documents and the fixtures that it needs.
+PASSING = {
+    "licenses": (lambda d, **_: licenses.license_scan(d), licenses.ADDED),
+    "lines": (lambda d, **_: line_dedup.dedup_lines(d, min_pages=1, ratio=0.9), ["n_dropped"]),
+    "quality": (lambda d, labels, **_: quality.quality_rules(d, quality.log_ratios(d, labels)), quality.ADDED),
+    "toxicity": (lambda d, labels, **_: toxicity.toxicity(d, toxicity.train(d, labels)), ["score"]),
+    "chunks": (lambda d, **_: bpe_chunks.encode_documents(d, TOKENIZER), ["ids", "decoded"]),
+    "contamination": (lambda d, items, **_: decontamination.contamination(d, items), decontamination.ADDED),
+}
+OWN = {
+    "tokens": lambda d, **_: token_counts.token_counts(d, TOKENIZER),
+    "simhash": lambda d, **_: simhash.near_duplicates(d),
+    "languages": lambda d, **_: language_id.identify_languages(d),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PASSING))
+def test_rows_and_columns_pass(docs, labels, items, name):
+    run, added = PASSING[name]
+    got = run(docs, labels=labels, items=items)
+    assert sorted(got.columns) == sorted([c for c in docs.columns if c not in added] + added)
+    assert got.count() == docs.count()
+    rest = [c for c in CLASHING if c not in added]
+    assert got.select(*(F.col(f"`{c}`") for c in rest)).distinct().collect() == [tuple("x" for _ in rest)]
+
+
+@pytest.mark.parametrize("name", sorted(OWN))
+def test_rows_stay(docs, labels, items, name):
+    assert OWN[name](docs, labels=labels, items=items).count() == docs.count()
+
+
+@pytest.mark.parametrize("name", sorted({**PASSING, **OWN}))
+def test_empty_tables(docs, labels, items, name):
+    run = PASSING[name][0] if name in PASSING else OWN[name]
+    assert run(docs.limit(0), labels=labels.limit(0), items=items.limit(0)).count() == 0
+    assert run(docs, labels=labels.limit(0), items=items.limit(0)).count() == docs.count()
+
+
+def by_text(frame, *columns):
+    return {r["text"]: tuple(r[c] for c in columns) for r in frame.collect()}
+
+
+def test_licenses(docs):
+    got = by_text(licenses.license_scan(docs), "n_words", "n_base", "first_word", "last_word", "base_labels", "score")
+    assert got[None] == got[""] == got[" \n\t "] == got["!!! ??? ..."] == (0, 0, None, None, "", 0.0)
+    assert got[TEXTS[3]][:5] == (5, 1, 1, 1, "mit")
+    assert got[LONG][0] == 150_000
+
+
+def test_license_alignment(spark):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    mixed = "files documentation associated permission is hereby granted free of charge and then associated documentation files nothing else charge free"
+    texts = [notice, f"x y {notice}", "Apache License and General Public License and MIT license mit license", "Licensed under the Apache License, Version 2.0", mixed]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_scan(table).collect()}
+    assert got[0]["labels"] == got[1]["labels"] == "mit-text" and got[0]["score"] == got[1]["score"] == 1.0
+    assert (got[2]["base_labels"], got[2]["n_base"], got[2]["first_word"], got[2]["last_word"]) == ("apache,gpl,mit", 4, 0, 9)
+    assert got[3]["labels"] == "apache,apache-2.0"
+    assert got[4]["score"] < 1
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://", "https://WWW.Example.COM/en/71?q", "http://a.example.com/en/8", "http://example.net/de/8#x", "http://x.net/de/9", "http://notexample.net/dx", "http://x.org?es/", "http://x.org/es/", "ftp://u@h.org:1/es/://b", "http://example.com/en/7", "http://example.com/en/7"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").select("*", *(F.lit("x").alias(c) for c in ("host", "score", "_s", "_key", "row")))
+    got = {r["page_id"]: r for r in url_filter.url_filter(pages).collect()}
+    assert len(got) == len(urls) and got[0]["_s"] == "x"
+    assert all((got[i]["host"], got[i]["path"], got[i]["rule"]) == ("", "", None) for i in range(4))
+    assert (got[4]["host"], got[4]["path"], got[4]["rule"], got[4]["verdict"]) == ("www.example.com", "/en/71", "example.com/en/7", "allow")
+    assert [got[i]["rule"] for i in range(5, 14)] == ["com/en/", "example.net/de/8", "net/de/", None, None, "org/es/", None, "example.com/en/7", "example.com/en/7"]
+    assert got[11]["path"] == "/es/://b"
+    assert all(r["score"] is None for r in got.values() if r["rule"])
+    assert url_filter.url_filter(pages.limit(0)).count() == 0
+    one = url_filter.url_filter(pages.filter("page_id in (8, 12)")).collect()
+    assert {r["verdict"] for r in one} == {"allow"} and {r["score"] for r in one} == {None, 0.0}  # nothing is blocked: nothing to learn
+
+
+def test_tokens(spark, docs):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(TOKENIZER)
+    kept = {r["doc_id"]: r for r in token_counts.token_counts(docs, TOKENIZER).collect()}
+    for i, t in enumerate(TEXTS):
+        assert kept[None if i == 3 else i]["n_tokens"] == len(own.encode(t or "", add_special_tokens=False).ids)
+    small = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, TOKENIZER, head=2).collect()}
+    assert small == {k: r["n_tokens"] for k, r in kept.items()}  # whatever is broadcast
+
+
+ODD = ["<|endoftext|>", "a<|ENDOFTEXT|>b", "A<|startoftext|><|endoftext|> x", "İstanbul ıı ǅ ﬁ ①", "é é", "it's we'LL 12345 3½", "a b c　d\x0b\x0ce\x85f", "x" * 5000, "漢字かな 한국어 ไทย हिन्दी", "​﻿\x00\x1f", "🙂👩‍👩‍👧 ok", "º ª ² ½ Ⅳ", "don’t — “quoted”…", "\r\n\r\n \t", "'s't're", "A" * 70 + " " + "b" * 70]
+
+
+def test_encoding_is_exact(spark):
+    """Odd texts, alone and within passages that documents share, where chunk joins need repair."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(TOKENIZER)
+    shared = " ".join(f"the shared passage number {i} isn't short" for i in range(200))
+    texts = [*ODD, *(f"{o}{shared[i * 7:]}{o}" for i, o in enumerate(ODD)), *(f"{shared}{o}{shared}" for o in ODD), *TEXTS, None]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for dictionary in (0, 3, bpe_chunks.DICTIONARY):
+        for r in bpe_chunks.encode_documents(table, TOKENIZER, dictionary=dictionary).collect():
+            ids = own.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+            assert r["ids"] == ids, texts[r["doc_id"]]
+            assert r["decoded"] == own.decode(ids, skip_special_tokens=False)
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(table, TOKENIZER).collect()}
+    assert counts == {i: len(own.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
+def test_every_code_point_is_cut_as_the_library_cuts_it():
+    from citelake.llm.pretokens import Pretokenizer, read_spec
+
+    own = Pretokenizer(read_spec(TOKENIZER))
+    texts = [f"a{c}b1{c}{c}.{c}" for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)])]
+    for start in range(0, len(texts), 20_000):
+        part = texts[start : start + 20_000]
+        for t, e in zip(part, own.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+            assert own.encode(t).tolist() == e.ids, hex(ord(t[1]))
+
+
+def test_chunks_cover_the_text():
+    for text in (*ODD, LONG[:50_000], "x" * 10_000):
+        ends = bpe_chunks.cuts(text)
+        assert "".join(text[a:b] for a, b in zip([0, *ends], ends)) == text
+        assert all(b - a <= bpe_chunks.MOST for a, b in zip([0, *ends], ends))
+    a, b = bpe_chunks.chunks("prefix one " + LONG[:20_000]), bpe_chunks.chunks("another, longer prefix " + LONG[:20_000])
+    assert len({k for *_, k in a} & {k for *_, k in b}) > 0.8 * len(a)  # equal passages are cut equally
+
+
+def test_lines(spark):
+    head = "Subscribe now"
+    data = [(i, "hot" if i < 30 else "cold", f"{head}\nown line {i}\n\nend {i % 3}") for i in range(40)] + [(99, "hot", None), (98, None, head), (97, "hot", "")]
+    table = spark.createDataFrame(data, "doc_id long, source string, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table, min_pages=10, ratio=0.5).collect()}
+    assert got[0]["text"] == "own line 0\n\nend 0" and got[0]["n_dropped"] == 1
+    assert got[35]["n_dropped"] == 1 and got[98]["text"] == head and got[99]["text"] is None and got[97]["text"] == ""
+    copies = table.filter("doc_id = 0").crossJoin(spark.range(50)).select("doc_id", "source", "text")
+    assert {r["n_dropped"] for r in line_dedup.dedup_lines(copies).collect()} == {0}  # copies of one page are one page
+
+
+def test_quality_edges(docs, labels):
+    got = by_text(quality.quality_rules(docs, quality.log_ratios(docs, labels)), "n_words", "word_chars", "n_symbols", "base_failed", "score", "kept")
+    assert got[None] == got[""] == got[" \n\t "] == (0, 0, 0, True, 0.0, False)
+    assert got["Ünïcode ß 漢字 😀 <|endoftext|>"][:3] == (5, 24, 4)
+
+
+def test_grammar():
+    g = toxicity.Grammar({})
+    at = lambda t: [round(x, 3) for x in g.features(t)[1:5]]
+    assert at("You idiot") > at("An idiot") and at("You are not an idiot.")[0] == 0 < at("You are not an idiot.")[1]
+    assert at("She said you idiot")[0] == 0 < at("She said you idiot")[2]
+    assert at('He wrote "idiot"')[0] == 0 and at("I will kill you")[3] > 0 == at("I kill time")[3]
+    assert at("I will not kill you")[3] == 0 and at(None) == at("") == at("plain words") == [0, 0, 0, 0]
+    assert at("Not now. You idiot.")[0] > 0  # a negation ends with its clause
+    assert at("idiotic")[0] == 0
+
+
+def test_toxicity_labels(docs, labels):
+    """A document labelled more than once counts once, as toxic; null labels and ids teach nothing."""
+    got = {(r["text"], r["toxic"]) for r in toxicity.training_rows(docs, labels).collect()}
+    assert all(t is not None for _, t in got)
+    assert toxicity.train(docs.limit(0), labels).weights == list(toxicity.PRIOR)
+
+
+def test_contamination(spark):
+    words = [f"w{i}" for i in range(20)]
+    item = " ".join(words)
+    table = spark.createDataFrame([(1, f"Start. {' '.join(words[3:16]).upper()}, end"), (2, " ".join(words[:12])), (3, f"{item} {item}"), (4, "short  ITEM"), (5, "short"), (6, None), (7, "x")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, item), (9, "Short item!"), (8, None), (7, "...")], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.contamination(table, items).collect()}
+    assert [(got[i]["n_words"], got[i]["n_hit"], got[i]["items"]) for i in range(1, 8)] == [(15, 13, ["10"]), (12, 0, []), (40, 40, ["10"]), (2, 2, ["9"]), (1, 0, []), (0, 0, []), (1, 0, [])]
+    (span,) = got[1]["spans"]
+    assert table.filter("doc_id = 1").first()["text"][span["start"] : span["end"]] == " ".join(words[3:16]).upper()
+
+
+def test_contamination_by_blocks(spark, monkeypatch):
+    """A benchmark of many blocks gives what one block gives."""
+    table = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i, i + 40))) for i in range(30)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(3 * i, 3 * i + 15))) for i in range(20)], "item_id long, text string")
+    whole = sorted(decontamination.contamination(table, items).collect())
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 50)
+    assert sorted(decontamination.contamination(table, items).collect()) == whole
+
+
+def test_simhash_edges(docs):
+    got = simhash.near_duplicates(docs).collect()
+    zero = [r for r in got if r["fp"] == 0]
+    assert len(zero) == 3 and {r["component_id"] for r in zero} == {0}
+    same = [r for r in got if r["component_id"] == 4]
+    assert sorted(str(r["doc_id"]) for r in same) == ["4", "4", "4", "None"]  # the null id's text is a copy of 4's
+
+
+def test_tiles_miss_no_link(spark):
+    """Random and chained fingerprints, in blocks so small that tiles are cut, against all pairs."""
+    import numpy as np
+
+    from citelake.llm.components import components
+
+    rng = np.random.default_rng(1)
+    values = [int(x) for x in rng.integers(-(2**63), 2**63, 150)]
+    for v in list(values):
+        for _ in range(3):
+            for b in rng.integers(0, 64, rng.integers(1, 4)):
+                v ^= -(2**63) if b == 63 else 1 << int(b)
+            values.append(v)
+    values = sorted(set(values) | {0, -1, 1, 3, -2, -(2**63)})
+    distinct = spark.createDataFrame([(v,) for v in values], "fp long")
+    u = [v & (1 << 64) - 1 for v in values]
+    root = {v: v for v in values}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(u):
+        for j in range(i):
+            if (a ^ u[j]).bit_count() <= 2:
+                x, y = sorted((find(values[i]), find(values[j])))
+                root[y] = x
+    expected = {v: find(v) for v in values if find(v) != v}
+    for block in (5, simhash.BLOCK):
+        assert dict(map(tuple, components(simhash.links(distinct, 2, block)).collect())) == expected
+    assert len(expected) > 200
+
+
+def test_components_of_chains(spark):
+    from citelake.llm.components import components
+
+    chain = [(i, i + 1) for i in range(60)] + [(200 + i, 200) for i in range(1, 40)] + [(5, 5), (9, 8)]
+    got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
+    assert got == {i: 0 for i in range(1, 61)} | {200 + i: 200 for i in range(1, 40)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_drop_near_duplicates(spark, docs):
+    words = [f"word{i}" for i in range(100)]
+    near = [*words[:50], "changed", *words[51:]]
+    other = [*words[:50], *(f"other{i}" for i in range(50))]
+    data = [(5, " ".join(words)), (2, " ".join(near)), (9, " ".join(words)), (7, " ".join(other)), (8, None), (1, ""), (3, "lone text"), (3, "lone text")]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(table).collect()) == [1, 2, 3, 7]
+    kept = simhash.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == 5  # no words (three rows), the notice (four), and three single ones
+    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_languages(spark):
+    data = [(i, "der hund und die katze", "de") for i in range(20)] + [(100 + i, "the dog and the cat", "en") for i in range(20)] + [(200, None, "en"), (201, "123 !", "de"), (202, "und der hunde", None), (None, "the cats", "en"), (203, "", None)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify_languages(table).collect()}
+    assert [got[i]["lang_pred"] for i in (0, 100, 200, 201, 202, None, 203)] == ["de", "en", "und", "und", "de", "en", "und"]
+    assert got[200]["score"] == 0 and got[None]["held_out"] is None
+    assert {r["lang_pred"] for r in language_id.identify_languages(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}

@@ -1,0 +1,196 @@
+"""The queries over the smallest tables: against their SQL, or against plain versions worked out without Spark."""
+
+import hashlib
+import math
+import os
+import re
+from collections import Counter
+from zlib import crc32
+
+import numpy as np
+import pytest
+import xxhash
+
+from citelake.llm import registry
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables aren't here")
+TOKENIZER = "word_bpe_49k.json"
+
+
+@pytest.fixture(scope="module")
+def base():
+    import duckdb
+
+    con = duckdb.connect()
+    for t in "documents pages benchmark labels".split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    return con
+
+
+@pytest.fixture(scope="module")
+def documents(base):
+    return base.execute("SELECT doc_id, text, lang FROM documents ORDER BY doc_id").fetchall()
+
+
+def plain(value):
+    if isinstance(value, float):
+        return "nan" if math.isnan(value) else repr(round(value, 9) + 0.0)
+    return str(value)
+
+
+def rows(spark, name):
+    return {r["doc_id"]: r for r in registry.QUERIES[name](spark, DATA).collect()}
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+def test_equals_sql(spark, base, name):
+    got = registry.QUERIES[name](spark, DATA)
+    ran = base.execute(registry.ORACLES[name])
+    names = [x[0] for x in ran.description]
+    assert sorted(names) == sorted(got.columns)
+    expected = sorted(tuple(plain(r[names.index(c)]) for c in sorted(names)) for r in ran.fetchall())
+    assert sorted(tuple(plain(r[c]) for c in sorted(names)) for r in got.collect()) == expected
+
+
+def library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(TOKENIZER))
+
+
+def test_token_counts(spark, documents):
+    own, got = library(), rows(spark, "op3_token_counts")
+    assert len(got) == len(documents)
+    for doc_id, text, _ in documents:
+        n = len(own.encode(text or "", add_special_tokens=False).ids)
+        assert tuple(got[doc_id]) == (doc_id, len((text or "").encode()), n, n > 2048)
+
+
+def test_encoding(spark, documents):
+    own, got = library(), rows(spark, "op7_bpe_chunks")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for doc_id, text, _ in documents:
+        ids = own.encode(text or "", add_special_tokens=False).ids
+        assert tuple(got[doc_id]) == (doc_id, len(ids), sha(" ".join(map(str, ids))), sha(own.decode(ids, skip_special_tokens=False)))
+
+
+def plain_quality(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    twice = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    failed = len(words) < 20 or 100 * len(twice) > 30 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(twice), failed
+
+
+def test_quality(spark, base, documents):
+    from citelake.llm.quality import THRESHOLD
+
+    got = rows(spark, "op5_quality")
+    for doc_id, text, _ in documents:
+        r = got[doc_id]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) == plain_quality(text)
+        assert r["kept"] == (not r["base_failed"] and r["score"] >= THRESHOLD)
+
+
+def test_quality_scores(spark, base):
+    """The score of every document, from multinomials counted without Spark."""
+    from citelake.llm import quality as Q
+
+    docs = base.execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
+    good = {x for (x,) in base.execute("SELECT doc_id FROM labels WHERE quality = 1").fetchall()}
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def mixed(value, seed):
+        """XXH64 of a 64-bit number, as Spark chains it over columns."""
+        return signed(xxhash.xxh64_intdigest((value & (1 << 64) - 1).to_bytes(8, "little"), seed & (1 << 64) - 1))
+
+    def buckets(text):
+        h = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+        return [x % Q.BUCKETS for x in h] + [mixed(b, mixed(a, 42)) % Q.BUCKETS for a, b in zip(h, h[1:])]
+
+    raw, trusted, own = Counter(), Counter(), {}
+    for doc_id, text in docs:
+        own[doc_id] = buckets(text)
+        raw.update(own[doc_id])
+        if doc_id in good:
+            trusted.update(own[doc_id])
+    share = sum(trusted.values()) / sum(raw.values())
+    ratio = {b: math.log((trusted[b] + Q.SMOOTH) / (n * share + Q.SMOOTH)) for b, n in raw.items()}
+    for doc_id, r in rows(spark, "op5_quality").items():
+        mean = sum(ratio[b] for b in own[doc_id]) / len(own[doc_id]) if own[doc_id] else 0.0
+        assert r["score"] == pytest.approx(mean, abs=1e-9)
+
+
+def test_toxicity(spark):
+    """Held-out labels: hardly a clean document is called toxic, and most toxic ones are found, few as the labels are here."""
+    larger = DATA.replace("0.001", "0.01")
+    got = {r["doc_id"]: r for r in registry.QUERIES["op6_toxicity"](spark, larger).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
+    assert all(r["held_out"] == (crc32(str(d).encode()) % 3 == 1) and r["predicted"] == int(r["score"] >= 0.7) and 0 <= r["score"] <= 1 for d, r in got.items())
+    held = [(labels[d], r["predicted"]) for d, r in got.items() if r["held_out"] and d in labels]
+    found, toxic = sum(a and b for a, b in held), sum(a for a, _ in held)
+    called = sum(b for _, b in held)
+    assert toxic and found >= 0.7 * toxic and found >= 0.9 * called
+
+
+def plain_fingerprint(text, n=3):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(values, linked):
+    """The least place reachable from each place."""
+    root = list(range(len(values)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(values)):
+        for j in range(i):
+            if linked(values[i], values[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(values))]
+
+
+def test_simhash(spark, documents):
+    prints = [plain_fingerprint(text) for _, text, _ in documents]
+    roots = plain_components(prints, lambda a, b: (a ^ b).bit_count() <= 2)
+    got = rows(spark, "op8_simhash")
+    assert {d: (r["fingerprint"], r["component_id"]) for d, r in got.items()} == {d: (f"{p:016x}", documents[k][0]) for (d, _, _), p, k in zip(documents, prints, roots)}
+    assert len(set(roots)) < len(roots)
+
+
+def test_languages(spark, documents):
+    got = rows(spark, "op10_language_id")
+    assert all(got[d]["held_out"] == (crc32(str(d).encode()) % 5 == 0) for d, _, _ in documents)
+    held = [(lang, got[d]["lang_pred"]) for d, text, lang in documents if got[d]["held_out"] and lang and re.search(r"[^\W\d_]", text or "")]
+    assert sum(a == b for a, b in held) >= 0.97 * len(held) > 0
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+
+
+def test_url_model_alone(spark):
+    """The models, without a rule that decides: URLs of a blocked place that one rule can't name are judged as its others are."""
+    from citelake.llm.url_filter import url_filter
+
+    urls = [(i, f"http://{'abc'[i % 3]}.bad.com/win-cash/{i}") for i in range(60)] + [(100 + i, f"https://{'xyz'[i % 3]}.good.org/article/{i}") for i in range(60)]
+    urls += [(200, "http://q.other.net/win-cash/7"), (201, "https://q.other.net/article/7")]
+    got = {r["page_id"]: r for r in url_filter(spark.createDataFrame(urls, "page_id long, url string"), [("block", "bad.com/"), ("allow", "good.org/")]).collect()}
+    assert (got[200]["rule"], got[200]["verdict"], got[201]["rule"], got[201]["verdict"]) == (None, "block", None, "allow")
+    assert got[200]["score"] > got[201]["score"]
+
+
+def test_all_operators_are_registered():
+    names = {int(m[1]) for x in registry.QUERIES if (m := re.match(r"op(\d+)_", x))}
+    assert names == set(range(1, 11)) and set(registry.ORACLES) <= set(registry.QUERIES)
