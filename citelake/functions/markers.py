@@ -65,6 +65,35 @@ def lost_range(label: Column, known: Column | None = None) -> Column:
     return F.when(eligible, F.coalesce(*(at(i) for i in range(1, 9))))
 
 
+#: Words that begin like a name before a year and are none.
+NO_AUTHORS = "In Since From Until After Before During The Year Section Ref Refs Figure Fig Table Eq January February March April May June July August September October November December".split()
+_NAME = r"[A-Z\u00C0-\u00DE][\p{L}'’-]+"
+_CITED = rf"({_NAME}(?:,\s{_NAME})*(?:,?\s(?:and|&)\s{_NAME})?(?:,?\set\sal\.?)?),?\s\(?((?:19|20)\d{{2}}[a-z]?(?:,\s?(?:19|20)\d{{2}}[a-z]?)*)"
+
+
+def author_year_citations(text: Column) -> Column:
+    """Array of (authors, et_al, year) of citations like Smith et al. (2008, 2010) or (Bahr and Lee, 2008a; Wu, 1999): one for each year, each once."""
+    text = F.coalesce(text, F.lit(""))
+    who, when = (F.regexp_extract_all(text, F.lit(_CITED), F.lit(k)) for k in (1, 2))
+
+    def one(w: Column, i: Column) -> Column:
+        names = F.split(F.regexp_replace(w, r",?\set\sal\.?$", ""), r",?\s(?:and|&)\s|,\s")
+        return F.transform(F.split(F.get(when, i), r",\s?"), lambda y: F.struct(names.alias("authors"), F.rlike(w, F.lit(r"et\sal\.?$")).alias("et_al"), y.alias("year")))
+
+    return F.array_distinct(F.filter(F.flatten(F.transform(who, one)), lambda c: ~c["authors"][0].isin(NO_AUTHORS)))
+
+
+def all_markers(text: Column) -> Column:
+    """Array of (kind, raw) of all markers: brackets first, then author and year, then superscripts; a marker that comes again is left out."""
+    text = F.coalesce(text, F.lit(""))
+    kinds = [("bracket", rf"({BRACKETS.replace('(', '(?:')})"), ("author-year", rf"({AUTHOR_YEAR})"), ("superscript", f"([{SUPERSCRIPTS}]+)")]
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda raw: F.struct(F.lit(kind).alias("kind"), raw.alias("raw")))
+
+    return F.array_distinct(F.concat(*(of(k, p) for k, p in kinds)))
+
+
 def has_markers(text: Column) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [F.rlike(text, F.lit(p)) for p in (BRACKETS, f"[{SUPERSCRIPTS}]", AUTHOR_YEAR)]), F.lit(False))
 

@@ -130,27 +130,3 @@ def best_matches(parsed: DataFrame, entries: DataFrame, least: float = 3.0) -> D
     pairs = left.join(right, ["doc", "_key"]).dropDuplicates(["doc", "ref", "entry"]).withColumn("score", match_score())
     w = Window.partitionBy("doc", "ref").orderBy(F.desc("score"), "entry")
     return pairs.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") == 1) & (F.col("score") >= least)).select("doc", "ref", "entry", "score")
-
-
-#: Funders: name, pattern with the grant's number as its group. A parameter: callers bring their own table.
-FUNDERS = [("DFG", r"DFG[^0-9]{0,40}(\d{9})"), ("ERC", r"(?i)\bERC[^0-9]{0,40}(\d{6,9})"), ("NSF", r"\bNSF[^0-9]{0,20}((?:PHY|AST)-?\d{7})"), ("NSFC", r"\bNSFC[^0-9]{0,40}(\d{8})")]
-SUPPORT = r"(?is)(?:acknowledg(?:e)?ments?|funding|supported by)(.*)$"
-
-
-def grants(docs: DataFrame, funders: list[tuple[str, str]] = FUNDERS) -> DataFrame:
-    """(id, funder, grant, position): grant numbers in the part of a text from its acknowledgment on; the first place of each counts."""
-    part = docs.select("id", F.regexp_extract("text", SUPPORT, 1).alias("_t")).filter("_t <> ''")
-
-    def of(name: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("_t", F.lit(pattern), F.lit(1)), lambda g: F.struct(F.lit(name).alias("funder"), g.alias("grant")))
-
-    each = F.flatten(F.array(*(of(name, pattern) for name, pattern in funders)))
-    found = part.select("id", "_t", F.explode(each).alias("x")).select("id", "x.*", F.expr("locate(x.grant, _t)").alias("position"))
-    return found.groupBy("id", "funder", "grant").agg(F.min("position").alias("position"))
-
-
-def grants_by_funder(found: DataFrame) -> DataFrame:
-    """(id, grants): a document's grants in a line, funders by first position, each with its numbers in order."""
-    one = found.groupBy("id", "funder").agg(F.min("position").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "grant"))), lambda x: x["grant"]), ", ").alias("list"))
-    line = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first", "funder", "list"))), lambda x: F.concat(x["funder"], F.lit(": "), x["list"])), "; ")
-    return one.groupBy("id").agg(line.alias("grants"))

@@ -271,19 +271,9 @@ def alignment(spark, d):
     return out.select("citing", F.round("rate", 6).alias("rate"), F.when(rate >= 0.95, "aligned").when(rate >= 0.7, "mostly").when(rate >= 0.3, "partly").otherwise("unaligned").alias("advice"))
 
 
-_ACK = "'We thank all. Acknowledgments: supported by ' || CASE o_orderkey % 3 WHEN 0 THEN 'NSFC Grant No. ' || (10000000 + o_orderkey) WHEN 1 THEN 'DFG grant ' || (200000000 + o_orderkey) || ' and NSFC Grant No. ' || (10000000 + o_orderkey) ELSE 'nobody' END"
-
-
-@query("grants_by_funder", "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'NSFC: ' || (10000000 + o_orderkey) ELSE 'DFG: ' || (200000000 + o_orderkey) || '; NSFC: ' || (10000000 + o_orderkey) END AS grants FROM orders WHERE o_orderkey % 3 <> 2")
-def grants_by_funder(spark, d):
-    text = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_ACK).alias("text"))
-    return R.grants_by_funder(R.grants(text))
-
-
 @query("merged_creators", "WITH r AS (SELECT DISTINCT l_orderkey AS item, l_suppkey AS pos FROM lineitem) SELECT item, pos, CASE WHEN pos % 4 = 0 THEN 'Müller ' || pos WHEN pos % 4 = 1 THEN 'PROTECTED ' || pos ELSE 'Muller ' || pos END AS name, pos % 4 = 0 OR (pos % 4 = 1 AND pos = 1) AS kept FROM r WHERE pos % 4 <> 1 OR pos = 1 UNION ALL SELECT item, pos, 'protected ' || pos, false FROM r WHERE pos % 4 = 1 AND pos <> 1")
 def merged_creators(spark, d):
     r = tables.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("pos")).distinct()
     name = lambda m, p: F.concat(F.when(F.col("pos") % 4 == 1, p).otherwise(m), F.lit(" "), F.col("pos").cast("string"))
     local = r.withColumn("name", F.when(F.col("pos") % 4 == 0, name(F.lit("Müller"), F.lit("x"))).otherwise(name(F.lit("muller"), F.lit("PROTECTED"))))
     return R.merge_creators(local, r.withColumn("name", name(F.lit("Muller"), F.lit("protected"))), ["Protected 1"])
-
