@@ -60,7 +60,7 @@ def author_infos(authors: Column, limit: int = A.ID_LIMIT) -> Column:
     """(full_name, bai, recid) of the first authors, in their places: an author without a name keeps an empty place."""
 
     def one(a: Column) -> Column:
-        bai = first_of(F.filter(a["ids"], lambda i: (i["schema"] == "INSPIRE BAI") & A.is_author_id(i["value"])), "value")
+        bai = first_of(F.filter(a["ids"], lambda i: F.endswith(i["schema"], F.lit("BAI")) & A.is_author_id(i["value"])), "value")
         recid = F.nullif(F.regexp_extract(F.coalesce(a["record"], F.lit("")), r"/authors/(\d+)", 1), F.lit(""))
         named = F.coalesce(a["full_name"] != "", F.lit(False))
         return F.struct(F.coalesce(a["full_name"], F.lit("")).alias("full_name"), F.when(named, bai).alias("bai"), F.when(named, recid).alias("recid"))

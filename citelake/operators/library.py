@@ -73,28 +73,32 @@ def tag_summary(items: DataFrame, template: str = "{name}") -> DataFrame:
 _SELF = r"(?i)(?<![A-Za-z0-9_])(?:w/o|without)\s+self(?![A-Za-z0-9_])"
 
 
-def counts_in_text(extra: Column, without_self: bool = False) -> Column:
-    """The citation count kept in an item's free text, in lines like `12 citations w/o self (INSPIRE 2024/1/2)`.
+#: The name by which lines of the main source of counts are known; a parameter.
+SOURCE = "Index"
+
+
+def counts_in_text(extra: Column, without_self: bool = False, source: str = SOURCE) -> Column:
+    """The citation count kept in an item's free text, in lines like `12 citations w/o self (Index 2024/1/2)`.
 
     Lines of the main source come first, then others; if none is of the wanted kind, the first of any kind counts."""
     lines = F.filter(F.split(F.coalesce(extra, F.lit("")), r"\r?\n"), lambda x: F.rlike(x, F.lit(r"(?i)^\d+\s+citations(?![A-Za-z0-9_])")))
 
     def first(own: bool, main: bool) -> Column:
-        fits = F.filter(lines, lambda x: (F.rlike(x, F.lit(_SELF)) == F.lit(own)) & (F.rlike(x, F.lit(r"(?i)\(INSPIRE(?![A-Za-z0-9_])")) == F.lit(main)))
+        fits = F.filter(lines, lambda x: (F.rlike(x, F.lit(_SELF)) == F.lit(own)) & (F.rlike(x, F.lit(rf"(?i)\({source}(?![A-Za-z0-9_])")) == F.lit(main)))
         return F.regexp_extract(F.try_element_at(fits, F.lit(1)), r"^(\d+)", 1).try_cast("long")
 
     wanted = [first(without_self, True), first(without_self, False)]
     return F.coalesce(*wanted, first(False, True), first(False, False), first(True, True), first(True, False))
 
 
-def with_counts(extra: Column, count: Column, without_self: Column, today: Column) -> Column:
+def with_counts(extra: Column, count: Column, without_self: Column, today: Column, source: str = SOURCE) -> Column:
     """The free text with both counts in its first two lines and no other citation lines. The date stays if the counts do."""
     text = F.coalesce(extra, F.lit(""))
     numbers = F.regexp_extract_all(text, F.lit(r"(?m)^(\d+)\scitations"), F.lit(1))
     same = (F.size(numbers) >= 2) & (F.get(numbers, F.lit(0)) == count.cast("string")) & (F.get(numbers, F.lit(1)) == without_self.cast("string"))
-    date = F.when(same, F.coalesce(F.nullif(F.regexp_extract(text, r"INSPIRE\s([\d/-]+)", 1), F.lit("")), today)).otherwise(today)
+    date = F.when(same, F.coalesce(F.nullif(F.regexp_extract(text, rf"{source}\s([\d/-]+)", 1), F.lit("")), today)).otherwise(today)
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.contains(x, F.lit("citations"))), "\n")
-    head = F.concat(count.cast("string"), F.lit(" citations (INSPIRE "), date, F.lit(")\n"), without_self.cast("string"), F.lit(" citations w/o self (INSPIRE "), date, F.lit(")\n"))
+    head = F.concat(count.cast("string"), F.lit(f" citations ({source} "), date, F.lit(")\n"), without_self.cast("string"), F.lit(f" citations w/o self ({source} "), date, F.lit(")\n"))
     return F.concat(head, F.regexp_replace(rest, r"^\n+", ""))
 
 

@@ -40,7 +40,7 @@ def author_names(spark, d):
 def _records(spark, d):
     """Orders as nested records: parts as publications, customer and suppliers as authors."""
     p = tables.papers(spark, d)
-    people = F.expr("transform(sequence(1, total_authors), i -> named_struct('full_name', concat('Fam', owner, 'x', i, ', Giv'), 'ids', array(named_struct('schema', 'INSPIRE BAI', 'value', concat('G.Fam', owner, '.', i))), 'record', concat('https://x/api/authors/', owner * 10 + i)))")
+    people = F.expr("transform(sequence(1, total_authors), i -> named_struct('full_name', concat('Fam', owner, 'x', i, ', Giv'), 'ids', array(named_struct('schema', 'X BAI', 'value', concat('G.Fam', owner, '.', i))), 'record', concat('https://x/api/authors/', owner * 10 + i)))")
     info = lambda title, volume, start, material: F.expr(f"named_struct('journal_title', {title}, 'journal_title_abbrev', cast(null as string), 'journal_volume', cast({volume} as string), 'artid', cast(null as string), 'page_start', {start}, 'page_end', cast(null as string), 'year', cast(year as int), 'material', {material})")
     infos = F.when(F.col("recid") % 4 == 0, F.array(info("'J.One'", "recid % 90", "'7'", "'erratum'"), info("journal_title", "recid % 50", "cast(recid % 900 as string)", "cast(null as string)"))).otherwise(F.array(info("journal_title", "recid % 50", "cast(recid % 900 as string)", "cast(null as string)")))
     return p.select(
@@ -129,7 +129,7 @@ def _columns(select: str) -> list[str]:
     return [first, f"CASE WHEN{second} AS extra", third]
 
 
-_EXTRA = "CASE o_orderkey % 4 WHEN 0 THEN concat(o_custkey, ' citations (INSPIRE 2024/1/2)', {n}, o_orderkey, ' citations w/o self (INSPIRE 2024/1/2)', {n}, 'arXiv:2301.12345 [hep-ph]') WHEN 1 THEN concat('note', {n}, o_custkey, ' citations (CrossRef 2023/3/4)') WHEN 2 THEN concat('x', {n}, 'arXiv:hep-th/9901001') END"
+_EXTRA = "CASE o_orderkey % 4 WHEN 0 THEN concat(o_custkey, ' citations (Index 2024/1/2)', {n}, o_orderkey, ' citations w/o self (Index 2024/1/2)', {n}, 'arXiv:2301.12345 [hep-ph]') WHEN 1 THEN concat('note', {n}, o_custkey, ' citations (CrossRef 2023/3/4)') WHEN 2 THEN concat('x', {n}, 'arXiv:hep-th/9901001') END"
 
 
 @query("counts_in_text", "SELECT o_orderkey AS recid, CASE WHEN o_orderkey % 4 < 2 THEN o_custkey END AS with_self, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey WHEN 1 THEN o_custkey END AS without_self, CASE o_orderkey % 4 WHEN 0 THEN 'hep-ph' WHEN 2 THEN 'hep-th' END AS category FROM orders")
@@ -138,7 +138,7 @@ def counts_in_text(spark, d):
     return orders(spark, d).select(F.col("o_orderkey").alias("recid"), L.counts_in_text(extra).alias("with_self"), L.counts_in_text(extra, True).alias("without_self"), L.arxiv_category(extra).alias("category"))
 
 
-@query("counts_written", """SELECT o_orderkey AS recid, o_custkey || ' citations (INSPIRE ' || CASE WHEN o_orderkey % 4 = 0 THEN '2024/1/2' ELSE '2024/9/9' END || ')' || chr(10) || o_orderkey || ' citations w/o self (INSPIRE ' || CASE WHEN o_orderkey % 4 = 0 THEN '2024/1/2' ELSE '2024/9/9' END || ')' || chr(10)
+@query("counts_written", """SELECT o_orderkey AS recid, o_custkey || ' citations (Index ' || CASE WHEN o_orderkey % 4 = 0 THEN '2024/1/2' ELSE '2024/9/9' END || ')' || chr(10) || o_orderkey || ' citations w/o self (Index ' || CASE WHEN o_orderkey % 4 = 0 THEN '2024/1/2' ELSE '2024/9/9' END || ')' || chr(10)
   || CASE o_orderkey % 4 WHEN 0 THEN 'arXiv:2301.12345 [hep-ph]' WHEN 1 THEN 'note' WHEN 2 THEN 'x' || chr(10) || 'arXiv:hep-th/9901001' ELSE '' END AS extra FROM orders""")
 def counts_written(spark, d):
     extra = F.expr(_EXTRA.format(n="'\\n'"))

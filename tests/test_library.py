@@ -89,7 +89,7 @@ def test_journals(spark):
 
 def test_records(spark):
     data = [
-        (1, [(" ",), ("A real title",)], [("Guo, Feng-Kun", [("INSPIRE BAI", "F.K.Guo.1")], "https://x/api/authors/77"), (None, None, None)], None, 2, "2020-01-02", [("J.One", None, "1", None, "5", None, 2019, "erratum"), ("Phys.Rev.D", None, "69", None, "10", "12", None, None)], [("2301.1", ["hep-ph"])], [("10.1/x",)], ["k"], ["article"], 3, 2),
+        (1, [(" ",), ("A real title",)], [("Guo, Feng-Kun", [("X BAI", "F.K.Guo.1")], "https://x/api/authors/77"), (None, None, None)], None, 2, "2020-01-02", [("J.One", None, "1", None, "5", None, 2019, "erratum"), ("Phys.Rev.D", None, "69", None, "10", "12", None, None)], [("2301.1", ["hep-ph"])], [("10.1/x",)], ["k"], ["article"], 3, 2),
         (2, None, None, ["ATLAS"], None, None, None, None, None, None, None, None, None),
     ]
     records = spark.createDataFrame(data, E.RECORD)
@@ -102,7 +102,7 @@ def test_records(spark):
 
 
 def test_items(spark):
-    assert values(spark, lambda t: library.counts_in_text(t), "5 citations (CrossRef 1)\n7 citations (INSPIRE 2)", "3 citations w/o self (INSPIRE 1)", "no", None) == [7, 3, None, None]
+    assert values(spark, lambda t: library.counts_in_text(t), "5 citations (CrossRef 1)\n7 citations (Index 2)", "3 citations w/o self (Index 1)", "no", None) == [7, 3, None, None]
     assert values(spark, library.ordered_lines, "3 citations (x)\n\nnote\narXiv:1", None) == ["arXiv:1\nnote\n3 citations (x)", ""]
     items = spark.createDataFrame([(1, "tex.collaboration: ATLAS Collaboration, CMS", ["old/ATLAS"]), (2, None, None), (3, "tex.collaboration: CMS", ["CMS"])], "item_id int, extra string, tags array<string>")
     assert {tuple(r) for r in library.collaboration_tags(items).collect()} == {(1, "ATLAS", "old/ATLAS", "updated"), (1, "CMS", None, "added"), (3, "CMS", None, "kept")}
