@@ -156,6 +156,42 @@ def spread(papers: DataFrame, group: str) -> DataFrame:
     return out.select(group, "n", "least", "greatest", "at_least", "upper_median", top.alias("p95"), F.round(F.log10(F.col("greatest") + 1) - F.log10(F.col("least") + 1), 6).alias("log_range"))
 
 
+def axis_range(papers: DataFrame, group: str) -> DataFrame:
+    """(group, low, high): the range of a logarithmic axis over positive citation counts, a tenth of its length wider on both sides.
+
+    The 95th percentile counts as the greatest from ten papers on, so that one paper doesn't flatten the rest."""
+    out = spread(papers.filter("citation_count > 0"), group)
+    low, high = F.log10("least"), F.log10("p95")
+    pad = 0.1 * F.when(high == low, F.lit(1.0)).otherwise(high - low)
+    least = F.greatest(F.lit(1.0), F.pow(F.lit(10.0), low - pad))
+    return out.select(group, F.round(least, 6).alias("low"), F.round(F.greatest(least, F.pow(F.lit(10.0), high + pad)), 6).alias("high"))
+
+
+def in_bins(papers: DataFrame, bins: DataFrame, selected: list[str], group: str) -> DataFrame:
+    """Papers in any of the selected year bins (key) of their group; all papers if none is selected. bins: what year_bins gives.
+
+    A group has few bins, so they meet the papers as one small array for each group."""
+    if not selected:
+        return papers
+    own = bins.filter(F.col("key").isin(selected)).groupBy(F.col(group).alias("_group")).agg(F.collect_list(F.struct("first", "last")).alias("_bins"))
+    met = papers.join(own, F.col(group).eqNullSafe(F.col("_group")))
+    year = P.leading_int(F.col("year"))
+    return met.filter(F.exists("_bins", lambda b: year.between(b["first"], b["last"]))).drop("_group", "_bins")
+
+
+def choose_bins(selected: list[str], keys: list[str], key: str, last: str | None = None, more: bool = False, upto: bool = False) -> list[str]:
+    """The selected keys after one is chosen: alone (or none, if it was the only one); with `more`, switched on or off; with `upto`, all
+    from the last one chosen to this one, besides the others only with `more`."""
+    if upto and last in keys and key in keys:
+        a, b = sorted((keys.index(last), keys.index(key)))
+        out = {*keys[a : b + 1], *(selected if more else ())}
+    elif more:
+        out = {*selected} ^ {key}
+    else:
+        out = set() if selected == [key] else {key}
+    return [k for k in keys if k in out]
+
+
 def h_index(papers: DataFrame, author: str) -> DataFrame:
     """(author, papers, citations, average, h_index): h papers of an author have at least h citations each.
 

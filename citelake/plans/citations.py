@@ -251,6 +251,20 @@ def spread_stats(spark, d):
     return lists.spread(tables.papers(spark, d), "year")
 
 
+@query("axis_ranges", SQL + """, o AS (SELECT year, citation_count AS c, row_number() OVER (PARTITION BY year ORDER BY citation_count) - 1 AS k, count(*) OVER (PARTITION BY year) AS n FROM papers WHERE citation_count > 0),
+r AS (SELECT year, log10(min(c)) AS lo, log10(CASE WHEN max(n) >= 10 THEN max(c) FILTER (k = floor((n - 1) * 0.95::DOUBLE + 0.5)) ELSE max(c) END) AS hi FROM o GROUP BY year),
+w AS (SELECT year, lo, hi, 0.1::DOUBLE * CASE WHEN hi = lo THEN 1 ELSE hi - lo END AS pad FROM r)
+SELECT year, round(greatest(1, pow(10::DOUBLE, lo - pad)), 6) AS low, round(greatest(greatest(1, pow(10::DOUBLE, lo - pad)), pow(10::DOUBLE, hi + pad)), 6) AS high FROM w""")
+def axis_ranges(spark, d):
+    return lists.axis_range(tables.papers(spark, d), "year")
+
+
+@query("papers_in_bins", SQL + "SELECT recid, year FROM papers WHERE year IN ('1996', '1998')")
+def papers_in_bins(spark, d):
+    papers = tables.papers(spark, d).withColumn("all", F.lit(1))
+    return lists.in_bins(papers, lists.year_bins(papers, "all"), ["1996", "1998"], "all").select("recid", "year")
+
+
 @query("author_h_index", SQL + """, o AS (SELECT owner, citation_count AS c, row_number() OVER (PARTITION BY owner ORDER BY citation_count DESC) AS k FROM papers)
 SELECT owner, count(*) AS papers, sum(c) AS citations, count(*) FILTER (c >= k) AS h_index, round(sum(c) / count(*), 6) AS average FROM o GROUP BY owner""")
 def author_h_index(spark, d):

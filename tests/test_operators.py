@@ -145,3 +145,16 @@ def test_empty_tables(spark, small):
     links, papers, seeds = (x.limit(0) for x in small)
     for got in (related.related(links, papers, seeds), graph.multi_seed(links, papers, seeds), lists.year_bins(papers, "owner"), lists.spread(papers, "owner")):
         assert got.count() == 0
+
+
+def test_choose_bins():
+    keys = ["a", "b", "c", "d"]
+    assert lists.choose_bins([], keys, "b") == ["b"] and lists.choose_bins(["b"], keys, "b") == []
+    assert lists.choose_bins(["b"], keys, "a", more=True) == ["a", "b"] and lists.choose_bins(["a", "b"], keys, "a", more=True) == ["b"]
+    assert lists.choose_bins(["d"], keys, "c", last="a", upto=True) == ["a", "b", "c"] and lists.choose_bins(["d"], keys, "a", last="b", upto=True, more=True) == ["a", "b", "d"]
+
+
+def test_axis_range(spark):
+    rows = spark.createDataFrame([("a", c) for c in [1, 10]] + [("b", 5), ("c", 0)] + [("d", c) for c in [*range(1, 20), 10_000]], "g string, citation_count long")
+    got = {r["g"]: (r["low"], r["high"]) for r in lists.axis_range(rows, "g").collect()}
+    assert got["a"] == (1.0, round(10**1.1, 6)) and got["b"] == (round(5 * 10**-0.1, 6), round(5 * 10**0.1, 6)) and "c" not in got and got["d"][1] < 30
