@@ -44,7 +44,7 @@ class Pretokenizer:
 
     LONG = 64
 
-    def __init__(self, spec: str, cache: int = 250_000) -> None:
+    def __init__(self, spec: str, cache: int = 120_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
