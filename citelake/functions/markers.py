@@ -94,6 +94,20 @@ def all_markers(text: Column) -> Column:
     return F.array_distinct(F.concat(*(of(k, p) for k, p in kinds)))
 
 
+def selection_labels(text: Column, known: Column | None = None) -> Column:
+    """(kind, labels) of a piece of text that a reader has marked: labels in brackets, else authors with years, else a bare list of numbers and
+    ranges, else superscripts; null if there is nothing of the kind. A single number that must be a range whose dash was lost is written out."""
+    text = repair_brackets(F.coalesce(text, F.lit("")))
+    numbers = bracket_labels(text)
+    cited = F.transform(author_year_citations(text), lambda c: F.concat(c["authors"][0], F.lit(" "), c["year"]))
+    bare = F.regexp_replace(F.regexp_replace(text, r"^[\s.,;:()\[\]]+|[\s.,;:()\[\]]+$", ""), r"\s+", "")
+    listed = F.when(F.rlike(bare, F.lit(r"^\d{1,4}(?:[,–-]\d{1,4})*$")), F.array_distinct(labels_of(bare))).otherwise(F.array().cast("array<string>"))
+    raised = F.array_distinct(superscripts(text))
+    spread = lambda labels: F.when(F.size(labels) == 1, F.coalesce(lost_range(F.get(labels, F.lit(0)), known), labels)).otherwise(labels)
+    as_kind = lambda kind, labels: F.struct(F.lit(kind).alias("kind"), labels.alias("labels"))
+    return F.when(F.size(numbers) > 0, as_kind("numeric", spread(numbers))).when(F.size(cited) > 0, as_kind("author-year", cited)).when(F.size(listed) > 0, as_kind("numeric", spread(listed))).when(F.size(raised) > 0, as_kind("superscript", raised))
+
+
 def has_markers(text: Column) -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [F.rlike(text, F.lit(p)) for p in (BRACKETS, f"[{SUPERSCRIPTS}]", AUTHOR_YEAR)]), F.lit(False))
 

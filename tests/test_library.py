@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import authors as A
 from citelake.functions import markers as M
+from citelake.functions import titles
 from citelake.functions.places import matches_at
 from citelake.operators import bibliography as B
 from citelake.operators import entries as E
@@ -70,6 +71,17 @@ def test_author_year_citations(spark):
     assert values(spark, M.author_year_citations, None, "") == [[], []]
 
 
+def test_selections(spark):
+    got = values(spark, M.selection_labels, "see [3, 5-7]", "(Smith et al., 2008)", "12, 14-15.", "text¹²", "f26,30g", "6264", "nothing", None)
+    assert [g and (g["kind"], g["labels"]) for g in got] == [("numeric", ["3", "5", "6", "7"]), ("author-year", ["Smith 2008"]), ("numeric", ["12", "14", "15"]), ("superscript", ["12"]), ("numeric", ["26", "30"]), ("numeric", ["62", "63", "64"]), None, None]
+
+
+def test_titles(spark):
+    got = values(spark, titles.plain_title, r"Decay of $\alpha_{s}$ at $10^{-3}$", "B<sub>2</sub> and <math><mi>x</mi></math>", "A SEARCH FOR NEW PARTICLES", r"$e^+ \to \mu_1$", "CMS", None)
+    assert got == ["Decay of α_s at 10⁻³", "B₂ and x", "A Search For New Particles", "e⁺ →μ₁", "CMS", None]
+    assert values(spark, titles.has_latex, "$x$", "plain", None) == [True, False, False]
+
+
 def test_author_year_matches(spark):
     entries = spark.createDataFrame([(1, 0, ["Sjöstrand, T.", "Other, A.", "Third, B."], "2008"), (1, 1, ["Sjostrand, T."], "2007"), (1, 2, ["Nobody, N."], "2008")], "doc int, entry int, authors array<string>, year string")
     cited = spark.createDataFrame([(1, 0, ["Sjostrand"], "2008", True), (1, 1, ["Sjostrand"], "2007a", False), (1, 2, ["Unknown"], "1900", False)], "doc int, citation int, authors array<string>, year string, et_al boolean")
