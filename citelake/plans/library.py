@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from citelake.functions import authors as A
 from citelake.functions import markers as M
+from citelake.functions import titles
 from citelake.operators import bibliography as B
 from citelake.operators import entries as E
 from citelake.operators import funding
@@ -263,3 +264,16 @@ def label_matches(spark, d):
     labels = line.select(F.col("l_orderkey").alias("doc"), F.when(even, F.concat(F.lit("L"), F.col("n").cast("string"))).otherwise(F.col("n").cast("string")).alias("label"))
     entries = line.select(F.col("l_orderkey").alias("doc"), F.when(even, F.col("n")).otherwise(F.col("n") - 1).alias("entry"), F.when(F.col("l_orderkey") % 4 == 0, F.concat(F.lit("L"), F.col("n").cast("string"))).when(even, F.concat(F.lit("l"), F.col("n").cast("string"))).alias("label"))
     return matching.label_matches(labels, entries)
+
+
+@query("plain_titles", "SELECT o_orderkey AS recid, 'Decay of α' || substr('₀₁₂₃₄₅₆₇₈₉', CAST(o_orderkey % 10 AS INT) + 1, 1) || ' at 10⁻' || substr('⁰¹²³⁴⁵⁶⁷⁸⁹', CAST(o_custkey % 10 AS INT) + 1, 1) AS title FROM orders")
+def plain_titles(spark, d):
+    text = F.concat(F.lit("Decay of <i>$\\alpha_"), (F.col("o_orderkey") % 10).cast("string"), F.lit("$</i> at $10^{-"), (F.col("o_custkey") % 10).cast("string"), F.lit("}$"))
+    return orders(spark, d).select(F.col("o_orderkey").alias("recid"), titles.plain_title(text).alias("title"))
+
+
+@query("selection_labels", "SELECT o_orderkey AS recid, CASE o_orderkey % 3 WHEN 1 THEN 'author-year' ELSE 'numeric' END AS kind, CASE o_orderkey % 3 WHEN 1 THEN 'Smith 2008' ELSE (o_custkey % 90) || ',' || (o_custkey % 90 + 1) || ',' || (o_custkey % 90 + 2) END AS labels FROM orders")
+def selection_labels(spark, d):
+    k = "o_custkey % 90"
+    text = F.expr(f"CASE o_orderkey % 3 WHEN 0 THEN concat('as [', {k}, ', ', {k} + 1, '-', {k} + 2, '] says') WHEN 1 THEN '(Smith et al., 2008)' ELSE concat({k}, ', ', {k} + 1, '-', {k} + 2, '.') END")
+    return orders(spark, d).select(F.col("o_orderkey").alias("recid"), M.selection_labels(text).alias("s")).select("recid", "s.kind", F.array_join("s.labels", ",").alias("labels"))
