@@ -4,7 +4,8 @@ Pages are counted by distinct text: the copies of one page are one page, so a pa
 crawled a thousand times (copies are left to near-dedup). A line's key is the MD5 of the line without blanks around it; blank lines are never
 boilerplate. Lines are counted with partial aggregation, so a hot host or line costs no task more than its share. A
 host has at most (mean distinct lines of its pages) / ratio boilerplate lines, for each of them takes up that share of the pages;
-this array, a row for each host, meets the pages in one join, which Spark splits if the host is hot.
+this array, a row for each host, is written out, so that its size is known when it meets the pages: Spark sends it to the pages where it is
+small, and otherwise joins by host, which it splits if a host is hot.
 
 Defined results: a null text stays null and counts as no page; a null host is a host of its own; repeated rows are
 copies of one page; empty tables stay empty; other columns are passed through."""
@@ -13,14 +14,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import packed
+from .common import durable, packed
 
 #: A line on at least this share of a host's pages goes, if it stands on MIN_PAGES pages at least.
 RATIO, MIN_PAGES = 0.1, 10
 
 
 def _key(line: Column) -> Column:
-    return F.md5(F.trim(line).cast("binary"))
+    return F.unhex(F.md5(F.trim(line).cast("binary")))
 
 
 def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -35,7 +36,7 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
 
 def dedup_lines(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """The rows of `docs` with boilerplate lines taken out of text, and the added column n_dropped (lines taken out)."""
-    found = boilerplate(docs, host, ratio, min_pages).groupBy("host").agg(F.collect_list("line").alias("_lines")).withColumnRenamed("host", "_host")
+    found = durable(boilerplate(docs, host, ratio, min_pages).groupBy("host").agg(F.collect_list("line").alias("_lines")).withColumnRenamed("host", "_host"))
     own = docs.select(packed(docs, ["n_dropped"]), F.col(host).alias("_own_host"), F.split("text", "\n").alias("_split"))
     met = own.join(found, F.col("_own_host").eqNullSafe(F.col("_host")), "left")
     stays = F.filter("_split", lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_lines"), _key(x)))
