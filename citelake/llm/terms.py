@@ -19,8 +19,8 @@ from .common import pieces, row_ids
 
 #: The broadcast part's bound: entries, and characters of each.
 HEAD, HEAD_CHARS = 65_536, 64
-#: A task hands on its counts when it holds so many distinct runs, and forgets what it knew about so many.
-FLUSH = 300_000
+#: A task hands on its counts when it holds FLUSH distinct runs, and forgets what it knew about SEEN of them.
+FLUSH, SEEN = 250_000, 120_000
 #: Made once per task: (from a text to its runs of characters without white space, from a run to its terms, repeats included).
 Cutter = Callable[[], tuple[Callable[[str], list[str]], Callable[[str], list[str]]]]
 
@@ -91,7 +91,7 @@ def document_sums(docs: DataFrame, keep: list[str], values: DataFrame, names: li
                     rest.append(x)
                 else:
                     total = tuple([a + b for a, b in zip(total, v, strict=True)])
-            if len(seen) >= FLUSH:
+            if len(seen) >= SEEN:
                 seen.clear()
             if len(word) <= HEAD_CHARS:
                 seen[word] = total, rest
