@@ -276,6 +276,54 @@ def test_drop_near_duplicates(spark, docs):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_are_exact(spark):
+    """Pairs a little under and over the least similarity, short and long, and groups that share shingles, against all pairs."""
+    import random
+
+    rng, texts = random.Random(5), []
+    word = lambda: f"w{rng.randrange(10**9)}"
+
+    def pair(shared, own, other):
+        """Two texts that share that many shingles, and have that many alone."""
+        head = [word() for _ in range(shared + 4)]
+        return " ".join([*head, *(word() for _ in range(own))]), " ".join([*head, *(word() for _ in range(other))])
+
+    kinds = [(4, 0, 1), (12, 0, 3), (20, 0, 5), (300, 37, 38), (3, 1, 1), (300, 50, 50), (300, 60, 60), (7, 1, 1), (79, 10, 10), (80, 10, 10), (81, 10, 10)]
+    for _ in range(20):
+        for kind in kinds:
+            texts += pair(*kind)
+    base = [word() for _ in range(120)]
+    for _ in range(60):  # near copies in a chain, and of one text: many share a shingle, not all are similar
+        base[rng.randrange(120)] = word()
+        texts.append(" ".join(base))
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(120)] = word()
+        texts.append(" ".join(own))
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    expected = {i for i in range(len(texts)) if find(i) == i}
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(table).collect()} == expected
+    nodes, links = simhash.similar_links(table.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), 0.8, small=4, few=0)
+    assert simhash._components_of(nodes, links).select("first.doc_id").distinct().count() == len(expected)  # groups as large ones are treated
+
+
 def test_languages(spark):
     data = [(i, "der hund und die katze", "de") for i in range(20)] + [(100 + i, "the dog and the cat", "en") for i in range(20)] + [(200, None, "en"), (201, "123 !", "de"), (202, "und der hunde", None), (None, "the cats", "en"), (203, "", None)]
     table = spark.createDataFrame(data, "doc_id long, text string, lang string")
