@@ -2,9 +2,10 @@
 
 The templates (TEMPLATES) are short licence notices. The index holds each template word's places. One job counts in how many
 documents each template word stands (at most a few hundred words; that bounded table goes to the driver). Then, row by row
-and without a shuffle: a file's ANCHORS rarest template words are looked up with their places; a template's places and the file's are
-intersected by relative position, and the best alignment counts the words that it puts in place; a template is found if its mandatory
-phrases stand in the file and enough words are in place. Everything is DataFrame functions.
+and without a shuffle: each template's ANCHORS rarest words are looked up in the file with their places; a template's places and the file's
+are intersected by relative position, and the best alignment counts the words that it puts in place; a template is found if its mandatory
+phrases stand in the file and enough words are in place. Every template has anchors of its own, so a file may hold any number of
+notices. Everything is DataFrame functions.
 
 Base: the places of BASE phrases, whatever the index says.
 
@@ -41,7 +42,7 @@ TEMPLATES = [
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ["mozilla public license"]),
     ("unlicense", "This is free and unencumbered software released into the public domain", ["unencumbered software"]),
 ]
-#: Rarest template words of a file that are looked up, and the least share of words in place.
+#: Rarest words of a template that are looked up, and the least share of their places that must be in place.
 ANCHORS, SHARE = 8, 0.5
 ADDED = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
@@ -90,6 +91,11 @@ def _in_place(hits: Column, places: dict[str, list[int]]) -> Column:
     return F.aggregate(starts, zero, step, lambda s: s["best"])
 
 
+def _rarest(places: dict[str, list[int]], frequency: dict[str, int], anchors: int) -> dict[str, list[int]]:
+    """A template's rarest words and their places; of words in equally many documents the first of the alphabet."""
+    return {w: places[w] for w in sorted(places, key=lambda w: (frequency[w], w))[:anchors]}
+
+
 def license_scan(docs: DataFrame, anchors: int = ANCHORS, share: float = SHARE) -> DataFrame:
     """The rows of `docs` with the added columns n_words, n_base, first_word, last_word, base_labels, labels, score."""
     index = _index()
@@ -97,19 +103,18 @@ def license_scan(docs: DataFrame, anchors: int = ANCHORS, share: float = SHARE)
     listed = F.array(*(F.lit(w) for w in vocabulary))
     counted = docs.select(F.explode(F.array_intersect(words_of(F.coalesce("text", F.lit(""))), listed)).alias("word")).groupBy("word").count()
     frequency = {w: 0 for w in vocabulary} | {r["word"]: r["count"] for r in counted.collect()}
-    # The rarest words first: an array of the vocabulary in that order is the index's word list.
-    by_rarity = F.array(*(F.lit(w) for w in sorted(vocabulary, key=lambda w: (frequency[w], w))))
+    rarest = {label: _rarest(places, frequency, anchors) for label, places, _, _ in index}
+    looked_up = sorted({w for own in rarest.values() for w in own})
     found = docs.select(packed(docs, ADDED), words_of(F.coalesce("text", F.lit(""))).alias("_w"))
-    found = found.select("row", "_w", _base(F.col("_w")).alias("_base"), F.slice(F.array_intersect(by_rarity, F.col("_w")), 1, anchors).alias("_rare"))
     joined = F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" "))
-    found = found.withColumn("_text", F.when(F.size("_rare") > 1, joined).otherwise(F.lit("")))
+    found = found.select("row", "_w", _base(F.col("_w")).alias("_base"), joined.alias("_text"))
     verified = F.filter(F.array(*(F.when(reduce(lambda a, b: a & b, [F.contains(F.col("_text"), F.lit(f" {p} ")) for p in phrases]), F.lit(label)) for label, _, _, phrases in index)), lambda x: x.isNotNull())
-    found = found.select("row", "_w", "_base", "_rare", verified.alias("_verified"))
-    hits = F.filter(F.transform("_w", lambda w, i: F.when(F.array_contains(F.col("_rare"), w), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
+    found = found.select("row", "_w", "_base", verified.alias("_verified"))
+    hits = F.filter(F.transform("_w", lambda w, i: F.when(w.isin(looked_up), F.struct(i.alias("at"), w.alias("word")))), lambda x: x.isNotNull())
     found = found.withColumn("_hits", F.when(F.size("_verified") > 0, hits))
     scores = []
-    for label, places, n, _ in index:
-        score = F.least(F.lit(1.0), _in_place(F.col("_hits"), places) / F.lit(min(n, anchors)))
+    for label, own in rarest.items():
+        score = _in_place(F.col("_hits"), own) / F.lit(sum(map(len, own.values())))
         scores.append(F.when(F.array_contains("_verified", label), F.struct(score.alias("score"), F.lit(label).alias("label"))))
     found = found.withColumn("_scored", F.when(F.size("_verified") > 0, F.filter(F.array(*scores), lambda x: x.isNotNull() & (x["score"] >= share))))
     base = F.array_distinct(F.transform("_base", lambda x: x["label"]))
@@ -134,7 +139,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     base = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in BASE.items())
-    word = ", ".join(f"('{label}', {i}, '{w}', {min(n, ANCHORS)})" for label, places, n, _ in _index() for w, at in places.items() for i in at)
+    word = ", ".join(f"('{label}', {i}, '{w}')" for label, places, _, _ in _index() for w, at in places.items() for i in at)
     phrase = ", ".join(f"('{label}', ' {p} ')" for label, _, _, phrases in _index() for p in phrases)
     return rf"""
 WITH d AS (
@@ -142,7 +147,7 @@ WITH d AS (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 base(phrase, n, label) AS (VALUES {base}),
-tw(label, tpos, word, need) AS (VALUES {word}),
+tw(label, tpos, word) AS (VALUES {word}),
 tp(label, phrase) AS (VALUES {phrase}),
 x AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
 b AS (SELECT d.rid, x.pos, base.label FROM x JOIN d USING (rid) JOIN base ON x.word = string_split(base.phrase, ' ')[1] AND array_to_string(d.w[x.pos + 1:x.pos + base.n], ' ') = base.phrase),
@@ -150,23 +155,23 @@ bs AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_
 lx AS (SELECT x.* FROM x WHERE word IN (SELECT word FROM tw)),
 df AS (SELECT word, count(DISTINCT rid) AS n FROM lx GROUP BY word),
 rare AS (
-  SELECT rid, word FROM (SELECT rid, word, row_number() OVER (PARTITION BY rid ORDER BY n, word) AS k FROM (SELECT DISTINCT rid, word FROM lx) JOIN df USING (word))
+  SELECT label, word FROM (SELECT label, word, row_number() OVER (PARTITION BY label ORDER BY coalesce(n, 0), word) AS k FROM (SELECT DISTINCT label, word FROM tw) LEFT JOIN df USING (word))
   WHERE k <= {ANCHORS}),
-two AS (SELECT rid FROM rare GROUP BY rid HAVING count(*) > 1),
+anchor AS (SELECT label, tpos, word, count(*) OVER (PARTITION BY label) AS need FROM tw JOIN rare USING (label, word)),
 ok AS (
   SELECT rid, label FROM (SELECT d.rid, tp.label, bool_and(contains(' ' || array_to_string(d.w, ' ') || ' ', tp.phrase)) AS fits
-  FROM d JOIN two USING (rid), tp GROUP BY d.rid, tp.label) WHERE fits),
+  FROM d, tp GROUP BY d.rid, tp.label) WHERE fits),
 al AS (
   SELECT rid, label, max(n) / any_value(need) AS score FROM (
-    SELECT lx.rid, tw.label, lx.pos - tw.tpos AS start, count(*) AS n, any_value(tw.need) AS need
-    FROM lx JOIN rare USING (rid, word) JOIN tw USING (word) JOIN ok ON ok.rid = lx.rid AND ok.label = tw.label GROUP BY 1, 2, 3)
+    SELECT lx.rid, a.label, lx.pos - a.tpos AS start, count(*) AS n, any_value(a.need) AS need
+    FROM lx JOIN anchor a USING (word) JOIN ok ON ok.rid = lx.rid AND ok.label = a.label GROUP BY 1, 2, 3)
   GROUP BY rid, label HAVING max(n) / any_value(need) >= {SHARE}),
 ls AS (
   SELECT rid, string_agg(label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
   FROM (SELECT DISTINCT rid, label, true AS is_base FROM b UNION ALL SELECT rid, label, false FROM al) GROUP BY rid)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(bs.n_base, 0) AS n_base, bs.first_word, bs.last_word,
        coalesce(ls.base_labels, '') AS base_labels, coalesce(ls.labels, '') AS labels,
-       greatest(least(1.0::DOUBLE, coalesce(ma.score, 0)), CASE WHEN bs.n_base > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
+       greatest(coalesce(ma.score, 0), CASE WHEN bs.n_base > 0 THEN 0.5 ELSE 0 END)::DOUBLE AS score
 FROM d LEFT JOIN bs USING (rid) LEFT JOIN ls USING (rid) LEFT JOIN (SELECT rid, max(score) AS score FROM al GROUP BY rid) ma USING (rid)
 """
 

@@ -92,6 +92,17 @@ def test_license_alignment(spark):
     assert got[4]["score"] < 1
 
 
+def test_a_file_of_many_notices(spark):
+    """Each notice is found in whatever company, and words of one frequency don't depend on their order in the table."""
+    every = " and ".join(text for _, text, _ in licenses.TEMPLATES)
+    table = spark.createDataFrame([(1, every), (2, "filler " * 500 + every + " more filler" * 500), (3, every), (4, "the free software and the source code form of any person")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_scan(table.repartition(3)).collect()}
+    for i in (1, 2, 3):
+        assert set(got[i]["labels"].split(",")) == {label for label, _, _ in licenses.TEMPLATES} | {"apache", "gpl", "mit"}
+        assert got[i]["score"] == 1.0
+    assert (got[4]["labels"], got[4]["score"]) == ("", 0.0)
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://", "https://WWW.Example.COM/en/71?q", "http://a.example.com/en/8", "http://example.net/de/8#x", "http://x.net/de/9", "http://notexample.net/dx", "http://x.org?es/", "http://x.org/es/", "ftp://u@h.org:1/es/://b", "http://example.com/en/7", "http://example.com/en/7"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").select("*", *(F.lit("x").alias(c) for c in ("host", "score", "_s", "_key", "row")))
