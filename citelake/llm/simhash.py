@@ -7,7 +7,7 @@ skipped. A tile and its neighbours are cut by a hash into blocks of about BLOCK
 task ever holds more than one pair of blocks, however many fingerprints share their counts. A pair of blocks gives
 back a forest of its links, never all pairs. Equal texts have equal fingerprints and are one row here however often they stand.
 
-drop_near_duplicates, the form for pipelines, has no fingerprints: it finds and confirms all similar pairs by their sets of five-word shingles.
+The form for pipelines is near_dedup, whose rule is on sets of five-word shingles and not on fingerprints.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and links like any other; rows that
 repeat, ids that repeat and null ids each keep their own row; a component's id is its smallest non-null doc_id, null
@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import durable, packed, pieces
+from .common import durable, pieces
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -159,7 +159,7 @@ def tiled_links(items: DataFrame, tiling: Tiling, near: Callable[[np.ndarray, np
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
-        for batch in _with_end(batches):
+        for batch in with_end(batches):
             last = batch is None
             if not last:
                 new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
@@ -193,7 +193,7 @@ def tiled_links(items: DataFrame, tiling: Tiling, near: Callable[[np.ndarray, np
     return dealt.repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, "a long, b long")
 
 
-def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+def with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
     yield from batches
     yield None
 
@@ -210,7 +210,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Data
     return tiled_links(distinct.select(F.col("fp").alias("node"), tile.alias("tile"), "fp"), by_counts(radius), near, block)
 
 
-def _components_of(distinct: DataFrame, found: DataFrame) -> DataFrame:
+def components_of(distinct: DataFrame, found: DataFrame) -> DataFrame:
     """distinct: (node, first), first being the first row of that node; gives (_node, first) with the first row of the component."""
     member = distinct.join(components(found).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left")
     linked = durable(member.select("node", "first", F.coalesce("root", "node").alias("root")))
@@ -218,7 +218,7 @@ def _components_of(distinct: DataFrame, found: DataFrame) -> DataFrame:
     return linked.join(least, F.col("root") == F.col("_root")).select(F.col("node").alias("_node"), F.col("least").alias("first"))
 
 
-def _first():
+def first_row():
     """Orders the rows of a group: rows with an id come first, by id, then by the hash of the text."""
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
 
@@ -226,244 +226,11 @@ def _first():
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id), a row for each row of `docs`; component_id is the smallest doc_id reachable."""
     rows = durable(fingerprints(docs, shingle))
-    distinct = durable(rows.groupBy("fp").agg(F.min(_first()).alias("first")))
-    groups = _components_of(distinct.withColumnRenamed("fp", "node"), links(distinct, radius))
+    distinct = durable(rows.groupBy("fp").agg(F.min(first_row()).alias("first")))
+    groups = components_of(distinct.withColumnRenamed("fp", "node"), links(distinct, radius))
     return rows.join(groups, F.col("fp") == F.col("_node")).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
-#: The form for pipelines: words of a shingle, and the least similarity (Jaccard, of sets of shingles).
-WIDE_SHINGLE, SIMILARITY = 5, 0.8
-#: Cells by which the shingles' frequencies are estimated (a power of two), and cells in a row of that table.
-CELLS, CHUNK = 1 << 20, 1 << 12
-#: Rows of one shingle of which all pairs are listed at once; larger groups are first linked to LEADERS of their rows, in
-#: at most ROUNDS rounds or until at most FEW pairs are open, and then all open pairs are listed.
-SMALL, LEADERS, ROUNDS, FEW = 32, 3, 4, 2_000_000
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """The sorted XXH3 of a text's distinct five-word shingles (of all its words, if they are fewer), as signed numbers."""
-    words = text.encode().lower().split() if text else []
-    if not words:
-        return np.empty(0, np.int64)
-    digest, n = xxhash.xxh3_64_intdigest, WIDE_SHINGLE
-    joined = {b" ".join(x) for x in zip(*(words[k:] for k in range(n)), strict=False)} if len(words) >= n else {b" ".join(words)}
-    return np.unique(np.fromiter((digest(x) for x in joined), np.uint64, len(joined)).view(np.int64))
-
-
-def _node(shingles: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(shingles.tobytes(), 1) - (1 << 63)
-
-
-def _cell(shingles: np.ndarray, cells: int) -> np.ndarray:
-    return (shingles.view(np.uint64) & np.uint64(cells - 1)).astype(np.int64)
-
-
-def _mixed(nodes: np.ndarray, seed: int) -> np.ndarray:
-    x = (nodes.view(np.uint64) ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _sums(parts: DataFrame, kind: str) -> np.ndarray:
-    """Of (chunk, counts): the vector of all chunks, each the sum of its rows."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, c in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                own = np.frombuffer(c, np.int32).astype(np.int64)
-                total[k] = total[k] + own if k in total else own
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.astype(kind).tobytes() for v in total.values()], pa.binary())], names=["chunk", "counts"])
-
-    rows = sorted(parts.repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect())
-    return np.concatenate([np.frombuffer(r["counts"], kind) for r in rows]) if rows else np.zeros(CELLS, kind)
-
-
-def _pairs(size: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
-    """Which pairs of rows x, y of one shingle can be similar, by their sizes and the shingle's places."""
-    both = np.minimum(at[x], at[y]) + np.minimum(size[x] - at[x], size[y] - at[y])
-    return both * (1 + least) >= least * (size[x] + size[y]) - 1e-6
-
-
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
-    """Stretches of whole shingles out of rows sorted by shingle: the columns `names`, the first one the shingle, and the shingles' starts."""
-    rest = None
-    for batch in _with_end(batches):
-        if batch is not None:
-            new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
-        if rest is None or not len(rest[0]):
-            continue
-        starts = np.flatnonzero(np.r_[True, rest[0][1:] != rest[0][:-1]])
-        cut = len(rest[0]) if batch is None else int(starts[-1])
-        if cut:
-            yield *(c[:cut] for c in rest), starts[starts < cut]
-        rest = [c[cut:] for c in rest]
-
-
-def _list_pairs(least: float, small: int):
-    """From rows (shingle, node, size, at): the pairs of groups of up to `small` rows, and the rows of larger groups (shingle not null)."""
-    names = ["shingle", "a", "b", "size", "at"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shingle, node, size, at, starts in _groups(batches, ["shingle", "node", "size", "at"]):
-            counts = np.diff(np.r_[starts, len(shingle)])
-            a, b, large = [], [], []
-            for n in range(2, small + 1):  # groups of one size at once
-                s = starts[counts == n]
-                if len(s):
-                    i, j = np.triu_indices(n, 1)
-                    x, y = (s[:, None] + i).ravel(), (s[:, None] + j).ravel()
-                    fits = _pairs(size, at, x, y, least) & (node[x] != node[y])
-                    x, y = x[fits], y[fits]
-                    a.append(np.minimum(node[x], node[y])), b.append(np.maximum(node[x], node[y]))
-            for s, n in zip(starts[counts > small].tolist(), counts[counts > small].tolist(), strict=True):
-                _, own = np.unique(node[s : s + n], return_index=True)  # copies of one text are one row
-                if len(own) > 1:
-                    large.append(s + own)
-            if a:
-                pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-                none = pa.nulls(len(pairs), pa.int64())
-                yield pa.RecordBatch.from_arrays([none, pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none], names=names)
-            if large:
-                k = np.concatenate(large)
-                yield pa.RecordBatch.from_arrays([pa.array(shingle[k]), pa.array(node[k]), pa.nulls(len(k), pa.int64()), pa.array(size[k]), pa.array(at[k])], names=names)
-
-    return run
-
-
-def _open_pairs(least: float, seed: int | None):
-    """From rows (shingle, node, size, at, root): pairs of rows with different roots; all of them, or, with a seed, those
-    with LEADERS rows of the largest root, and one row in `n` that counts the open pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, node, size, at, root, starts in _groups(batches, ["shingle", "node", "size", "at", "root"]):
-            for s, e in zip(starts.tolist(), np.r_[starts[1:], len(node)].tolist(), strict=True):
-                _, of, many = np.unique(root[s:e], return_inverse=True, return_counts=True)
-                if len(many) == 1:
-                    continue
-                n = e - s
-                if seed is None:
-                    firsts = [(slice(i, i + 1), np.arange(i + 1, n)) for i in range(n - 1)]
-                else:
-                    inside = np.flatnonzero(of == many.argmax())
-                    leaders = inside[np.argsort(_mixed(node[s:e][inside], seed))[:LEADERS]]
-                    firsts = [(slice(i, i + 1), np.flatnonzero(of != of[i])) for i in leaders.tolist()]
-                    neighbours = np.argsort(size[s:e], kind="stable")
-                    firsts.append((neighbours[:-1], neighbours[1:]))
-                for left, y in firsts:
-                    x = np.broadcast_to(np.arange(n)[left], y.shape)
-                    fits = _pairs(size[s:e], at[s:e], x, y, least) & (of[x] != of[y])
-                    p, q = node[s:e][x[fits]], node[s:e][y[fits]]
-                    if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q)), pa.nulls(len(p), pa.int64())], names=["a", "b", "n"])
-                if seed is not None:
-                    zero = pa.array([0], pa.int64())
-                    yield pa.RecordBatch.from_arrays([zero, zero, pa.array([(n * n - int((many.astype(np.int64) ** 2).sum())) // 2], pa.int64())], names=["a", "b", "n"])
-
-    return run
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of at least `least`."""
-    a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"_{k}")) for k in "ab")
-    met = pairs.select("a", "b").distinct().join(a, "a").join(b, "b")
-    shared, x, y = F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b")
-    return durable(met.filter(shared / (x + y - shared) >= least).select("a", "b"))
-
-
-def similar_links(source: DataFrame, least: float, small: int = SMALL, few: int = FEW) -> tuple[DataFrame, DataFrame]:
-    """((node, first), links (a, b)) of the texts of `source` (doc_id, text_hash, text): a node is a set of shingles; the links' components
-    are those of all pairs with a Jaccard similarity of at least `least`, none lost and none added.
-
-    Two sets so similar share a shingle among the first n - ceil(least n) + 1 of each, in whatever order all shingles are
-    put (prefix filter); here those of cells with few rows come first. Each such pair is confirmed by its sets. Where many
-    texts share a shingle, those that links already join aren't compared again."""
-    spark, kind = source.sparkSession, source.schema["doc_id"].dataType.simpleString()
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, names = np.zeros(CELLS, np.int32), ["doc_id", "text_hash", "node", "chunk", "counts"]
-        id_type = None
-        for batch in batches:
-            id_type = batch.column("doc_id").type
-            for part in pieces(batch, "text"):
-                found = [shingle_set(t) for t in part.column("text").to_pylist()]
-                cells += np.bincount(_cell(np.concatenate(found), CELLS), minlength=CELLS).astype(np.int32)
-                n = len(found)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array([_node(f) for f in found], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
-        if id_type is not None:
-            n = CELLS // CHUNK
-            chunks = [cells[i * CHUNK : (i + 1) * CHUNK].tobytes() for i in range(n)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(chunks, pa.binary())], names=names)
-
-    rows = durable(source.mapInArrow(read, f"doc_id {kind}, text_hash long, node long, chunk int, counts binary"))
-    cells = spark.sparkContext.broadcast(_sums(rows.filter("chunk IS NOT NULL").select("chunk", "counts"), "int64"))
-    nodes = durable(rows.filter("chunk IS NULL").groupBy("node").agg(F.min(_first()).alias("first")))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency = cells.value
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                out = []
-                for own in map(shingle_set, part.column("text").to_pylist()):
-                    n = len(own)
-                    if n:
-                        first = own[np.argsort(frequency[_cell(own, CELLS)], kind="stable")[: n - math.ceil(least * n - 1e-9) + 1]]
-                        out.append((first, np.full(len(first), _node(own)), np.full(len(first), n), np.arange(len(first))))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["shingle", "node", "size", "at"])
-
-    text = source.select("text")
-    members = "shingle long, node long, size long, at long"
-    dealt = text.mapInArrow(prefixes, members).repartition("shingle").sortWithinPartitions("shingle")
-    listed = durable(dealt.mapInArrow(_list_pairs(least, small), "shingle long, a long, b long, size long, at long"))
-    pairs = listed.filter("shingle IS NULL").select("a", "b")
-    large = listed.filter("shingle IS NOT NULL").select("shingle", F.col("a").alias("node"), "size", "at")
-
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch, "text"):
-                found = [shingle_set(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(f) for f in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    own = needed.join(nodes, "node").select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-    texts = source.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi").select("text")
-    sets = durable(texts.mapInArrow(full, "node long, shingles array<long>").dropDuplicates(["node"]))
-    links = _confirmed(pairs, sets, least)
-    if not large.head(1):
-        return nodes, links
-
-    def still_open(seed: int | None) -> DataFrame:
-        roots = components(links).select(F.col("node").alias("_node"), "root")
-        with_roots = large.join(roots, F.col("node") == F.col("_node"), "left").select(*large.columns, F.coalesce("root", "node").alias("root"))
-        return with_roots.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_open_pairs(least, seed), "a long, b long, n long")
-
-    for seed in range(1, ROUNDS + 1):
-        found = durable(still_open(seed))
-        left = found.agg(F.sum("n")).first()[0]
-        if not left:
-            return nodes, links
-        if left <= few:
-            break
-        links = links.union(_confirmed(found.filter("n IS NULL"), sets, least))
-    links = links.union(_confirmed(still_open(None), sets, least))
-    return nodes, links
-
-
-def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of `docs` of which one stays for each group of texts whose five-word shingles are similar, directly or by others.
-
-    Every pair of texts with a Jaccard similarity of at least `similarity` is linked, and no other (see similar_links). The row with
-    the smallest doc_id stays (of several with that id the one with the smallest text hash; of equal rows, one). All columns
-    of `docs` are kept; texts without words are one group."""
-    nodes, links = similar_links(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), similarity)
-    stays = _components_of(nodes, links).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text")).distinct()
-    own = docs.select(packed(docs, []), F.col("doc_id").alias("_own_id"), F.xxhash64("text").alias("_own"))
-    met = own.join(stays, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_text")))
-    return met.dropDuplicates(["_own_id", "_own"]).select("row.*")
-
-
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

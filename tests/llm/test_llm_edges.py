@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from citelake.llm import bpe_chunks, decontamination, language_id, licenses, line_dedup, quality, simhash, token_counts, toxicity, url_filter
+from citelake.llm import bpe_chunks, decontamination, language_id, licenses, line_dedup, near_dedup, quality, simhash, token_counts, toxicity, url_filter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LONG = " ".join(f"word{i % 5000} of the long text" for i in range(30_000))
@@ -281,10 +281,10 @@ def test_drop_near_duplicates(spark, docs):
     other = [*words[:50], *(f"other{i}" for i in range(50))]
     data = [(5, " ".join(words)), (2, " ".join(near)), (9, " ".join(words)), (7, " ".join(other)), (8, None), (1, ""), (3, "lone text"), (3, "lone text")]
     table = spark.createDataFrame(data, "doc_id long, text string")
-    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(table).collect()) == [1, 2, 3, 7]
-    kept = simhash.drop_near_duplicates(docs)
+    assert sorted(r["doc_id"] for r in near_dedup.drop_near_duplicates(table).collect()) == [1, 2, 3, 7]
+    kept = near_dedup.drop_near_duplicates(docs)
     assert kept.columns == docs.columns and kept.count() == 5  # no words (three rows), the notice (four), and three single ones
-    assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
+    assert near_dedup.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
 def test_near_duplicates_are_exact(spark):
@@ -330,9 +330,10 @@ def test_near_duplicates_are_exact(spark):
                 root[y] = x
     expected = {i for i in range(len(texts)) if find(i) == i}
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert {r["doc_id"] for r in simhash.drop_near_duplicates(table).collect()} == expected
-    nodes, links = simhash.similar_links(table.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), 0.8, small=4, few=0)
-    assert simhash._components_of(nodes, links).select("first.doc_id").distinct().count() == len(expected)  # groups as large ones are treated
+    assert {r["doc_id"] for r in near_dedup.drop_near_duplicates(table).collect()} == expected
+    for rounds in (0, 1):  # open pairs at once, and by leaders first
+        _, nodes, links = near_dedup.similar_links(table.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), 0.8, rounds)
+        assert simhash.components_of(nodes.select("node", "first"), links).select("first.doc_id").distinct().count() == len(expected)
 
 
 def test_languages(spark):
