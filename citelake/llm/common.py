@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -33,6 +33,18 @@ def packed(docs: DataFrame, added: list[str]) -> Column:
     return F.struct(*(quoted(c) for c in docs.columns if c.lower() not in added)).alias("row")
 
 
+def plain_names(docs: DataFrame, added: list[str]) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """For work in Python, whose schemas don't take every name: `docs` without columns named like added ones, with `text` as it is and the
+    others as c0, c1, ...; those names; and what gives a result its names back and leaves others as they are."""
+    keep = [c for c in docs.columns if c.lower() not in added]
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(keep)]
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), *(c for c in out.columns if c not in names))
+
+    return docs.select(*(quoted(c).alias(n) for c, n in zip(keep, names, strict=True))), names, back
+
+
 def words_of(text: Column) -> Column:
     """The array of a text's words (see WORD), A-Z in lower case."""
     return F.filter(F.split(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")

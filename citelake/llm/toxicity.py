@@ -1,12 +1,15 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read a clause's words in lockstep: insult and threat emit weighted events, negation opens a
-scope of a few words, reported speech lasts to the clause's end, target marks the clause as aimed at someone. Their product
-state decides what an event counts: asserted, negated or reported, aimed or not. A document's score is a logistic
-function of its clauses' sums, not of isolated words.
+A lexicon gives each word of a clause one of eight symbols. Five small transducers read the symbols: insult (alone or one of a pile), threat (a
+threatening word and a target within a few words, in either order), target (guesses at the start whether the clause is aimed at someone, at least
+framed by function words, or neither, and is right at the end on exactly one path), negation (a scope of a few words) and reported speech (to the
+clause's end, or between quotation marks). compose() multiplies them once into one table of arcs, whose weights are the products of
+theirs; a clause is run over that table. So it is matched clauses that score: an insult in a clause that is neither aimed nor framed weighs
+nothing unless another stands beside it, and a threat without a target weighs nothing. A document's score is a logistic function of its clauses' sums.
 
-Insult arcs: SEEDS, and words that the training rows show to be toxic (learn_lexicon). The training rows are a bounded
-sample, at most SAMPLE labelled rows of the training fold in the order of a hash of doc_id; the score reads the text alone.
+Insult words of the lexicon: SEEDS, and words and beginnings of words that the training rows show to be toxic (learn_lexicon). The training
+rows are a bounded sample, at most SAMPLE labelled rows of the training fold in the order of a hash of doc_id; the score reads the text alone. All
+that the sample shows is learned, and so the lexicon is bounded by it and by nothing else.
 
 Defined results: null and empty texts match nothing and get the score of a text without matches; labels that are null are ignored, a document
 labelled more than once counts as toxic if any label says so; without training rows of both kinds PRIOR serves as the
@@ -18,88 +21,219 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold, pieces, quoted
+from .common import durable, fold, pieces, plain_names
 
-#: The grammar's words. Weights of insult and threat arcs are 1 unless learned.
+#: The lexicon's words. Weights of insults are 1 unless learned.
 SEEDS = {
     "insult": "idiot idiots stupid moron morons loser losers clown clowns scum trash pathetic worthless disgusting imbecile cretin dumb dumbass fool dimwit vermin filth garbage jerk bastard bastards dickhead asshole bitch whore slut coward parasite parasites subhuman dumm dummkopf trottel arschloch abschaum idiota imbécil estúpido estúpida basura escoria stupide connard ordure crétin minable".split(),
     "threat": "kill murder hurt destroy strangle stab shoot hang burn beat töten umbringen matar matarte tuer frapper".split(),
     "target": "you your yours yourself they them their he she his her him these those people everyone du dich dein ihr euch sie tú ti tu usted ustedes ellos toi vous votre ils elles".split(),
     "negation": "not no never neither nor isn't aren't wasn't don't doesn't didn't ain't can't nobody nicht kein keine nie nunca jamás ne pas jamais".split(),
     "report": "said says say told called calls claimed wrote quoted reported according alleged denied sagte schrieb laut dijo según dit écrit selon".split(),
+    "frame": "the a an this that it its is are was were be been and or but of to in on at by as for from with which who such i we my our all have has had will would can der die das den dem des ein eine einer eines einen einem ist sind war hat wird und oder aber von zu zum zur in im an am auf aus bei nach mit für als wie so auch es sich wir ich dass el la los las un una unos unas lo se su sus me mi es son era ha y o de del al en con por para que como más pero le les une des du au aux on en est sont était a et ou mais dans avec par pour sur qui ce cette se sa son ses je nous plus comme tout".split(),
 }
-#: Words that a negation reaches, and what the states multiply an event's weight by.
-SCOPE, NEGATED, REPORTED, AIMED = 4, 0.3, 0.5, 1.5
-#: Bounds of learning: labelled rows, learned words, and the least lower bound (two standard errors) of their log odds.
-SAMPLE, LEARNED, LEAST_ODDS = 20_000, 500, 1.5
+#: Symbols; a word of two classes has the first of them in the order of PRECEDENCE.
+OTHER, INSULT, THREAT, TARGET, FRAME, NEGATION, REPORT, QUOTE = range(8)
+PRECEDENCE = [("negation", NEGATION), ("report", REPORT), ("target", TARGET), ("threat", THREAT), ("insult", INSULT), ("frame", FRAME)]
+#: Words that a negation reaches, between insults of a pile, and between a threat and its target.
+SCOPE, NEAR, REACH = 4, 3, 3
+#: Weights of arcs: in a negation's scope, in reported speech, in aimed and framed clauses, beside another insult, and beside one in a bare clause.
+NEGATED, REPORTED, AIMED, FRAMED, PILED, BARE_PILED = 0.3, 0.5, 1.5, 1.0, 1.25, 0.8
+#: What events count as: asserted, negated and reported insults, threats.
+ASSERTED, DENIED, QUOTED, THREATENED = range(4)
+#: Bounds of learning: labelled rows, the least lower bound (two standard errors) of an arc's log odds, and lengths of beginnings of words.
+SAMPLE, LEAST_ODDS, BEGINNINGS = 20_000, 2.5, (4, 5, 6)
+#: A learned arc weighs its sure log odds over SHARE, HEAVIEST at most; certain seeds weigh 1 at least.
+SHARE, HEAVIEST = 3, 2.0
 #: Logistic weights without training rows: constant, asserted, negated, reported, threats, worst clause; and how strongly fitted ones keep to them.
 PRIOR, RIDGE = (-3.5, 1.5, 0.3, 0.5, 1.5, 5.0), 0.1
 FEATURES = len(PRIOR)
+#: Words whose symbols a task remembers.
+MEMORY = 200_000
 _LETTERS = r"[^\W\d_]+"
 _TOKENS = re.compile(rf"{_LETTERS}(?:['’]{_LETTERS})?|[.!?;:\n]|[\"“”«»]")
 _ENDS = frozenset(".!?;:\n")
 _QUOTES = frozenset("\"“”«»")
 
 
-@dataclass
-class Grammar:
-    """Word classes with weights, and the product of the transducers."""
+@dataclass(frozen=True)
+class Transducer:
+    """States by name, where paths start and may end, and arcs: (state, symbol) to (state, output). A missing arc ends the path."""
+
+    starts: tuple[str, ...]
+    ends: frozenset[str]
+    arcs: dict[tuple[str, int], tuple[str, str]]
+
+
+def _fading(name: str, mark: int, reach: int, quiet: str = "", at: str = "") -> Transducer:
+    """After `mark` the next `reach` symbols are read in the states of `name`; reading one there gives `at`, elsewhere `quiet`."""
+    states = ["-", *(f"{name}{k}" for k in range(1, reach + 1))]
+    arcs = {(x, s): (states[reach] if s == mark else states[max(0, k - 1)], at if k else quiet) for k, x in enumerate(states) for s in range(8)}
+    return Transducer(("-",), frozenset(states), arcs)
+
+
+def _report() -> Transducer:
+    arcs = {}
+    for reported in (False, True):
+        for quoted in (False, True):
+            state = f"{'said' if reported else ''}{'quoted' if quoted else ''}" or "-"
+            for s in range(8):
+                r, q = reported or s == REPORT, quoted ^ (s == QUOTE)
+                arcs[state, s] = f"{'said' if r else ''}{'quoted' if q else ''}" or "-", "reported" if reported or quoted else ""
+    return Transducer(("-",), frozenset(x for x, _ in arcs), arcs)
+
+
+def _target() -> Transducer:
+    arcs = {}
+    for s in range(8):
+        arcs["to aim", s] = "aimed" if s == TARGET else "to aim", "aimed"
+        arcs["aimed", s] = "aimed", "aimed"
+        if s != TARGET:
+            arcs["to frame", s] = "framed" if s == FRAME else "to frame", "framed"
+            arcs["framed", s] = "framed", "framed"
+            if s != FRAME:
+                arcs["bare", s] = "bare", "bare"
+    return Transducer(("to aim", "to frame", "bare"), frozenset({"aimed", "framed", "bare"}), arcs)
+
+
+def _threat() -> Transducer:
+    """A threat waits for a target, and a target for a threat, for REACH symbols."""
+    arcs = {}
+    for kind in ("threat", "target"):
+        for k in range(REACH + 1):
+            state = f"{kind}{k}" if k else "-"
+            for s in range(8):
+                if s == THREAT:
+                    arcs[state, s] = (f"target{k}", "threat") if kind == "target" and k else (f"threat{REACH}", "")
+                elif s == TARGET:
+                    arcs[state, s] = f"target{REACH}", "threat" if kind == "threat" and k else ""
+                else:
+                    arcs[state, s] = f"{kind}{k - 1}" if k > 1 else "-", ""
+    return Transducer(("-",), frozenset(x for x, _ in arcs), arcs)
+
+
+#: The grammar: what each transducer says of the symbol that it reads.
+GRAMMAR = {"insult": _fading("near", INSULT, NEAR, "single", "piled"), "threat": _threat(), "target": _target(), "negation": _fading("not", NEGATION, SCOPE, "", "negated"), "report": _report()}
+
+
+def event(symbol: int, said: dict[str, str]) -> tuple[int, float] | None:
+    """What an arc of the product emits: the kind of event and its weight; None if nothing."""
+    negated, reported = said["negation"] == "negated", said["report"] == "reported"
+    if symbol == INSULT:
+        piled = said["insult"] == "piled"
+        weight = {"aimed": AIMED, "framed": FRAMED, "bare": 0.0}[said["target"]] * (PILED if piled else 1) or (BARE_PILED if piled else 0)
+        kind = DENIED if negated else QUOTED if reported else ASSERTED
+        weight *= NEGATED if negated else REPORTED if reported else 1
+    elif said["threat"] == "threat" and not negated:
+        kind, weight = THREATENED, REPORTED if reported else 1.0
+    else:
+        return None
+    return (kind, weight) if weight else None
+
+
+@dataclass(frozen=True)
+class Composed:
+    """The product of the grammar's transducers: for each state and symbol the next state (-1: none), and the event's kind (-1: none) and weight."""
+
+    starts: list[int]
+    ends: list[bool]
+    next: list[list[int]]
+    kind: list[list[int]]
+    weight: list[list[float]]
+
+    def clause(self, symbols: list[int], weights: list[float]) -> list[float]:
+        """The sums of a clause's events by kind, on the one path that ends well. weights: the lexicon's, of each word."""
+        for state in self.starts:
+            sums = [0.0] * 4
+            for s, w in zip(symbols, weights, strict=True):
+                if (kind := self.kind[state][s]) >= 0:
+                    sums[kind] += w * self.weight[state][s]
+                if (state := self.next[state][s]) < 0:
+                    break
+            if state >= 0 and self.ends[state]:
+                return sums
+        return [0.0] * 4
+
+
+def compose(grammar: dict[str, Transducer] = GRAMMAR) -> Composed:
+    """All states of the product that a clause can reach."""
+    number = {x: i for i, x in enumerate(product(*(t.starts for t in grammar.values())))}
+    out = Composed(list(range(len(number))), [], [], [], [])
+    todo = list(number)
+    for state in todo:  # grows on the way
+        out.ends.append(all(x in t.ends for x, t in zip(state, grammar.values(), strict=True)))
+        for row in (out.next, out.kind, out.weight):
+            row.append([])
+        for s in range(8):
+            steps = [t.arcs.get((x, s)) for x, t in zip(state, grammar.values(), strict=True)]
+            if None in steps:
+                after, emitted = -1, None
+            else:
+                to = tuple(x for x, _ in steps)
+                if to not in number:
+                    number[to] = len(number)
+                    todo.append(to)
+                after, emitted = number[to], event(s, dict(zip(grammar, (x for _, x in steps), strict=True)))
+            out.next[-1].append(after)
+            out.kind[-1].append(emitted[0] if emitted else -1)
+            out.weight[-1].append(emitted[1] if emitted else 0.0)
+    return out
 
-    insult: dict[str, float]
 
-    def __post_init__(self) -> None:
+class Grammar:
+    """A lexicon over the composed grammar. learned: weights of words, and of beginnings of words, which end in a star."""
+
+    def __init__(self, learned: dict[str, float], table: Composed | None = None) -> None:
         import ahocorasick
 
-        self.insult = {w: 1.0 for w in SEEDS["insult"]} | self.insult
-        self.threat, self.target, self.negation, self.report = (frozenset(SEEDS[k]) for k in ("threat", "target", "negation", "report"))
+        self.table = table or compose()
+        self.words = {}
+        self.beginnings = {w[:-1]: (INSULT, x) for w, x in learned.items() if w.endswith("*")}
+        insults = {w: x for w, x in learned.items() if not w.endswith("*")}
+        insults |= {w: max(1.0, insults.get(w, 0), *(x for k in BEGINNINGS if len(w) > k for _, x in [self.beginnings.get(w[:k], (INSULT, 0))]), 0) for w in SEEDS["insult"]}
+        for name, symbol in reversed(PRECEDENCE):
+            self.words |= {w: (symbol, x) for w, x in insults.items()} if symbol == INSULT else {w: (symbol, 1.0) for w in SEEDS[name]}
+        self.words |= dict.fromkeys(_QUOTES, (QUOTE, 1.0))
+        self.memory: dict[str, tuple[int, float]] = {}
         self.trigger = ahocorasick.Automaton()
-        for w in {*self.insult, *self.threat}:
+        for w in {*insults, *self.beginnings, *SEEDS["threat"]}:
             self.trigger.add_word(w, w)
         self.trigger.make_automaton()
 
+    def read(self, word: str) -> tuple[int, float]:
+        """A word's symbol and weight; of beginnings the longest counts."""
+        if (found := self.words.get(word)) is None:
+            found = next((x for k in reversed(BEGINNINGS) if (x := self.beginnings.get(word[:k]))), (OTHER, 1.0))
+        if len(self.memory) >= MEMORY:
+            self.memory.clear()
+        self.memory[word] = found
+        return found
+
     def features(self, text: str | None) -> list[float]:
         """Constant, log sums of asserted, negated and reported insults and of threats, and the log of the worst clause's sum of asserted ones."""
         sums, worst = [0.0] * 4, 0.0
         lower = text.lower() if text else ""
         if next(iter(self.trigger.iter(lower)), None):
-            clause: list[str] = []
-            for token in _TOKENS.findall(lower):
+            clause: list[tuple[int, float]] = []
+            known, stirs = self.memory.get, False
+            for token in [*_TOKENS.findall(lower), "."]:
                 if token in _ENDS:
-                    worst = max(worst, self.clause(clause, sums))
-                    clause = []
+                    if stirs:
+                        own = self.table.clause(*map(list, zip(*clause, strict=True)))
+                        sums, worst = [a + b for a, b in zip(sums, own, strict=True)], max(worst, own[ASSERTED])
+                    clause, stirs = [], False
                 else:
-                    clause.append(token)
-            worst = max(worst, self.clause(clause, sums))
+                    found = known(token) or self.read(token)
+                    clause.append(found)
+                    stirs = stirs or found[0] == INSULT or found[0] == THREAT
         return [1.0, *map(math.log1p, sums), math.log1p(worst)]
 
-    def clause(self, words: list[str], sums: list[float]) -> float:
-        """Adds a clause's events to the sums, and gives what it adds to the asserted insults."""
-        if not any(w in self.insult or w in self.threat for w in words):
-            return 0.0
-        before = sums[0]
-        negated, reported, quoted = 0, False, False  # the product state
-        aimed = AIMED if any(w in self.target for w in words) else 1.0
-        for w in words:
-            if w in _QUOTES:
-                quoted = not quoted
-            elif w in self.negation:
-                negated = SCOPE + 1
-            elif w in self.report:
-                reported = True
-            weight = self.insult.get(w)
-            if weight is not None:
-                kind = 1 if negated else 2 if reported or quoted else 0
-                sums[kind] += weight * aimed * (NEGATED if negated else 1) * (REPORTED if kind == 2 else 1)
-            elif w in self.threat and aimed > 1 and not negated:  # a threat needs someone it is aimed at
-                sums[3] += REPORTED if reported or quoted else 1.0
-            negated = max(0, negated - 1)
-        return sums[0] - before
-
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(text, toxic) of at most `sample` labelled rows outside the held-out fold. The sampled ids are broadcast."""
@@ -109,17 +243,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
-    """Words whose log odds of standing in a toxic text are surely high, with those odds relative to a certain word's as weights."""
+    """Words, and beginnings of longer words (with a star), whose log odds of standing in a toxic text are surely high, with weights by those
+    odds. One is left out if a beginning of it is as sure. The driver gets what is sure, which stands in several of the sample's texts each."""
     n = rows.groupBy("toxic").count().collect()
     toxic, clean = (sum(r["count"] for r in n if bool(r["toxic"]) == k) for k in (True, False))
     if not toxic or not clean:
         return {}
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))))
-    counted = rows.select(word.alias("word"), "toxic").groupBy("word").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("c"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    begun = [F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.left(w, F.lit(k)), F.lit("*"))) for k in BEGINNINGS]
+    arcs = rows.select(F.explode(F.array_distinct(F.concat(words, *begun))).alias("arc"), "toxic")
+    counted = arcs.groupBy("arc").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    sure = odds - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    best = counted.filter((sure >= LEAST_ODDS) & (F.length("word") <= 40)).orderBy(F.desc(sure), "word").limit(LEARNED).select("word", sure.alias("sure")).collect()
-    return {r["word"]: min(1.5, max(0.3, r["sure"] / 3)) for r in best}
+    sure = {r["arc"]: r["sure"] for r in counted.select("arc", (odds - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))).alias("sure")).filter(F.col("sure") >= LEAST_ODDS).collect()}
+    shorter = lambda arc: [f"{arc[:k]}*" for k in BEGINNINGS if k < len(arc.rstrip("*"))]
+    kept = [arc for arc, x in sure.items() if not any(sure.get(y, 0) >= x for y in shorter(arc))]
+    return {arc: min(HEAVIEST, sure[arc] / SHARE) for arc in kept}
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -147,34 +285,37 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from the training fold; the driver receives at most `sample` rows of FEATURES numbers."""
-    rows = training_rows(docs, labels, sample)
+    texts = training_rows(docs, labels, sample).filter("text IS NOT NULL").groupBy(F.md5("text").alias("_h"))
+    rows = durable(texts.agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).drop("_h"))  # copies count once
     lexicon = learn_lexicon(rows)
 
+    table = compose()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar = Grammar(lexicon)
+        grammar = Grammar(lexicon, table)
         for batch in batches:
             for part in pieces(batch, "text"):
                 x = [grammar.features(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), part.column("toxic").cast(pa.float64())], names=["x", "y"])
 
-    got = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "x array<double>, y double").collect()
+    got = rows.mapInArrow(run, "x array<double>, y double").collect()
     x, y = np.array([r["x"] for r in got]).reshape(-1, FEATURES), np.array([float(r["y"] > 0) for r in got])
     return Model(lexicon, fit(x, y).tolist())
 
 
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of `docs` with the added column score, between 0 and 1."""
-    keep = [c for c in docs.columns if c.lower() != "score"]
-    source = docs.select(*map(quoted, keep))
+    source, keep, back = plain_names(docs, ["score"])
+    table = compose()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grammar, w = Grammar(model.insult), np.array(model.weights)
+        grammar, w = Grammar(model.insult, table), np.array(model.weights)
         for batch in batches:
             for part in pieces(batch, "text"):
                 x = np.array([grammar.features(t) for t in part.column("text").to_pylist()]).reshape(-1, FEATURES)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))], names=[*keep, "score"])
 
-    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), "score double"]))
+    return back(source.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in source.schema), "score double"])))
 
 
 #: A document with at least this score is toxic.

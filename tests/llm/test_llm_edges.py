@@ -187,14 +187,49 @@ def test_quality_edges(docs, labels):
 
 
 def test_grammar():
-    g = toxicity.Grammar({})
+    g = toxicity.Grammar({"snurf*": 0.7})
     at = lambda t: [round(x, 3) for x in g.features(t)[1:5]]
     assert at("You idiot") > at("An idiot") and at("You are not an idiot.")[0] == 0 < at("You are not an idiot.")[1]
     assert at("She said you idiot")[0] == 0 < at("She said you idiot")[2]
     assert at('He wrote "idiot"')[0] == 0 and at("I will kill you")[3] > 0 == at("I kill time")[3]
+    assert at("Dich töten")[3] > 0 and at("You may, after a very long time, kill")[3] == 0
     assert at("I will not kill you")[3] == 0 and at(None) == at("") == at("plain words") == [0, 0, 0, 0]
     assert at("Not now. You idiot.")[0] > 0  # a negation ends with its clause
     assert at("idiotic")[0] == 0
+    assert at("Idiot") == at("Idiot. Moron!") == at("Kill") == at("xx idiot yy") == [0, 0, 0, 0]  # words alone match no clause
+    assert at("Idiot moron")[0] > 0  # one of a pile
+    assert at("you snurfled")[0] > 0 == at("you snurs")[0]
+
+
+def test_composed_grammar_is_the_product_of_its_paths():
+    """Clauses of few symbols, against all combinations of paths through the five transducers."""
+    import random
+    from itertools import product
+
+    def paths(t, symbols):
+        """Outputs of every path of one transducer that ends well."""
+        for state in t.starts:
+            said = []
+            for s in symbols:
+                if (arc := t.arcs.get((state, s))) is None:
+                    break
+                state, output = arc
+                said.append(output)
+            else:
+                if state in t.ends:
+                    yield said
+
+    table, rng = toxicity.compose(), random.Random(3)
+    clauses = [list(x) for n in (0, 1, 2, 3) for x in product(range(8), repeat=n)] + [[rng.randrange(8) for _ in range(rng.randrange(4, 14))] for _ in range(2000)]
+    for symbols in clauses:
+        weights = [rng.choice((0.5, 1.0, 1.5)) for _ in symbols]
+        combined = list(product(*(list(paths(t, symbols)) for t in toxicity.GRAMMAR.values())))
+        assert len(combined) == 1  # the grammar is unambiguous
+        want = [0.0] * 4
+        for i, (s, w) in enumerate(zip(symbols, weights)):
+            if found := toxicity.event(s, {name: said[i] for name, said in zip(toxicity.GRAMMAR, combined[0])}):
+                want[found[0]] += found[1] * w
+        assert table.clause(symbols, weights) == pytest.approx(want)
 
 
 def test_toxicity_labels(docs, labels):
