@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import durable, packed
 
-#: A line on at least this share of a host's pages goes, if it stands on MIN_PAGES pages at least.
-RATIO, MIN_PAGES = 0.1, 10
+#: A line on at least this share of a host's pages goes, if it stands on MIN_PAGES pages at least: on a site of few pages every line is on a
+#: large share of them, and two pages may be a page and its near copy; only the third shows that a line is the site's.
+RATIO, MIN_PAGES = 0.05, 3
 
 
 def _key(line: Column) -> Column:
@@ -53,7 +54,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "n_dropped", F.length(kept).cast("long").alias("n_chars_kept"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
-ORACLE_OP4 = """
+ORACLE_OP4 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
 l AS (SELECT rid, source, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),
 t AS (SELECT source, count(DISTINCT text) AS pages FROM d WHERE text IS NOT NULL GROUP BY source),
@@ -61,7 +62,7 @@ b AS (
   SELECT n.source, n.line FROM (
     SELECT source, trim(line, ' ') AS line, count(DISTINCT text) AS n_pages FROM l WHERE trim(line, ' ') <> '' GROUP BY 1, 2) n
   JOIN t ON n.source IS NOT DISTINCT FROM t.source
-  WHERE n_pages >= 10 AND n_pages >= 0.1 * pages),
+  WHERE n_pages >= {MIN_PAGES} AND n_pages >= {RATIO} * pages),
 k AS (
   SELECT l.rid, count(b.line) AS n_dropped, string_agg(CASE WHEN b.line IS NULL THEN l.line END, chr(10) ORDER BY l.i) AS kept
   FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line, ' ') = b.line GROUP BY l.rid)

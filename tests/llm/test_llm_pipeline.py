@@ -45,6 +45,8 @@ def test_toxicity_stage(spark, stages):
 
 def test_line_stage(stages):
     """Against a count of lines without Spark."""
+    from citelake.llm.line_dedup import MIN_PAGES, RATIO
+
     _, before, after = stages[1]
     rows = before.collect()
     pages, on = {}, {}
@@ -55,7 +57,7 @@ def test_line_stage(stages):
         for t in own:
             for line in {x.strip(" ") for x in t.split("\n")} - {""}:
                 on[source, line] = on.get((source, line), 0) + 1
-    bad = {k for k, n in on.items() if n >= 10 and n >= 0.1 * len(pages[k[0]])}
+    bad = {k for k, n in on.items() if n >= MIN_PAGES and n >= RATIO * len(pages[k[0]])}
     want = {r["doc_id"]: r["text"] and "\n".join(x for x in r["text"].split("\n") if (r["source"], x.strip(" ")) not in bad) for r in rows}
     assert texts(after) == want
     assert all(r["n_chars"] == len(r["text"] or "") for r in after.collect())
