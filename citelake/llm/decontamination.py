@@ -1,9 +1,10 @@
 """Benchmark decontamination with one Aho-Corasick automaton over the windows of all test items.
 
 The automaton's symbols are words, normalised as the documents' are, so a document is scanned once, word by word, and a match's
-end is a word number; word numbers map to character offsets of the original text. Nothing is shuffled: the
-automaton's windows are broadcast, at most BLOCK_WORDS item words at a time. A larger benchmark is dealt into blocks
-of that size, each with its own automaton and its own narrow pass over the documents, whose findings add up.
+end is a word number; word numbers map to character offsets of the original text. The automaton's windows are broadcast, and nothing is
+shuffled. A benchmark of more than BLOCK_WORDS words is dealt into blocks of that size, one after the other: each has its own automaton and its
+own pass over the texts, whose findings (of texts that are hit, by their MD5) are written before the next one begins, so that a worker
+and the driver never hold more than one block; at last the findings of all blocks meet the documents in one join.
 
 Defined results: a null or empty text has no words and isn't contaminated; repeated rows are judged row by row; items
 without words are skipped, items that repeat count once by id, a null item id counts as the id ''; with no items nothing is hit;
@@ -14,11 +15,13 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WORD, pieces, quoted
+from .common import WORD, durable, pieces, plain_names
 
 WINDOW = 13
 #: Item words in one automaton: about 2.6 million nodes, some 150 MB in a worker.
@@ -83,50 +86,81 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[str, list[bytes]]]]:
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of `docs` with added columns: n_words and n_hit (words inside any occurrence of a window), items (ids
     with an occurring window, sorted as strings), spans (character offsets [start, end) of hit stretches in the original text)."""
-    keep = [c for c in docs.columns if c.lower() not in ADDED]
-    plain = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*map(quoted, keep)).schema]
-    mark = max(("_" * (len(c) - len(c.lstrip("_"))) for c in keep), key=len, default="") + "_"  # begins no column of the caller's
-    so_far = {f"{mark}from": "array<int>", f"{mark}to": "array<int>", f"{mark}items": "array<string>"}
+    source, keep, back = plain_names(docs, ADDED)
+    plain = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema]
     added = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": "array<struct<start:int,end:int>>"}
-    arrow = [pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
-    final = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-
-    def scan(block, number: int, last: bool):
-        """One block's pass; the last one reports. Intervals and items so far travel with the row."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine, vocabulary = _automaton(number, block.value, window) if block.value else (None, {})
-            known = vocabulary.get
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+    found = {"_from": pa.list_(pa.int32()), "_to": pa.list_(pa.int32()), "_items": pa.list_(pa.string())}
+
+    def hits_of(block, number: int):
+        """From a text's words to its hit intervals and items, by one block's automaton."""
+        machine, vocabulary = _automaton(number, block, window) if block else (None, {})
+        known = vocabulary.get
+
+        def hits(own: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+            at, names = [], set()
+            symbols = tuple([known(w, 0) for w in own]) if machine else ()
+            if any(symbols):
+                for end, (n, by) in machine.iter(symbols):
+                    at.append((end - n + 1, end + 1))
+                    names |= by
+            return at, names
+
+        return hits
+
+    def row(text: str | None, own: list[bytes], hits: list[tuple[int, int]], names: set[str]) -> tuple:
+        hits = _merged(hits)
+        at = [m.span() for m in _PLACES.finditer(text)] if hits else []
+        return len(own), sum(y - x for x, y in hits), sorted(names), [{"start": at[x][0], "end": at[y - 1][1]} for x, y in hits]
+
+    def table(part: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], names=[*keep, *added])
+
+    context, blocks, schema = docs.sparkSession.sparkContext, _blocks(items), ", ".join([*plain, *(f"{c} {kind}" for c, kind in added.items())])
+    block, more = next(blocks, []), next(blocks, None)
+    if more is None:  # one pass says all
+        held, number = context.broadcast(block), uuid.uuid4().int
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hits = hits_of(held.value, number)
             for batch in batches:
                 for part in pieces(batch, "text"):
                     rows = []
-                    for text, a, b, ids in zip(*(part.column(c).to_pylist() for c in ("text", *so_far)), strict=True):
+                    for text in part.column("text").to_pylist():
                         own = words(text)
-                        hits, names = list(zip(a or (), b or (), strict=True)), set(ids or ())
-                        symbols = tuple([known(w, 0) for w in own]) if machine else ()
-                        if any(symbols):
-                            for end, (n, by) in machine.iter(symbols):
-                                hits.append((end - n + 1, end + 1))
-                                names |= by
-                        hits = _merged(hits)
-                        if last:
-                            at = [m.span() for m in _PLACES.finditer(text)] if hits else []
-                            rows.append((len(own), sum(y - x for x, y in hits), sorted(names), [{"start": at[x][0], "end": at[y - 1][1]} for x, y in hits]))
-                        else:
-                            rows.append(([x for x, _ in hits], [y for _, y in hits], sorted(names)))
-                    kinds, labels = (final, added) if last else (arrow, so_far)
-                    columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *columns], names=[*keep, *labels])
-
-        return run
-
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(b) for b in _blocks(items)] or [context.broadcast([])]
-    out = docs.select(*map(quoted, keep), *(F.lit(None).cast(kind).alias(c) for c, kind in so_far.items()))
-    for k, block in enumerate(blocks, 1):
-        last = k == len(blocks)
-        out = out.mapInArrow(scan(block, uuid.uuid4().int, last), ", ".join([*plain, *(f"{c} {kind}" for c, kind in (added if last else so_far).items())]))
-    return out
+                        rows.append(row(text, own, *hits(own)))
+                    yield table(part, rows)
+
+        return back(source.mapInArrow(scan, schema))
+
+    def finder(held, number: int):
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hits = hits_of(held.value, number)
+            for batch in batches:
+                for part in pieces(batch, "text"):
+                    rows = [(k, *hits(words(text))) for k, text in enumerate(part.column("text").to_pylist())]
+                    rows = [(k, at, names) for k, at, names in rows if at]
+                    columns = [part.column("_key").take(pa.array([k for k, *_ in rows], pa.int64())), *(pa.array([[x[i] for x in at] for _, at, _ in rows], pa.list_(pa.int32())) for i in (0, 1)), pa.array([sorted(names) for *_, names in rows], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["_key", *found])
+
+        return find
+
+    keyed, parts = source.select(F.unhex(F.md5("text")).alias("_key"), "text").filter("text IS NOT NULL"), []
+    for own in chain([block, more], blocks):
+        held = context.broadcast(own)
+        rows = keyed.mapInArrow(finder(held, uuid.uuid4().int), "_key binary, _from array<int>, _to array<int>, _items array<string>")
+        parts.append(durable(rows.dropDuplicates(["_key"])))  # copies of a text have the same findings
+        held.destroy()
+    together = reduce(DataFrame.unionByName, parts).groupBy("_key").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in found))
+    met = source.withColumn("_md5", F.unhex(F.md5("text"))).join(together, F.col("_md5") == F.col("_key"), "left").select(*source.columns, *found)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                rows = [row(t, words(t), list(zip(a or (), b or (), strict=True)), set(i or ())) for t, a, b, i in zip(*(part.column(c).to_pylist() for c in ("text", *found)), strict=True)]
+                yield table(part, rows)
+
+    return back(met.mapInArrow(gather, schema))
 
 
 def contaminated(n_hit, n_words):
