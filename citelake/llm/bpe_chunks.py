@@ -1,10 +1,11 @@
 """BPE encoding and decoding with content-defined chunks that documents share.
 
 Texts are cut by a rolling hash over the last WINDOW characters, so equal passages are cut into equal chunks wherever
-they stand. Jobs: (1) count every chunk of the corpus by its 128-bit hash; (2) the chunks that recur, ranked by the
-characters that reuse saves and at most `dictionary` of them, are fetched and encoded once; (3) every document is
-assembled: a chunk of the dictionary brings its ids, everything else is encoded where it stands, and each join is
-repaired. Of the text, nothing is shuffled but the dictionary's own chunks; of other chunks only hashes are.
+they stand. Jobs: (1) count every chunk of the corpus by its 128-bit hash, and note for each a text that holds it; (2) the chunks that recur,
+ranked by the characters that reuse saves and at most `dictionary` of them, are fetched from those texts alone and encoded once; (3) every
+document is assembled: a chunk of the dictionary brings its ids, everything else is encoded where it stands, and each join is
+repaired. Of the text, nothing is shuffled but the dictionary's own chunks; of other chunks only hashes are. The dictionary's size is
+the same for every corpus, and it is what the driver receives (some 8 MB); README says what share of the recurring text it serves.
 
 Repair of a join: a dictionary chunk brings the ids of the stretch between its first and its last white space, for no
 pre-token spans white space. What lies left of it (the rest of the chunk before and the chunk's own ragged head) is
@@ -28,13 +29,13 @@ import regex
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import pieces, quoted
+from .common import pieces, plain_names
 from .pretokens import Pretokenizer, read_spec
 
 #: Of a chunk: window of the rolling hash, mean length (a power of two), least and greatest length in characters.
 WINDOW, MEAN, LEAST, MOST = 16, 256, 64, 2048
-#: The dictionary's bound in chunks; with MOST it bounds the broadcast at 128 MB, and at MEAN it takes some 15 MB.
-DICTIONARY = 65_536
+#: The dictionary's bound in chunks; with MOST it bounds the broadcast at 32 MB, and at MEAN it takes some 8 MB.
+DICTIONARY = 16_384
 #: A task hands on its chunk counts when it holds so many.
 FLUSH = 300_000
 _SPACE = regex.compile(r"[ \n\t\r]")
@@ -72,6 +73,11 @@ def chunks(text: str) -> list[tuple[int, int, bytes]]:
     return out
 
 
+def owner(text: str | None) -> int:
+    """The number of a text, the same wherever it stands."""
+    return xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
 class Encoder:
     """Encodes texts with a dictionary from chunk hashes to the ids of the chunk's inner stretch."""
 
@@ -120,34 +126,37 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, dictionary: int = DIC
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        size: dict[bytes, int] = {}
+        first: dict[bytes, tuple[int, int]] = {}
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64()), pa.array(size.values(), pa.int32())], names=["chunk", "n", "chars"])
+            chars, owners = zip(*first.values(), strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64()), pa.array(chars, pa.int32()), pa.array(owners, pa.int64())], names=["chunk", "n", "chars", "owner"])
 
         for batch in batches:
             for part in pieces(batch, "text"):
                 for text in part.column("text").to_pylist():
+                    own = owner(text)
                     for start, end, key in chunks(text or ""):
                         held[key] += 1
-                        size.setdefault(key, end - start)
+                        if key not in first:
+                            first[key] = end - start, own
                 if len(held) > FLUSH:
                     yield out()
-                    held.clear(), size.clear()
+                    held.clear(), first.clear()
         if held:
             yield out()
 
-    counted = docs.select("text").mapInArrow(count, "chunk binary, n long, chars int").groupBy("chunk").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"))
+    counted = docs.select("text").mapInArrow(count, "chunk binary, n long, chars int, owner long").groupBy("chunk").agg(F.sum("n").alias("n"), F.max("chars").alias("chars"), F.min("owner").alias("owner"))
     best = counted.filter("n > 1").orderBy(F.desc(F.expr("(n - 1) * chars")), "chunk").limit(dictionary)
-    wanted = spark.sparkContext.broadcast({bytes(r[0]) for r in best.select("chunk").collect()})
+    wanted = spark.sparkContext.broadcast({bytes(r[0]): r[1] for r in best.select("chunk", "owner").collect()})
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        missing = set(wanted.value)
+        missing, owners = set(wanted.value), set(wanted.value.values())
         for batch in batches:
             for part in pieces(batch, "text"):
                 found = {}
                 for text in part.column("text").to_pylist():
-                    for start, end, key in chunks(text or ""):
+                    for start, end, key in chunks(text or "") if owner(text) in owners else ():
                         if key in missing:
                             missing.remove(key)
                             found[key] = text[start:end]
@@ -166,9 +175,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, dictionary: int = DIC
         rows = texts.mapInArrow(encode_chunks, "chunk binary, a int, b int, first int, ids binary").collect()
         known = {bytes(r[0]): (r[1], r[2], r[3], bytes(r[4])) for r in rows}
     held = spark.sparkContext.broadcast(known)
-    keep = [c for c in docs.columns if c.lower() not in ("ids", "decoded")]
-    source = docs.select(*map(quoted, keep))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema), "ids array<int>", "decoded string"])
+    source, keep, back = plain_names(docs, ["ids", "decoded"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in source.schema), "ids array<int>", "decoded string"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(spec.value, held.value)
@@ -179,7 +187,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, dictionary: int = DIC
                 added = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))), pa.array([encoder.decode(x) for x in ids], pa.string())]
                 yield pa.RecordBatch.from_arrays([*part.columns, *added], names=[*keep, "ids", "decoded"])
 
-    return source.mapInArrow(assemble, schema)
+    return back(source.mapInArrow(assemble, schema))
 
 
 def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LONG = " ".join(f"word{i % 5000} of the long text" for i in range(30_000))
 TEXTS = [None, "", " \n\t ", "The MIT License, you idiot.", "The MIT License, you idiot.", "Ünïcode ß 漢字 😀 <|endoftext|>", "!!! ??? ...", LONG]
 #: Names that operators use for what they add or for what they need on the way.
-CLASHING = ["score", "labels", "n_words", "items", "ids", "decoded", "kept", "host", "rule", "n_dropped", "row", "term", "n", "word", "page", "pair", "node", "_w", "_base", "_lines", "_own", "_host", "_id", "_text", "_from", "_rest", "_s", "_good", "rid", "first", "root"]
+CLASHING = ["score", "labels", "n_words", "items", "ids", "decoded", "kept", "host", "rule", "n_dropped", "row", "term", "n", "word", "page", "pair", "node", "_w", "_base", "_lines", "_own", "_host", "_id", "_text", "_from", "_rest", "_s", "_good", "rid", "first", "root", "a.b", "text_hash", "h", "c0"]
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
@@ -176,6 +176,8 @@ def test_lines(spark):
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(table, min_pages=10, ratio=0.5).collect()}
     assert got[0]["text"] == "own line 0\n\nend 0" and got[0]["n_dropped"] == 1
     assert got[35]["n_dropped"] == 1 and got[98]["text"] == head and got[99]["text"] is None and got[97]["text"] == ""
+    few = spark.createDataFrame([(i, "s", f"menu\nown {i}" + ("\ntwice" if i < 2 else "")) for i in range(4)], "doc_id long, source string, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(few).collect()} == {i: f"own {i}" + ("\ntwice" if i < 2 else "") for i in range(4)}  # a small host
     copies = table.filter("doc_id = 0").crossJoin(spark.range(50)).select("doc_id", "source", "text")
     assert {r["n_dropped"] for r in line_dedup.dedup_lines(copies).collect()} == {0}  # copies of one page are one page
 
