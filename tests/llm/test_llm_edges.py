@@ -380,3 +380,62 @@ def test_languages(spark):
     assert [got[i]["lang_pred"] for i in (0, 100, 200, 201, 202, None, 203)] == ["de", "en", "und", "und", "de", "en", "und"]
     assert got[200]["score"] == 0 and got[None]["held_out"] is None
     assert {r["lang_pred"] for r in language_id.identify_languages(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
+def plain_languages(rows):
+    """Predictions and scores worked out with dictionaries: (lang, score) of each row of (doc_id, text, lang)."""
+    import math
+    from collections import Counter
+    from zlib import crc32
+
+    import regex
+
+    words = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    train = [(t, lang) for i, t, lang in rows if i is not None and lang is not None and crc32(str(i).encode()) % 5]
+    langs = sorted({lang for _, lang in train})
+    counts = [Counter(w for t, x in train if x == lang for w in words(t)) for lang in langs]
+    known = set().union(*counts)
+    held = [Counter(w[i : i + k] for w in (f"^{w}$" for w in c) for k in range(1, 5) for i in range(len(w) - k + 1)) for c in counts]
+    sizes = Counter(len(g) for g in set().union(*held))
+    totals = [Counter() for _ in langs]
+    for t, h in zip(totals, held):
+        for g, n in h.items():
+            t[len(g)] += n
+
+    def one(w):
+        if w in known:
+            logs = [math.log((c[w] + 0.5) / (sum(c.values()) + 0.5 * (len(known) + 1))) for c in counts]
+        else:
+            w, found = f"^{w}$", []
+            for i in range(len(w)):
+                g = next((w[i : i + k] for k in range(4, 0, -1) if i + k <= len(w) and any(h[w[i : i + k]] for h in held)), None)
+                if g:
+                    found.append([round(1000 * math.log((h[g] + 0.5) / (t[len(g)] + 0.5 * (sizes[len(g)] + 1)))) for h, t in zip(held, totals)])
+            logs = [sum(f[i] for f in found) / max(1, len(found)) / 1000 for i in range(len(langs))]
+        return [round(1000 * (max(logs) - x)) for x in logs]
+
+    out = []
+    for _, t, _ in rows:
+        own = words(t)
+        if not own or not langs:
+            out.append(("und", 0.0))
+            continue
+        losses = [sum(x) for x in zip(*map(one, own))]
+        out.append((langs[losses.index(min(losses))], 1 / sum(math.exp((min(losses) - x) / (1000 * len(own))) for x in losses)))
+    return out
+
+
+@pytest.mark.parametrize("head", [0, 5, 65_536])
+def test_languages_are_what_plain_counts_give(spark, head):
+    """Known, unseen and odd words, and ties, whatever is broadcast. N-grams held by equally many words of two languages, which no training row tells apart, count alike."""
+    import random
+
+    rng = random.Random(2)
+    alphabets = {"de": "abcdeß", "en": "abcdefg", "fr": "aceghé"}
+    word = lambda a: "".join(rng.choice(a) for _ in range(rng.randrange(1, 9)))
+    rows = [(i, " ".join(word(alphabets[x]) for _ in range(rng.randrange(1, 30))), x) for i, x in enumerate(rng.choices([*alphabets], k=120))]
+    rows += [(500, "same", "de"), (501, "same", "en"), (502, "same", None), (503, "zzz 漢字 " + "x" * 300, None), (504, None, "fr"), (505, "12 !", "fr"), (None, "abc abd", "fr"), (506, "same ample", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("term", F.lit("x")).repartition(3)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify_languages(table, head=head).collect()}
+    for (i, *_), (lang, score) in zip(rows, plain_languages(rows)):
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=2e-3), i
