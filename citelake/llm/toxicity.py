@@ -25,7 +25,7 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import durable, fold, pieces, plain_names
 
@@ -242,6 +242,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
+def _beginnings(words: Column, k: int) -> Column:
+    """The first k letters, and a star, of each longer word."""
+    return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.left(w, F.lit(k)), F.lit("*")))
+
+
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Words, and beginnings of longer words (with a star), whose log odds of standing in a toxic text are surely high, with weights by those
     odds. One is left out if a beginning of it is as sure. The driver gets what is sure, which stands in several of the sample's texts each."""
@@ -250,7 +255,7 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     if not toxic or not clean:
         return {}
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    begun = [F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.left(w, F.lit(k)), F.lit("*"))) for k in BEGINNINGS]
+    begun = [_beginnings(words, k) for k in BEGINNINGS]
     arcs = rows.select(F.explode(F.array_distinct(F.concat(words, *begun))).alias("arc"), "toxic")
     counted = arcs.groupBy("arc").agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
