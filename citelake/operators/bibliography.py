@@ -1,68 +1,122 @@
-"""Bibliographies in full texts: where they begin, their numbered entries, the papers in an entry and what is known of each."""
+"""Bibliographies in full texts: where they begin, their numbered entries, the papers in an entry and what is known of each.
+
+An entry is cut into words once, commas and colons being words of their own; what is known of it is read from the classes of neighbouring words: a
+name beside initials, a capitalized run before a volume and a page, a year.
+
+Defined results: a null text has no entries; of entries with one label the first counts; repeated ids are one document; what isn't
+found is null; empty tables give none."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Headings of a list of references; the greatest label; labels that are years.
-HEADING = r"(?im)^[^\S\n]*(?:\d+\.?\s+)?(?:references(?:\s+and\s+notes)?|bibliography|literature\s+cited|参考文献)\s*:?[^\S\n]*$"
+HEADINGS = ["references and notes", "references", "bibliography", "literature cited", "参考文献"]
 MOST_LABEL, YEARS = 500, (1900, 2099)
+#: Labels from which on a list that isn't surely right is of medium confidence, and the share of entries that may hold several papers.
+MANY, SEVERAL = 10, 0.3
+#: Words that begin with a capital in entries and are no names; beginnings of journals' names.
+NO_NAMES = ["Phys", "Rev", "Lett", "Nucl", "Part", "Theor", "Prog", "Report"]
+JOURNALS = ["phys", "nucl", "ann", "physica", "rev", "lett", "j."]
 _LABEL = r"(?m)^[^\S\n]*\[(\d{1,4})\][^\S\n]*"
-_LEFT, _RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-_YEAR = rf"{_LEFT}((?:19|20)\d{{2}}){_RIGHT}"
-#: Words that begin with a capital in entries and are no names.
-NO_NAMES = "Phys Rev Lett Nucl Part Theor Prog Report".split()
+#: Classes of words.
+_NAME, _INITIALS, _CAPITAL = r"^[A-Z][a-z]+(?:[-'’][A-Z][a-z]+)*$", r"^(?:[A-Z]\.?-?)+\.$|^[A-Z]$", r"^[A-Z][A-Za-z.-]*$"
+_VOLUME, _PAGE, _YEAR = r"^[A-Z]?\d{1,4}$", r"^[A-Za-z]?\d{1,6}(?:[-–]\d{1,6})?\.?$", r"^(?:19|20)\d{2}$"
 
 
 def section(text: Column) -> Column:
     """What follows the last heading of a list of references; the whole text without one."""
-    parts = F.split(text, HEADING)
+    listed = "|".join(r"\s+".join(x.split()) for x in HEADINGS)
+    parts = F.split(text, rf"(?im)^[^\S\n]*(?:\d+\.?[^\S\n]+)?(?:{listed})[^\S\n]*:?[^\S\n]*$")
     return F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(text)
 
 
 def entries(docs: DataFrame) -> DataFrame:
-    """(id, label, text): the entries that begin a line with a number in brackets. Of repeated labels the first counts.
+    """(id, label, text, place): the entries that begin a line with a number in brackets, and which of the lines with labels it is. docs: id, text.
 
-    docs: id, text. A text's part before its first label is no entry; labels above MOST_LABEL and those that are years are none."""
+    A text's part before its first label is no entry; labels above MOST_LABEL and those that are years are none."""
     own = docs.select("id", section(F.coalesce("text", F.lit(""))).alias("_s"))
     pairs = F.transform(F.regexp_extract_all("_s", F.lit(_LABEL), F.lit(1)), lambda n, i: F.struct(n.cast("int").alias("label"), F.regexp_replace(F.get(F.split("_s", _LABEL, -1), i + 1), r"^\s+|\s+$", "").alias("text"), i.alias("place")))
     each = own.select("id", F.explode(pairs).alias("e")).select("id", "e.*")
     fits = F.col("label").between(1, MOST_LABEL) & ~F.col("label").between(*YEARS)
-    return each.filter(fits).groupBy("id", "label").agg(F.min_by("text", "place").alias("text"))
+    return each.filter(fits).groupBy("id", "label").agg(F.min_by("text", "place").alias("text"), F.min("place").alias("place"))
 
 
-def _or_null(text: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+def words_of(text: Column, bare: bool = False) -> Column:
+    """The words of an entry; bare: without what stands in parentheses."""
+    text = F.regexp_replace(text, r"\([^)]*\)", " ") if bare else text
+    return F.filter(F.split(F.regexp_replace(text, "([,:])", " $1 "), r"[\s()]+"), lambda w: w != "")
 
 
 def doi_in(text: Column) -> Column:
-    found = F.coalesce(_or_null(text, r"(?i)doi\s*:?\s*([^\s;]+/[^\s;]+)"), _or_null(text, r"(?i)https?://\s*doi\.org/\s*([^\s;]+)"), _or_null(text, r"(10\.\d{4,9}/[^\s;]+)"))
-    return F.regexp_replace(found, r"[),.;\s]+$", "")
+    found = F.regexp_extract(text, r"10\.\d{4,9}/[^\s;]+", 0)
+    return F.nullif(F.regexp_replace(found, r"[\W_]+$", ""), F.lit(""))
 
 
 def arxiv_in(text: Column) -> Column:
-    """An arXiv id of the new form after its name or in an address, or of the old form."""
-    new = F.coalesce(_or_null(text, r"(?i)arXiv\s*:?\s*([0-9]{4}\.[0-9]{4,5})"), _or_null(text, r"(?i)arxiv\.org/(?:abs|pdf)/([0-9]{4}\.[0-9]{4,5})"))
-    return F.lower(F.coalesce(new, _or_null(text, rf"(?i){_LEFT}([a-z]+-[a-z]+/[0-9]{{7}})"), _or_null(text, r"(?i)([a-z-]+/[0-9]{7})")))
+    """An arXiv id of the new form where arXiv is named, or of the old form."""
+    new = F.when(F.rlike(text, F.lit("(?i)arxiv")), F.regexp_extract(text, r"(?<![\d./])\d{4}\.\d{4,5}(?!\d)|(?<=/)\d{4}\.\d{4,5}(?!\d)", 0))
+    old = F.lower(F.regexp_extract(text, r"(?i)(?<![a-z])[a-z]+(?:-[a-z]+)?(?:\.[a-z]{2})?/\d{7}(?!\d)", 0))
+    return F.coalesce(F.nullif(new, F.lit("")), F.nullif(old, F.lit("")))
+
+
+def _is(word: Column, pattern: str) -> Column:
+    return F.coalesce(F.rlike(word, F.lit(pattern)), F.lit(False))
+
+
+def person_in(words: Column) -> Column:
+    """The first last name beside initials or before et al."""
+
+    def named(w: Column, i: Column) -> Column:
+        before, next_, after = F.get(words, i - 1), F.get(words, i + 1), F.get(words, i + 2)
+        beside = (_is(before, _INITIALS) & (i > 0)) | (_is(next_, "^,$") & _is(after, _INITIALS)) | (_is(next_, "(?i)^et$") & _is(after, "(?i)^al"))
+        return F.when(_is(w, _NAME) & ~_is(w, "^(?:Collaboration|Group)$") & beside, w)
+
+    return F.get(F.filter(F.transform(words, named), lambda x: x.isNotNull()), F.lit(0))
+
+
+def group_in(words: Column) -> Column:
+    """The word before Collaboration."""
+    return F.get(F.filter(F.transform(words, lambda w, i: F.when(_is(w, "(?i)^collaboration") & (i > 0), F.get(words, i - 1))), lambda x: x.isNotNull()), F.lit(0))
 
 
 def author_in(text: Column) -> Column:
-    """The first author's last name: after initials, before them, beside a collaboration, before et al., or the first long capitalized word."""
-    word = _or_null(text, r"([A-Z][a-z]{3,})")
+    """The first author's last name: a Chinese or Korean family name, a name beside initials, a collaboration, or the first long capitalized word."""
+    words = words_of(text)
+    chinese, korean = F.regexp_extract(text, "^[一-鿿㐀-䶿]{2,4}", 0), F.regexp_extract(text, "^[가-힯]{2,5}", 0)
+    long = F.get(F.filter(F.transform(words, lambda w: F.regexp_extract(w, "[A-Z][a-z]{3,}", 0)), lambda w: w != ""), F.lit(0))
     return F.coalesce(
-        _or_null(text, r"^([一-鿿㐀-䶿])[一-鿿㐀-䶿]{1,3}"), _or_null(text, r"^([가-힯]{1,2})[가-힯]{1,3}"),
-        _or_null(text, r"^(?:[A-Z]\.?\s*)+?([A-Z][a-z]+)"), _or_null(text, r"^([A-Z][a-z]+(?:-[A-Z][a-z]+)?),\s*[A-Z]\."),
-        _or_null(text, r"(?i:Collaboration|Data\s+Group),?\s+(?:[A-Z]\.?\s*)+?([A-Z][a-z]+)"), _or_null(text, r"^([A-Z][A-Za-z]+)\s+(?i:Collaboration)"), _or_null(text, r"^([A-Z][a-z]+)\s+(?i:et\s+al)"),
-        F.when(~word.isin(NO_NAMES), word),
+        F.nullif(F.left(chinese, F.lit(1)), F.lit("")), F.when(F.length(korean) > 2, F.left(korean, F.lit(2))), F.nullif(F.left(korean, F.lit(1)), F.lit("")),
+        person_in(words), group_in(words), F.when(~long.isin(NO_NAMES), long),
     )
 
 
+def publication_in(text: Column) -> Column:
+    """(journal, volume, page): the first volume with a page behind and capitalized words before it; null if there is none."""
+    words = words_of(text, bare=True)
+
+    def at(w: Column, i: Column) -> Column:
+        next_, after = F.get(words, i + 1), F.get(words, i + 2)
+        page = F.when(_is(next_, _PAGE), next_).when(_is(next_, "^,$") & _is(after, _PAGE), after)
+        return F.when(_is(w, _VOLUME) & (i > 0) & _is(F.get(words, i - 1), _CAPITAL), F.struct(i.alias("at"), w.alias("volume"), page.alias("page")))
+
+    first = F.get(F.filter(F.transform(words, at), lambda x: x["page"].isNotNull()), F.lit(0))
+    start = F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when((i < first["at"]) & ~_is(w, _CAPITAL), i))) + 1, F.lit(0))
+    journal = F.array_join(F.slice(words, start + 1, first["at"] - start), " ")
+    return F.when(first.isNotNull(), F.struct(journal.alias("journal"), F.regexp_replace(first["volume"], "^[A-Z]", "").alias("volume"), F.regexp_extract(first["page"], r"^[A-Za-z]?\d+", 0).alias("page")))
+
+
+def year_in(text: Column) -> Column:
+    """The last year of an entry."""
+    return F.try_element_at(F.filter(F.split(text, "[^A-Za-z0-9]+"), lambda w: _is(w, _YEAR)), F.lit(-1))
+
+
 def looks_like_reference(text: Column) -> Column:
     """Whether a text has a year, and an author or a journal with volume and page."""
-    year = F.rlike(text, F.lit(_YEAR))
-    author = F.rlike(text, F.lit(r"[A-Z]\.\s*[A-Z][a-z]+|[A-Z][a-z]+,\s*[A-Z]\.|[A-Z][a-z]+\s+(?i:et\s+al)|(?i:Collaboration)"))
-    journal = F.rlike(text, F.lit(rf"(?i){_LEFT}(?:Phys|Nucl|Ann|Physica|Rev|Lett|J\.)")) & F.rlike(text, F.lit(rf"{_LEFT}[A-Za-z.]{{2,}}\s*\d{{1,4}}[, ]+\d{{1,5}}{_RIGHT}"))
-    return (F.length(text) >= 5) & year & (author | journal)
+    words, published = words_of(text), publication_in(text)
+    author = person_in(words).isNotNull() | F.exists(words, lambda w: _is(w, "(?i)^collaboration"))
+    journal = F.exists(F.split(F.lower(published["journal"]), " "), lambda w: F.lit(False) if not JOURNALS else _is(w, "^(?:" + "|".join(x.replace(".", r"\.") for x in JOURNALS) + ")"))
+    return (F.length(text) >= 5) & year_in(text).isNotNull() & (author | F.coalesce(journal, F.lit(False)))
 
 
 def papers_in(found: DataFrame) -> DataFrame:
@@ -71,25 +125,24 @@ def papers_in(found: DataFrame) -> DataFrame:
     A part counts if it looks like a reference or holds a year, DOI or arXiv id; with fewer than two such parts the entry is one paper. A part without
     an author has that of the part before."""
     parts = F.transform(F.split("text", r";\s*"), lambda p: F.trim(p))
-    counts = lambda p: looks_like_reference(p) | F.rlike(p, F.lit(_YEAR)) | F.rlike(p, F.lit(r"(?i)doi|10\.\d{4,9}/|arxiv|\bhep-[a-z]+/\d{7}"))
+    counts = lambda p: looks_like_reference(p) | year_in(p).isNotNull() | doi_in(p).isNotNull() | arxiv_in(p).isNotNull() | F.contains(F.lower(p), F.lit("doi"))
     good = F.filter(parts, counts)
     each = found.select("id", "label", F.posexplode(F.when(F.size(good) >= 2, good).otherwise(F.array("text"))).alias("part", "text"))
-    bare = F.regexp_replace("text", r"\s*\([^)]*\)", " ")
-    jvp = r"([A-Z][-A-Za-z.]*(?:\s+[A-Z][-A-Za-z.]*)*)\s+([A-Z]?\d{1,4})[, ]+\s*([A-Za-z]?\d{1,6})"
-    page = F.coalesce(_or_null(F.col("text"), rf"{_LEFT}(\d{{1,5}})(?:[-–]\d{{1,5}})?\s*\(\d{{4}}\)"), _or_null(F.col("text"), r",\s*(\d{1,5})\s*\("), _or_null(F.col("text"), r"[Pp](?:age|\.)\s*(\d{1,5})"), _or_null(bare, jvp, 3))
-    known = each.select(
-        "id", "label", "part", "text", F.rlike("text", F.lit(r"(?i)\(E\)|erratum")).alias("is_erratum"), doi_in(F.col("text")).alias("doi"), arxiv_in(F.col("text")).alias("arxiv"),
-        _or_null(bare, jvp, 1).alias("journal"), F.regexp_replace(_or_null(bare, jvp, 2), "^[A-Z]", "").alias("volume"), page.alias("page"), author_in(F.col("text")).alias("author"),
-        F.try_element_at(F.regexp_extract_all("text", F.lit(_YEAR), F.lit(1)), F.lit(-1)).alias("year"),
+    text = F.col("text")
+    known = each.withColumn("_p", publication_in(text)).select(
+        "id", "label", "part", "text", F.rlike(text, F.lit(r"(?i)\(E\)|erratum")).alias("is_erratum"), doi_in(text).alias("doi"), arxiv_in(text).alias("arxiv"),
+        F.col("_p.journal").alias("journal"), F.col("_p.volume").alias("volume"), F.col("_p.page").alias("page"), author_in(text).alias("author"), year_in(text).alias("year"),
     )
     before = Window.partitionBy("id", "label").orderBy("part")  # an entry's parts are few
     return known.withColumn("author", F.last("author", ignorenulls=True).over(before))
 
 
 def confidence(found: DataFrame, papers: DataFrame) -> DataFrame:
-    """(id, labels, confidence): high if labels run from 1 without a gap and at most 30 % of the entries hold several papers, low if neither, else medium."""
+    """(id, labels, confidence): high if each label is the one before plus one, wherever they begin, and at most SEVERAL of the entries hold several
+    papers; else medium from MANY labels on, else low."""
     several = papers.groupBy("id", "label").agg(F.count("*").alias("_n"))
-    met = found.select("id", "label").join(several, ["id", "label"], "left")
-    out = met.groupBy("id").agg(F.count("*").alias("labels"), F.max("label").alias("_top"), F.min("label").alias("_first"), F.count_if(F.col("_n") > 1).alias("_several"))
-    runs, single = (F.col("_first") == 1) & (F.col("_top") == F.col("labels")), F.col("_several") <= 0.3 * F.col("labels")
-    return out.select("id", "labels", F.when(runs & single, "high").when(runs | single, "medium").otherwise("low").alias("confidence"))
+    met = found.select("id", "label", "place").join(several, ["id", "label"], "left")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "label"))), lambda x: x["label"])  # a document has at most MOST_LABEL labels
+    out = met.groupBy("id").agg(F.count("*").alias("labels"), listed.alias("_labels"), F.count_if(F.col("_n") > 1).alias("_several"))
+    runs = ~F.exists(F.transform("_labels", lambda x, i: F.when(i > 0, x - F.get(F.col("_labels"), i - 1))), lambda d: F.coalesce(d != 1, F.lit(False)))
+    return out.select("id", "labels", F.when(runs & (F.col("_several") <= SEVERAL * F.col("labels")), "high").when(F.col("labels") >= MANY, "medium").otherwise("low").alias("confidence"))

@@ -1,47 +1,104 @@
-"""Funding: the acknowledgment part of a text, grant numbers by funders' rules, and their report.
+"""Funding: the acknowledgment part of a text, the grant numbers in it, and their report.
 
-A rule set is a parameter: callers bring their own table of funders. FUNDERS covers those that papers of the field name most."""
+Funders are data: FUNDERS lists each one's names, and its numbers' shapes in a small notation. A text is read once for tokens that have any
+funder's shape; a token belongs to a funder that is named shortly before it, or to that of the token before it in the same list, or to
+the one whose shape is unmistakable. Callers may bring funders of their own.
+
+Defined results: a null text has no grants; a grant that is named again counts once, at its first place; of several funders that may be meant
+the one with the highest priority is; repeated ids are one document; other columns of `docs` aren't read; empty tables give none."""
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from citelake.functions.places import matches_at
 
-#: How near a DFG number and its programme stand, how near joint funders stand, a footnote's length.
-SAME_PROJECT, JOINT, FOOTNOTE = 120, 50, 2000
-#: Words that begin the part (best kind first), and those that end it.
-STARTS = [("acknowledgments", r"(?i)(?:^|\n)\s*(?:ACKNOWLEDGE?MENTS?|致\s*谢)(?:\s*[:.\-–—]|\s+)"), ("funding", r"(?i)(?:^|\n)\s*(?:FUNDING(?:\s+(?:AND\s+)?ACKNOWLEDGE?MENTS?)?|FINANCIAL\s+SUPPORT|GRANT\s+(?:SUPPORT|INFORMATION)|SUPPORT(?:ING)?\s+INFORMATION|基金(?:资助)?项目|(?:项目)?资助(?:信息)?)(?:\s*[:.\-–—]|\s+)"), ("footnote", r"(?:收稿日期|基金项目|资助项目)[：:]\s*")]
-END = r"(?i)(?:^|\n)\s*(?:(?:REFERENCES?|BIBLIOGRAPHY|参考文献|附录|AUTHOR\s+CONTRIBUTIONS?)\s*(?:\n|$)|APPENDIX|(?:DECLARATION\s+OF\s+)?CONFLICTS?\s+OF\s+INTEREST|DATA\s+AVAILABILITY|ORCID)"
-_NO = r"(?:Grants?\s*)?(?:Nos?\.?\s*)?"
-_AND = r"(?:\s*(?:[,;、/&]\s*(?:and\s+)?|and\s+)(?:No\.?\s*)?{n})*"
-#: Funders: id, category, priority, words that name it, pattern of its numbers, pattern of those that need no name beside them.
+#: How near a DFG number and its programme stand, how near joint funders stand, a footnote's length, characters between name and number.
+SAME_PROJECT, JOINT, FOOTNOTE, REACH = 120, 50, 2000, 40
+#: What confidence begins with, and what a name, a word of context, and a place between thanks and references add.
+SURE, NAMED, IN_CONTEXT, IN_SECTION = 0.6, 0.25, 0.1, 0.05
+CONTEXT = ["grant", "supported", "funded", "资助", "acknowledge", "致谢", "project", "项目"]
+#: Headings that begin the part, best kind first, and headings that end it; those of ALONE only if nothing follows in their line.
+STARTS = {
+    "acknowledgments": ["acknowledgment", "acknowledgments", "acknowledgement", "acknowledgements", "致谢"],
+    "funding": ["funding and acknowledgments", "funding and acknowledgements", "funding", "financial support", "grant support", "grant information", "support information", "supporting information", "基金资助项目", "基金项目", "项目资助信息", "项目资助", "资助信息", "资助"],
+    "footnote": ["收稿日期", "基金项目", "资助项目"],
+}
+ENDS = ["appendix", "conflict of interest", "conflicts of interest", "declaration of conflict of interest", "declaration of conflicts of interest", "data availability", "orcid"]
+ALONE = ["reference", "references", "bibliography", "参考文献", "附录", "author contribution", "author contributions"]
+
+
+@dataclass(frozen=True)
+class Funder:
+    """names as they are written (words may stand apart by any blanks). shapes: d is a digit, c a capital letter, {m,n} repeats, (x|y) is
+    either, all else stands for itself; sure: such a number needs no name. years: the bounds of a number's first four digits."""
+
+    id: str
+    category: str
+    priority: int
+    names: tuple[str, ...]
+    shapes: tuple[str, ...]
+    sure: tuple[str, ...] = ()
+    years: tuple[int, int] | None = None
+
+
+#: Funders, their categories and priorities, by the public formats of their numbers.
 FUNDERS = [
-    ("NSFC", "china", 100, r"NSFC|NNSFC?|国家自然科学基金|基金委|Natura?l?\s+(?:Science\s+)?Foundations?\s+of\s+China", r"[1-9U]\d{7,10}", None),
-    ("MoST", "china", 95, r"MoST|MOST|NKRDP|重点研发计划|National\s+Key\s+(?:R&D|Research\s+and\s+Development)\s+Program(?:\s+of\s+China)?", r"20[12]\dYF[A-Z]\d{7}", r"20[12]\dYF[A-Z]\d{7}"),
-    ("CAS", "china", 92, r"CAS|中科院|中国科学院|Strategic\s+Priority|Chinese\s+Academy\s+of\s+Sciences", r"XD[A-Z]{1,2}\d{2,8}|YSBR-\d{2,4}", r"XD[A-Z]{1,2}\d{2,8}|YSBR-\d{2,4}"),
-    ("MoST-973", "china", 90, r"973|国家重点基础研究", r"20[01]\dCB\d{6}", r"20[01]\dCB\d{6}"),
-    ("CPSF", "china", 80, r"CPSF|博士后|(?:China\s+)?Postdoctoral", r"GZC20[12]\d{5,7}|20[12]\d[MTG]\d{4,7}", None),
-    ("DOE", "us", 90, r"DOE|DoE|(?:U\.?S\.?\s+)?Department\s+of\s+Energy", r"DE-[A-Z]{2}\d{2}-\d{2}[A-Z]{2}\d{5}|DE-[A-Z]{2}\d{7,10}", r"DE-[A-Z]{2}\d{2}-\d{2}[A-Z]{2}\d{5}|DE-[A-Z]{2}\d{7,10}"),
-    ("NSF", "us", 88, r"NSF|National\s+Science\s+Foundation", r"(?:PHY|AST|DMR|CHE|DMS|MPS|ENG|BIO)-?\d{7}", r"(?:PHY|AST|DMR|CHE|DMS|MPS|ENG|BIO)-?\d{7}"),
-    ("ERC", "eu", 88, r"ERC|European\s+Research\s+Council", r"\d{6,9}", None),
-    ("DFG", "eu", 85, r"DFG|Deutsche\s+Forschungsgemeinschaft|German\s+Research\s+Foundation", r"\d{9}|(?:SFB|TRR|CRC)\s?\d{2,4}", r"(?:SFB|TRR|CRC)\s?\d{2,4}"),
-    ("STFC", "eu", 80, r"STFC|Science\s+and\s+Technology\s+Facilities\s+Council", r"ST/[A-Z]\d{6}/\d", r"ST/[A-Z]\d{6}/\d"),
-    ("JSPS", "asia", 80, r"JSPS|KAKENHI", r"(?:JP)?\d{2}[HKJ]\d{5}", None),
+    Funder("NSFC", "china", 100, ("NSFC", "NNSFC", "NNSF", "国家自然科学基金", "基金委", "Natural Science Foundation of China", "Nature Science Foundation of China", "Natural Science Foundations of China"), ("(1|2|3|4|5|6|7|8|9|U)d{7,10}",)),
+    Funder("MoST", "china", 95, ("MoST", "MOST", "NKRDP", "重点研发计划", "National Key R&D Program", "National Key R&D Program of China", "National Key Research and Development Program", "National Key Research and Development Program of China"), (), ("20ddYFcd{7}",), (2016, 2099)),
+    Funder("CAS", "china", 92, ("CAS", "中科院", "中国科学院", "Strategic Priority Research Program", "Chinese Academy of Sciences"), (), ("XDc{1,2}d{2,8}", "YSBR-d{2,4}")),
+    Funder("MoST-973", "china", 90, ("973 Program", "国家重点基础研究", "National Basic Research Program"), (), ("20ddCBd{6}",), (2001, 2017)),
+    Funder("MoST-863", "china", 85, ("863 Program", "国家高技术"), ("20ddAAd{6}",), (), (2001, 2017)),
+    Funder("CAS-PIFI", "china", 80, ("PIFI", "国际人才计划", "President's International Fellowship Initiative"), ("20ddc{2,4}d{4,6}",)),
+    Funder("CPSF", "china", 80, ("CPSF", "博士后", "China Postdoctoral Science Foundation", "Postdoctoral"), ("GZC20d{6,8}", "20dd(M|T|G)d{4,7}")),
+    Funder("BNSF", "china", 60, ("Beijing Natural Science Foundation", "北京市自然科学基金"), ("(JQ|Z|L|M)?d{6,8}",)),
+    Funder("DOE", "us", 90, ("DOE", "DoE", "Department of Energy"), (), ("DE-ccd{7,10}", "DE-ccdd-ddccd{5}", "d{8}cccd{6}")),
+    Funder("NSF", "us", 90, ("NSF", "National Science Foundation"), (), ("(PHY|AST|DMR|CHE|DMS|MPS|ENG|BIO)-?d{7}",)),
+    Funder("NIH", "us", 75, ("NIH", "National Institutes of Health"), (), ("(R|K|F|T|U)ddccd{6}",)),
+    Funder("ERC", "eu", 85, ("ERC", "European Research Council", "Horizon 2020"), ("d{6,9}",)),
+    Funder("DFG", "eu", 80, ("DFG", "Deutsche Forschungsgemeinschaft", "German Research Foundation"), ("d{9}",), ("(SFB|TRR|CRC) ?d{2,4}",)),
+    Funder("BMBF", "eu", 78, ("BMBF", "Bundesministerium für Bildung und Forschung"), (), ("05cd{2}c{2,4}d{0,2}",)),
+    Funder("MICINN", "eu", 80, ("MICINN", "MINECO", "Ministerio de Ciencia e Innovación"), (), ("PID20dd-d{6}cc-cdd", "FPA20dd-d{5}-c")),
+    Funder("STFC", "eu", 75, ("STFC", "Science and Technology Facilities Council"), (), ("ST/cd{6}/d",)),
+    Funder("ANR", "eu", 70, ("ANR", "Agence Nationale de la Recherche"), (), ("ANR-dd-ccccd?-d{4}",)),
+    Funder("SNSF", "eu", 70, ("SNSF", "Swiss National Science Foundation"), ("(200020|200021|PP00P2)_d{6}", "d{6}")),
+    Funder("JSPS", "asia", 80, ("JSPS", "KAKENHI", "Japan Society for the Promotion of Science"), ("(JP)?dd(H|K|J)d{5}",)),
+    Funder("NRF-KR", "asia", 75, ("NRF of Korea", "National Research Foundation of Korea"), (), ("NRF-20ddccdcdcd{8}",)),
+    Funder("NSERC", "intl", 75, ("NSERC",), ("SAPIN-20dd-d{5}", "RGPIN-20dd-d{5}")),
+    Funder("ARC-AU", "intl", 75, ("Australian Research Council",), (), ("(DP|FT|DE|CE|LP)d{9}",)),
+    Funder("RSF", "intl", 70, ("RSF", "Russian Science Foundation"), ("dd-dd-d{5}",)),
+    Funder("RFBR", "intl", 70, ("RFBR", "Russian Foundation for Basic Research"), ("dd-dd-d{5}",)),
 ]
 
 
-def acknowledgment(text: Column) -> Column:
-    """(source, text): the part from the best heading to the first heading that ends it; the whole text without a heading."""
-    full = F.struct(F.lit("full_text").alias("source"), text.alias("text"))
+def _words(text: str) -> str:
+    """An expression for a phrase whose words may stand apart by any blanks; Chinese characters too."""
+    return r"\s+".join(map(re.escape, text.split())) if text.isascii() else r"\s*".join(map(re.escape, text))
+
+
+def _shape(shape: str) -> str:
+    return "".join({"d": "[0-9]", "c": "[A-Z]", "(": "(?:"}.get(x, x if x in ")|?{}," or x.isdigit() else re.escape(x)) for x in shape)
+
+
+def _any(expressions: list[str]) -> str:
+    return "(?:" + "|".join(expressions) + ")"
 
-    def after(source: str, pattern: str) -> Column:
-        head = F.get(F.split(text, pattern, 2), F.lit(1))
-        part = F.get(F.split(head, END, 2), F.lit(0))
-        part = F.left(part, F.lit(FOOTNOTE)) if source == "footnote" else part
-        return F.when(head.isNotNull(), F.struct(F.lit(source).alias("source"), F.regexp_replace(part, r"^\s+|\s+$", "").alias("text")))
 
-    return F.coalesce(*(after(s, p) for s, p in STARTS), full)
+def acknowledgment(text: Column) -> Column:
+    """(source, text): the part from the best heading to the first heading that ends it; the whole text without a heading."""
+    ended = rf"(?i)(?:^|\n)\s*(?:{_any([_words(x) for x in sorted(ALONE, key=len, reverse=True)])}\s*(?:\n|$)|{_any([_words(x) for x in ENDS])})"
+    out = F.struct(F.lit("full_text").alias("source"), text.alias("text"))
+    for source, headings in reversed(STARTS.items()):
+        listed = _any([_words(x) for x in sorted(headings, key=len, reverse=True)])
+        begun = rf"{listed}[：:]\s*" if source == "footnote" else rf"(?i)(?:^|\n)\s*{listed}(?:\s*[:.\-–—]|\s+)"
+        head = F.get(F.split(text, begun, 2), F.lit(1))
+        part = F.get(F.split(head, ended, 2), F.lit(0))
+        part = F.regexp_replace(F.left(part, F.lit(FOOTNOTE)) if source == "footnote" else part, r"^\s+|\s+$", "")
+        out = F.when(head.isNotNull(), F.struct(F.lit(source).alias("source"), part.alias("text"))).otherwise(out)
+    return out
 
 
 def text_language(text: Column) -> Column:
@@ -51,60 +108,68 @@ def text_language(text: Column) -> Column:
 
 
 def searched(text: Column) -> Column:
-    """A text as rules see it, whole: full-width characters as plain ones, no page numbers and running heads, in one line."""
+    """A text as it is read, whole: full-width characters as plain ones, one line, without lines that are page numbers or running heads."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
-    out = F.translate(text, wide, "".join(chr(ord(c) - 0xFEE0) for c in wide))
-    for pattern in (r"(?m)^\s*\d+\s*$", r"(?i)[^\n]*Page \d+ of \d+[^\n]*", r"(?i)Eur\.\s*Phys\.\s*J\.\s*C[^\n]*", r"[\r\n]+"):
-        out = F.regexp_replace(out, pattern, " ")
-    return out
+    lines = F.split(F.translate(text, wide, "".join(chr(ord(c) - 0xFEE0) for c in wide)), r"\r?\n")
+    head = lambda x: F.rlike(x, F.lit(r"^\s*\d+\s*$")) | F.rlike(x, F.lit(r"(?i)page \d+ of \d+"))
+    clean = F.transform(lines, lambda x: F.when(head(x), F.lit("")).otherwise(F.regexp_replace(x, r"(?i)Eur\.\s*Phys\.\s*J\.\s*C.*", "")))
+    return F.array_join(clean, " ")
 
 
-def is_valid(funder: Column, grant: Column) -> Column:
-    """Whether a number has its funder's form."""
-    long = F.length(grant) >= 3
-    nsfc = F.rlike(grant, F.lit(r"^(?:U|[1-9])\d{7,10}$"))
-    return long & F.when(funder == "NSFC", nsfc).when(funder == "ERC", F.rlike(grant, F.lit(r"^\d{6,9}$"))).otherwise(True)
+def normal_number(funder: Column, grant: Column) -> Column:
+    """NSF numbers with a hyphen after the letters, DOE numbers in capitals."""
+    return F.when(funder == "NSF", F.regexp_replace(grant, r"^([A-Z]+)([0-9])", "$1-$2")).when(funder == "DOE", F.upper(grant)).otherwise(grant)
 
 
-def normal_number(funder: Column, grant: Column) -> Column:
-    nsf = F.regexp_replace(grant, r"^([A-Z]{3,4})(\d{7})$", "$1-$2")
-    return F.when(funder == "NSF", nsf).when(funder == "DOE", F.upper(grant)).otherwise(grant)
+def _fitting(value: Column, funders: list[Funder], sure: bool) -> Column:
+    """Array of (rank, funder): whose numbers may look like that, the highest priority first."""
 
+    def fits(f: Funder) -> Column:
+        shapes = f.sure if sure else (*f.shapes, *f.sure)
+        if not shapes:
+            return F.lit(None)
+        ok = F.rlike(value, F.lit(f"^{_any([_shape(x) for x in shapes])}$"))
+        return F.when(ok & F.left(value, F.lit(4)).try_cast("int").between(*f.years) if f.years else ok, F.struct(F.lit(-f.priority).alias("rank"), F.lit(f.id).alias("funder")))
 
-def grants(docs: DataFrame, funders: list[tuple] = FUNDERS) -> DataFrame:
-    """(id, funder, category, grant, position, confidence): the grants that a text names, each once, by its first place.
+    return F.sort_array(F.array_compact(F.array(*(fits(f) for f in funders), F.lit(None).cast("struct<rank:int,funder:string>"))))
 
-    A list of numbers after a funder's name counts as a whole. Where matches of several funders overlap, the one with the higher priority stays.
-    docs: id, text; null texts have none."""
-    part = docs.select("id", searched(F.coalesce(acknowledgment(F.col("text"))["text"], F.lit(""))).alias("_t"))
 
-    def lists(rule: tuple) -> Column:
-        name, category, priority, words, number, alone = rule
-        listed = lambda n: f"(?:{n})" + _AND.format(n=f"(?:{n})")
-        named = rf"(?<![A-Za-z])(?:{words})[^0-9]{{0,40}}?{_NO}({listed(number)})(?![A-Za-z0-9])"
-        found = F.transform(matches_at(F.col("_t"), named), lambda m: F.struct(m["at"].alias("at"), m["length"].alias("length"), m["value"].alias("value"), F.lit(True).alias("named")))
-        if alone:
-            bare = F.transform(matches_at(F.col("_t"), rf"(?<![A-Za-z0-9])({listed(alone)})(?![A-Za-z0-9])"), lambda m: F.struct(m["at"].alias("at"), m["length"].alias("length"), m["value"].alias("value"), F.lit(False).alias("named")))
-            found = F.concat(found, bare)
-        return F.transform(found, lambda m: F.struct(m["at"].alias("at"), F.lit(-priority).alias("rank"), (m["at"] + m["length"]).alias("end"), F.lit(name).alias("funder"), F.lit(category).alias("category"), m["value"].alias("value"), m["named"].alias("named"), F.lit(number).alias("number")))
-
-    candidates = F.sort_array(F.concat(*(lists(f) for f in funders)))
-    kind = "array<struct<at:int,rank:int,end:int,funder:string,category:string,value:string,named:boolean,number:string>>"
-
-    def settle(kept: Column, c: Column) -> Column:
-        """The matches kept so far and one more: of those that overlap the lowest rank stays, the earlier one of equals."""
-        meets = lambda m: (m["at"] < c["end"]) & (c["at"] < m["end"])
-        beaten = F.exists(kept, lambda m: meets(m) & (m["rank"] <= c["rank"]))
-        return F.when(beaten, kept).otherwise(F.concat(F.filter(kept, lambda m: ~meets(m)), F.array(c)))
-
-    settled = F.aggregate(candidates, F.array().cast(kind), settle)
-    each = part.select("id", "_t", F.explode(settled).alias("m"))
-    numbers = F.coalesce(*(F.when(F.col("m.funder") == f[0], F.regexp_extract_all("m.value", F.lit(f"({f[4]})"), F.lit(1))) for f in funders))
-    split = each.select("id", "_t", "m.funder", "m.category", "m.named", "m.at", "m.end", F.posexplode(numbers).alias("k", "grant")).filter(is_valid(F.col("funder"), F.col("grant")))
-    place = F.col("at") + F.expr("greatest(locate(grant, substr(_t, at + 1, end - at)) - 1, 0)")
-    context = F.rlike(F.expr("substr(_t, greatest(at - 40, 0) + 1, end - at + 40)"), F.lit("(?i)grant|supported|funded|资助|acknowledge|致谢|project|项目"))
-    confidence = F.least(F.lit(1.0), 0.6 + F.when(F.col("named"), 0.25).otherwise(0.0) + F.when(context, 0.1).otherwise(0.0))
-    found = split.select("id", "funder", "category", normal_number(F.col("funder"), F.col("grant")).alias("grant"), place.cast("int").alias("position"), F.round(confidence, 2).alias("confidence"))
+def grants(docs: DataFrame, funders: list[Funder] = FUNDERS) -> DataFrame:
+    """(id, funder, category, grant, position, confidence): the grants that a text (id, text) names. position counts in the part as it is read."""
+    part = docs.select("id", searched(F.coalesce(acknowledgment(F.col("text"))["text"], F.lit(""))).alias("_t"))
+    shapes = sorted({_shape(x) for f in funders for x in (*f.shapes, *f.sure)}, key=len, reverse=True)
+    tokens = matches_at(F.col("_t"), rf"(?<![A-Za-z0-9])({_any(shapes)})(?![A-Za-z0-9])")
+    tokens = F.transform(tokens, lambda t: F.struct(t["at"].alias("at"), t["value"].alias("value"), _fitting(t["value"], funders, False).alias("may"), _fitting(t["value"], funders, True).alias("sure")))
+
+    def mentions(f: Funder) -> Column:
+        found = matches_at(F.col("_t"), rf"(?<![A-Za-z])({_any([_words(x) for x in sorted(f.names, key=len, reverse=True)])})")
+        return F.transform(found, lambda m: F.struct(F.lit(-f.priority).alias("rank"), F.lit(f.id).alias("funder"), m["at"].alias("at"), (m["at"] + m["length"]).alias("end")))
+
+    named = [mentions(f) for f in funders]
+    part = part.withColumn("_tokens", tokens).filter(F.size("_tokens") > 0).withColumn("_names", F.concat(*named))
+    between = lambda a, b: F.substr(F.col("_t"), a + 1, b - a)
+    one = "struct<funder:string,grant:string,at:int,start:int,named:boolean>"
+    start = F.struct(F.lit(None).cast("string").alias("funder"), F.lit(0).alias("end"), F.array().cast(f"array<{one}>").alias("out"))
+
+    def read(s: Column, t: Column) -> Column:
+        """The owner of the next token: a funder named before it, or its list's, or the one whose shape it has."""
+        gap = lambda m: (m["end"] <= t["at"]) & (t["at"] - m["end"] <= REACH) & ~F.rlike(between(m["end"], t["at"]), F.lit("[0-9]"))
+        near = F.filter(F.col("_names"), lambda m: F.exists(t["may"], lambda x: x["funder"] == m["funder"]) & gap(m))
+        best = F.array_min(F.transform(near, lambda m: F.struct(m["rank"].alias("rank"), (-m["at"]).alias("back"), m["funder"].alias("funder"))))
+        listed = F.exists(t["may"], lambda x: x["funder"] == s["funder"]) & F.rlike(between(s["end"], t["at"]), F.lit(r"^\s*(?:[,;、/&]\s*(?:and\s+)?|and\s+)(?:Nos?\.?\s*)?$"))
+        owner = F.coalesce(best["funder"], F.when(listed, s["funder"]), F.get(t["sure"], F.lit(0))["funder"])
+        row = F.struct(owner.alias("funder"), t["value"].alias("grant"), t["at"].alias("at"), F.coalesce(-best["back"], t["at"]).alias("start"), best.isNotNull().alias("named"))
+        return F.struct(owner.alias("funder"), (t["at"] + F.length(t["value"])).alias("end"), F.when(owner.isNotNull(), F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out"))
+
+    each = part.select("id", "_t", F.explode(F.aggregate("_tokens", start, read, lambda s: s["out"])).alias("m")).select("id", "_t", "m.*")
+    raw = F.lower(between(F.col("start"), F.col("at") + F.length("grant")))
+    context = F.rlike(raw, F.lit("|".join(CONTEXT)))
+    thanks, end = F.regexp_instr("_t", F.lit(r"(?i)acknowledge?ment|致\s*谢")), F.regexp_instr("_t", F.lit(r"(?i)reference|参考文献"))
+    inside = (thanks > 0) & (end > 0) & (F.col("at") >= thanks) & (F.col("at") < end - 1)
+    add = lambda c, x: F.when(c, x).otherwise(0.0)
+    confidence = F.round(F.least(F.lit(1.0), SURE + add(F.col("named"), NAMED) + add(context, IN_CONTEXT) + add(inside, IN_SECTION)), 2)
+    category = F.create_map(*(F.lit(x) for f in funders for x in (f.id, f.category)))
+    found = each.select("id", "funder", F.element_at(category, F.col("funder")).alias("category"), normal_number(F.col("funder"), F.col("grant")).alias("grant"), F.col("at").alias("position"), confidence.alias("confidence"))
     return found.groupBy("id", "funder", "category", "grant").agg(F.min("position").alias("position"), F.max_by("confidence", -F.col("position")).alias("confidence"))
 
 
@@ -113,8 +178,9 @@ def merge_programmes(found: DataFrame) -> DataFrame:
 
     A programme meets the nearest number within SAME_PROJECT characters of the same text."""
     dfg = F.col("funder") == "DFG"
-    ids = found.filter(dfg & F.rlike("grant", F.lit(r"^\d{9}$"))).select("id", F.col("grant").alias("_number"), F.col("position").alias("_at"))
-    programmes = found.filter(dfg & F.rlike("grant", F.lit(r"(?i)^(?:SFB|TRR|CRC)\s?\d{2,4}$"))).select("id", F.col("grant").alias("_programme"), F.col("position").alias("_near"))
+    is_number = F.rlike("grant", F.lit(r"^\d{9}$"))
+    ids = found.filter(dfg & is_number).select("id", F.col("grant").alias("_number"), F.col("position").alias("_at"))
+    programmes = found.filter(dfg & ~is_number).select("id", F.col("grant").alias("_programme"), F.col("position").alias("_near"))
     pairs = programmes.join(ids, "id").filter(F.abs(F.col("_at") - F.col("_near")) < SAME_PROJECT)
     best = pairs.groupBy("id", "_programme").agg(F.min(F.struct(F.abs(F.col("_at") - F.col("_near")).alias("d"), "_number")).alias("b")).select("id", "_programme", F.col("b._number").alias("_number"))
     named = best.groupBy("id", F.col("_number").alias("grant")).agg(F.array_join(F.sort_array(F.collect_list("_programme")), ", ").alias("_names")).withColumn("funder", F.lit("DFG"))

@@ -157,36 +157,58 @@ def cache_statistics(spark, d):
     return L.cache_statistics(tables.table(spark, d, "events").selectExpr("event_type AS kind", "event_id % 60 AS n_rows", "event_id % 7 AS hits", "event_id % 3 AS misses"))
 
 
-#: An order as a full text with an acknowledgment.
-_ACK = "concat('Title', {n}, 'Body of NSFC Grant No. 99999999.', {n}, 'Acknowledgments: supported by ', CASE o_orderkey % 4 WHEN 0 THEN concat('NSFC Grant Nos. ', 10000000 + o_orderkey, ', ', 20000000 + o_orderkey, ' and the NSF under PHY', 1000000 + o_orderkey % 1000) WHEN 1 THEN concat('the DFG project ', 200000000 + o_orderkey, ' - SFB ', 100 + o_orderkey % 900, ' of the DFG') WHEN 2 THEN concat('DOE contract DE-SC', 1000000 + o_orderkey % 1000) ELSE 'nobody' END, '.', {n}, 'References', {n}, '[1] NSFC 88888888')"
+#: An order as a full text with an acknowledgment, in eight forms.
+_ACK = """concat('Title', {n}, 'Body of NSFC Grant No. 99999999.', {n}, 'Acknowledgments: ', CASE o_orderkey % 8
+  WHEN 0 THEN concat('supported by NSFC Grant Nos. ', 10000000 + o_orderkey, ', ', 20000000 + o_orderkey, ' and the NSF under PHY', 1000000 + o_orderkey % 1000)
+  WHEN 1 THEN concat('supported by the DFG project ', 200000000 + o_orderkey, ' - SFB ', 100 + o_orderkey % 900, ' of the DFG')
+  WHEN 2 THEN concat('by DOE contract DE-SC', 1000000 + o_orderkey % 1000)
+  WHEN 3 THEN 'nobody'
+  WHEN 4 THEN concat('NSFC and DFG, ', 300000000 + o_orderkey, '; later DE-SC', 1000000 + o_orderkey % 1000, ' too')
+  WHEN 5 THEN concat('Our acknowledgments go to the ERC, ', 400000 + o_orderkey % 1000, '/', 500000 + o_orderkey % 1000, ', as references say')
+  WHEN 6 THEN concat('funded by NSFC (', 10000000 + o_orderkey, '), NSFC (', 10000000 + o_orderkey, ') and MoST 2015YFA', 1000000 + o_orderkey % 1000, ' 2020YFA', 1000000 + o_orderkey % 1000)
+  ELSE concat('order ', 10000000 + o_orderkey, ' of nobody') END, '.', {n}, 'References', {n}, '[1] NSFC 88888888')"""
 
 
 def _funded(spark, d):
     return orders(spark, d).select(F.col("o_orderkey").alias("id"), F.expr(_ACK.format(n="'\\n'")).alias("text"))
 
 
-@query("grants", """SELECT o_orderkey AS id, f.funder, CASE f.funder WHEN 'NSFC' THEN 'china' WHEN 'DFG' THEN 'eu' ELSE 'us' END AS category, f.g AS grant FROM orders, LATERAL (SELECT unnest(CASE o_orderkey % 4
-  WHEN 0 THEN [{'funder': 'NSFC', 'g': CAST(10000000 + o_orderkey AS VARCHAR)}, {'funder': 'NSFC', 'g': CAST(20000000 + o_orderkey AS VARCHAR)}, {'funder': 'NSF', 'g': 'PHY-' || (1000000 + o_orderkey % 1000)}]
-  WHEN 1 THEN [{'funder': 'DFG', 'g': (200000000 + o_orderkey) || ' [SFB ' || (100 + o_orderkey % 900) || ']'}] WHEN 2 THEN [{'funder': 'DOE', 'g': 'DE-SC' || (1000000 + o_orderkey % 1000)}] END) AS f)""")
+#: What is to be found in each form: form, funder, category, the grant as it stands, as it is given, and its confidence.
+_FOUND = [
+    (0, "NSFC", "china", "CAST(10000000 + o_orderkey AS VARCHAR)", "CAST(10000000 + o_orderkey AS VARCHAR)", 0.95), (0, "NSFC", "china", "CAST(20000000 + o_orderkey AS VARCHAR)", "CAST(20000000 + o_orderkey AS VARCHAR)", 0.6),
+    (0, "NSF", "us", "'PHY' || (1000000 + o_orderkey % 1000)", "'PHY-' || (1000000 + o_orderkey % 1000)", 0.85), (1, "DFG", "eu", "CAST(200000000 + o_orderkey AS VARCHAR)", "(200000000 + o_orderkey) || ' [SFB ' || (100 + o_orderkey % 900) || ']'", 0.95),
+    (2, "DOE", "us", "'DE-SC' || (1000000 + o_orderkey % 1000)", "'DE-SC' || (1000000 + o_orderkey % 1000)", 0.85), (4, "NSFC", "china", "CAST(300000000 + o_orderkey AS VARCHAR)", "CAST(300000000 + o_orderkey AS VARCHAR)", 0.85),
+    (4, "DOE", "us", "'DE-SC' || (1000000 + o_orderkey % 1000)", "'DE-SC' || (1000000 + o_orderkey % 1000)", 0.6), (5, "ERC", "eu", "CAST(400000 + o_orderkey % 1000 AS VARCHAR)", "CAST(400000 + o_orderkey % 1000 AS VARCHAR)", 0.9),
+    (5, "ERC", "eu", "CAST(500000 + o_orderkey % 1000 AS VARCHAR)", "CAST(500000 + o_orderkey % 1000 AS VARCHAR)", 0.65), (6, "NSFC", "china", "CAST(10000000 + o_orderkey AS VARCHAR)", "CAST(10000000 + o_orderkey AS VARCHAR)", 0.85),
+    (6, "MoST", "china", "'2020YFA' || (1000000 + o_orderkey % 1000)", "'2020YFA' || (1000000 + o_orderkey % 1000)", 0.6),
+]
+_PART = "replace(string_split(string_split(" + _ACK.format(n="chr(10)") + ", 'Acknowledgments: ')[2], chr(10) || 'References')[1], chr(10), ' ')"
+_GRANTS = f"WITH p AS (SELECT o_orderkey, {_PART} AS part FROM orders), g AS (" + " UNION ALL ".join(f"SELECT o_orderkey AS id, '{f}' AS funder, '{c}' AS category, {g} AS \"grant\", strpos(part, {raw}) - 1 AS position, {x}::DOUBLE AS confidence FROM p WHERE o_orderkey % 8 = {k}" for k, f, c, raw, g, x in _FOUND) + ")"
+
+
+@query("grants", _GRANTS + ' SELECT id, funder, category, "grant", position, confidence FROM g')
 def grants(spark, d):
-    return funding.merge_programmes(funding.grants(_funded(spark, d))).select("id", "funder", "category", "grant")
+    return funding.merge_programmes(funding.grants(_funded(spark, d)))
 
 
-_LINE = "CASE o_orderkey % 4 WHEN 0 THEN 'NSFC: ' || (10000000 + o_orderkey) || ', ' || (20000000 + o_orderkey) || '; NSF: PHY-' || (1000000 + o_orderkey % 1000) WHEN 1 THEN 'DFG: ' || (200000000 + o_orderkey) || ' [SFB ' || (100 + o_orderkey % 900) || ']' WHEN 2 THEN 'DOE: DE-SC' || (1000000 + o_orderkey % 1000) END"
+_LINES = _GRANTS + """, f AS (
+  SELECT id, funder, min(position) AS first, string_agg("grant", ', ' ORDER BY position) AS list,
+         bool_or(category <> 'china' AND EXISTS (SELECT 1 FROM g c WHERE c.id = g.id AND c.category = 'china' AND g.position > c.position AND g.position - c.position < 50)) AS joint FROM g GROUP BY id, funder),
+l AS (SELECT id, string_agg(funder || ': ' || list, '; ' ORDER BY joint, first) AS grants FROM f GROUP BY id)"""
 
 
-@query("grants_by_funder", f"SELECT o_orderkey AS id, {_LINE} AS grants FROM orders WHERE o_orderkey % 4 <> 3")
+@query("grants_by_funder", _LINES + " SELECT id, grants FROM l")
 def grants_by_funder(spark, d):
-    return funding.funding_lines(funding.merge_programmes(funding.grants(_funded(spark, d))))
+    return funding.funding_lines(grants(spark, d))
 
 
-@query("funding_table", SQL + f", g AS (SELECT o_orderkey AS recid, {_LINE} AS grants FROM orders) SELECT recid AS id, concat_ws(chr(9), replace(replace(title, chr(9), ' '), chr(10), ' '), coalesce(arxiv_id, ''), coalesce(grants, '')) AS line FROM papers JOIN g USING (recid)")
+@query("funding_table", _LINES.replace("WITH p AS", SQL + ", p AS", 1) + " SELECT recid AS id, concat_ws(chr(9), replace(replace(title, chr(9), ' '), chr(10), ' '), coalesce(arxiv_id, ''), coalesce(grants, '')) AS line FROM papers LEFT JOIN l ON l.id = recid")
 def funding_table(spark, d):
     p = tables.papers(spark, d).select(F.col("recid").alias("id"), "title", "arxiv_id")
     return funding.funding_table(p, grants_by_funder(spark, d))
 
 
-@query("chinese_funding_counts", "SELECT CASE WHEN count(*) FILTER (o_orderkey % 4 = 0) > 0 THEN 1 ELSE 0 END AS funders, 2 * count(*) FILTER (o_orderkey % 4 = 0) AS grants FROM orders")
+@query("chinese_funding_counts", _GRANTS + " SELECT count(DISTINCT funder) AS funders, count(*) AS grants FROM g WHERE category = 'china'")
 def chinese_funding_counts(spark, d):
     return funding.funding_counts(funding.of_category(funding.grants(_funded(spark, d))))
 
@@ -205,9 +227,18 @@ def bibliography_papers(spark, d):
     return B.papers_in(_bibliographies(spark, d)).select("id", "label", "part", "is_erratum", "doi", "arxiv", "volume", "page", "author", "year")
 
 
-@query("bibliography_confidence", "SELECT o_orderkey AS id, 2 AS labels, CASE WHEN o_orderkey % 3 = 0 THEN 'medium' ELSE 'high' END AS confidence FROM orders")
+#: Lists of references by an order's number: their labels, and how many of the first hold two papers.
+_LISTED = {0: ([1, 2], 0), 1: ([3, 4, 5], 0), 2: ([1, 3], 0), 3: ([*range(1, 13)], 4), 4: ([1, 2], 1), 5: ([*range(7, 17)], 3), 6: ([2, 1], 0), 7: ([1, 2, 3, 5, 6, 7, 8, 9, 10, 11], 0)}
+
+
+@query("bibliography_confidence", "WITH v(k, label, place, n) AS (VALUES " + ", ".join(f"({k}, {x}, {i}, {2 if i < two else 1})" for k, (own, two) in _LISTED.items() for i, x in enumerate(own)) + """),
+s AS (SELECT *, label - lag(label) OVER (PARTITION BY k ORDER BY place) AS step FROM v),
+c AS (SELECT k, count(*) AS labels, CASE WHEN bool_and(coalesce(step, 1) = 1) AND count(*) FILTER (n > 1) <= 0.3 * count(*) THEN 'high' WHEN count(*) >= 10 THEN 'medium' ELSE 'low' END AS confidence FROM s GROUP BY k)
+SELECT o_orderkey AS id, labels, confidence FROM orders JOIN c ON k = o_orderkey % 8""")
 def bibliography_confidence(spark, d):
-    found = _bibliographies(spark, d)
+    entry = lambda x, two: f"[{x}] A. Smith, Phys. Lett. B {x}, {x + 100} (1998)" + ("; C. Jones, Nucl. Phys. 7, 77 (2001)" if two else "")
+    texts = F.array(*(F.lit("Text.\nReferences\n" + "\n".join(entry(x, i < two) for i, x in enumerate(own))) for own, two in _LISTED.values()))
+    found = B.entries(orders(spark, d).select(F.col("o_orderkey").alias("id"), F.get(texts, (F.col("o_orderkey") % 8).cast("int")).alias("text")))
     return B.confidence(found, B.papers_in(found))
 
 
