@@ -83,6 +83,19 @@ def query_variants(token: str, quoted: bool, journals: dict[str, list[str]] | No
     return [f for f in dict.fromkeys(forms) if f]
 
 
+def part_keys(name: Column, left: bool) -> Column:
+    """Keys of which a left and a right name share one if either holds the other: beginnings of the one among the pieces of the other.
+
+    Names of one or two characters have no such piece; they meet all names of the other side."""
+    name = F.coalesce(name, F.lit(""))
+    pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 2, F.lit(1))), lambda i: F.substr(name, i, F.lit(3)))
+    begin, short = F.left(name, F.lit(3)), F.length(name) < 3
+    mark = lambda m, x: F.concat(F.lit(m), x)
+    inner, outer = ("in ", "of ") if left else ("of ", "in ")
+    keys = F.concat(F.array(mark(inner, begin)), F.transform(pieces, lambda p: mark(outer, p)), F.array(F.lit("any right" if left else "any left"), F.when(short, F.lit("any left" if left else "any right"))))
+    return F.when(name != "", F.array_distinct(F.array_compact(keys))).otherwise(F.array().cast("array<string>"))
+
+
 def comparable(value: Column) -> Column:
     """The form in which two field values are compared: trimmed, lower case, white space collapsed; null is empty."""
     spaces = r"[\s  -​  　]+"

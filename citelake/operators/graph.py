@@ -5,21 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citelake.functions import papers as P
+from citelake.sources.shared import durable
 
 from .related import citing, references
 
 SIDE = 25
 
 
-def _relevance(group: list[str]) -> Column:
-    """Citations and recency, each scaled within the group, and a bonus for local papers."""
-    w = Window.partitionBy(*group)
-    cites = F.greatest(F.lit(0), P.citations())
-    year = P.year_number(F.col("year"))
-    top = F.log1p(F.greatest(F.lit(1), F.max(cites).over(w)))
-    low, span = F.min(year).over(w), F.max(year).over(w) - F.min(year).over(w)
-    recent = F.when((span > 0) & year.isNotNull(), (year - low) / span).otherwise(F.lit(0.0))
-    return F.round(0.62 * F.log1p(cites) / top + 0.38 * recent + F.when(F.col("local_item_id").isNotNull(), 0.03).otherwise(0.0), 9)
+def with_relevance(rows: DataFrame, group: list[str]) -> DataFrame:
+    """The rows with _score: citations and recency, each scaled within the group, and a bonus for local papers.
+
+    A group's bounds are aggregated and joined back, so no task holds a whole group."""
+    cites, year = F.greatest(F.lit(0), P.citations()), P.year_number(F.col("year"))
+    bounds = rows.groupBy(*(F.col(c).alias(f"_{c}") for c in group)).agg(F.max(cites).alias("_top"), F.min(year).alias("_low"), F.max(year).alias("_high"))
+    met = rows.join(bounds, [F.col(c) == F.col(f"_{c}") for c in group])
+    span = F.col("_high") - F.col("_low")
+    recent = F.when((span > 0) & year.isNotNull(), (year - F.col("_low")) / span).otherwise(F.lit(0.0))
+    score = F.round(0.62 * F.log1p(cites) / F.log1p(F.greatest(F.lit(1), "_top")) + 0.38 * recent + F.when(F.col("local_item_id").isNotNull(), 0.03).otherwise(0.0), 9)
+    return met.select(*rows.columns, score.alias("_score"))
 
 
 def _order(sort: str, first: list[Column] | None = None) -> list[Column]:
@@ -36,7 +39,7 @@ def one_hop(links: DataFrame, papers: DataFrame, seeds: DataFrame, sort: str = "
     full = both.join(papers, "recid")
     if not reviews:
         full = full.filter(~(P.is_review() | P.is_general_review_title(F.col("title"))))
-    full = full.withColumn("_score", _relevance(["seed", "side"]) if sort == "relevance" else F.lit(0.0))
+    full = with_relevance(full, ["seed", "side"]) if sort == "relevance" else full.withColumn("_score", F.lit(0.0))
     w = Window.partitionBy("seed", "side").orderBy(*_order(sort))
     return full.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
@@ -53,11 +56,16 @@ def connection_counts(links: DataFrame, papers: DataFrame, seeds: DataFrame, sho
 
 
 def multi_seed(links: DataFrame, papers: DataFrame, seeds: DataFrame, sort: str = "relevance", n: int = SIDE, reviews: bool = False) -> DataFrame:
-    """(side, rank, recid, connections, paper columns): the seeds' graphs merged. Each paper stands once for each side, seeds don't."""
-    shown = one_hop(links, papers, seeds, sort, n, reviews)
-    merged = shown.drop("seed", "rank", "_score").dropDuplicates(["side", "recid"]).join(seeds.select(F.col("seed").alias("recid")), "recid", "left_anti")
+    """(side, rank, recid, connections, paper columns): the seeds' graphs merged. Each paper stands once for each side, seeds don't.
+
+    Of a paper's rows the one with the most citations counts, and any local item of them."""
+    shown = durable(one_hop(links, papers, seeds, sort, n, reviews))
+    own = [c for c in shown.columns if c not in ("seed", "rank", "_score", "side", "recid", "local_item_id")]
+    best = F.max_by(F.struct(*own), F.struct(F.coalesce(P.citations(), F.lit(-1)), F.xxhash64(*own)))
+    merged = shown.groupBy("side", "recid").agg(best.alias("_best"), F.min("local_item_id").alias("local_item_id")).select("side", "recid", "local_item_id", "_best.*")
+    merged = merged.join(seeds.select(F.col("seed").alias("recid")), "recid", "left_anti")
     full = merged.join(connection_counts(links, papers, seeds, shown, reviews), ["side", "recid"], "left").withColumn("connections", F.coalesce("connections", F.lit(1)))
-    full = full.withColumn("_score", _relevance(["side"]) if sort == "relevance" else F.lit(0.0))
+    full = with_relevance(full, ["side"]) if sort == "relevance" else full.withColumn("_score", F.lit(0.0))
     w = Window.partitionBy("side").orderBy(*_order(sort, [F.desc("connections")] if sort == "relevance" else None))
     return full.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 

@@ -59,9 +59,16 @@ def filter_matrix(papers: DataFrame, current_year: int) -> DataFrame:
 
 
 def sort_list(papers: DataFrame, group: str, by: str) -> DataFrame:
-    """The rows with rank within their group: by year or citations, down; unknown ones last, ties by recid."""
-    key = F.desc_nulls_last(P.year_number(F.col("year"))) if by == "year" else F.desc_nulls_last("citation_count")
-    return papers.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(key, "recid")))
+    """The rows with rank within their group: by year or citations, down; unknown ones last, ties by recid.
+
+    A row's rank is the number of rows with greater values and its place among those with its own, so a large group isn't sorted in one task."""
+    key = P.year_number(F.col("year")) if by == "year" else F.col("citation_count")
+    rows = papers.withColumn("_key", key)
+    counted = rows.groupBy(F.col(group).alias("_group"), F.col("_key").alias("_value")).agg(F.count("*").alias("_n"))
+    above = F.sum("_n").over(Window.partitionBy("_group").orderBy(F.desc_nulls_last("_value"))) - F.col("_n")
+    met = rows.join(counted.withColumn("_above", above), F.col(group).eqNullSafe(F.col("_group")) & F.col("_key").eqNullSafe(F.col("_value")))
+    place = F.row_number().over(Window.partitionBy(group, "_key").orderBy("recid"))
+    return met.select(*papers.columns, (F.col("_above") + place).alias("rank"))
 
 
 def time_window(papers: DataFrame, start: float, end: float) -> DataFrame:

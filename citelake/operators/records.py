@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from citelake.functions import identifiers as I
 from citelake.functions import text as T
@@ -121,12 +121,23 @@ def match_score(a: str = "a_", b: str = "b_") -> Column:
 def best_matches(parsed: DataFrame, entries: DataFrame, least: float = 3.0) -> DataFrame:
     """(doc, ref, entry, score): each parsed reference's best entry of the same document, if it scores at least `least`.
 
-    Pairs are made only where a key is shared: arXiv id, DOI, author, or a year at most three away. parsed: doc, ref and
-    entries: doc, entry, both with arxiv, doi, author, year, page, journal, volume."""
+    Pairs are made only where a key is shared that a score of `least` (3 or more) can't do without: arXiv id, DOI, a part of the author, journal
+    and volume, or page with a year at most two away. A pair that shares several comes again, which a maximum doesn't mind. Null parts
+    are equal to nothing; of equal scores the first entry counts. parsed: doc, ref and entries: doc, entry, both with arxiv, doi, author, year, page,
+    journal, volume."""
+    if least < 3:
+        raise ValueError("scores below 3 need no shared key")
     parts = ["arxiv", "doi", "author", "year", "page", "journal", "volume"]
-    keys = lambda near: F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c} "), F.col(c).cast("string"))) for c in ("arxiv", "doi", "author")), *(F.when(F.col("year").isNotNull(), F.concat(F.lit("year "), (F.col("year") + k).cast("string"))) for k in near)))
-    left = parsed.select("doc", "ref", *(F.col(c).alias(f"a_{c}") for c in parts), F.explode(keys(range(-3, 4))).alias("_key"))
-    right = entries.select("doc", "entry", *(F.col(c).alias(f"b_{c}") for c in parts), F.explode(keys([0])).alias("_key"))
-    pairs = left.join(right, ["doc", "_key"]).dropDuplicates(["doc", "ref", "entry"]).withColumn("score", match_score())
-    w = Window.partitionBy("doc", "ref").orderBy(F.desc("score"), "entry")
-    return pairs.withColumn("_r", F.row_number().over(w)).filter((F.col("_r") == 1) & (F.col("score") >= least)).select("doc", "ref", "entry", "score")
+    join = lambda *c: F.concat_ws("\x1f", *(F.col(x).cast("string") for x in c))
+    both = lambda *c: F.when(F.greatest(*(F.col(x).isNull() for x in c)) if len(c) > 1 else F.col(c[0]).isNull(), None).otherwise(F.concat(F.lit(f"{c[0]}\x1f"), join(*c)))
+
+    def keys(left: bool) -> Column:
+        page = [F.when(F.col("year").isNotNull(), F.concat(both("page", "page"), F.lit("\x1f"), (F.col("year") + k).cast("string"))) for k in (range(-2, 3) if left else [0])]
+        listed = F.array_compact(F.array(both("arxiv"), both("doi"), both("journal", "volume"), *page))
+        return F.concat(listed, T.part_keys(T.fold(F.col("author")), left))
+
+    left = parsed.select("doc", "ref", *(F.col(c).alias(f"a_{c}") for c in parts), F.explode(keys(True)).alias("_key"))
+    right = entries.select("doc", "entry", *(F.col(c).alias(f"b_{c}") for c in parts), F.explode(keys(False)).alias("_key"))
+    pairs = left.join(right, ["doc", "_key"]).select("doc", "ref", "entry", match_score().alias("score")).filter(F.col("score") >= least)
+    best = F.max_by(F.struct("entry", "score"), F.struct(F.col("score"), -F.col("entry")))
+    return pairs.groupBy("doc", "ref").agg(best.alias("b")).select("doc", "ref", "b.entry", "b.score")

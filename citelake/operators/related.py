@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from citelake.functions import papers as P
+from citelake.sources.shared import durable
 
 ANCHORS, PER_ANCHOR, RESULTS, COCITED = 15, 25, 50, 25
 
@@ -60,7 +61,7 @@ def coupling(links: DataFrame, papers: DataFrame, seeds: DataFrame, k: int = ANC
 
     Each anchor counts through its `per_anchor` most cited citing papers; seeds, their references and reviews are left out
     afterwards. coupling is the weight of the shared anchors over that of all anchors."""
-    chosen = anchors(links, papers, seeds, k, reviews)
+    chosen = durable(anchors(links, papers, seeds, k, reviews))
     total = chosen.groupBy("seed").agg(F.sum("weight").alias("_total"))
     hits = top_citing(links, papers, chosen, per_anchor).select(F.col("cited").alias("_anchor"), F.col("recid").alias("cand"))
     met = chosen.join(hits, F.col("recid") == F.col("_anchor")).select("seed", "cand", "weight", "title", "rank")
@@ -76,7 +77,7 @@ def coupling(links: DataFrame, papers: DataFrame, seeds: DataFrame, k: int = ANC
 
 def related_coupling(links: DataFrame, papers: DataFrame, seeds: DataFrame, n: int = RESULTS) -> DataFrame:
     out = _ranked(coupling(links, papers, seeds), "coupling", n)
-    return out.select("seed", "rank", "recid", "shared", F.round("coupling", 6).alias("coupling"), "shared_titles")
+    return out.select("seed", "rank", "recid", "shared", "coupling", "shared_titles")
 
 
 def cocited(links: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def related(links: DataFrame, papers: DataFrame, seeds: DataFrame, n: int = RESU
     """The `n` most related papers of each seed: coupling blended with co-citation.
 
     Only the best `deepened` candidates by coupling get a co-citation score; the others keep 0. The blend depends on the seed's citations."""
-    found = coupling(links, papers, seeds)
+    found = durable(coupling(links, papers, seeds))
     best = _ranked(found, "coupling", deepened).select("seed", "recid")
     together = cocited(links, best).withColumnRenamed("seed", "_s").withColumnRenamed("recid", "_r")
     totals = citing_totals(links, seeds).withColumn("_alpha", P.blend_weight(F.col("total")))
@@ -99,4 +100,4 @@ def related(links: DataFrame, papers: DataFrame, seeds: DataFrame, n: int = RESU
     cosine = F.when(F.col("_alpha") > 0, P.cocitation_cosine(F.coalesce("together", F.lit(0)), F.col("total"), P.citations(0))).otherwise(F.lit(0.0))
     scored = met.withColumn("co_citation", cosine).withColumn("combined", F.round((1 - F.col("_alpha")) * F.col("coupling") + F.col("_alpha") * F.col("co_citation"), 9))
     out = _ranked(scored, "combined", n)
-    return out.select("seed", "rank", "recid", "shared", F.round("coupling", 6).alias("coupling"), F.round("co_citation", 6).alias("co_citation"), F.round("combined", 6).alias("combined"))
+    return out.select("seed", "rank", "recid", "shared", "coupling", F.round("co_citation", 9).alias("co_citation"), "combined")

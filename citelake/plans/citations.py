@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from citelake.functions import papers as P
 from citelake.operators import graph, lists, related
 from citelake.sources import tables
-from citelake.sources.tables import SQL
+from citelake.sources.shared import durable
+from citelake.sources.tables import SQL, TOP_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,8 +29,15 @@ def query(name: str, sql: str | None = None):
 
 
 def base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    links = tables.edges(spark, d)
-    return links, tables.papers(spark, d), tables.seeds(links)
+    """Citations, papers (both written once, as operators read them more than once) and the seeds of queries by paper."""
+    links, papers = durable(tables.edges(spark, d)), durable(tables.papers(spark, d))
+    return links, papers, tables.seeds(papers)
+
+
+def several(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same with the few seeds of a graph of several."""
+    links, papers, _ = base(spark, d)
+    return links, papers, durable(tables.top_seeds(links))
 
 
 #: A review, in SQL over the tables' papers: their brands are never review journals, their titles never the general review.
@@ -86,7 +94,7 @@ coup AS (
   FROM cand c JOIN papers p USING (recid) JOIN tot t USING (seed) WHERE NOT {_REVIEW})"""
 
 
-@query("related_coupling", SQL + f""", {_COUPLING} SELECT seed, rank, recid, shared, round(coupling, 6) AS coupling, shared_titles FROM (
+@query("related_coupling", SQL + f""", {_COUPLING} SELECT seed, rank, recid, shared, coupling, shared_titles FROM (
   SELECT *, row_number() OVER (PARTITION BY seed ORDER BY coupling DESC, shared DESC, cites DESC, y DESC NULLS LAST, recid) AS rank FROM coup) WHERE rank <= 50""")
 def related_coupling(spark, d):
     return related.related_coupling(*base(spark, d))
@@ -101,7 +109,7 @@ sc AS (
   SELECT r1.*, alpha, CASE WHEN alpha > 0 AND coalesce(together, 0) > 0 AND total > 0 AND cites > 0 THEN least(1.0::DOUBLE, together / sqrt(total::DOUBLE * cites)) ELSE 0 END AS co_citation
   FROM r1 JOIN al USING (seed) LEFT JOIN co ON co.seed = r1.seed AND co.recid = r1.recid),
 fin AS (SELECT *, round((1 - alpha) * coupling + alpha * co_citation, 9) AS combined FROM sc)
-SELECT seed, rank, recid, shared, round(coupling, 6) AS coupling, round(co_citation, 6) AS co_citation, round(combined, 6) AS combined FROM (
+SELECT seed, rank, recid, shared, coupling, round(co_citation, 9) AS co_citation, combined FROM (
   SELECT *, row_number() OVER (PARTITION BY seed ORDER BY combined DESC, shared DESC, cites DESC, y DESC NULLS LAST, recid) AS rank FROM fin) WHERE rank <= 50""")
 def related_hybrid(spark, d):
     return related.related(*base(spark, d))
@@ -152,26 +160,26 @@ ms AS (
 multi AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY connections DESC, {_SORTS['relevance']}) AS mrank FROM ms) WHERE mrank <= 25)"""
 
 
-@query("graph_multi_seed", SQL + f", {_MULTI} SELECT side, mrank AS rank, recid, connections FROM multi")
+@query("graph_multi_seed", TOP_SQL + f", {_MULTI} SELECT side, mrank AS rank, recid, connections FROM multi")
 def graph_multi_seed(spark, d):
-    return graph.multi_seed(*base(spark, d)).select("side", "rank", "recid", "connections")
+    return graph.multi_seed(*several(spark, d)).select("side", "rank", "recid", "connections")
 
 
 _TIME = "CASE WHEN {x} IS NOT NULL THEN round(CAST({x}[1:4] AS INTEGER) + ((CAST({x}[6:7] AS INTEGER) - 1) * 30.44::DOUBLE + CAST({x}[9:10] AS INTEGER)) / 365, 6) END"
 _RADIUS = "CASE WHEN {x} >= 2000 THEN 14 WHEN {x} >= 500 THEN 12 WHEN {x} >= 100 THEN 10 WHEN {x} >= 50 THEN 8 WHEN {x} >= 10 THEN 7 ELSE 6 END"
 
 
-@query("graph_nodes", SQL + f""", {_MULTI}
+@query("graph_nodes", TOP_SQL + f""", {_MULTI}
 SELECT recid, 'seed' AS kind, NULL::BIGINT AS connections, {_RADIUS.format(x='citation_count_wo_self')} AS radius, {_TIME.format(x='earliest_date')} AS time FROM papers WHERE recid IN (SELECT seed FROM seeds)
 UNION ALL SELECT recid, CASE WHEN side = 'references' THEN 'reference' ELSE 'cited_by' END, connections, {_RADIUS.format(x='citation_count_wo_self')}, {_TIME.format(x='earliest_date')} FROM multi""")
 def graph_nodes(spark, d):
-    links, papers, seeds = base(spark, d)
+    links, papers, seeds = several(spark, d)
     return graph.graph_nodes(seeds, papers, graph.multi_seed(links, papers, seeds))
 
 
-@query("induced_edges", SQL + f", {_MULTI}, nodes AS (SELECT recid FROM multi UNION SELECT seed FROM seeds) SELECT citing AS source, cited AS target FROM edges WHERE citing IN (SELECT recid FROM nodes) AND cited IN (SELECT recid FROM nodes)")
+@query("induced_edges", TOP_SQL + f", {_MULTI}, nodes AS (SELECT recid FROM multi UNION SELECT seed FROM seeds) SELECT citing AS source, cited AS target FROM edges WHERE citing IN (SELECT recid FROM nodes) AND cited IN (SELECT recid FROM nodes)")
 def induced_edges(spark, d):
-    links, papers, seeds = base(spark, d)
+    links, papers, seeds = several(spark, d)
     nodes = graph.multi_seed(links, papers, seeds).select("recid").union(seeds)
     return graph.induced_edges(links, nodes)
 
@@ -180,12 +188,12 @@ def induced_edges(spark, d):
 @query("seed_edges", SQL + ", many AS (SELECT citing AS seed FROM edges WHERE citing IN (SELECT cited FROM edges) GROUP BY citing ORDER BY count(*) DESC, citing LIMIT 200) SELECT citing AS source, cited AS target FROM edges WHERE citing IN (SELECT seed FROM many) AND cited IN (SELECT seed FROM many)")
 def seed_edges(spark, d):
     links = tables.edges(spark, d)
-    return graph.seed_edges(links, tables.seeds(links, 200))
+    return graph.seed_edges(links, tables.top_seeds(links, 200))
 
 
-@query("graph_totals", SQL + "SELECT (SELECT count(DISTINCT cited) FROM edges WHERE citing IN (SELECT seed FROM seeds) AND cited NOT IN (SELECT seed FROM seeds)) AS \"references\", (SELECT count(DISTINCT citing) FROM edges WHERE cited IN (SELECT seed FROM seeds) AND citing NOT IN (SELECT seed FROM seeds)) AS cited_by")
+@query("graph_totals", TOP_SQL + "SELECT (SELECT count(DISTINCT cited) FROM edges WHERE citing IN (SELECT seed FROM seeds) AND cited NOT IN (SELECT seed FROM seeds)) AS \"references\", (SELECT count(DISTINCT citing) FROM edges WHERE cited IN (SELECT seed FROM seeds) AND citing NOT IN (SELECT seed FROM seeds)) AS cited_by")
 def graph_totals(spark, d):
-    links, _, seeds = base(spark, d)
+    links, _, seeds = several(spark, d)
     return graph.graph_totals(links, seeds)
 
 

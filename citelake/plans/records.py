@@ -244,7 +244,7 @@ def cache_purge(spark, d):
 _SCORE_SQL = """, pr AS (SELECT e.citing AS doc, e.cited AS ref, CASE WHEN e.cited % 6 = 0 THEN p.arxiv_id END AS arxiv, 'Author ' || p.owner % 50 AS author, CAST(p.year AS INT) + e.cited % 5 AS year, CASE WHEN e.cited % 2 = 0 THEN p.recid % 90 END AS page, p.journal_title AS journal, CAST(p.recid % 20 AS VARCHAR) AS volume FROM edges e JOIN papers p ON p.recid = e.cited),
 en AS (SELECT e.citing AS doc, e.cited AS entry, p.arxiv_id AS arxiv, 'Author ' || p.owner % 50 AS author, CAST(p.year AS INT) AS year, p.recid % 90 AS page, p.journal_title AS journal, CAST(p.recid % 20 AS VARCHAR) AS volume FROM edges e JOIN papers p ON p.recid = e.cited),
 m AS (SELECT a.doc, a.ref, b.entry, CASE WHEN coalesce(a.arxiv = b.arxiv, false) THEN 10.0::DOUBLE ELSE CASE WHEN a.author = b.author THEN 4.0 WHEN contains(a.author, b.author) OR contains(b.author, a.author) THEN 3.0 ELSE 0.0 END + CASE abs(a.year - b.year) WHEN 0 THEN 2.0 WHEN 1 THEN 1.5 WHEN 2 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END + CASE WHEN a.page = b.page THEN 2.0 ELSE 0.0 END + CASE WHEN a.journal = b.journal AND a.volume = b.volume THEN 4.0 ELSE 0.0 END END AS score
-  FROM pr a JOIN en b ON a.doc = b.doc AND (a.arxiv = b.arxiv OR a.author = b.author OR abs(a.year - b.year) <= 3))
+  FROM pr a JOIN en b ON a.doc = b.doc)
 SELECT doc, ref, entry, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc, ref ORDER BY score DESC, entry) AS r FROM m) WHERE r = 1 AND score >= 3"""
 
 

@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
+from citelake.sources.shared import shared_dir
 from citelake.streaming import watch
 
 from .citations import query
 
 
-def shared_folder(spark) -> str:
-    """The folder in spark.checkpoint.dir; only a local master may do without."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file://{tempfile.mkdtemp(prefix='citelake-')}"
-
-
 @query("stream_status_windows", "SELECT start, status, count(*) AS n FROM (SELECT date_trunc('day', ts) AS start, event_type AS status FROM events) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL")
 def stream_status_windows(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
     changes = source.select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    return watch.run_to_end(spark, watch.status_windows(changes), shared_folder(spark))
+    return watch.run_to_end(spark, watch.status_windows(changes), shared_dir(spark))

@@ -63,8 +63,13 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def seeds(links: DataFrame, n: int = 3) -> DataFrame:
-    """The `n` papers with most references among those that are cited; a report of fixed size."""
+def seeds(papers: DataFrame) -> DataFrame:
+    """What queries by paper ask for: every paper whose number is divisible by 20."""
+    return papers.filter("recid % 20 = 0").select(F.col("recid").alias("seed"))
+
+
+def top_seeds(links: DataFrame, n: int = 3) -> DataFrame:
+    """What a graph of several seeds is shown for: the `n` papers with most references among those that are cited; a report of fixed size."""
     out = links.groupBy(F.col("citing").alias("seed")).agg(F.count("*").alias("refs"))
     cited = links.select(F.col("cited").alias("seed")).distinct()
     return out.join(cited, "seed", "left_semi").orderBy(F.desc("refs"), "seed").limit(n).select("seed")
@@ -89,6 +94,8 @@ papers AS (
          o_orderkey % 7 = 0 AS is_related, coalesce(suppliers, 0) + 1 AS total_authors
   FROM orders LEFT JOIN cnt ON cnt.recid = o_orderkey LEFT JOIN lines ON lines.recid = o_orderkey
   LEFT JOIN part ON p_partkey = lines.part LEFT JOIN documents d ON d.doc_id = o_orderkey),
-seeds AS (
-  SELECT citing AS seed FROM edges WHERE citing IN (SELECT cited FROM edges) GROUP BY citing ORDER BY count(*) DESC, citing LIMIT 3)
+seeds AS (SELECT recid AS seed FROM papers WHERE recid % 20 = 0)
 """
+#: The same with the few seeds of a graph of several.
+TOP_SQL = SQL.replace("SELECT recid AS seed FROM papers WHERE recid % 20 = 0", """
+  SELECT citing AS seed FROM edges WHERE citing IN (SELECT cited FROM edges) GROUP BY citing ORDER BY count(*) DESC, citing LIMIT 3""")

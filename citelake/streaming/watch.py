@@ -28,7 +28,8 @@ def run_to_end(spark: SparkSession, result: DataFrame, folder: str) -> DataFrame
 def keep_state(changes: DataFrame, state_path: str, checkpoint: str, key: str = "user_id"):
     """A query that, after each batch, writes the latest state of every item as a new version under `state_path`.
 
-    A version holds the batch's number, so a batch that runs again writes the same version again."""
+    A version holds the batch's number, so a batch that runs again writes the same version again; it reads the version before, so
+    that one is kept, too, and older ones are deleted."""
     columns = [c for c in changes.columns if c != key]
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -36,5 +37,9 @@ def keep_state(changes: DataFrame, state_path: str, checkpoint: str, key: str =
         if number > 0:
             new = batch.sparkSession.read.schema(batch.schema).parquet(f"{state_path}/v{number - 1}").unionByName(batch)
         latest_state(new, key, ["ts", "event_id"], columns).write.mode("overwrite").parquet(f"{state_path}/v{number}")
+        if number > 1:
+            spark = batch.sparkSession
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{state_path}/v{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

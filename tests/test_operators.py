@@ -158,3 +158,57 @@ def test_axis_range(spark):
     rows = spark.createDataFrame([("a", c) for c in [1, 10]] + [("b", 5), ("c", 0)] + [("d", c) for c in [*range(1, 20), 10_000]], "g string, citation_count long")
     got = {r["g"]: (r["low"], r["high"]) for r in lists.axis_range(rows, "g").collect()}
     assert got["a"] == (1.0, round(10**1.1, 6)) and got["b"] == (round(5 * 10**-0.1, 6), round(5 * 10**0.1, 6)) and "c" not in got and got["d"][1] < 30
+
+
+def test_best_matches_are_those_of_all_pairs(spark):
+    """Random references and entries with nulls, ties and parts of names, against every pair of a document."""
+    import random
+
+    rng = random.Random(4)
+    pick = lambda *x: rng.choice([None, *x])
+    part = lambda: (pick("2301.1", "2301.2"), pick("10.1/a", "10.1/b"), pick("Müller", "Muller", "Mull", "Li", "L", "O. Lin", ""), pick(1999, 2000, 2001, 2003), pick("5", "6"), pick("J", "K"), pick("1", "2"))
+    schema = "doc int, {} int, arxiv string, doi string, author string, year int, page string, journal string, volume string"
+    parsed = spark.createDataFrame([(i % 7, i, *part()) for i in range(150)], schema.format("ref"))
+    entries = spark.createDataFrame([(i % 7, i, *part()) for i in range(150)], schema.format("entry"))
+    parts = ["arxiv", "doi", "author", "year", "page", "journal", "volume"]
+    left, right = parsed.select("doc", "ref", *(F.col(c).alias(f"a_{c}") for c in parts)), entries.select("doc", "entry", *(F.col(c).alias(f"b_{c}") for c in parts))
+    best = {}
+    for r in left.join(right, "doc").select("doc", "ref", "entry", records.match_score().alias("score")).collect():
+        if r["score"] >= 3:
+            best[r["doc"], r["ref"]] = min(best.get((r["doc"], r["ref"]), (0, 0)), (-r["score"], r["entry"]))
+    got = {(r["doc"], r["ref"]): (-r["score"], r["entry"]) for r in records.best_matches(parsed, entries).collect()}
+    assert got == best and len(got) > 100
+
+
+def test_author_year_pairs_are_complete(spark):
+    """No entry that scores LEAST or more with a citation is left unpaired."""
+    import random
+
+    from citelake.operators import matching as G
+
+    rng = random.Random(6)
+    names = ["Li", "O", "Sjöstrand, T.", "Sjostrand", "Strand", "Bahr, A.", "王"]
+    some = lambda: [rng.choice(names) for _ in range(rng.randrange(4))]
+    year = lambda: rng.choice([None, "1999", "2000a", "2001", "x"])
+    cited = spark.createDataFrame([(i % 5, i, some(), year(), rng.random() < 0.3) for i in range(100)], "doc int, citation int, authors array<string>, year string, et_al boolean")
+    listed = spark.createDataFrame([(i % 5, i, some(), year()) for i in range(100)], "doc int, entry int, authors array<string>, year string")
+    targets, own = F.transform("authors", lambda a: G.T.fold(a)), F.transform("authors", lambda a: G.T.fold(G.A.last_name(a)))
+    a = cited.select("doc", "citation", targets.alias("t"), F.col("year").alias("y"), "et_al")
+    b = listed.select("doc", "entry", own.alias("n"), F.col("year").alias("ey"))
+    every = a.join(b, "doc").select("doc", "citation", "entry", G.author_year_score(F.col("t"), F.col("y"), F.col("et_al"), F.col("n"), F.col("ey")).alias("s")).select("doc", "citation", "entry", "s.*").filter(F.col("score") >= G.LEAST).collect()
+    best = {}
+    for r in every:
+        best.setdefault((r["doc"], r["citation"]), []).append(r)
+    want = set()
+    for key, rows in best.items():
+        rows = [r for r in rows if r["year_matched"]] or rows
+        top = max(r["score"] for r in rows)
+        rows = sorted((r for r in rows if r["score"] >= top - G.WITHIN), key=lambda r: (-r["score"], r["entry"]))[: G.GIVEN]
+        want |= {(*key, r["entry"], r["score"]) for r in rows}
+    assert {(r["doc"], r["citation"], r["entry"], r["score"]) for r in G.author_year_matches(cited, listed).collect()} == want and len(want) > 50
+
+
+def test_sort_list_and_merged_rows(spark):
+    rows = spark.createDataFrame([paper(i, cites=c, year=y) for i, (c, y) in enumerate([(5, "2001"), (5, "1999"), (None, "x"), (9, "2001"), (5, "2000")])], COLUMNS)
+    got = lambda by: [r["recid"] for r in lists.sort_list(rows, "owner", by).orderBy("rank").collect()]
+    assert got("cites") == [3, 0, 1, 4, 2] and got("year") == [0, 3, 4, 1, 2]
