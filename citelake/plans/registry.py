@@ -1,7 +1,7 @@
 """All queries of the citation operators: importing a module of plans registers its queries."""
 
-from citelake.plans import citations, library, records, streams
+from citelake.plans import citations, library, records, streams, updates
 
 QUERIES = dict(citations.QUERIES)
 ORACLES = dict(citations.ORACLES)
-MODULES = (citations, library, records, streams)
+MODULES = (citations, library, records, streams, updates)
