@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from citelake.sources.shared import durable, forget  # noqa: F401 (operators take them from here)
 
 #: Upper- to lower-case for A-Z alone; other letters stay as they are.
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,38 +61,6 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus)).cast("int")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir.
-
-    Only a local master, where driver and executors are one process, may fall back to a temporary folder."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    import tempfile
-
-    path = f"file://{tempfile.mkdtemp(prefix='citelake-')}"
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Write `df` as Parquet into the shared folder and read it back: lineage is cut and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/citelake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._citelake_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table made by durable() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._citelake_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def pieces(batch: pa.RecordBatch, text: str, limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut a batch into slices of about `limit` bytes of text, of one row at least."""
     lengths = batch.column(text).cast(pa.large_string()).fill_null("")

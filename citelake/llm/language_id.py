@@ -21,7 +21,7 @@ from collections.abc import Callable
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import durable, fold
+from .common import durable, fold, forget
 from .pretokens import runs
 from .terms import HEAD, corpus_terms, document_sums
 
@@ -84,7 +84,9 @@ def word_scores(table: DataFrame, languages: int, head: int = HEAD) -> DataFrame
     own = [F.log((F.col(c) + SMOOTH_WORD) / F.lit(float((sums[c] or 0) + SMOOTH_WORD * (sums["v"] + 1)))).alias(x) for c, x in zip(cols, logs, strict=True)]
     seen = table.filter(known).select("term", "n", *own)
     unseen = table.filter(~known).select("term", "n", F.concat(F.lit("^"), "term", F.lit("$")).alias("text"))
-    windows = durable(window_scores(unseen, durable(gram_scores(table, languages)), languages))
+    grams = durable(gram_scores(table, languages))
+    windows = durable(window_scores(unseen, grams, languages))
+    forget(grams)
 
     def places() -> tuple[Callable[[str], list[str]], Callable[[str], list[str]]]:
         return (lambda word: [word[i : i + NGRAM] for i in range(len(word))]), (lambda window: [window])
@@ -108,6 +110,7 @@ def identify_languages(docs: DataFrame, modulus: int = 5, held_out: int = 0, hea
     cls = F.coalesce(*(F.when(train & (F.col("lang") == x), i) for i, x in enumerate(languages)))
     table = durable(corpus_terms(docs.select("text", cls.alias("cls")), words, len(languages)))
     values = durable(word_scores(table, len(languages), head))
+    forget(table)
     names = ["words", *(f"s{i}" for i in range(len(languages)))]
     sums = document_sums(docs.select("doc_id", "text"), ["doc_id"], values, names, words, head)
     losses = [F.col(x) for x in names[1:]]

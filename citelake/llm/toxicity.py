@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import durable, fold, pieces, plain_names
+from .common import durable, fold, forget, pieces, plain_names
 
 #: The lexicon's words. Weights of insults are 1 unless learned.
 SEEDS = {
@@ -304,6 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), part.column("toxic").cast(pa.float64())], names=["x", "y"])
 
     got = rows.mapInArrow(run, "x array<double>, y double").collect()
+    forget(rows)
     x, y = np.array([r["x"] for r in got]).reshape(-1, FEATURES), np.array([float(r["y"] > 0) for r in got])
     return Model(lexicon, fit(x, y).tolist())
 

@@ -24,7 +24,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import ascii_lower, durable, packed
+from .common import ascii_lower, durable, forget, packed
 
 #: (verdict, host and path): fits the host and its subdomains where the path starts with the rule's.
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -85,7 +85,9 @@ def window_scores(strings: DataFrame) -> DataFrame:
         if m <= ORDER:
             before = own.select(F.col("window").alias("_shorter"), *(x.alias(f"q_{c}") for x, c in zip(p, COUNTS, strict=True)))
     p = dict(zip(COUNTS, p, strict=True))
-    return durable(own.select("window", "n", *((F.log(p[f"r{k}"]) - F.log(p[f"a{k}"])).alias(f"l{k}") for k in "01w")))
+    out = durable(own.select("window", "n", *((F.log(p[f"r{k}"]) - F.log(p[f"a{k}"])).alias(f"l{k}") for k in "01w")))
+    forget(windows)
+    return out
 
 
 def string_scores(strings: DataFrame, windows: DataFrame, head: int = HEAD) -> DataFrame:
@@ -123,8 +125,10 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFr
     if not seen[0] or not seen[1]:
         verdict, score = F.coalesce(F.col("_rule.verdict"), F.lit("allow")), F.when(F.col("_rule").isNull(), F.lit(0.0))
         return parsed.select(*own, verdict.alias("verdict"), score.alias("score"))
-    scored = durable(string_scores(strings, window_scores(strings)))
+    windows = window_scores(strings)
+    scored = durable(string_scores(strings, windows))
     threshold = threshold_of(scored)
+    forget(strings), forget(windows)
     met = parsed.withColumn("_md5", F.unhex(F.md5("_s"))).join(scored.select(F.col("key").alias("_key"), F.col("score").alias("_score")), F.col("_md5") == F.col("_key"), "left")
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("_score") > threshold, "block").otherwise("allow"))
     return met.select(*own, verdict.alias("verdict"), F.when(F.col("_rule").isNull(), F.col("_score")).alias("score"))
