@@ -31,7 +31,8 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def forget(df: DataFrame) -> None:
-    """Delete a table made by durable() that nothing reads any more."""
+    """Delete a table made by durable() that nothing reads any more, and let Spark's cleaner drop the shuffle files of plans that are done."""
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(df._citelake_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
