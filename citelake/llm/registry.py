@@ -11,6 +11,7 @@ from .decontamination import ORACLE_OP9, op9_decontamination
 from .language_id import op10_language_id
 from .licenses import ORACLE_OP1, op1_license_scan
 from .line_dedup import ORACLE_OP4, op4_line_dedup
+from .periodic_runs import op11_periodic_runs
 from .quality import op5_quality
 from .simhash import op8_simhash
 from .token_counts import op3_token_counts
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLES: dict[str, str] = {"op1_license_scan": ORACLE_OP1, "op2_url_filter": ORACLE_OP2, "op4_line_dedup": ORACLE_OP4, "op9_decontamination": ORACLE_OP9}
