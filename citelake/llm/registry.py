@@ -12,6 +12,7 @@ from .language_id import op10_language_id
 from .licenses import ORACLE_OP1, op1_license_scan
 from .line_dedup import ORACLE_OP4, op4_line_dedup
 from .periodic_runs import op11_periodic_runs
+from .prefix_trie import op12_prefix_trie
 from .quality import op5_quality
 from .simhash import op8_simhash
 from .token_counts import op3_token_counts
@@ -30,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_language_id": op10_language_id,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 ORACLES: dict[str, str] = {"op1_license_scan": ORACLE_OP1, "op2_url_filter": ORACLE_OP2, "op4_line_dedup": ORACLE_OP4, "op9_decontamination": ORACLE_OP9}
