@@ -13,6 +13,7 @@ from .licenses import ORACLE_OP1, op1_license_scan
 from .line_dedup import ORACLE_OP4, op4_line_dedup
 from .periodic_runs import op11_periodic_runs
 from .prefix_trie import op12_prefix_trie
+from .private_data import op13_private_data
 from .quality import op5_quality
 from .simhash import op8_simhash
 from .token_counts import op3_token_counts
@@ -32,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_private_data": op13_private_data,
 }
 ORACLES: dict[str, str] = {"op1_license_scan": ORACLE_OP1, "op2_url_filter": ORACLE_OP2, "op4_line_dedup": ORACLE_OP4, "op9_decontamination": ORACLE_OP9}
