@@ -370,6 +370,7 @@ def test_near_duplicates_are_exact(spark, monkeypatch):
     assert {r["doc_id"] for r in near_dedup.drop_near_duplicates(table).collect()} == expected
     monkeypatch.setattr(near_dedup, "BLOCK", 2_000)  # open clusters in many blocks
     monkeypatch.setattr(near_dedup, "PART", 5)
+    monkeypatch.setattr(near_dedup, "LIST", 8)  # and long lists in many parts
     _, nodes, links = near_dedup.similar_links(table.select("doc_id", F.xxhash64("text").alias("text_hash"), "text"), 0.8)
     assert simhash.components_of(nodes.select("node", "first"), links).select("first.doc_id").distinct().count() == len(expected)
 
