@@ -119,15 +119,25 @@ def looks_like_reference(text: Column) -> Column:
     return (F.length(text) >= 5) & year_in(text).isNotNull() & (author | F.coalesce(journal, F.lit(False)))
 
 
-def papers_in(found: DataFrame) -> DataFrame:
-    """(id, label, part, text, is_erratum, doi, arxiv, journal, volume, page, author, year): the papers of each entry, which semicolons part.
+def by_years(text: Column) -> Column:
+    """An entry's stretches that end with a year each, where they look like references of their own; what follows the last year is none."""
+    year = r"(?<![A-Za-z0-9_])(?:19|20)\d{2}(?![A-Za-z0-9_])"
+    between, years = F.split(text, year, -1), F.regexp_extract_all(text, F.lit(f"({year})"), F.lit(1))
+    stretches = F.transform(years, lambda y, i: F.trim(F.concat_ws(" ", F.get(between, i), y)))
+    return F.filter(stretches, looks_like_reference)
 
-    A part counts if it looks like a reference or holds a year, DOI or arXiv id; with fewer than two such parts the entry is one paper. A part without
-    an author has that of the part before."""
+
+def papers_in(found: DataFrame, split_years: bool = True) -> DataFrame:
+    """(id, label, part, text, is_erratum, doi, arxiv, journal, volume, page, author, year): the papers of each entry, which semicolons part, or years.
+
+    A part between semicolons counts if it looks like a reference or holds a year, DOI or arXiv id. With fewer than two such parts the stretches up to each
+    year are papers, if two or more look like references (by_years; not without split_years); else the entry is one paper. A part without an author has that
+    of the part before."""
     parts = F.transform(F.split("text", r";\s*"), lambda p: F.trim(p))
     counts = lambda p: looks_like_reference(p) | year_in(p).isNotNull() | doi_in(p).isNotNull() | arxiv_in(p).isNotNull() | F.contains(F.lower(p), F.lit("doi"))
     good = F.filter(parts, counts)
-    each = found.select("id", "label", F.posexplode(F.when(F.size(good) >= 2, good).otherwise(F.array("text"))).alias("part", "text"))
+    dated = by_years(F.col("text")) if split_years else F.array().cast("array<string>")
+    each = found.select("id", "label", "text", good.alias("_g"), dated.alias("_d")).select("id", "label", F.posexplode(F.when(F.size("_g") >= 2, F.col("_g")).when(F.size("_d") >= 2, F.col("_d")).otherwise(F.array("text"))).alias("part", "text"))
     text = F.col("text")
     known = each.withColumn("_p", publication_in(text)).select(
         "id", "label", "part", "text", F.rlike(text, F.lit(r"(?i)\(E\)|erratum")).alias("is_erratum"), doi_in(text).alias("doi"), arxiv_in(text).alias("arxiv"),

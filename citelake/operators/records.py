@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from citelake.functions import authors as A
 from citelake.functions import identifiers as I
 from citelake.functions import text as T
+from citelake.operators import matching as M
 
 
 def text_filter(rows: DataFrame, query: str, column: str = "search_text", journals: dict[str, list[str]] | None = None) -> DataFrame:
@@ -99,45 +101,82 @@ def purge(entries: DataFrame, now: Column, other: int = 24) -> DataFrame:
 
 
 #: What equal parts are worth in a match.
-ARXIV, DOI, AUTHOR, AUTHOR_PART, PAGE, JOURNAL = 10.0, 9.0, 4.0, 3.0, 2.0, 4.0
+ARXIV, DOI, AUTHOR, AUTHOR_PART, AUTHOR_IN_LINE, PAGE, JOURNAL = 10.0, 9.0, 4.0, 3.0, 2.0, 2.0, 4.0
 YEARS = {0: 2.0, 1: 1.5, 2: 1.0, 3: 0.5}
+_PARTS = ["arxiv", "doi", "author", "year", "page", "journal", "volume"]
+
+
+def normal_parts(rows: DataFrame, parsed: bool) -> list[Column]:
+    """The columns arxiv, doi, author, year, page, journal, volume in the forms in which they are compared, and text: of a parsed reference what it says (its
+    column raw, if there is one), of an entry its authors' line (line). An entry's author is a whole name, a parsed one a last name."""
+    filled = lambda c: F.nullif(F.col(c).cast("string"), F.lit(""))
+    author = F.col("author") if parsed else A.last_name(F.col("author"))
+    more = "raw" if parsed else "line"
+    text = F.lower(F.col(more)) if more in rows.columns else F.lit(None).cast("string")
+    return [
+        I.arxiv_id(F.col("arxiv")).alias("arxiv"), I.doi(F.col("doi")).alias("doi"), A.compact(author).alias("author"), F.col("year").cast("int").alias("year"), filled("page").alias("page"),
+        M.journal_key(F.col("journal")).alias("journal"), filled("volume").alias("volume"), text.alias("text"),
+    ]
 
 
 def match_score(a: str = "a_", b: str = "b_") -> Column:
-    """How well a parsed reference (columns a_*) fits an entry (b_*): arxiv, doi, author, year, page, journal, volume.
+    """How well a parsed reference (columns a_*) fits an entry (b_*), both as normal_parts gives them.
 
-    Equal arXiv ids or DOIs decide; otherwise parts add up. Journal and volume count together."""
+    Equal arXiv ids or DOIs decide; otherwise parts add up: the author (equal, a part, or only named in the authors' line, or both speak of a data group), the
+    year by its distance, the page, and the publication, which fits by journal and volume (and page, if both have one) or by volume and page."""
     x, y = (lambda c: F.col(a + c)), (lambda c: F.col(b + c))
     same = lambda c: F.coalesce(x(c) == y(c), F.lit(False))
-    ax, bx = T.fold(x("author")), T.fold(y("author"))
-    author = F.when((ax == "") | (bx == ""), 0.0).when(ax == bx, AUTHOR).when(F.contains(bx, ax) | F.contains(ax, bx), AUTHOR_PART).otherwise(0.0)
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    group = sure(F.contains(x("text"), F.lit("data group")) & F.contains(y("text"), F.lit("data group")))
+    named = sure(F.contains(y("text"), x("author"))) | group
+    part = sure(F.contains(y("author"), x("author")) | F.contains(x("author"), y("author")))
+    author = F.when(same("author"), AUTHOR).when(part, AUTHOR_PART).when(named, AUTHOR_IN_LINE).otherwise(0.0)
     delta = F.abs(x("year") - y("year"))
     year = F.coalesce(*(F.when(delta == k, v) for k, v in YEARS.items()), F.lit(0.0))
-    page = F.when(same("page"), PAGE).otherwise(0.0)
-    journal = F.when(same("journal") & same("volume"), JOURNAL).otherwise(0.0)
-    return F.when(same("arxiv"), ARXIV).when(same("doi"), DOI).otherwise(author + year + page + journal)
+    fits = x("journal").isNotNull() & M.publication_matches(M.keys_similar(x("journal"), y("journal")), x("volume") == y("volume"), x("page") == y("page"))
+    return F.when(same("arxiv"), ARXIV).when(same("doi"), DOI).otherwise(author + year + F.when(same("page"), PAGE).otherwise(0.0) + F.when(fits, JOURNAL).otherwise(0.0))
+
+
+def pairs_of(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """The distinct pairs of rows that share a key: left (doc, names[0], keys) and right (doc, names[1], keys), keys an array of texts.
+
+    Only ids and hashes of keys are joined, and pairs made distinct, before anything else of the rows is read; a collision of hashes adds a pair."""
+    one = lambda rows, name: rows.select("doc", name, F.explode(F.array_distinct(F.transform("keys", lambda k: F.xxhash64(k)))).alias("_key"))
+    return one(left, names[0]).join(one(right, names[1]), ["doc", "_key"]).select("doc", *names).distinct()
 
 
 def best_matches(parsed: DataFrame, entries: DataFrame, least: float = 3.0) -> DataFrame:
     """(doc, ref, entry, score): each parsed reference's best entry of the same document, if it scores at least `least`.
 
-    Pairs are made only where a key is shared that a score of `least` (3 or more) can't do without: arXiv id, DOI, a part of the author, journal
-    and volume, or page with a year at most two away. A pair that shares several comes again, which a maximum doesn't mind. Null parts
-    are equal to nothing; of equal scores the first entry counts. parsed: doc, ref and entries: doc, entry, both with arxiv, doi, author, year, page,
-    journal, volume."""
+    Pairs are made only where a key is shared that a score of `least` (3 or more) can't do without: arXiv id, DOI, a part of the author, volume, page,
+    or a year at most two away together with a part of the authors' line (or a data group). Null and empty parts are equal to nothing; of
+    equal scores the first entry counts; empty tables give none. parsed: doc, ref and entries: doc, entry, both with arxiv, doi, author, year, page,
+    journal, volume; parsed may have raw (its text), entries line (all authors). (doc, ref) and (doc, entry) don't repeat."""
     if least < 3:
         raise ValueError("scores below 3 need no shared key")
-    parts = ["arxiv", "doi", "author", "year", "page", "journal", "volume"]
-    join = lambda *c: F.concat_ws("\x1f", *(F.col(x).cast("string") for x in c))
-    both = lambda *c: F.when(F.greatest(*(F.col(x).isNull() for x in c)) if len(c) > 1 else F.col(c[0]).isNull(), None).otherwise(F.concat(F.lit(f"{c[0]}\x1f"), join(*c)))
+    listed = lambda *c: F.array_compact(F.array(*c))
+    key = lambda kind, c: F.concat(F.lit(f"{kind} "), c)
 
     def keys(left: bool) -> Column:
-        page = [F.when(F.col("year").isNotNull(), F.concat(both("page", "page"), F.lit("\x1f"), (F.col("year") + k).cast("string"))) for k in (range(-2, 3) if left else [0])]
-        listed = F.array_compact(F.array(both("arxiv"), both("doi"), both("journal", "volume"), *page))
-        return F.concat(listed, T.part_keys(T.fold(F.col("author")), left))
-
-    left = parsed.select("doc", "ref", *(F.col(c).alias(f"a_{c}") for c in parts), F.explode(keys(True)).alias("_key"))
-    right = entries.select("doc", "entry", *(F.col(c).alias(f"b_{c}") for c in parts), F.explode(keys(False)).alias("_key"))
-    pairs = left.join(right, ["doc", "_key"]).select("doc", "ref", "entry", match_score().alias("score")).filter(F.col("score") >= least)
+        plain = listed(*(key(c, F.col(c)) for c in ("arxiv", "doi", "volume", "page")))
+        years = F.transform(F.array(*map(F.lit, range(-2, 3) if left else [0])), lambda k: (F.col("year") + k).cast("string"))
+        own, group = F.left("author", F.lit(3)), F.when(F.contains("text", F.lit("data group")), F.array(F.lit("data group")))
+        short = F.length("author") < 3  # such an author may stand anywhere
+        if left:
+            said = F.array_compact(F.array(F.when(short, F.lit("any")).otherwise(own)))
+        else:
+            line = F.coalesce("text", F.lit(""))
+            said = F.when(line != "", F.concat(F.array(F.lit("any")), F.transform(F.sequence(F.lit(1), F.greatest(F.length(line) - 2, F.lit(1))), lambda i: F.substr(line, i, F.lit(3)))))
+        said = F.concat(F.coalesce(said, F.array().cast("array<string>")), F.coalesce(group, F.array().cast("array<string>")))
+        dated = F.flatten(F.transform(F.array_compact(years), lambda y: F.transform(F.array_distinct(said), lambda t: F.concat(F.lit("said "), y, F.lit(" "), t))))
+        return F.concat(plain, T.part_keys(F.col("author"), left), dated)
+
+    # The normal forms are wanted twice: for the keys, and for the score.
+    a = parsed.select("doc", "ref", *normal_parts(parsed, True))
+    b = entries.select("doc", "entry", *normal_parts(entries, False))
+    pairs = pairs_of(a.select("doc", "ref", keys(True).alias("keys")), b.select("doc", "entry", keys(False).alias("keys")), ["ref", "entry"])
+    named = lambda rows, name, p: rows.select("doc", name, *(F.col(c).alias(p + c) for c in [*_PARTS, "text"]))
+    met = pairs.join(named(a, "ref", "a_"), ["doc", "ref"]).join(named(b, "entry", "b_"), ["doc", "entry"])
+    scored = met.select("doc", "ref", "entry", match_score().alias("score")).filter(F.col("score") >= least)
     best = F.max_by(F.struct("entry", "score"), F.struct(F.col("score"), -F.col("entry")))
-    return pairs.groupBy("doc", "ref").agg(best.alias("b")).select("doc", "ref", "b.entry", "b.score")
+    return scored.groupBy("doc", "ref").agg(best.alias("b")).select("doc", "ref", "b.entry", "b.score")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from citelake.functions import identifiers as I
 from citelake.functions import text as T
+from citelake.operators.records import pairs_of
 
 #: Hours for which a check of a preprint is good; names that end a list of authors.
 FRESH_HOURS, ENDINGS = 24, ["others", "et al.", "et al", "and others", "collaboration"]
@@ -43,14 +44,16 @@ def effective_journal(journal: Column, arxiv: Column, category: Column, item_typ
 
 
 def _same_name(a: Column, b: Column) -> Column:
-    """Equal but for case, accents or their written-out forms, blanks behind points, and hyphens."""
-    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"\.\s+", "."), r"[\s\-‐‑–]+", " "))
-    x, y = plain(a), plain(b)
-    return reduce(lambda p, q: p | q, [f(x) == g(y) for f in (T.fold, T.expand_umlauts) for g in (T.fold, T.expand_umlauts)])
+    """Equal but for case and blanks beside points and hyphens, and, if not so, but for accents or their written-out forms, or else but for hyphens
+    in the place of blanks and points at the end."""
+    tidy = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"\s+", " "), r"\s*\.\s*", "."), r"\s*-\s*", "-")
+    open_ = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[-\s]+", " "), r"\.+$", ""))
+    x, y = tidy(a), tidy(b)
+    return reduce(lambda p, q: p | q, [F.lower(x) == F.lower(y), open_(x) == open_(y), *(f(x) == g(y) for f in (T.fold, T.expand_umlauts) for g in (T.fold, T.expand_umlauts))])
 
 
 def author_lists_equal(local: Column, remote: Column) -> Column:
-    """Whether two lists of authors (arrays of first, last) agree as far as the local one goes.
+    """Whether two lists of authors (arrays of first, last; a name that isn't parted stands in last) agree as far as the local one goes.
 
     Entries that end a list (see ENDINGS) don't count; a local list of such alone agrees with any. An empty or null list agrees with an
     empty or null one only."""
@@ -75,25 +78,29 @@ def is_protected(first: Column, last: Column, protected: list[str]) -> Column:
 def mean_matches(parsed: DataFrame, entries: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc, ref, entry, score): each parsed reference's best entry of the same document by the mean of what author, year and page earn.
 
-    What the reference doesn't have, and a page where the entry has none, isn't compared. Pairs are made only where a year, a page or a part of
-    the author is shared, as without one nothing is earned; of equal scores the first entry counts. parsed: doc, ref, author, year, page; entries:
-    doc, entry, author (the first one's last name), line (all authors), year, page."""
+    What the reference doesn't have isn't compared, nor is a page where the entry has no publication data; one that has but no page earns nothing for it. Pairs
+    are made only where a year, a page or a part of the author is shared, as without one nothing is earned; of equal scores the first entry
+    counts. parsed: doc, ref, author, year, page; entries: doc, entry, author (the first one's last name), line (all authors), year, page and, if there is such a
+    column, published (whether it has publication data; else those with a page have). Nulls and empty texts earn nothing."""
     filled = lambda c: F.coalesce(c != "", F.lit(False))
     one = lambda kind: F.when(filled(F.col(kind)), F.concat(F.lit(f"{kind} "), F.col(kind)))
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
 
     def keys(left: bool) -> Column:
         names = T.part_keys(low("author"), left)
-        return F.array_distinct(F.concat(F.array_compact(F.array(one("year"), one("page"))), names if left else F.concat(names, T.part_keys(low("line"), left))))
+        return F.concat(F.array_compact(F.array(one("year"), one("page"))), names if left else F.concat(names, T.part_keys(low("line"), left))).alias("keys")
 
-    left = parsed.select("doc", "ref", low("author").alias("_a"), F.col("year").alias("_y"), F.col("page").alias("_p"), F.explode(keys(True)).alias("_k"))
-    right = entries.select("doc", "entry", low("author").alias("_b"), low("line").alias("_l"), F.col("year").alias("_ey"), F.col("page").alias("_ep"), F.explode(keys(False)).alias("_k"))
+    pairs = pairs_of(parsed.select("doc", "ref", keys(True)), entries.select("doc", "entry", keys(False)), ["ref", "entry"])
+    published = F.col("published") if "published" in entries.columns else F.col("page").isNotNull()
+    left = parsed.select("doc", "ref", low("author").alias("_a"), F.col("year").alias("_y"), F.col("page").alias("_p"))
+    right = entries.select("doc", "entry", low("author").alias("_b"), low("line").alias("_l"), F.col("year").alias("_ey"), F.col("page").alias("_ep"), F.coalesce(published, F.lit(False)).alias("_pub"))
     a, b = F.col("_a"), F.col("_b")
     person = F.when(b == "", 0).when(a == b, AUTHOR).when(F.contains(a, b) | F.contains(b, a), AUTHOR_PART).otherwise(0)
     person = F.when(a == "", 0).when((person < AUTHOR_PART) & F.contains(F.col("_l"), a), person + IN_LINE).otherwise(person)
-    paged = filled(F.col("_p")) & F.col("_ep").isNotNull()
-    earned = person + F.when(filled(F.col("_y")) & F.coalesce(F.col("_y") == F.col("_ey"), F.lit(False)), YEAR).otherwise(0) + F.when(paged & (F.col("_p") == F.col("_ep")), PAGE).otherwise(0)
+    paged = filled(F.col("_p")) & F.col("_pub")
+    earned = person + F.when(filled(F.col("_y")) & F.coalesce(F.col("_y") == F.col("_ey"), F.lit(False)), YEAR).otherwise(0) + F.when(paged & F.coalesce(F.col("_p") == F.col("_ep"), F.lit(False)), PAGE).otherwise(0)
     checks = (a != "").cast("int") + filled(F.col("_y")).cast("int") + paged.cast("int")
-    scored = left.join(right, ["doc", "_k"]).filter(checks > 0).select("doc", "ref", "entry", (earned / checks).alias("score")).filter(F.col("score") >= least)
+    met = pairs.join(left, ["doc", "ref"]).join(right, ["doc", "entry"])
+    scored = met.filter(checks > 0).select("doc", "ref", "entry", (earned / checks).alias("score")).filter(F.col("score") >= least)
     best = F.max_by(F.struct("entry", "score"), F.struct(F.col("score"), -F.col("entry")))
     return scored.groupBy("doc", "ref").agg(best.alias("b")).select("doc", "ref", "b.entry", "b.score")

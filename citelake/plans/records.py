@@ -240,22 +240,35 @@ def cache_purge(spark, d):
     return R.purge(_entries(spark, d), F.expr("timestamp'2024-01-31 00:00:00 UTC'"), 400).select("event_id", "kind")
 
 
-#: References as a reader might have parsed them from a paper: year off by up to three, ids or pages missing.
-_SCORE_SQL = """, pr AS (SELECT e.citing AS doc, e.cited AS ref, CASE WHEN e.cited % 6 = 0 THEN p.arxiv_id END AS arxiv, 'Author ' || p.owner % 50 AS author, CAST(p.year AS INT) + e.cited % 5 AS year, CASE WHEN e.cited % 2 = 0 THEN p.recid % 90 END AS page, p.journal_title AS journal, CAST(p.recid % 20 AS VARCHAR) AS volume FROM edges e JOIN papers p ON p.recid = e.cited),
-en AS (SELECT e.citing AS doc, e.cited AS entry, p.arxiv_id AS arxiv, 'Author ' || p.owner % 50 AS author, CAST(p.year AS INT) AS year, p.recid % 90 AS page, p.journal_title AS journal, CAST(p.recid % 20 AS VARCHAR) AS volume FROM edges e JOIN papers p ON p.recid = e.cited),
-m AS (SELECT a.doc, a.ref, b.entry, CASE WHEN coalesce(a.arxiv = b.arxiv, false) THEN 10.0::DOUBLE ELSE CASE WHEN a.author = b.author THEN 4.0 WHEN contains(a.author, b.author) OR contains(b.author, a.author) THEN 3.0 ELSE 0.0 END + CASE abs(a.year - b.year) WHEN 0 THEN 2.0 WHEN 1 THEN 1.5 WHEN 2 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END + CASE WHEN a.page = b.page THEN 2.0 ELSE 0.0 END + CASE WHEN a.journal = b.journal AND a.volume = b.volume THEN 4.0 ELSE 0.0 END END AS score
-  FROM pr a JOIN en b ON a.doc = b.doc)
+#: References as a reader might have parsed them from a paper, with ids, names and journals written in several ways and parts missing or off, and the entries of its list.
+_SCORE_SQL = """, met AS (SELECT e.citing AS doc, e.cited, p.* FROM edges e JOIN papers p ON p.recid = e.cited),
+pr AS (SELECT doc, cited AS ref, CASE WHEN cited % 6 = 0 THEN arxiv_id END AS arxiv, CASE WHEN cited % 15 = 0 THEN '10.1/a' || cited END AS doi,
+  CASE cited % 4 WHEN 0 THEN 'fam' || owner % 50 WHEN 1 THEN 'fam' WHEN 2 THEN 'zed' || recid % 4 END AS author, CAST(year AS INT) + cited % 5 AS year,
+  CASE WHEN cited % 2 = 0 THEN CAST(recid % 90 AS VARCHAR) END AS page, CASE WHEN cited % 3 < 2 THEN nullif(regexp_replace(lower(journal_title), '[^a-z0-9]+', '', 'g'), '') END AS journal, CAST(recid % 20 + CASE WHEN cited % 11 = 0 THEN 1 ELSE 0 END AS VARCHAR) AS volume FROM met),
+en AS (SELECT doc, cited AS entry, arxiv_id AS arxiv, CASE WHEN cited % 5 = 0 THEN '10.1/a' || cited END AS doi, 'fam' || owner % 50 AS author, 'giv-n. fam' || owner % 50 || ', b. zed' || recid % 4 AS line, CAST(year AS INT) AS year,
+  CASE WHEN recid % 7 > 0 THEN CAST(recid % 90 AS VARCHAR) END AS page, nullif(regexp_replace(lower(journal_title), '[^a-z0-9]+', '', 'g'), '') AS journal, CAST(recid % 20 AS VARCHAR) AS volume FROM met),
+pa AS (SELECT a.doc, a.ref, b.entry, coalesce(a.arxiv = b.arxiv, false) AS same_arxiv, coalesce(a.doi = b.doi, false) AS same_doi,
+  CASE WHEN a.author IS NULL THEN 0 WHEN a.author = b.author THEN 4 WHEN contains(a.author, b.author) OR contains(b.author, a.author) THEN 3 WHEN contains(b.line, a.author) THEN 2 ELSE 0 END AS author,
+  CASE abs(a.year - b.year) WHEN 0 THEN 2.0 WHEN 1 THEN 1.5 WHEN 2 THEN 1.0 WHEN 3 THEN 0.5 ELSE 0.0 END AS year, coalesce(a.page = b.page, false) AS same_page, a.page IS NULL OR b.page IS NULL AS no_page, a.volume = b.volume AS same_volume,
+  a.journal IS NOT NULL AS has_journal, coalesce(a.journal = b.journal OR (least(length(a.journal), length(b.journal)) >= 6 AND left(a.journal, least(length(a.journal), length(b.journal)) - 2) = left(b.journal, least(length(a.journal), length(b.journal)) - 2)), false) AS alike
+  FROM pr a JOIN en b ON a.doc = b.doc),
+m AS (SELECT doc, ref, entry, CASE WHEN same_arxiv THEN 10.0 WHEN same_doi THEN 9.0 ELSE author + year + CASE WHEN same_page THEN 2 ELSE 0 END + CASE WHEN has_journal AND same_volume AND (same_page OR (alike AND no_page)) THEN 4 ELSE 0 END END AS score FROM pa)
 SELECT doc, ref, entry, score::DOUBLE AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc, ref ORDER BY score DESC, entry) AS r FROM m) WHERE r = 1 AND score >= 3"""
 
 
 @query("best_matches", SQL + _SCORE_SQL)
 def best_matches(spark, d):
-    links, p = tables.edges(spark, d), tables.papers(spark, d)
-    met = links.join(p, links["cited"] == p["recid"])
-    author, c = F.concat(F.lit("Author "), (F.col("owner") % 50).cast("string")), F.col
-    shared = [author.alias("author"), c("journal_title").alias("journal"), (c("recid") % 20).cast("string").alias("volume"), F.lit(None).cast("string").alias("doi")]
-    parsed = met.select(c("citing").alias("doc"), c("cited").alias("ref"), F.when(c("cited") % 6 == 0, c("arxiv_id")).alias("arxiv"), (c("year").cast("int") + (c("cited") % 5).cast("int")).alias("year"), F.when(c("cited") % 2 == 0, c("recid") % 90).alias("page"), *shared)
-    entries = met.select(c("citing").alias("doc"), c("cited").alias("entry"), c("arxiv_id").alias("arxiv"), c("year").cast("int").alias("year"), (c("recid") % 90).alias("page"), *shared)
+    p = tables.papers(spark, d).select("recid", "owner", "year", "arxiv_id", "journal_title")
+    met = tables.edges(spark, d).join(p.withColumnRenamed("recid", "cited"), "cited").withColumnRenamed("citing", "doc")
+    parsed = met.selectExpr(
+        "doc", "cited AS ref", "CASE WHEN cited % 12 = 0 THEN concat('arXiv:', arxiv_id, 'v2') WHEN cited % 6 = 0 THEN concat('https://arxiv.org/abs/', arxiv_id) END AS arxiv", "CASE WHEN cited % 15 = 0 THEN concat('10.1/A', cited, '.') END AS doi",
+        "CASE cited % 4 WHEN 0 THEN concat('F-am', owner % 50) WHEN 1 THEN 'FAM' WHEN 2 THEN concat('Z.ed', cited % 4) ELSE '' END AS author", "cast(year as int) + cast(cited % 5 as int) AS year", "CASE WHEN cited % 2 = 0 THEN cast(cited % 90 as string) ELSE '' END AS page",
+        "CASE cited % 3 WHEN 0 THEN journal_title WHEN 1 THEN concat(upper(journal_title), '. (Ser. A)') END AS journal", "cast(cited % 20 + CASE WHEN cited % 11 = 0 THEN 1 ELSE 0 END as string) AS volume",
+    )
+    entries = met.selectExpr(
+        "doc", "cited AS entry", "arxiv_id AS arxiv", "CASE WHEN cited % 5 = 0 THEN concat('10.1/a', cited) END AS doi", "concat('Fam', owner % 50, ', Giv-N.') AS author", "concat('Giv-N. Fam', owner % 50, ', B. Zed', cited % 4) AS line", "cast(year as int) AS year",
+        "CASE WHEN cited % 7 > 0 THEN cast(cited % 90 as string) END AS page", "journal_title AS journal", "cast(cited % 20 as string) AS volume",
+    )
     return R.best_matches(parsed, entries)
 
 

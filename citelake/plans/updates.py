@@ -65,10 +65,10 @@ def protected_names(spark, d):
 
 
 #: References as a reader parsed them (author, year and page, some missing or wrong) and the entries of the same list.
-_MEAN = SQL + """, en AS (SELECT e.citing AS doc, e.cited AS entry, 'fam' || chr(CAST(97 + p.owner % 7 AS INT)) AS author, 'a. fam' || chr(CAST(97 + p.owner % 7 AS INT)) || ', b. zed' || (p.recid % 3) AS line, p.year AS year, CASE WHEN p.recid % 4 <> 0 THEN CAST(p.recid % 30 AS VARCHAR) END AS page FROM edges e JOIN papers p ON p.recid = e.cited),
+_MEAN = SQL + """, en AS (SELECT e.citing AS doc, e.cited AS entry, 'fam' || chr(CAST(97 + p.owner % 7 AS INT)) AS author, 'a. fam' || chr(CAST(97 + p.owner % 7 AS INT)) || ', b. zed' || (p.recid % 3) AS line, p.year AS year, CASE WHEN p.recid % 4 <> 0 THEN CAST(p.recid % 30 AS VARCHAR) END AS page, p.recid % 8 <> 0 AS published FROM edges e JOIN papers p ON p.recid = e.cited),
 pr AS (SELECT doc, entry AS ref, CASE entry % 5 WHEN 0 THEN '' WHEN 1 THEN author WHEN 2 THEN 'fam' WHEN 3 THEN 'zed' || (entry % 3) ELSE author || 'x' END AS author, CASE WHEN entry % 3 > 0 THEN CAST(CAST(year AS INT) + entry % 2 AS VARCHAR) END AS year, CASE WHEN entry % 7 > 2 THEN CAST(entry % 30 AS VARCHAR) END AS page FROM en),
 m AS (SELECT a.doc, a.ref, b.entry, CASE WHEN a.author = '' THEN 0 WHEN a.author = b.author THEN 4 WHEN contains(a.author, b.author) OR contains(b.author, a.author) THEN 3 WHEN contains(b.line, a.author) THEN 2 ELSE 0 END
-    + CASE WHEN a.year = b.year THEN 2 ELSE 0 END + CASE WHEN a.page = b.page THEN 2 ELSE 0 END AS earned, CASE WHEN a.author <> '' THEN 1 ELSE 0 END + CASE WHEN a.year IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN a.page IS NOT NULL AND b.page IS NOT NULL THEN 1 ELSE 0 END AS checks
+    + CASE WHEN a.year = b.year THEN 2 ELSE 0 END + CASE WHEN a.page = b.page THEN 2 ELSE 0 END AS earned, CASE WHEN a.author <> '' THEN 1 ELSE 0 END + CASE WHEN a.year IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN a.page IS NOT NULL AND b.published THEN 1 ELSE 0 END AS checks
   FROM pr a JOIN en b USING (doc)),
 r AS (SELECT doc, ref, entry, earned / checks AS score, row_number() OVER (PARTITION BY doc, ref ORDER BY earned / checks DESC, entry) AS k FROM m WHERE checks > 0 AND earned > 0)
 SELECT doc, ref, entry, score FROM r WHERE k = 1 AND score >= 1.5"""
@@ -78,6 +78,6 @@ SELECT doc, ref, entry, score FROM r WHERE k = 1 AND score >= 1.5"""
 def mean_matches(spark, d):
     p = tables.papers(spark, d)
     met = tables.edges(spark, d).join(p.withColumnRenamed("recid", "cited"), "cited")
-    entries = met.selectExpr("citing AS doc", "cited AS entry", "concat('Fam', chr(97 + owner % 7)) AS author", "concat('A. Fam', chr(97 + owner % 7), ', B. Zed', cited % 3) AS line", "year", "CASE WHEN cited % 4 <> 0 THEN cast(cited % 30 as string) END AS page")
+    entries = met.selectExpr("citing AS doc", "cited AS entry", "concat('Fam', chr(97 + owner % 7)) AS author", "concat('A. Fam', chr(97 + owner % 7), ', B. Zed', cited % 3) AS line", "year", "CASE WHEN cited % 4 <> 0 THEN cast(cited % 30 as string) END AS page", "cited % 8 <> 0 AS published")
     parsed = entries.selectExpr("doc", "entry AS ref", "CASE entry % 5 WHEN 0 THEN '' WHEN 1 THEN author WHEN 2 THEN 'fam' WHEN 3 THEN concat('zed', entry % 3) ELSE concat(author, 'x') END AS author", "CASE WHEN entry % 3 > 0 THEN cast(cast(year as int) + entry % 2 as string) END AS year", "CASE WHEN entry % 7 > 2 THEN cast(entry % 30 as string) END AS page")
     return U.mean_matches(parsed, entries)

@@ -62,6 +62,9 @@ def test_bibliography(spark):
     assert sorted(r["label"] for r in found.collect()) == [1, 2]
     got = {(r["label"], r["part"]): (r["author"], r["year"], r["volume"], r["page"], r["doi"]) for r in B.papers_in(found).collect()}
     assert got == {(1, 0): ("Okubo", "1963", "5", "165", None), (1, 1): ("Zweig", "1964", None, None, None), (2, 0): ("Aubert", "2004", "69", "074005", "10.1103/PhysRevD.69")}
+    packed = spark.createDataFrame([(1, "References\n[1] A. Smith, Phys. Lett. B 5, 165 (1963), B. Jones, Nucl. Phys. 7, 12 (1964), C. Brown, Phys. Rev. 9, 44 (1965)\n[2] D. Green, Phys. Rev. 9, 44 (1965), made in 1966")], "id int, text string")
+    assert [(r["label"], r["part"], r["author"], r["year"]) for r in B.papers_in(B.entries(packed)).orderBy("label", "part").collect()] == [(1, 0, "Smith", "1963"), (1, 1, "Jones", "1964"), (1, 2, "Brown", "1965"), (2, 0, "Green", "1966")]
+    assert B.papers_in(B.entries(packed), split_years=False).count() == 2
     few = spark.createDataFrame([(1, "References\n[3] A. B, J. C 1, 2 (1999)\n[4] D. E, J. F 3, 4 (2000); G. H, J. I 5, 6 (2001)"), (2, "References\n[3] x\n[4] y")], "id int, text string")
     own = B.entries(few)
     assert {r["id"]: r["confidence"] for r in B.confidence(own, B.papers_in(own)).collect()} == {1: "low", 2: "high"}
