@@ -13,8 +13,9 @@ AUTHOR_YEAR = r"[A-Z][A-Za-z'-]+(?: et al\.?| and [A-Z][A-Za-z'-]+)?,? \(?(?:19|
 
 
 def repair_brackets(text: Column) -> Column:
-    """Brackets that were read as the letters f and g around numbers."""
-    return F.regexp_replace(text, r"(?<![A-Za-z0-9_])f([\d,\s–-]+)g(?![A-Za-z0-9_])", "[$1]")
+    """Words that are f, g and between them what a bracket may hold: there the letters were brackets."""
+    held = r"[0-9,–\-\s]+"
+    return F.regexp_replace(text, rf"(?<!\w)f({held})g(?!\w)", "[$1]")
 
 
 def expand_range(start: Column, end: Column, span: int = SPAN) -> Column:
@@ -83,6 +84,39 @@ def author_year_citations(text: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(who, one)), lambda c: ~c["authors"][0].isin(NO_AUTHORS)))
 
 
+def separated_superscripts(raw: Column) -> Column:
+    """The numbers of raised digits, with points, commas or blanks between several."""
+    return F.filter(F.transform(F.split(raw, r"[·,\s]+"), lambda x: F.translate(x, SUPERSCRIPTS, "0123456789")), lambda x: x != "")
+
+
+def attached_numbers(text: Column) -> Column:
+    """The distinct labels of numbers, lists and ranges that follow a letter at once, as raised numbers do when their text is copied: up to MOST_ATTACHED."""
+    found = F.regexp_extract_all(text, F.lit(r"[A-Za-z](\d{1,3}(?:[–,-]\d{1,3})*)"), F.lit(1))
+    return F.array_distinct(F.filter(F.flatten(F.transform(found, labels_of)), lambda x: x.try_cast("int").between(1, MOST_ATTACHED)))
+
+
+#: Forms of markers by kind, in the order in which they are looked for; the greatest label of attached numbers and of any.
+SINGLE, RAISED = r"(\[\d+\])", f"([{SUPERSCRIPTS}]+(?:[·,\\s][{SUPERSCRIPTS}]+)*)"
+NAMED, SHORT_NAMED = r"(?i)(\[[a-z][a-z]+(?:\s+et\s+al\.?)?\s+\d{4}[a-z]?\])", r"(\[[A-Z]+\d{2,4}\])"
+NEW_ARXIV, OLD_ARXIV = r"(?i)(\[(?:arXiv:)?\d{4}\.\d{4,5}\])", r"(?i)(\[(?:hep-[a-z]+|astro-ph|gr-qc|nucl-[a-z]+|cond-mat|quant-ph)/\d+\])"
+MOST_ATTACHED, MOST = 500, 1499
+
+
+def markers(text: Column) -> Column:
+    """Array of (kind, raw, labels) of all markers of a text: single numbers in brackets, then lists and ranges, raised numbers, names with years, short names with
+    years, and arXiv ids of both forms; within a form in the text's order. A raw marker comes once, with the first form that has it; null has none."""
+    text = F.coalesce(text, F.lit(""))
+    of = lambda pattern: F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+    inner = lambda raw: F.regexp_replace(raw, r"^\[(?:(?i:arXiv):)?|\]$", "")
+    as_kind = lambda kind, raws, labels: F.transform(raws, lambda r: F.struct(F.lit(kind).alias("kind"), r.alias("raw"), labels(r).alias("labels")))
+    alone = lambda r: F.array(inner(r))
+    singles, lists = of(SINGLE), of(BRACKETS.replace(r"\[(", r"(\[").replace(r")\]", r"\])"))
+    return F.concat(
+        as_kind("numeric", singles, alone), as_kind("numeric", F.array_except(lists, singles), lambda r: labels_of(inner(r))), as_kind("numeric", of(RAISED), separated_superscripts),
+        as_kind("author-year", of(NAMED), alone), as_kind("author-year", of(SHORT_NAMED), alone), as_kind("arxiv", of(NEW_ARXIV), alone), as_kind("arxiv", of(OLD_ARXIV), alone),
+    )
+
+
 def all_markers(text: Column) -> Column:
     """Array of (kind, raw) of all markers: brackets first, then author and year, then superscripts; a marker that comes again is left out."""
     text = F.coalesce(text, F.lit(""))
@@ -94,6 +128,21 @@ def all_markers(text: Column) -> Column:
     return F.array_distinct(F.concat(*(of(k, p) for k, p in kinds)))
 
 
+#: Words that name a place in the document, before a number; and words before a number that are no author.
+PLACES = (
+    "figs? figures? tabs? tables? secs? sects? sections? eqs? eqns? equations? apps? appendix appendices chs? chaps? chapters? parts? theorems? lemmas? corollar(?:y|ies) "
+    "defs? definitions? props? propositions? examples? exercises? problems? notes? cases? steps?"
+).split()
+NO_CITING = (
+    "sections? secs? sects? chapters? chaps? ch figures? figs? tables? tabs? tbls? equations? eqs? eqns? formulas? formulae pages? pg pp lines? lns? appendix appendices app parts? pts? "
+    "theorems? thms? lemmas? lems? corollary corollaries cors? propositions? props? definitions? defs? proofs? pfs? remarks? rems? examples? exs? exercises? problems? probs? solutions? sols? "
+    "notes? cases? items? steps? columns? cols? rows? entry entries index indices numbers? nums? nos? versions? vers? volumes? vols? issues? iss years? yrs? days? months? "
+    "january february march april may june july august september october november december jan feb mar apr jun jul aug sept? oct nov dec "
+    "runs? beams? events? samples? generations? gens? orders? ord loops? levels? lev lvl tiers? phases? stages? class classes types? category categories cat groups? grps? sets? series modes? channels? chan bins? points? "
+    "degrees? deg dimensions? dims? components? comp parameters? params? models? scenarios? configurations? configs? options? opt methods? approach approaches schemes? algorithms? algo alg"
+).split()
+
+
 def selection_labels(text: Column, known: Column | None = None) -> Column:
     """(kind, labels) of a piece of text that a reader has marked: labels in brackets, else authors with years, else a bare list of numbers and
     ranges, else superscripts; null if there is nothing of the kind. A single number that must be a range whose dash was lost is written out."""
