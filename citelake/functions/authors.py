@@ -114,3 +114,17 @@ def compact(name: Column) -> Column:
 
 def same_author(a: Column, b: Column) -> Column:
     return F.coalesce((a == b) | (fold(a) == fold(b)), F.lit(False))
+
+
+def initials_agree(line: Column, author: Column, initials: Column) -> Column:
+    """Whether a line of authors gives an author (in lower case) these initials: true, false for others, null if it names no initials or not the author."""
+    quoted = lambda c: F.concat(F.lit(r"\Q"), F.replace(c, F.lit(r"\E"), F.lit("")), F.lit(r"\E"))
+    written = lambda x: F.concat(F.lit("(?iu)(?:"), x, F.lit(r"\s*"), quoted(author), F.lit("|"), quoted(author), F.lit(r",\s*"), x, F.lit(")"))
+    known = F.contains(F.lower(line), author)
+    return F.when(F.rlike(line, written(quoted(initials))), True).when(known & F.rlike(line, written(F.lit(r"[A-Z]\.(?:\s*-?[A-Z]\.)*"))), False)
+
+
+def initials_score(line: Column, initials: Column, same: float, other: float) -> Column:
+    """The sum of `same` for each author of the map whose initials a line gives, and of `other` for each to whom it gives others."""
+    one = lambda e: F.when(initials_agree(line, e["key"], e["value"]), same).when(~initials_agree(line, e["key"], e["value"]), other).otherwise(0.0)
+    return F.aggregate(F.coalesce(F.map_entries(initials), F.array().cast("array<struct<key:string,value:string>>")), F.lit(0.0), lambda s, e: s + F.coalesce(one(e), F.lit(0.0)))

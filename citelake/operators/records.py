@@ -10,6 +10,7 @@ from citelake.functions import authors as A
 from citelake.functions import identifiers as I
 from citelake.functions import text as T
 from citelake.operators import matching as M
+from citelake.operators.pairs import pairs_of
 
 
 def text_filter(rows: DataFrame, query: str, column: str = "search_text", journals: dict[str, list[str]] | None = None) -> DataFrame:
@@ -137,14 +138,6 @@ def match_score(a: str = "a_", b: str = "b_") -> Column:
     return F.when(same("arxiv"), ARXIV).when(same("doi"), DOI).otherwise(author + year + F.when(same("page"), PAGE).otherwise(0.0) + F.when(fits, JOURNAL).otherwise(0.0))
 
 
-def pairs_of(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
-    """The distinct pairs of rows that share a key: left (doc, names[0], keys) and right (doc, names[1], keys), keys an array of texts.
-
-    Only ids and hashes of keys are joined, and pairs made distinct, before anything else of the rows is read; a collision of hashes adds a pair."""
-    one = lambda rows, name: rows.select("doc", name, F.explode(F.array_distinct(F.transform("keys", lambda k: F.xxhash64(k)))).alias("_key"))
-    return one(left, names[0]).join(one(right, names[1]), ["doc", "_key"]).select("doc", *names).distinct()
-
-
 def best_matches(parsed: DataFrame, entries: DataFrame, least: float = 3.0) -> DataFrame:
     """(doc, ref, entry, score): each parsed reference's best entry of the same document, if it scores at least `least`.
 

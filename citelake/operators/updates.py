@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from citelake.functions import identifiers as I
 from citelake.functions import text as T
-from citelake.operators.records import pairs_of
+from citelake.operators.pairs import pairs_of
 
 #: Hours for which a check of a preprint is good; names that end a list of authors.
 FRESH_HOURS, ENDINGS = 24, ["others", "et al.", "et al", "and others", "collaboration"]
