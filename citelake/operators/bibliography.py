@@ -8,8 +8,14 @@ found is null; empty tables give none."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from citelake.functions import text as T
+from citelake.functions import unlabelled as U
+
 #: Headings of a list of references; the greatest label; labels that are years.
 HEADINGS = ["references and notes", "references", "bibliography", "literature cited", "参考文献"]
 MOST_LABEL, YEARS = 500, (1900, 2099)
@@ -147,6 +153,41 @@ def papers_in(found: DataFrame, split_years: bool = True) -> DataFrame:
     return known.withColumn("author", F.last("author", ignorenulls=True).over(before))
 
 
+#: What a bibliography without labels must have to be one: characters, entries and keys; the shares of keys with journals above which it is of high
+#: and of medium confidence.
+CHARACTERS, FEWEST, MOSTLY, PARTLY = 500, 5, 0.7, 0.4
+_UNLABELLED = ["authors", "year", "journal", "volume", "page", "doi", "arxiv", "text"]
+
+
+def unlabelled_entries(docs: DataFrame) -> DataFrame:
+    """(doc, ref, authors, year, journal, volume, page, doi, arxiv, raw): the entries of bibliographies without labels (see functions.unlabelled), ref being their place.
+    A null text has none; docs: id (distinct), text."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [U.entries(t) for t in batch.column("_s").to_pylist()]
+            owner = pa.array([i for i, own in enumerate(found) for _ in own], pa.int64())
+            place = pa.array([k for own in found for k in range(len(own))], pa.int32())
+            values = [pa.array([getattr(e, c) for own in found for e in own], pa.list_(pa.string()) if c == "authors" else pa.string()) for c in _UNLABELLED]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(owner), place, *values], names=["doc", "ref", *_UNLABELLED[:-1], "raw"])
+
+    schema = f"doc {kind}, ref int, authors array<string>, year string, journal string, volume string, page string, doi string, arxiv string, raw string"
+    return docs.select("id", section(F.col("text")).alias("_s")).mapInArrow(read, schema)
+
+
+def unlabelled_confidence(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc, n_entries, n_keys, confidence): of documents whose bibliography is long enough and has FEWEST entries and keys (first author and year, as they are and
+    without accents), how far it is to be trusted, by the entries with journals for each key. found: unlabelled_entries of docs."""
+    long = docs.filter(F.length(section(F.col("text"))) >= CHARACTERS).select(F.col("id").alias("doc"))
+    key = F.lower(F.concat(F.get("authors", F.lit(0)), F.lit(" "), F.col("year")))
+    plain = F.array_distinct(F.array(key, T.fold(key)))
+    own = found.groupBy("doc").agg(F.count("*").alias("n_entries"), F.count("journal").alias("_j"))
+    keys = found.select("doc", F.explode(plain).alias("k")).distinct().groupBy("doc").agg(F.count("*").alias("n_keys"))
+    met = long.join(own, "doc").join(keys, "doc").filter((F.col("n_entries") >= FEWEST) & (F.col("n_keys") >= FEWEST))
+    return met.select("doc", "n_entries", "n_keys", F.when(F.col("_j") > F.col("n_keys") * MOSTLY, "high").when(F.col("_j") > F.col("n_keys") * PARTLY, "medium").otherwise("low").alias("confidence"))
+
+
 def confidence(found: DataFrame, papers: DataFrame) -> DataFrame:
     """(id, labels, confidence): high if each label is the one before plus one, wherever they begin, and at most SEVERAL of the entries hold several
     papers; else medium from MANY labels on, else low."""
