@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-A lexicon gives each word of a clause one of eight symbols. Five small transducers read the symbols: insult (alone or one of a pile), threat (a
-threatening word and a target within a few words, in either order), target (guesses at the start whether the clause is aimed at someone, at least
-framed by function words, or neither, and is right at the end on exactly one path), negation (a scope of a few words) and reported speech (to the
-clause's end, or between quotation marks). compose() multiplies them once into one table of arcs, whose weights are the products of
-theirs; a clause is run over that table. So it is matched clauses that score: an insult in a clause that is neither aimed nor framed weighs
-nothing unless another stands beside it, and a threat without a target weighs nothing. A document's score is a logistic function of its clauses' sums.
+A lexicon gives each word of a clause one of nine symbols. Five small transducers read the symbols: insult (alone or one of a pile), threat (a
+threatening word and a target within a few words, in either order), relation (an insult that is addressed: "you" right before it; or predicated: a target, a
+copula within a few words, the insult within a few more), negation (a scope of a few words) and reported speech (to the clause's end, or between
+quotation marks). compose() multiplies them once into one table of arcs, whose weights are the products of theirs; a clause is run over that table.
+
+So it is matched clauses that score. An insult that is aimed in its clause, or piled on another, counts; a lone one ("the trash is out") counts only in a crowd:
+different lone insults of one document count from the second on. Aimed insults and threats with a target decide by themselves, with the fixed odds
+SURE: labels hardly ever show them, so they aren't learned. A document's score is 1 - (1 - p) (1 - SURE) ^ n: p a logistic function of the sums over its clauses, n
+the weight of its threats and aimed insults that are neither denied nor, in full, reported.
 
 Insult words of the lexicon: SEEDS, and words and beginnings of words that the training rows show to be toxic (learn_lexicon). The training
 rows are a bounded sample, at most SAMPLE labelled rows of the training fold in the order of a hash of doc_id; the score reads the text alone. All
@@ -32,27 +35,33 @@ from .common import durable, fold, forget, pieces, plain_names
 #: The lexicon's words. Weights of insults are 1 unless learned.
 SEEDS = {
     "insult": "idiot idiots stupid moron morons loser losers clown clowns scum trash pathetic worthless disgusting imbecile cretin dumb dumbass fool dimwit vermin filth garbage jerk bastard bastards dickhead asshole bitch whore slut coward parasite parasites subhuman dumm dummkopf trottel arschloch abschaum idiota imbécil estúpido estúpida basura escoria stupide connard ordure crétin minable".split(),
-    "threat": "kill murder hurt destroy strangle stab shoot hang burn beat töten umbringen matar matarte tuer frapper".split(),
-    "target": "you your yours yourself they them their he she his her him these those people everyone du dich dein ihr euch sie tú ti tu usted ustedes ellos toi vous votre ils elles".split(),
+    "threat": "kill murder hurt destroy strangle stab töten umbringen matar matarte asesinar tuer".split(),
+    "address": "you du ihr tú usted ustedes vosotros tu vous".split(),
+    "target": "they them he him she her yourself everyone dich euch sie er ihn ti él ella ellos ellas toi il elle ils elles lui".split(),
+    "copula": "am are is was were be being bin bist ist seid sind war wart waren soy eres es somos son era eran suis est êtes sont étais était étaient".split(),
     "negation": "not no never neither nor isn't aren't wasn't don't doesn't didn't ain't can't nobody nicht kein keine nie nunca jamás ne pas jamais".split(),
     "report": "said says say told called calls claimed wrote quoted reported according alleged denied sagte schrieb laut dijo según dit écrit selon".split(),
-    "frame": "the a an this that it its is are was were be been and or but of to in on at by as for from with which who such i we my our all have has had will would can der die das den dem des ein eine einer eines einen einem ist sind war hat wird und oder aber von zu zum zur in im an am auf aus bei nach mit für als wie so auch es sich wir ich dass el la los las un una unos unas lo se su sus me mi es son era ha y o de del al en con por para que como más pero le les une des du au aux on en est sont était a et ou mais dans avec par pour sur qui ce cette se sa son ses je nous plus comme tout".split(),
 }
 #: Symbols; a word of two classes has the first of them in the order of PRECEDENCE.
-OTHER, INSULT, THREAT, TARGET, FRAME, NEGATION, REPORT, QUOTE = range(8)
-PRECEDENCE = [("negation", NEGATION), ("report", REPORT), ("target", TARGET), ("threat", THREAT), ("insult", INSULT), ("frame", FRAME)]
-#: Words that a negation reaches, between insults of a pile, and between a threat and its target.
+OTHER, INSULT, THREAT, TARGET, ADDRESS, COPULA, NEGATION, REPORT, QUOTE = range(9)
+SYMBOLS = 9
+PRECEDENCE = [("negation", NEGATION), ("report", REPORT), ("address", ADDRESS), ("target", TARGET), ("copula", COPULA), ("threat", THREAT), ("insult", INSULT)]
+#: Words that a negation reaches, between insults of a pile, and between a threat and its target, a target and its copula, a copula and what it predicates.
 SCOPE, NEAR, REACH = 4, 3, 3
-#: Weights of arcs: in a negation's scope, in reported speech, in aimed and framed clauses, beside another insult, and beside one in a bare clause.
-NEGATED, REPORTED, AIMED, FRAMED, PILED, BARE_PILED = 0.3, 0.5, 1.5, 1.0, 1.25, 0.8
-#: What events count as: asserted, negated and reported insults, threats.
-ASSERTED, DENIED, QUOTED, THREATENED = range(4)
+#: Weights of arcs: in a negation's scope, in reported speech, aimed, on another insult, and both.
+NEGATED, REPORTED, AIMED, PILED, AIMED_PILED = 0.3, 0.5, 1.5, 0.8, 1.875
+#: What events count as: asserted insults that are aimed, ones that are only piled, denied and reported ones, threats, lone insults.
+AIMED_AT, ASSERTED, DENIED, QUOTED, THREATENED, LONE = range(6)
+KINDS = 6
+#: How surely a threat, or an aimed insult, makes a document toxic.
+SURE = 0.75
 #: Bounds of learning: labelled rows, the least lower bound (two standard errors) of an arc's log odds, and lengths of beginnings of words.
 SAMPLE, LEAST_ODDS, BEGINNINGS = 20_000, 2.5, (4, 5, 6)
 #: A learned arc weighs its sure log odds over SHARE, HEAVIEST at most; certain seeds weigh 1 at least.
 SHARE, HEAVIEST = 3, 2.0
-#: Logistic weights without training rows: constant, asserted, negated, reported, threats, worst clause; and how strongly fitted ones keep to them.
-PRIOR, RIDGE = (-3.5, 1.5, 0.3, 0.5, 1.5, 5.0), 0.1
+#: Logistic weights without training rows: constant, insults that are asserted, denied and reported, the worst clause, and the crowd of lone ones; and how strongly
+#: fitted ones keep to them.
+PRIOR, RIDGE = (-3.5, 1.5, 0.3, 0.5, 4.0, 6.5), 0.1
 FEATURES = len(PRIOR)
 #: Words whose symbols a task remembers.
 MEMORY = 200_000
@@ -74,7 +83,7 @@ class Transducer:
 def _fading(name: str, mark: int, reach: int, quiet: str = "", at: str = "") -> Transducer:
     """After `mark` the next `reach` symbols are read in the states of `name`; reading one there gives `at`, elsewhere `quiet`."""
     states = ["-", *(f"{name}{k}" for k in range(1, reach + 1))]
-    arcs = {(x, s): (states[reach] if s == mark else states[max(0, k - 1)], at if k else quiet) for k, x in enumerate(states) for s in range(8)}
+    arcs = {(x, s): (states[reach] if s == mark else states[max(0, k - 1)], at if k else quiet) for k, x in enumerate(states) for s in range(SYMBOLS)}
     return Transducer(("-",), frozenset(states), arcs)
 
 
@@ -83,23 +92,32 @@ def _report() -> Transducer:
     for reported in (False, True):
         for quoted in (False, True):
             state = f"{'said' if reported else ''}{'quoted' if quoted else ''}" or "-"
-            for s in range(8):
+            for s in range(SYMBOLS):
                 r, q = reported or s == REPORT, quoted ^ (s == QUOTE)
                 arcs[state, s] = f"{'said' if r else ''}{'quoted' if q else ''}" or "-", "reported" if reported or quoted else ""
     return Transducer(("-",), frozenset(x for x, _ in arcs), arcs)
 
 
-def _target() -> Transducer:
+def _relation() -> Transducer:
+    """What an insult is to a person. Waits for a copula for REACH symbols after a target, and for an insult for REACH symbols after that; one right after an
+    address is aimed, too. An insult lets the wait for more of them begin anew."""
     arcs = {}
-    for s in range(8):
-        arcs["to aim", s] = "aimed" if s == TARGET else "to aim", "aimed"
-        arcs["aimed", s] = "aimed", "aimed"
-        if s != TARGET:
-            arcs["to frame", s] = "framed" if s == FRAME else "to frame", "framed"
-            arcs["framed", s] = "framed", "framed"
-            if s != FRAME:
-                arcs["bare", s] = "bare", "bare"
-    return Transducer(("to aim", "to frame", "bare"), frozenset({"aimed", "framed", "bare"}), arcs)
+    for kind in ("person", "predicate"):
+        for k in range(REACH + 1):
+            state = f"{kind}{k}" if k else "-"
+            for s in range(SYMBOLS):
+                if s in (TARGET, ADDRESS):
+                    to = "addressed" if s == ADDRESS else f"person{REACH}"
+                elif s == COPULA:
+                    to = f"predicate{REACH}" if k else "-"
+                elif s == INSULT and kind == "predicate" and k:
+                    to = f"predicate{REACH}"
+                else:
+                    to = f"{kind}{k - 1}" if k > 1 else "-"
+                arcs[state, s] = to, "aimed" if s == INSULT and kind == "predicate" and k else ""
+    for s in range(SYMBOLS):  # like person{REACH}, but for an insult that follows at once
+        arcs["addressed", s] = (f"predicate{REACH}", "aimed") if s == INSULT else arcs[f"person{REACH}", s]
+    return Transducer(("-",), frozenset(x for x, _ in arcs), arcs)
 
 
 def _threat() -> Transducer:
@@ -108,10 +126,10 @@ def _threat() -> Transducer:
     for kind in ("threat", "target"):
         for k in range(REACH + 1):
             state = f"{kind}{k}" if k else "-"
-            for s in range(8):
+            for s in range(SYMBOLS):
                 if s == THREAT:
                     arcs[state, s] = (f"target{k}", "threat") if kind == "target" and k else (f"threat{REACH}", "")
-                elif s == TARGET:
+                elif s in (TARGET, ADDRESS):
                     arcs[state, s] = f"target{REACH}", "threat" if kind == "threat" and k else ""
                 else:
                     arcs[state, s] = f"{kind}{k - 1}" if k > 1 else "-", ""
@@ -119,22 +137,23 @@ def _threat() -> Transducer:
 
 
 #: The grammar: what each transducer says of the symbol that it reads.
-GRAMMAR = {"insult": _fading("near", INSULT, NEAR, "single", "piled"), "threat": _threat(), "target": _target(), "negation": _fading("not", NEGATION, SCOPE, "", "negated"), "report": _report()}
+GRAMMAR = {"insult": _fading("near", INSULT, NEAR, "single", "piled"), "threat": _threat(), "relation": _relation(), "negation": _fading("not", NEGATION, SCOPE, "", "negated"), "report": _report()}
 
 
 def event(symbol: int, said: dict[str, str]) -> tuple[int, float] | None:
     """What an arc of the product emits: the kind of event and its weight; None if nothing."""
     negated, reported = said["negation"] == "negated", said["report"] == "reported"
     if symbol == INSULT:
-        piled = said["insult"] == "piled"
-        weight = {"aimed": AIMED, "framed": FRAMED, "bare": 0.0}[said["target"]] * (PILED if piled else 1) or (BARE_PILED if piled else 0)
-        kind = DENIED if negated else QUOTED if reported else ASSERTED
-        weight *= NEGATED if negated else REPORTED if reported else 1
-    elif said["threat"] == "threat" and not negated:
-        kind, weight = THREATENED, REPORTED if reported else 1.0
-    else:
-        return None
-    return (kind, weight) if weight else None
+        piled, aimed = said["insult"] == "piled", said["relation"] == "aimed"
+        if not piled and not aimed:
+            return None if negated else (LONE, REPORTED if reported else 1.0)
+        weight = (AIMED_PILED if piled else AIMED) if aimed else PILED
+        if negated:
+            return DENIED, weight * NEGATED
+        return (QUOTED, weight * REPORTED) if reported else (AIMED_AT if aimed else ASSERTED, weight)
+    if said["threat"] == "threat" and not negated:
+        return THREATENED, REPORTED if reported else 1.0
+    return None
 
 
 @dataclass(frozen=True)
@@ -147,18 +166,18 @@ class Composed:
     kind: list[list[int]]
     weight: list[list[float]]
 
-    def clause(self, symbols: list[int], weights: list[float]) -> list[float]:
-        """The sums of a clause's events by kind, on the one path that ends well. weights: the lexicon's, of each word."""
+    def clause(self, symbols: list[int], weights: list[float]) -> list[tuple[int, int, float]]:
+        """A clause's events (place, kind, weight), on the one path that ends well. weights: the lexicon's, of each word."""
         for state in self.starts:
-            sums = [0.0] * 4
-            for s, w in zip(symbols, weights, strict=True):
+            out = []
+            for i, (s, w) in enumerate(zip(symbols, weights, strict=True)):
                 if (kind := self.kind[state][s]) >= 0:
-                    sums[kind] += w * self.weight[state][s]
+                    out.append((i, kind, w * self.weight[state][s]))
                 if (state := self.next[state][s]) < 0:
                     break
             if state >= 0 and self.ends[state]:
-                return sums
-        return [0.0] * 4
+                return out
+        return []
 
 
 def compose(grammar: dict[str, Transducer] = GRAMMAR) -> Composed:
@@ -170,7 +189,7 @@ def compose(grammar: dict[str, Transducer] = GRAMMAR) -> Composed:
         out.ends.append(all(x in t.ends for x, t in zip(state, grammar.values(), strict=True)))
         for row in (out.next, out.kind, out.weight):
             row.append([])
-        for s in range(8):
+        for s in range(SYMBOLS):
             steps = [t.arcs.get((x, s)) for x, t in zip(state, grammar.values(), strict=True)]
             if None in steps:
                 after, emitted = -1, None
@@ -215,24 +234,43 @@ class Grammar:
         self.memory[word] = found
         return found
 
-    def features(self, text: str | None) -> list[float]:
-        """Constant, log sums of asserted, negated and reported insults and of threats, and the log of the worst clause's sum of asserted ones."""
-        sums, worst = [0.0] * 4, 0.0
+    def measure(self, text: str | None) -> tuple[list[float], float]:
+        """The features, constant and logs of sums (see PRIOR), and the weight of what decides by itself."""
+        sums, worst, alone = [0.0] * KINDS, 0.0, {}
         lower = text.lower() if text else ""
         if next(iter(self.trigger.iter(lower)), None):
             clause: list[tuple[int, float]] = []
+            words: list[str] = []
             known, stirs = self.memory.get, False
             for token in [*_TOKENS.findall(lower), "."]:
                 if token in _ENDS:
                     if stirs:
-                        own = self.table.clause(*map(list, zip(*clause, strict=True)))
-                        sums, worst = [a + b for a, b in zip(sums, own, strict=True)], max(worst, own[ASSERTED])
-                    clause, stirs = [], False
+                        own = [0.0] * KINDS
+                        for i, kind, weight in self.table.clause(*map(list, zip(*clause, strict=True))):
+                            own[kind] += weight
+                            if kind == LONE:
+                                alone[words[i]] = max(weight, alone.get(words[i], 0.0))
+                        sums, worst = [a + b for a, b in zip(sums, own, strict=True)], max(worst, own[AIMED_AT] + own[ASSERTED])
+                    clause, words, stirs = [], [], False
                 else:
                     found = known(token) or self.read(token)
                     clause.append(found)
+                    words.append(token)
                     stirs = stirs or found[0] == INSULT or found[0] == THREAT
-        return [1.0, *map(math.log1p, sums), math.log1p(worst)]
+        crowd = sum(alone.values())
+        if not sums[AIMED_AT] + sums[ASSERTED]:  # else the first lone one is one of several
+            crowd -= max(alone.values(), default=0.0)
+        x = [1.0, *(math.log1p(v) for v in (sums[AIMED_AT] + sums[ASSERTED], sums[DENIED], sums[QUOTED], worst, crowd))]
+        return x, sums[THREATENED] + sums[AIMED_AT] / AIMED
+
+    def features(self, text: str | None) -> list[float]:
+        return self.measure(text)[0]
+
+
+def document_score(x: np.ndarray, decided: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The scores of rows of features, and of what decides by itself."""
+    p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+    return 1 - (1 - p) * (1 - SURE) ** decided
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -318,8 +356,9 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
         grammar, w = Grammar(model.insult, table), np.array(model.weights)
         for batch in batches:
             for part in pieces(batch, "text"):
-                x = np.array([grammar.features(t) for t in part.column("text").to_pylist()]).reshape(-1, FEATURES)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))))], names=[*keep, "score"])
+                measured = [grammar.measure(t) for t in part.column("text").to_pylist()]
+                x, decided = np.array([m[0] for m in measured]).reshape(-1, FEATURES), np.array([m[1] for m in measured])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(document_score(x, decided, w))], names=[*keep, "score"])
 
     return back(source.mapInArrow(run, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in source.schema), "score double"])))
 

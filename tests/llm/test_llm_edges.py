@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and columns with clashing names."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -188,19 +189,115 @@ def test_quality_edges(docs, labels):
     assert got["Ünïcode ß 漢字 😀 <|endoftext|>"][:3] == (5, 24, 4)
 
 
+def plain_events(grammar, text):
+    """By rules on lists of words: (clause, word, kind, weight) of each event."""
+    T, out = toxicity, []
+    clauses, own = [], []
+    for token in [*T._TOKENS.findall((text or "").lower()), "."]:
+        if token in T._ENDS:
+            clauses.append(own)
+            own = []
+        else:
+            own.append(token)
+    for c, words in enumerate(clauses):
+        read = [grammar.read(w) for w in words]
+        symbols = [s for s, _ in read]
+        before = lambda i, n, kinds: [j for j in range(max(0, i - n), i) if symbols[j] in kinds]  # noqa: E731, B023
+        people, waiting = (T.TARGET, T.ADDRESS), None  # waiting: up to which place an insult is predicated
+        named = None  # up to which place a copula belongs to a person
+        quoted = said = False
+        last_threat = last_target = None
+        for i, (s, w) in enumerate(read):
+            reported = said or quoted
+            negated = bool(before(i, T.SCOPE, (T.NEGATION,)))
+            aimed = s == T.INSULT and ((waiting is not None and i <= waiting) or (i > 0 and symbols[i - 1] == T.ADDRESS))
+            if s == T.INSULT:
+                piled = bool(before(i, T.NEAR, (T.INSULT,)))
+                if not aimed and not piled:
+                    if not negated:
+                        out.append((c, words[i], T.LONE, w * (T.REPORTED if reported else 1)))
+                else:
+                    base = w * ((T.AIMED_PILED if piled else T.AIMED) if aimed else T.PILED)
+                    kind = T.DENIED if negated else T.QUOTED if reported else T.AIMED_AT if aimed else T.ASSERTED
+                    out.append((c, words[i], kind, base * (T.NEGATED if negated else T.REPORTED if reported else 1)))
+            # A threat near a target: the nearer of the two kinds counts.
+            near = (last_target is not None and i - last_target <= T.REACH) if s == T.THREAT else (last_threat is not None and i - last_threat <= T.REACH) if s in people else False
+            if near and not negated:
+                out.append((c, words[i], T.THREATENED, w * (T.REPORTED if reported else 1)))
+            if s == T.THREAT:
+                if near:
+                    last_target += 1  # a threat uses up nothing of the reach
+                else:
+                    last_threat, last_target = i, None
+            elif s in people:
+                last_threat, last_target = None, i
+            if aimed:
+                waiting, named = i + T.REACH, None
+            elif s in people:
+                named, waiting = i + T.REACH, None
+            elif s == T.COPULA:
+                waiting, named = (i + T.REACH if (named is not None and i <= named) or (waiting is not None and i <= waiting) else None), None
+            said |= s == T.REPORT
+            quoted ^= s == T.QUOTE
+    return out
+
+
+def plain_score(grammar, text, weights):
+    T, events = toxicity, plain_events(grammar, text)
+    total = lambda *kinds: sum(w for _, _, k, w in events if k in kinds)
+    worst = max((sum(w for c, _, k, w in events if c == x and k in (T.AIMED_AT, T.ASSERTED)) for x in {e[0] for e in events}), default=0)
+    lone = {}
+    for _, word, k, w in events:
+        if k == T.LONE:
+            lone[word] = max(w, lone.get(word, 0))
+    said = total(T.AIMED_AT, T.ASSERTED)
+    crowd = sum(lone.values()) - (0 if said else max(lone.values(), default=0))
+    z = weights[0] + sum(w * np.log1p(v) for w, v in zip(weights[1:], (said, total(T.DENIED), total(T.QUOTED), worst, crowd)))
+    return 1 - (1 - 1 / (1 + np.exp(-z))) * (1 - T.SURE) ** (total(T.THREATENED) + total(T.AIMED_AT) / T.AIMED)
+
+
+def test_score_is_that_of_plain_rules(spark):
+    """Random clauses of all classes of words, and the sentences of other tests."""
+    import random
+
+    rng, T = random.Random(4), toxicity
+    learned = {"snurf*": 0.7, "blorx": 1.6}
+    g = T.Grammar(learned)
+    pool = [rng.choice(T.SEEDS[c]) for c in T.SEEDS for _ in range(4)] + ["snurfled", "blorx", "plain", "word", "of", '"', '"', ".", "!", "idiot", "you", "are", "they"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for _ in range(3000)] + [None, "", "Idiot"]
+    weights = [-4.0, 1.1, 0.2, 0.4, 3.0, 6.0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["score"] for r in T.toxicity(docs, T.Model(learned, weights)).collect()}
+    for i, text in enumerate(texts):
+        assert got[i] == pytest.approx(plain_score(g, text, weights)), text
+
+
 def test_grammar():
     g = toxicity.Grammar({"snurf*": 0.7})
-    at = lambda t: [round(x, 3) for x in g.features(t)[1:5]]
-    assert at("You idiot") > at("An idiot") and at("You are not an idiot.")[0] == 0 < at("You are not an idiot.")[1]
-    assert at("She said you idiot")[0] == 0 < at("She said you idiot")[2]
-    assert at('He wrote "idiot"')[0] == 0 and at("I will kill you")[3] > 0 == at("I kill time")[3]
-    assert at("Dich töten")[3] > 0 and at("You may, after a very long time, kill")[3] == 0
-    assert at("I will not kill you")[3] == 0 and at(None) == at("") == at("plain words") == [0, 0, 0, 0]
-    assert at("Not now. You idiot.")[0] > 0  # a negation ends with its clause
-    assert at("idiotic")[0] == 0
-    assert at("Idiot") == at("Idiot. Moron!") == at("Kill") == at("xx idiot yy") == [0, 0, 0, 0]  # words alone match no clause
-    assert at("Idiot moron")[0] > 0  # one of a pile
-    assert at("you snurfled")[0] > 0 == at("you snurs")[0]
+    at = lambda t: [round(x, 3) for x in g.features(t)[1:]]
+    sure = lambda t: g.measure(t)[1]
+    assert at("You idiot") > at("An idiot") and sure("You are not an idiot.") == 0 < at("You are not an idiot.")[1]
+    assert at("She said you idiot")[0] == 0 < at("She said you idiot")[2] and at('He wrote "you idiot"')[0] == 0
+    assert sure("I will kill you") == 1 and sure("I kill time") == 0 == sure("I will not kill you") and sure("Dich töten") == 1
+    assert sure("You may, after a very long time, kill") == 0 and at(None) == at("") == at("plain words") == [0] * 5
+    assert sure("Not now. You idiot.") == 1  # a negation ends with its clause
+    assert at("idiotic") == at("Idiot") == at("Kill") == at("The idiot. An idiot!") == [0] * 5  # a lone word, however often it stands
+    assert at("Idiot moron")[0] > 0 and at("An idiot. A moron.")[4] > 0 == at("An idiot. A moron.")[0]  # a pile, and a crowd
+    assert sure("you snurfled") > 0 == sure("you snurs")
+
+
+@pytest.mark.parametrize("learned", [False, True])
+def test_benign_sentences_and_threats(spark, learned):
+    """Nouns that nobody is called stay under the threshold, threats and called names are over it: with PRIOR, and with a model learned from a small table."""
+    model = toxicity.Model({}, list(toxicity.PRIOR))
+    if learned:
+        read = lambda t: spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet")
+        model = toxicity.train(read("documents"), read("labels"))
+    benign = ["trash can", "The trash is on the street", "clown fish live in the reef", "dumb terminal of the 1970s", "The bastard operator", "They put the trash out. The trash was gone.", "He is not an idiot", "garbage collection of the system", "take out your trash"]
+    toxic = ["I will kill you", "I will kill you and murder them. We will hurt you.", "You are an idiot", "you stupid idiot", "they are all such vermin", "Du bist ein Idiot", "tú eres un idiota"]
+    docs = spark.createDataFrame([(t,) for t in benign + toxic], "text string")
+    got = {r["text"]: r["score"] for r in toxicity.toxicity(docs, model).collect()}
+    assert {t for t, x in got.items() if x >= toxicity.TOXIC} == set(toxic)
 
 
 def test_composed_grammar_is_the_product_of_its_paths():
@@ -222,16 +319,16 @@ def test_composed_grammar_is_the_product_of_its_paths():
                     yield said
 
     table, rng = toxicity.compose(), random.Random(3)
-    clauses = [list(x) for n in (0, 1, 2, 3) for x in product(range(8), repeat=n)] + [[rng.randrange(8) for _ in range(rng.randrange(4, 14))] for _ in range(2000)]
+    clauses = [list(x) for n in (0, 1, 2, 3) for x in product(range(9), repeat=n)] + [[rng.randrange(9) for _ in range(rng.randrange(4, 14))] for _ in range(2000)]
     for symbols in clauses:
         weights = [rng.choice((0.5, 1.0, 1.5)) for _ in symbols]
         combined = list(product(*(list(paths(t, symbols)) for t in toxicity.GRAMMAR.values())))
         assert len(combined) == 1  # the grammar is unambiguous
-        want = [0.0] * 4
+        want = []
         for i, (s, w) in enumerate(zip(symbols, weights)):
             if found := toxicity.event(s, {name: said[i] for name, said in zip(toxicity.GRAMMAR, combined[0])}):
-                want[found[0]] += found[1] * w
-        assert table.clause(symbols, weights) == pytest.approx(want)
+                want.append((i, found[0], pytest.approx(found[1] * w)))
+        assert table.clause(symbols, weights) == want
 
 
 def test_toxicity_labels(docs, labels):
