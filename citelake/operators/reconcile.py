@@ -12,13 +12,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .records import match_score, normal_parts
+from citelake.sources.shared import durable
+
+from .matching import keys_similar, strong_match
+from .records import match_score, normal_parts, scored_pairs
 
 #: How many entries more than papers are looked through, and if none is found; the least score.
 AHEAD, WIDER, ACCEPT = 3, 8, 3.0
 #: From which difference or below which share two lists disagree; shares from which labels are well aligned; least coverage of a strict map.
 APART, SHORT, ALIGNED, COVERED = 5, 0.85, 0.95, 0.5
 
+#: From which excess of read papers on the sequence isn't trusted; what the best of all entries must earn with a fitting year, and without years; how far
+#: years fit; how much better a best entry of another year must be; scores of high and medium confidence.
+EXCESS, YEAR_ACCEPT, NO_YEAR_ACCEPT, YEARS_FIT, BETTER, HIGH, MEDIUM = 1.05, 4.0, 6.0, 3, 1.0, 6.0, 4.0
+
 _PICK = "array<struct<part:int,entry:int,score:double>>"
 
 
@@ -93,3 +100,65 @@ def list_agreement(labels: DataFrame, papers: DataFrame, entries: DataFrame, rec
     out = met.select("doc", "total", "expected", "counted", coverage.alias("coverage"), ratio.alias("ratio"), F.coalesce(aligned, F.lit(False)).alias("well_aligned"), (known & (F.col("counted") > F.col("total"))).alias("over_parsed"), known.alias("_k"))
     apart = (F.abs(F.col("counted") - F.col("total")) >= APART) | (F.col("ratio") < SHORT)
     return out.withColumn("strict", F.col("_k") & apart & ~F.col("well_aligned") & (F.col("coverage") >= COVERED) & ~F.col("over_parsed")).drop("_k")
+
+
+def settled_labels(labels: DataFrame, papers: DataFrame, entries: DataFrame) -> DataFrame:
+    """(doc, label, found, confidence, by): for each label the entries that it means and what settled it. Strategies are tried one after the other, each on the labels that
+    those before it left; what a document is like may switch one off:
+
+    label (entries with that label), strong (the best of its papers' strong matches, near its place in the sequence if it has one), id (papers' arXiv ids and DOIs anywhere; for
+    labels beyond the greatest one of the entries), sequence (its places by reconcile; not in lists without labels or with EXCESS papers), best (the best entry for
+    each paper in the whole list; where the sequence is strict or not trusted), near (in lists without labels the best entries around its number), place (its number; in lists
+    without labels that aren't strict).
+
+    Arguments as for reconcile, whose labels are numbers (of other labels see matching.label_matches); entries also have label. Labels that nothing settles
+    aren't returned."""
+    sequence = durable(reconcile(labels, papers, entries))
+    agreement = list_agreement(labels, papers, entries, sequence).select("doc", "ratio", "over_parsed", "strict")
+    sizes = entries.groupBy("doc").agg(F.max(F.trim("label").try_cast("int")).alias("greatest"), F.count_if(F.coalesce(F.trim("label"), F.lit("")) != "").alias("labelled"), F.count("*").alias("total"))
+    like = agreement.join(sizes, "doc", "left").select("doc", "strict", (F.col("over_parsed") & (F.col("ratio") > EXCESS)).alias("excess"), (F.coalesce("labelled", F.lit(0)) == 0).alias("unlabelled"), "greatest", F.coalesce("total", F.lit(0)).alias("total"))
+    asked = durable(sequence.select("doc", "label", "first", "n_entries", "n_papers").join(like, "doc"))
+    real = papers.groupBy("doc", F.col("label").cast("int").alias("label")).agg(F.count_if(~F.col("is_erratum")).alias("_real"))
+    used = papers.withColumn("label", F.col("label").cast("int")).join(real, ["doc", "label"]).filter(~F.col("is_erratum") | (F.col("_real") == 0)).drop("_real")
+    pairs = scored_pairs(used.withColumn("ref", F.struct("label", "part")).drop("label", "part", "is_erratum"), entries.drop("label"))
+    x, y = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    part = F.contains(y("author"), x("author")) | F.contains(x("author"), y("author")) | F.contains(y("text"), x("author"))
+    strong = strong_match(part, keys_similar(x("journal"), y("journal")) & x("journal").isNotNull(), F.when(x("journal").isNotNull(), x("volume") == y("volume")), x("page") == y("page"), F.abs(x("year") - y("year")), x("arxiv") == y("arxiv"), x("doi") == y("doi"))
+    same_id = F.coalesce(x("arxiv") == y("arxiv"), F.lit(False)) | F.coalesce(x("doi") == y("doi"), F.lit(False))
+    known = durable(pairs.select("doc", "ref.label", "ref.part", "entry", "score", strong.alias("strong"), same_id.alias("same_id"), (F.abs(x("year") - y("year")) <= YEARS_FIT).alias("year_fits"), x("year").isNotNull().alias("dated")))
+    done, left = [], asked
+
+    def settle(by: str, found: DataFrame) -> None:
+        """found: (doc, label, entry, confidence) for labels among `left`."""
+        nonlocal left
+        rows = durable(found.groupBy("doc", "label").agg(F.array_sort(F.collect_set(F.col("entry").cast("int"))).alias("found"), F.min(F.array_position(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("confidence"))).alias("_c")))
+        done.append(rows.select("doc", "label", "found", F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), F.col("_c").cast("int")).alias("confidence"), F.lit(by).alias("by")))
+        left = left.join(rows.select("doc", "label"), ["doc", "label"], "left_anti")
+
+    own = entries.select("doc", "entry", F.trim("label").alias("own"))
+    high, medium = F.lit("high").alias("confidence"), F.lit("medium").alias("confidence")
+    settle("label", left.join(own, "doc").filter(F.col("own") == F.col("label").cast("string")).select("doc", "label", "entry", high))
+    placed = F.col("n_entries") > 0
+    window = ~placed | F.col("entry").between(F.col("first") - 1, F.col("first") + F.col("n_entries"))
+    rank = F.when(F.col("strong.kind") == "arxiv", 3).when(F.col("strong.kind") == "doi", 2).otherwise(1)
+    best = left.join(known, ["doc", "label"]).filter(F.col("strong").isNotNull() & window).groupBy("doc", "label").agg(F.min(F.struct((-rank).alias("r"), (-F.col("strong.score")).alias("s"), "part", "entry")).alias("b"))
+    settle("strong", best.select("doc", "label", "b.entry", high))
+    beyond = left.filter(~F.col("unlabelled") & (F.col("label") > F.col("greatest"))).join(known, ["doc", "label"]).filter("same_id")
+    settle("id", beyond.groupBy("doc", "label", "part").agg(F.min("entry").alias("entry")).select("doc", "label", "entry", high))
+    mapped = left.filter(~F.col("unlabelled") & ~F.col("excess") & placed).select("doc", "label", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n_entries") - 1)).alias("entry"))
+    settle("sequence", mapped.select("doc", "label", "entry", medium))
+    whole = left.filter(F.col("strict") | F.col("excess")).join(known, ["doc", "label"])
+    pick = lambda when: F.min(F.when(when, F.struct((-F.col("score")).alias("s"), "entry", "same_id", "year_fits", "dated")))
+    each = whole.groupBy("doc", "label", "part").agg(pick(F.lit(True)).alias("any"), pick(F.coalesce("year_fits", F.lit(False))).alias("near"), pick(F.col("same_id")).alias("id"))
+    fitting = F.when(F.col("near").isNotNull() & (-F.col("any.s") - -F.col("near.s") <= BETTER), F.col("near")).otherwise(F.col("any"))
+    chosen = each.select("doc", "label", F.coalesce("id", fitting).alias("c"))
+    good = F.col("c.same_id") | (F.coalesce("c.year_fits", F.lit(False)) & (-F.col("c.s") >= YEAR_ACCEPT)) | (~F.col("c.dated") & (-F.col("c.s") >= NO_YEAR_ACCEPT))
+    settle("best", chosen.filter(good).select("doc", "label", "c.entry", F.when(F.col("c.same_id"), "high").otherwise("medium").alias("confidence")))
+    around = left.filter("unlabelled").join(known, ["doc", "label"]).filter(F.col("entry").between(F.col("label") - 2, 2 * F.col("label") + 8))
+    nearest = around.groupBy("doc", "label", "part").agg(F.min(F.struct((-F.col("score")).alias("s"), "entry")).alias("b"))
+    settle("near", nearest.select("doc", "label", "b.entry", F.when(-F.col("b.s") >= HIGH, "high").when(-F.col("b.s") >= MEDIUM, "medium").otherwise("low").alias("confidence")))
+    settle("place", left.filter(F.col("unlabelled") & ~F.col("strict") & F.col("label").between(1, F.col("total"))).select("doc", "label", (F.col("label") - 1).alias("entry"), medium))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out

@@ -138,12 +138,13 @@ def match_score(a: str = "a_", b: str = "b_") -> Column:
     return F.when(same("arxiv"), ARXIV).when(same("doi"), DOI).otherwise(author + year + F.when(same("page"), PAGE).otherwise(0.0) + F.when(fits, JOURNAL).otherwise(0.0))
 
 
-def best_matches(parsed: DataFrame, entries: DataFrame, least: float = 3.0) -> DataFrame:
-    """(doc, ref, entry, score): each parsed reference's best entry of the same document, if it scores at least `least`.
+def scored_pairs(parsed: DataFrame, entries: DataFrame, least: float = 3.0) -> DataFrame:
+    """(doc, ref, entry, score, a_*, b_*): the pairs of parsed references and entries of one document that score at least `least`, with the forms in which they
+    were compared (see normal_parts).
 
     Pairs are made only where a key is shared that a score of `least` (3 or more) can't do without: arXiv id, DOI, a part of the author, volume, page,
-    or a year at most two away together with a part of the authors' line (or a data group). Null and empty parts are equal to nothing; of
-    equal scores the first entry counts; empty tables give none. parsed: doc, ref and entries: doc, entry, both with arxiv, doi, author, year, page,
+    or a year at most two away together with a part of the authors' line (or a data group). Null and empty parts are equal to nothing;
+    empty tables give none. parsed: doc, ref and entries: doc, entry, both with arxiv, doi, author, year, page,
     journal, volume; parsed may have raw (its text), entries line (all authors). (doc, ref) and (doc, entry) don't repeat."""
     if least < 3:
         raise ValueError("scores below 3 need no shared key")
@@ -170,6 +171,11 @@ def best_matches(parsed: DataFrame, entries: DataFrame, least: float = 3.0) -> D
     pairs = pairs_of(a.select("doc", "ref", keys(True).alias("keys")), b.select("doc", "entry", keys(False).alias("keys")), ["ref", "entry"])
     named = lambda rows, name, p: rows.select("doc", name, *(F.col(c).alias(p + c) for c in [*_PARTS, "text"]))
     met = pairs.join(named(a, "ref", "a_"), ["doc", "ref"]).join(named(b, "entry", "b_"), ["doc", "entry"])
-    scored = met.select("doc", "ref", "entry", match_score().alias("score")).filter(F.col("score") >= least)
+    return met.withColumn("score", match_score()).filter(F.col("score") >= least)
+
+
+def best_matches(parsed: DataFrame, entries: DataFrame, least: float = 3.0) -> DataFrame:
+    """(doc, ref, entry, score): each parsed reference's best entry of the same document, if it scores at least `least` (3 or more; see scored_pairs); of equal
+    scores the first entry counts."""
     best = F.max_by(F.struct("entry", "score"), F.struct(F.col("score"), -F.col("entry")))
-    return scored.groupBy("doc", "ref").agg(best.alias("b")).select("doc", "ref", "b.entry", "b.score")
+    return scored_pairs(parsed, entries, least).groupBy("doc", "ref").agg(best.alias("b")).select("doc", "ref", "b.entry", "b.score")
