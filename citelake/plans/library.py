@@ -11,8 +11,8 @@ from citelake.operators import bibliography as B
 from citelake.operators import entries as E
 from citelake.operators import funding
 from citelake.operators import library as L
-from citelake.operators import matching
-from citelake.sources import tables
+from citelake.operators import matching, search
+from citelake.sources import files, graph_files, tables
 from citelake.sources.tables import SQL
 
 from .citations import query
@@ -308,3 +308,55 @@ def selection_labels(spark, d):
     k = "o_custkey % 90"
     text = F.expr(f"CASE o_orderkey % 3 WHEN 0 THEN concat('as [', {k}, ', ', {k} + 1, '-', {k} + 2, '] says') WHEN 1 THEN '(Smith et al., 2008)' ELSE concat({k}, ', ', {k} + 1, '-', {k} + 2, '.') END")
     return orders(spark, d).select(F.col("o_orderkey").alias("recid"), M.selection_labels(text).alias("s")).select("recid", "s.kind", F.array_join("s.labels", ",").alias("labels"))
+
+
+@query("search_conditions", """SELECT o_orderkey AS item_id FROM orders WHERE o_orderstatus = 'O' AND (o_orderpriority LIKE '1%' OR o_totalprice > 200000) AND NOT (contains(lower(o_orderpriority), 'low') OR o_custkey < 50) AND o_orderdate IS NOT NULL""")
+def search_conditions(spark, d):
+    tree = ("all", ("o_orderstatus", "is", "O"), ("any", ("o_orderpriority", "beginsWith", "1"), ("o_totalprice", "isGreaterThan", 200000)), ("not", ("any", ("o_orderpriority", "contains", "LOW"), ("o_custkey", "isLessThan", 50))), ("o_orderdate", "isNotEmpty"))
+    return search.search(orders(spark, d), tree).select(F.col("o_orderkey").alias("item_id"))
+
+
+#: Each paper with references as a graph: itself the seed, its references, and as citing papers those numbers that lie right above it.
+_GRAPH = """, gn AS (SELECT recid AS graph, recid, 0 AS kind, title, year, citation_count FROM papers WHERE recid IN (SELECT citing FROM edges)
+  UNION ALL SELECT e.citing, e.cited, 1, p.title, p.year, p.citation_count FROM edges e JOIN papers p ON p.recid = e.cited UNION ALL SELECT p.recid, q.recid, 2, q.title, q.year, q.citation_count FROM papers p JOIN papers q ON q.recid = p.recid + 1 WHERE p.recid IN (SELECT citing FROM edges)),
+fn AS (SELECT graph, recid, min(kind) AS kind, any_value(title) AS title, any_value(year) AS year, any_value(citation_count) AS n FROM gn GROUP BY graph, recid)"""
+
+
+def _graphs(spark, d):
+    p = tables.papers(spark, d).select("recid", "title", "year", "citation_count")
+    e = tables.edges(spark, d)
+    seeds = e.select(F.col("citing").alias("graph")).distinct()
+    ends = seeds.select("graph", F.col("graph").alias("recid"), F.lit("seed").alias("kind")).union(e.select("citing", "cited", F.lit("reference"))).union(seeds.select("graph", F.col("graph") + 1, F.lit("citedBy")))
+    nodes = ends.join(p, "recid").select("graph", F.col("recid").cast("int").alias("place"), F.col("recid").cast("string").alias("recid"), "kind", "title", F.lit(None).cast("string").alias("authorLabel"), "year", F.col("citation_count").alias("citationCount"), *(F.lit(None).cast(t).alias(c) for c, t in (("localItemID", "long"), ("inspireUrl", "string"), ("arxivId", "string"), ("doi", "string"))))
+    edges = e.select(F.col("citing").alias("graph"), F.col("citing").cast("string").alias("source"), F.col("cited").cast("string").alias("target"), F.lit("seed-to-reference").alias("type"))
+    settings = seeds.select("graph", F.concat(F.lit("2024-"), F.col("graph").cast("string")).alias("createdAt"), F.lit("mostcited").alias("sort"))
+    return graph_files.graph_documents(nodes, edges, settings)
+
+
+@query("graph_saved_and_read", SQL + _GRAPH + """ SELECT '2024-' || graph AS made, CAST(recid AS VARCHAR) AS recid, CASE kind WHEN 0 THEN 'seed' WHEN 1 THEN 'reference' ELSE 'citedBy' END AS kind, title, year, n AS citations FROM fn""")
+def graph_saved_and_read(spark, d):
+    """The documents are written and read again before they are taken apart."""
+    import uuid
+
+    from citelake.sources.shared import shared_dir
+
+    path = f"{shared_dir(spark)}/graphs-{uuid.uuid4().hex}"
+    graph_files.write_graphs(_graphs(spark, d), path)
+    return graph_files.nodes_of(graph_files.read_graphs(spark, path)).select(F.col("createdAt").alias("made"), "recid", "kind", "title", "year", F.col("citationCount").alias("citations"))
+
+
+@query("graph_by_seed", SQL + " SELECT '2024-' || citing AS made, CAST(citing AS VARCHAR) AS seed, string_agg(CAST(cited AS VARCHAR), ' ' ORDER BY CAST(cited AS VARCHAR)) AS refs, count(*) AS n FROM edges WHERE citing IN (SELECT recid FROM papers) GROUP BY citing")
+def graph_by_seed(spark, d):
+    return graph_files.by_seed(_graphs(spark, d)).select(F.col("createdAt").alias("made"), "seed", F.array_join("references", " ").alias("refs"), F.col("n_references").cast("long").alias("n"))
+
+
+@query("graph_csv", SQL + _GRAPH + """ SELECT graph, concat_ws(',', recid, CASE kind WHEN 0 THEN 'seed' WHEN 1 THEN 'reference' ELSE 'citedBy' END, CASE WHEN regexp_matches(title, '[",\n\r]') THEN '"' || replace(title, '"', '""') || '"' ELSE title END, year, n) || ',,,,' AS line FROM fn""")
+def graph_csv(spark, d):
+    each = _graphs(spark, d).select("graph", F.explode("nodes").alias("n")).select("graph", "n.*")
+    return each.select("graph", files.csv_line(*map(F.col, files.GRAPH_COLUMNS)).alias("line"))
+
+
+@query("recent_graphs", SQL + " SELECT '2024-' || citing AS made FROM (SELECT DISTINCT citing FROM edges WHERE citing IN (SELECT recid FROM papers)) ORDER BY made DESC LIMIT 10")
+def recent_graphs(spark, d):
+    """A report of the ten that were made last."""
+    return graph_files.recent(_graphs(spark, d)).select(F.col("createdAt").alias("made"))

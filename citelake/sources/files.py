@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 #: Columns of a graph's CSV, in order.
-GRAPH_COLUMNS = ["recid", "kind", "connections", "radius", "time"]
+GRAPH_COLUMNS = ["recid", "kind", "title", "year", "citationCount", "localItemID", "inspireUrl", "doi", "arxivId"]
 
 
 def write_json(rows: DataFrame, path: str, compress: bool = True) -> None:
@@ -18,9 +18,17 @@ def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def csv_line(*cells: Column) -> Column:
+    """Cells as a line of CSV: one with a comma, quote or line end is quoted, quotes in it doubled; a null cell is empty."""
+    text = [F.coalesce(c.cast("string"), F.lit("")) for c in cells]
+    quoted = [F.when(F.rlike(t, F.lit(r'[",\n\r]')), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t) for t in text]
+    return F.concat_ws(",", *quoted)
+
+
 def write_graph_csv(nodes: DataFrame, path: str) -> None:
-    """Nodes as CSV with a header; quotes in values are doubled."""
-    nodes.select(*GRAPH_COLUMNS).write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+    """Nodes (GRAPH_COLUMNS) as CSV files with a header each, in the form of csv_line."""
+    own = nodes.select(*(F.col(c).cast("string") for c in GRAPH_COLUMNS))
+    own.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def references_of(records: DataFrame) -> DataFrame:
