@@ -30,6 +30,10 @@ STARTS = {
 ENDS = ["appendix", "conflict of interest", "conflicts of interest", "declaration of conflict of interest", "declaration of conflicts of interest", "data availability", "orcid"]
 ALONE = ["reference", "references", "bibliography", "参考文献", "附录", "author contribution", "author contributions"]
 
+#: Signs that follow a heading; running heads; signs and words between numbers of one list, and words before its next number.
+FOLLOWING, RUNNING = [":", ".", "-", "–", "—"], ["Eur. Phys. J. C"]
+LINKS, NUMBER_WORDS = [",", ";", "、", "/", "&", "and"], ["No", "No.", "Nos", "Nos."]
+
 
 @dataclass(frozen=True)
 class Funder:
@@ -93,7 +97,9 @@ def acknowledgment(text: Column) -> Column:
     out = F.struct(F.lit("full_text").alias("source"), text.alias("text"))
     for source, headings in reversed(STARTS.items()):
         listed = _any([_words(x) for x in sorted(headings, key=len, reverse=True)])
-        begun = rf"{listed}[：:]\s*" if source == "footnote" else rf"(?i)(?:^|\n)\s*{listed}(?:\s*[:.\-–—]|\s+)"
+        sign = _any([re.escape(x) for x in FOLLOWING])
+        # A heading begins a line and is a word of its own; the sign behind it belongs to it.
+        begun = rf"{listed}[：:]\s*" if source == "footnote" else rf"(?im)^\s*{listed}(?=\s|{sign})\s*{sign}?"
         head = F.get(F.split(text, begun, 2), F.lit(1))
         part = F.get(F.split(head, ended, 2), F.lit(0))
         part = F.regexp_replace(F.left(part, F.lit(FOOTNOTE)) if source == "footnote" else part, r"^\s+|\s+$", "")
@@ -108,11 +114,18 @@ def text_language(text: Column) -> Column:
 
 
 def searched(text: Column) -> Column:
-    """A text as it is read, whole: full-width characters as plain ones, one line, without lines that are page numbers or running heads."""
+    """A text as it is read, whole: full-width characters as plain ones, one line, without lines that are a number or say which page of how many this is, and without
+    running heads to the end of their line."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
     lines = F.split(F.translate(text, wide, "".join(chr(ord(c) - 0xFEE0) for c in wide)), r"\r?\n")
-    head = lambda x: F.rlike(x, F.lit(r"^\s*\d+\s*$")) | F.rlike(x, F.lit(r"(?i)page \d+ of \d+"))
-    clean = F.transform(lines, lambda x: F.when(head(x), F.lit("")).otherwise(F.regexp_replace(x, r"(?i)Eur\.\s*Phys\.\s*J\.\s*C.*", "")))
+
+    def page(line: Column) -> Column:
+        words = F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        number = lambda w: w.try_cast("int").isNotNull()
+        counted = F.exists(F.transform(words, lambda w, i: (w == "page") & (F.get(words, i + 2) == "of") & number(F.get(words, i + 1)) & number(F.get(words, i + 3))), lambda x: F.coalesce(x, F.lit(False)))
+        return counted | ((F.size(words) == 1) & F.coalesce(number(F.get(words, F.lit(0))), F.lit(False)) & F.rlike(line, F.lit(r"^[\s\d]+$")))
+
+    clean = F.transform(lines, lambda x: F.when(page(x), F.lit("")).otherwise(F.regexp_replace(x, f"(?i){_any([_words(h) for h in RUNNING])}.*", "")))
     return F.array_join(clean, " ")
 
 
@@ -156,7 +169,10 @@ def grants(docs: DataFrame, funders: list[Funder] = FUNDERS) -> DataFrame:
         gap = lambda m: (m["end"] <= t["at"]) & (t["at"] - m["end"] <= REACH) & ~F.rlike(between(m["end"], t["at"]), F.lit("[0-9]"))
         near = F.filter(F.col("_names"), lambda m: F.exists(t["may"], lambda x: x["funder"] == m["funder"]) & gap(m))
         best = F.array_min(F.transform(near, lambda m: F.struct(m["rank"].alias("rank"), (-m["at"]).alias("back"), m["funder"].alias("funder"))))
-        listed = F.exists(t["may"], lambda x: x["funder"] == s["funder"]) & F.rlike(between(s["end"], t["at"]), F.lit(r"^\s*(?:[,;、/&]\s*(?:and\s+)?|and\s+)(?:Nos?\.?\s*)?$"))
+        # In one list: nothing stands between but links, and perhaps a word for numbers.
+        said = F.filter(F.split(F.regexp_replace(between(s["end"], t["at"]), _any([re.escape(x) for x in LINKS if not x.isalpha()]), " $0 "), r"\s+"), lambda w: w != "")
+        linked = (F.size(said) > 0) & F.get(said, F.lit(0)).isin(LINKS) & F.forall(said, lambda w: w.isin(LINKS + NUMBER_WORDS))
+        listed = F.exists(t["may"], lambda x: x["funder"] == s["funder"]) & F.coalesce(linked, F.lit(False))
         owner = F.coalesce(best["funder"], F.when(listed, s["funder"]), F.get(t["sure"], F.lit(0))["funder"])
         row = F.struct(owner.alias("funder"), t["value"].alias("grant"), t["at"].alias("at"), F.coalesce(-best["back"], t["at"]).alias("start"), best.isNotNull().alias("named"))
         return F.struct(owner.alias("funder"), (t["at"] + F.length(t["value"])).alias("end"), F.when(owner.isNotNull(), F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out"))
