@@ -28,10 +28,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def plain(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Citations, papers and the seeds of queries by paper (of orders alone), as they are: for queries that read them once."""
+    seeds = tables.table(spark, d, "orders").filter("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("seed"))
+    return tables.edges(spark, d), tables.papers(spark, d), seeds
+
+
 def base(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Citations, papers (both written once, as operators read them more than once) and the seeds of queries by paper."""
-    links, papers = durable(tables.edges(spark, d)), durable(tables.papers(spark, d))
-    return links, papers, tables.seeds(papers)
+    """The same with citations and papers written once, for queries that read them more than once."""
+    links, papers, seeds = plain(spark, d)
+    return durable(links), durable(papers), seeds
 
 
 def several(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -47,7 +53,7 @@ _CITES = "p.citation_count_wo_self"
 
 @query("refs_of_paper", SQL + "SELECT s.seed, e.cited AS recid, p.year, p.citation_count FROM seeds s JOIN edges e ON e.citing = s.seed LEFT JOIN papers p ON p.recid = e.cited")
 def refs_of_paper(spark, d):
-    links, papers, seeds = base(spark, d)
+    links, papers, seeds = plain(spark, d)
     return related.references(links, seeds).join(papers, "recid", "left").select("seed", "recid", "year", "citation_count")
 
 
@@ -58,14 +64,14 @@ _TOP = f"""top AS (
 
 @query("cited_by_top", SQL + f", {_TOP} SELECT cited, recid, rank FROM top WHERE rank <= 25 AND cited IN (SELECT seed FROM seeds)")
 def cited_by_top(spark, d):
-    links, papers, seeds = base(spark, d)
+    links, papers, seeds = plain(spark, d)
     return related.top_citing(links, papers, seeds.select(F.col("seed").alias("recid")), 25)
 
 
 @query("citing_totals", SQL + "SELECT p.recid, count(DISTINCT e.citing) AS total FROM papers p LEFT JOIN edges e ON e.cited = p.recid GROUP BY p.recid")
 def citing_totals(spark, d):
-    links, papers, _ = base(spark, d)
-    return related.citing_totals(links, papers.select(F.col("recid").alias("seed"))).withColumnRenamed("seed", "recid")
+    own = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("seed"))
+    return related.citing_totals(tables.edges(spark, d), own).withColumnRenamed("seed", "recid")
 
 
 _ANCHORS = f"""an AS (
@@ -79,7 +85,7 @@ anchors AS (SELECT * FROM an WHERE rank <= 15)"""
 
 @query("anchors", SQL + f", {_ANCHORS} SELECT seed, recid, round(weight, 9) AS weight, rank FROM anchors")
 def anchors(spark, d):
-    return related.anchors(*base(spark, d)).select("seed", "recid", F.round("weight", 9).alias("weight"), "rank")
+    return related.anchors(*plain(spark, d)).select("seed", "recid", F.round("weight", 9).alias("weight"), "rank")
 
 
 _COUPLING = f"""{_ANCHORS}, {_TOP},
@@ -120,7 +126,7 @@ def related_hybrid(spark, d):
 n AS (SELECT cited, count(*) AS n FROM edges GROUP BY cited)
 SELECT seed, recid, together, round(least(1.0::DOUBLE, together / sqrt(a.n::DOUBLE * b.n)), 6) AS cosine FROM pr JOIN n a ON a.cited = seed JOIN n b ON b.cited = recid""")
 def cocitation_cosine(spark, d):
-    links, _, seeds = base(spark, d)
+    links, _, seeds = plain(spark, d)
     by = related.citing(links, seeds).select("seed", F.col("recid").alias("citing"))
     pairs = by.join(links, "citing").filter("cited <> seed").groupBy("seed", F.col("cited").alias("recid")).agg(F.count_distinct("citing").alias("together"))
     n = links.groupBy("cited").agg(F.count("*").alias("n"))
@@ -223,7 +229,7 @@ for _by, _key in (("year", "TRY_CAST(p.year AS INTEGER) DESC NULLS LAST"), ("cit
 
     @query(f"refs_sorted_{_by}", SQL + f"SELECT s.seed, p.recid, row_number() OVER (PARTITION BY s.seed ORDER BY {_key}, p.recid) AS rank FROM seeds s JOIN edges e ON e.citing = s.seed JOIN papers p ON p.recid = e.cited")
     def _sorted(spark, d, by=_by):
-        links, papers, seeds = base(spark, d)
+        links, papers, seeds = plain(spark, d)
         return lists.sort_list(related.references(links, seeds).join(papers, "recid"), "seed", by).select("seed", "recid", "rank")
 
 

@@ -46,8 +46,8 @@ def complete_records(spark, d):
     return o.select("recid", E.is_complete().alias("complete"))
 
 
-@query("papers_in_bins", SQL + ", b AS (SELECT owner, min(CAST(year AS INT)) AS low, max(CAST(year AS INT)) AS high FROM papers GROUP BY owner) SELECT recid FROM papers JOIN b USING (owner) WHERE CAST(year AS INT) IN (low, low + 1, high)")
-def papers_in_bins(spark, d):
+@query("papers_in_own_bins", SQL + ", b AS (SELECT owner, min(CAST(year AS INT)) AS low, max(CAST(year AS INT)) AS high FROM papers GROUP BY owner) SELECT recid FROM papers JOIN b USING (owner) WHERE CAST(year AS INT) IN (low, low + 1, high)")
+def papers_in_own_bins(spark, d):
     p = tables.papers(spark, d)
     ends = p.groupBy("owner").agg(F.min(F.col("year").cast("int")).alias("low"), F.max(F.col("year").cast("int")).alias("high"))
     bins = ends.select("owner", F.explode(F.array(*(F.struct(F.lit(k).alias("key"), a.alias("first"), b.alias("last")) for k, a, b in (("early", F.col("low"), F.col("low") + 1), ("mid", F.col("low") + 2, F.col("high") - 1), ("late", F.col("high"), F.col("high")))))).alias("b")).select("owner", "b.*")
