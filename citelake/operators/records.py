@@ -168,7 +168,7 @@ def scored_pairs(parsed: DataFrame, entries: DataFrame, least: float = 3.0) -> D
     # The normal forms are wanted twice: for the keys, and for the score.
     a = parsed.select("doc", "ref", *normal_parts(parsed, True))
     b = entries.select("doc", "entry", *normal_parts(entries, False))
-    pairs = pairs_of(a.select("doc", "ref", keys(True).alias("keys")), b.select("doc", "entry", keys(False).alias("keys")), ["ref", "entry"])
+    pairs = pairs_of(a, b, ["ref", "entry"], keys(True), keys(False))
     named = lambda rows, name, p: rows.select("doc", name, *(F.col(c).alias(p + c) for c in [*_PARTS, "text"]))
     met = pairs.join(named(a, "ref", "a_"), ["doc", "ref"]).join(named(b, "entry", "b_"), ["doc", "entry"])
     return met.withColumn("score", match_score()).filter(F.col("score") >= least)

@@ -88,9 +88,9 @@ def mean_matches(parsed: DataFrame, entries: DataFrame, least: float = LEAST) ->
 
     def keys(left: bool) -> Column:
         names = T.part_keys(low("author"), left)
-        return F.concat(F.array_compact(F.array(one("year"), one("page"))), names if left else F.concat(names, T.part_keys(low("line"), left))).alias("keys")
+        return F.concat(F.array_compact(F.array(one("year"), one("page"))), names if left else F.concat(names, T.part_keys(low("line"), left)))
 
-    pairs = pairs_of(parsed.select("doc", "ref", keys(True)), entries.select("doc", "entry", keys(False)), ["ref", "entry"])
+    pairs = pairs_of(parsed, entries, ["ref", "entry"], keys(True), keys(False))
     published = F.col("published") if "published" in entries.columns else F.col("page").isNotNull()
     left = parsed.select("doc", "ref", low("author").alias("_a"), F.col("year").alias("_y"), F.col("page").alias("_p"))
     right = entries.select("doc", "entry", low("author").alias("_b"), low("line").alias("_l"), F.col("year").alias("_ey"), F.col("page").alias("_ep"), F.coalesce(published, F.lit(False)).alias("_pub"))

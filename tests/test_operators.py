@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from citelake.operators import graph, lists, records, related
+from citelake.operators import graph, lists, pairs, records, related
 
 COLUMNS = "recid long, owner long, title string, year string, earliest_date string, citation_count long, citation_count_wo_self long, journal_title string, arxiv_id string, document_type array<string>, local_item_id long, is_related boolean, total_authors int"
 
@@ -160,10 +160,12 @@ def test_axis_range(spark):
     assert got["a"] == (1.0, round(10**1.1, 6)) and got["b"] == (round(5 * 10**-0.1, 6), round(5 * 10**0.1, 6)) and "c" not in got and got["d"][1] < 30
 
 
-def test_best_matches_are_those_of_all_pairs(spark):
+@pytest.mark.parametrize("limit", [0, 1024])
+def test_best_matches_are_those_of_all_pairs(spark, monkeypatch, limit):
     """Random references and entries with nulls, ties, parts of names and written forms of ids and journals, against every pair of a document."""
     import random
 
+    monkeypatch.setattr(pairs.pairs_of, "__defaults__", (limit,))  # by keys alone, and whole documents
     rng = random.Random(4)
     pick = lambda *x: rng.choice([None, *x])
     journal = ("Phys. Rev. D", "Phys.Rev.D", "Physical Review", "PHYS REV (Ser. D)", "J", "")
@@ -205,12 +207,14 @@ def test_match_score_by_the_rules(spark):
     assert got == {i: s for i, (_, _, s) in enumerate(cases)}
 
 
-def test_author_year_pairs_are_complete(spark):
+@pytest.mark.parametrize("limit", [0, 1024])
+def test_author_year_pairs_are_complete(spark, monkeypatch, limit):
     """No entry that scores LEAST or more with a citation is left unpaired."""
     import random
 
     from citelake.operators import matching as G
 
+    monkeypatch.setattr(pairs.pairs_of, "__defaults__", (limit,))
     rng = random.Random(6)
     names = ["Li", "O", "Sjöstrand, T.", "Sjostrand", "Strand", "Bahr, A.", "王"]
     some = lambda: [rng.choice(names) for _ in range(rng.randrange(4))]
