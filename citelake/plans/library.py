@@ -327,7 +327,7 @@ def _graphs(spark, d):
     e = tables.edges(spark, d)
     seeds = e.select(F.col("citing").alias("graph")).distinct()
     ends = seeds.select("graph", F.col("graph").alias("recid"), F.lit("seed").alias("kind")).union(e.select("citing", "cited", F.lit("reference"))).union(seeds.select("graph", F.col("graph") + 1, F.lit("citedBy")))
-    nodes = ends.join(p, "recid").select("graph", F.col("recid").cast("int").alias("place"), F.col("recid").cast("string").alias("recid"), "kind", "title", F.lit(None).cast("string").alias("authorLabel"), "year", F.col("citation_count").alias("citationCount"), *(F.lit(None).cast(t).alias(c) for c, t in (("localItemID", "long"), ("inspireUrl", "string"), ("arxivId", "string"), ("doi", "string"))))
+    nodes = ends.join(p, "recid").select("graph", F.col("recid").cast("int").alias("place"), F.col("recid").cast("string").alias("recid"), "kind", "title", F.lit(None).cast("string").alias("authorLabel"), "year", F.col("citation_count").alias("citationCount"), *(F.lit(None).cast(t).alias(c) for c, t in (("localItemID", "long"), ("recordUrl", "string"), ("arxivId", "string"), ("doi", "string"))))
     edges = e.select(F.col("citing").alias("graph"), F.col("citing").cast("string").alias("source"), F.col("cited").cast("string").alias("target"), F.lit("seed-to-reference").alias("type"))
     settings = seeds.select("graph", F.concat(F.lit("2024-"), F.col("graph").cast("string")).alias("createdAt"), F.lit("mostcited").alias("sort"))
     return graph_files.graph_documents(nodes, edges, settings)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-#: Columns of a graph's CSV, in order.
-GRAPH_COLUMNS = ["recid", "kind", "title", "year", "citationCount", "localItemID", "inspireUrl", "doi", "arxivId"]
+#: Columns of a graph's CSV, in order; recordUrl is the address of a paper's page.
+GRAPH_COLUMNS = ["recid", "kind", "title", "year", "citationCount", "localItemID", "recordUrl", "doi", "arxivId"]
 
 
 def write_json(rows: DataFrame, path: str, compress: bool = True) -> None:

@@ -11,7 +11,7 @@ from citelake.sources import graph_files as G
 
 
 def table(spark):
-    node = "graph int, place int, recid string, kind string, title string, authorLabel string, year string, citationCount long, localItemID long, inspireUrl string, arxivId string, doi string"
+    node = "graph int, place int, recid string, kind string, title string, authorLabel string, year string, citationCount long, localItemID long, recordUrl string, arxivId string, doi string"
     rows = [(1, 0, "10", "seed", "S, \"one\"", "A", "2001", 5, 7, None, None, None), (1, 0, "20", "reference", None, None, "1999", 3, None, "u", "hep-th/1", "10.1/x"), (1, 1, "10", "reference", "again", None, None, None, None, None, None, None), (1, 0, "30", "citedBy", "C\nc", None, None, None, None, None, None, None),
             (1, 1, None, "citedBy", "none", None, None, None, None, None, None, None), (2, 0, "10", "seed", "ü", None, None, None, None, None, None, None)]
     edges = [(1, "10", "20", "seed-to-reference"), (1, "10", "20", "seed-to-reference"), (1, "30", "10", "cited-by-to-seed"), (1, None, "10", "seed-to-seed")]
@@ -51,7 +51,7 @@ def test_csv(spark, tmp_path):
     got = {r["l"] for r in nodes.select(files.csv_line(*map(F.col, files.GRAPH_COLUMNS)).alias("l")).collect()}
     assert got == {'10,seed,"S, ""one""",2001,5,7,,,', "20,reference,20,1999,3,,u,10.1/x,hep-th/1", '30,citedBy,"C\nc",,,,,,'}
     files.write_graph_csv(nodes.filter("recid <> '30'").coalesce(1), f"{tmp_path}/x")
-    assert lines(f"{tmp_path}/x") == sorted(["recid,kind,title,year,citationCount,localItemID,inspireUrl,doi,arxivId", *(x for x in got if not x.startswith("30"))])
+    assert lines(f"{tmp_path}/x") == sorted(["recid,kind,title,year,citationCount,localItemID,recordUrl,doi,arxivId", *(x for x in got if not x.startswith("30"))])
 
 
 def test_search(spark, tmp_path):
