@@ -14,7 +14,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from citelake.functions.places import matches_at
+from citelake.functions.places import bound, matches_at
+from citelake.sources.shared import durable
 
 #: How near a DFG number and its programme stand, how near joint funders stand, a footnote's length, characters between name and number.
 SAME_PROJECT, JOINT, FOOTNOTE, REACH = 120, 50, 2000, 40
@@ -120,10 +121,12 @@ def searched(text: Column) -> Column:
     lines = F.split(F.translate(text, wide, "".join(chr(ord(c) - 0xFEE0) for c in wide)), r"\r?\n")
 
     def page(line: Column) -> Column:
-        words = F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        low = F.lower(line)
+        words = F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda w: w != "")
         number = lambda w: w.try_cast("int").isNotNull()
-        counted = F.exists(F.transform(words, lambda w, i: (w == "page") & (F.get(words, i + 2) == "of") & number(F.get(words, i + 1)) & number(F.get(words, i + 3))), lambda x: F.coalesce(x, F.lit(False)))
-        return counted | ((F.size(words) == 1) & F.coalesce(number(F.get(words, F.lit(0))), F.lit(False)) & F.rlike(line, F.lit(r"^[\s\d]+$")))
+        counted = lambda ws: F.exists(F.transform(ws, lambda w, i: (w == "page") & (F.get(ws, i + 2) == "of") & number(F.get(ws, i + 1)) & number(F.get(ws, i + 3))), lambda x: F.coalesce(x, F.lit(False)))
+        alone = lambda ws: (F.size(ws) == 1) & F.coalesce(number(F.get(ws, F.lit(0))), F.lit(False))
+        return F.when(F.contains(low, F.lit("page")), bound(words, counted)).when(F.rlike(line, F.lit(r"^[\s\d]+$")), bound(words, alone)).otherwise(F.lit(False))
 
     clean = F.transform(lines, lambda x: F.when(page(x), F.lit("")).otherwise(F.regexp_replace(x, f"(?i){_any([_words(h) for h in RUNNING])}.*", "")))
     return F.array_join(clean, " ")
@@ -149,35 +152,41 @@ def _fitting(value: Column, funders: list[Funder], sure: bool) -> Column:
 
 def grants(docs: DataFrame, funders: list[Funder] = FUNDERS) -> DataFrame:
     """(id, funder, category, grant, position, confidence): the grants that a text (id, text) names. position counts in the part as it is read."""
-    part = docs.select("id", searched(F.coalesce(acknowledgment(F.col("text"))["text"], F.lit(""))).alias("_t"))
+    # Texts are dealt by id before they are read: a small file of many texts is one task else, and the grants of an id meet without a shuffle of their own.
+    part = docs.select("id", "text").repartition("id").select("id", searched(F.coalesce(acknowledgment(F.col("text"))["text"], F.lit(""))).alias("_t"))
     shapes = sorted({_shape(x) for f in funders for x in (*f.shapes, *f.sure)}, key=len, reverse=True)
     tokens = matches_at(F.col("_t"), rf"(?<![A-Za-z0-9])({_any(shapes)})(?![A-Za-z0-9])")
     tokens = F.transform(tokens, lambda t: F.struct(t["at"].alias("at"), t["value"].alias("value"), _fitting(t["value"], funders, False).alias("may"), _fitting(t["value"], funders, True).alias("sure")))
 
+    named = "array<struct<rank:int,funder:string,at:int,end:int>>"
+
     def mentions(f: Funder) -> Column:
+        """Where a funder is named, if a token of the text may be its number."""
         found = matches_at(F.col("_t"), rf"(?<![A-Za-z])({_any([_words(x) for x in sorted(f.names, key=len, reverse=True)])})")
-        return F.transform(found, lambda m: F.struct(F.lit(-f.priority).alias("rank"), F.lit(f.id).alias("funder"), m["at"].alias("at"), (m["at"] + m["length"]).alias("end")))
+        may = F.exists("_tokens", lambda t: F.exists(t["may"], lambda x: x["funder"] == f.id))
+        return F.when(may, F.transform(found, lambda m: F.struct(F.lit(-f.priority).alias("rank"), F.lit(f.id).alias("funder"), m["at"].alias("at"), (m["at"] + m["length"]).alias("end")))).otherwise(F.array().cast(named))
 
-    named = [mentions(f) for f in funders]
-    part = part.withColumn("_tokens", tokens).filter(F.size("_tokens") > 0).withColumn("_names", F.concat(*named))
+    part = part.withColumn("_tokens", tokens)
     between = lambda a, b: F.substr(F.col("_t"), a + 1, b - a)
     one = "struct<funder:string,grant:string,at:int,start:int,named:boolean>"
     start = F.struct(F.lit(None).cast("string").alias("funder"), F.lit(0).alias("end"), F.array().cast(f"array<{one}>").alias("out"))
 
-    def read(s: Column, t: Column) -> Column:
+    def read(names: Column, s: Column, t: Column) -> Column:
         """The owner of the next token: a funder named before it, or its list's, or the one whose shape it has."""
         gap = lambda m: (m["end"] <= t["at"]) & (t["at"] - m["end"] <= REACH) & ~F.rlike(between(m["end"], t["at"]), F.lit("[0-9]"))
-        near = F.filter(F.col("_names"), lambda m: F.exists(t["may"], lambda x: x["funder"] == m["funder"]) & gap(m))
+        near = F.filter(names, lambda m: F.exists(t["may"], lambda x: x["funder"] == m["funder"]) & gap(m))
         best = F.array_min(F.transform(near, lambda m: F.struct(m["rank"].alias("rank"), (-m["at"]).alias("back"), m["funder"].alias("funder"))))
         # In one list: nothing stands between but links, and perhaps a word for numbers.
         said = F.filter(F.split(F.regexp_replace(between(s["end"], t["at"]), _any([re.escape(x) for x in LINKS if not x.isalpha()]), " $0 "), r"\s+"), lambda w: w != "")
-        linked = (F.size(said) > 0) & F.get(said, F.lit(0)).isin(LINKS) & F.forall(said, lambda w: w.isin(LINKS + NUMBER_WORDS))
+        linked = bound(said, lambda w: (F.size(w) > 0) & F.get(w, F.lit(0)).isin(LINKS) & F.forall(w, lambda x: x.isin(LINKS + NUMBER_WORDS)))
         listed = F.exists(t["may"], lambda x: x["funder"] == s["funder"]) & F.coalesce(linked, F.lit(False))
-        owner = F.coalesce(best["funder"], F.when(listed, s["funder"]), F.get(t["sure"], F.lit(0))["funder"])
-        row = F.struct(owner.alias("funder"), t["value"].alias("grant"), t["at"].alias("at"), F.coalesce(-best["back"], t["at"]).alias("start"), best.isNotNull().alias("named"))
-        return F.struct(owner.alias("funder"), (t["at"] + F.length(t["value"])).alias("end"), F.when(owner.isNotNull(), F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out"))
+        owner = lambda b: F.coalesce(b["funder"], F.when(listed, s["funder"]), F.get(t["sure"], F.lit(0))["funder"])
+        row = lambda b, o: F.struct(o.alias("funder"), t["value"].alias("grant"), t["at"].alias("at"), F.coalesce(-b["back"], t["at"]).alias("start"), b.isNotNull().alias("named"))
+        more = lambda b, o: F.when(o.isNotNull(), F.concat(s["out"], F.array(row(b, o)))).otherwise(s["out"])
+        return bound(best, lambda b: bound(owner(b), lambda o: F.struct(o.alias("funder"), (t["at"] + F.length(t["value"])).alias("end"), more(b, o).alias("out"))))
 
-    each = part.select("id", "_t", F.explode(F.aggregate("_tokens", start, read, lambda s: s["out"])).alias("m")).select("id", "_t", "m.*")
+    found = bound(F.concat(*map(mentions, funders)), lambda names: F.aggregate("_tokens", start, lambda s, t: read(names, s, t), lambda s: s["out"]))
+    each = part.select("id", "_t", F.explode(F.when(F.size("_tokens") > 0, found)).alias("m")).select("id", "_t", "m.*")
     raw = F.lower(between(F.col("start"), F.col("at") + F.length("grant")))
     context = F.rlike(raw, F.lit("|".join(CONTEXT)))
     thanks, end = F.regexp_instr("_t", F.lit(r"(?i)acknowledge?ment|致\s*谢")), F.regexp_instr("_t", F.lit(r"(?i)reference|参考文献"))
@@ -192,7 +201,8 @@ def grants(docs: DataFrame, funders: list[Funder] = FUNDERS) -> DataFrame:
 def merge_programmes(found: DataFrame) -> DataFrame:
     """DFG numbers with the programme that stands near them in brackets; the programme's own row goes.
 
-    A programme meets the nearest number within SAME_PROJECT characters of the same text."""
+    A programme meets the nearest number within SAME_PROJECT characters of the same text. `found` is written first, as it is read several times."""
+    found = durable(found)
     dfg = F.col("funder") == "DFG"
     is_number = F.rlike("grant", F.lit(r"^\d{9}$"))
     ids = found.filter(dfg & is_number).select("id", F.col("grant").alias("_number"), F.col("position").alias("_at"))
@@ -211,7 +221,8 @@ def of_category(found: DataFrame, category: str = "china") -> DataFrame:
 
 
 def funding_lines(found: DataFrame) -> DataFrame:
-    """(id, grants): a text's grants in one line: funders by first place, those that only stand behind one of China's within JOINT characters last."""
+    """(id, grants): a text's grants in one line: funders by first place, those that only stand behind one of China's within JOINT characters last. `found` is written first."""
+    found = durable(found)
     near = found.filter("category = 'china'").select("id", F.col("position").alias("_c"))
     joint = found.filter("category <> 'china'").join(near, "id").filter((F.col("position") > F.col("_c")) & (F.col("position") - F.col("_c") < JOINT)).select("id", "funder", F.lit(1).alias("_joint")).distinct()
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("position", "grant"))), lambda x: x["grant"])
