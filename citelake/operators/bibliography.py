@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from citelake.functions import text as T
 from citelake.functions import unlabelled as U
+from citelake.functions.places import bound
 
 #: Headings of a list of references; the greatest label; labels that are years.
 HEADINGS = ["references and notes", "references", "bibliography", "literature cited", "参考文献"]
@@ -34,15 +35,16 @@ def section(text: Column) -> Column:
     """What follows the last heading of a list of references; the whole text without one."""
     listed = "|".join(r"\s+".join(x.split()) for x in HEADINGS)
     parts = F.split(text, rf"(?im)^[^\S\n]*(?:\d+\.?[^\S\n]+)?(?:{listed})[^\S\n]*:?[^\S\n]*$")
-    return F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(text)
+    return bound(parts, lambda p: F.when(F.size(p) > 1, F.element_at(p, -1)).otherwise(text))
 
 
 def entries(docs: DataFrame) -> DataFrame:
     """(id, label, text, place): the entries that begin a line with a number in brackets, and which of the lines with labels it is. docs: id, text.
 
     A text's part before its first label is no entry; labels above MOST_LABEL and those that are years are none."""
-    own = docs.select("id", section(F.coalesce("text", F.lit(""))).alias("_s"))
-    pairs = F.transform(F.regexp_extract_all("_s", F.lit(_LABEL), F.lit(1)), lambda n, i: F.struct(n.cast("int").alias("label"), F.regexp_replace(F.get(F.split("_s", _LABEL, -1), i + 1), r"^\s+|\s+$", "").alias("text"), i.alias("place")))
+    own = docs.select("id", "text").repartition("id").select("id", section(F.coalesce("text", F.lit(""))).alias("_s"))
+    labels = F.regexp_extract_all("_s", F.lit(_LABEL), F.lit(1))
+    pairs = bound(F.split("_s", _LABEL, -1), lambda cut: F.transform(labels, lambda n, i: F.struct(n.cast("int").alias("label"), F.regexp_replace(F.get(cut, i + 1), r"^\s+|\s+$", "").alias("text"), i.alias("place"))))
     each = own.select("id", F.explode(pairs).alias("e")).select("id", "e.*")
     fits = F.col("label").between(1, MOST_LABEL) & ~F.col("label").between(*YEARS)
     return each.filter(fits).groupBy("id", "label").agg(F.min_by("text", "place").alias("text"), F.min("place").alias("place"))
@@ -73,43 +75,45 @@ def _is(word: Column, pattern: str) -> Column:
 def person_in(words: Column) -> Column:
     """The first last name beside initials or before et al."""
 
-    def named(w: Column, i: Column) -> Column:
+    def named(words: Column, w: Column, i: Column) -> Column:
         before, next_, after = F.get(words, i - 1), F.get(words, i + 1), F.get(words, i + 2)
         beside = (_is(before, _INITIALS) & (i > 0)) | (_is(next_, "^,$") & _is(after, _INITIALS)) | (_is(next_, "(?i)^et$") & _is(after, "(?i)^al"))
         return F.when(_is(w, _NAME) & ~_is(w, "^(?:Collaboration|Group)$") & beside, w)
 
-    return F.get(F.filter(F.transform(words, named), lambda x: x.isNotNull()), F.lit(0))
+    return bound(words, lambda ws: F.get(F.filter(F.transform(ws, lambda w, i: named(ws, w, i)), lambda x: x.isNotNull()), F.lit(0)))
 
 
 def group_in(words: Column) -> Column:
     """The word before Collaboration."""
-    return F.get(F.filter(F.transform(words, lambda w, i: F.when(_is(w, "(?i)^collaboration") & (i > 0), F.get(words, i - 1))), lambda x: x.isNotNull()), F.lit(0))
+    return bound(words, lambda ws: F.get(F.filter(F.transform(ws, lambda w, i: F.when(_is(w, "(?i)^collaboration") & (i > 0), F.get(ws, i - 1))), lambda x: x.isNotNull()), F.lit(0)))
 
 
 def author_in(text: Column) -> Column:
     """The first author's last name: a Chinese or Korean family name, a name beside initials, a collaboration, or the first long capitalized word."""
-    words = words_of(text)
     chinese, korean = F.regexp_extract(text, "^[一-鿿㐀-䶿]{2,4}", 0), F.regexp_extract(text, "^[가-힯]{2,5}", 0)
-    long = F.get(F.filter(F.transform(words, lambda w: F.regexp_extract(w, "[A-Z][a-z]{3,}", 0)), lambda w: w != ""), F.lit(0))
+    long = lambda words: F.get(F.filter(F.transform(words, lambda w: F.regexp_extract(w, "[A-Z][a-z]{3,}", 0)), lambda w: w != ""), F.lit(0))
+    western = bound(words_of(text), lambda words: F.coalesce(person_in(words), group_in(words), bound(long(words), lambda x: F.when(~x.isin(NO_NAMES), x))))
     return F.coalesce(
         F.nullif(F.left(chinese, F.lit(1)), F.lit("")), F.when(F.length(korean) > 2, F.left(korean, F.lit(2))), F.nullif(F.left(korean, F.lit(1)), F.lit("")),
-        person_in(words), group_in(words), F.when(~long.isin(NO_NAMES), long),
+        western,
     )
 
 
 def publication_in(text: Column) -> Column:
     """(journal, volume, page): the first volume with a page behind and capitalized words before it; null if there is none."""
-    words = words_of(text, bare=True)
 
-    def at(w: Column, i: Column) -> Column:
+    def at(words: Column, w: Column, i: Column) -> Column:
         next_, after = F.get(words, i + 1), F.get(words, i + 2)
         page = F.when(_is(next_, _PAGE), next_).when(_is(next_, "^,$") & _is(after, _PAGE), after)
         return F.when(_is(w, _VOLUME) & (i > 0) & _is(F.get(words, i - 1), _CAPITAL), F.struct(i.alias("at"), w.alias("volume"), page.alias("page")))
 
-    first = F.get(F.filter(F.transform(words, at), lambda x: x["page"].isNotNull()), F.lit(0))
-    start = F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when((i < first["at"]) & ~_is(w, _CAPITAL), i))) + 1, F.lit(0))
-    journal = F.array_join(F.slice(words, start + 1, first["at"] - start), " ")
-    return F.when(first.isNotNull(), F.struct(journal.alias("journal"), F.regexp_replace(first["volume"], "^[A-Z]", "").alias("volume"), F.regexp_extract(first["page"], r"^[A-Za-z]?\d+", 0).alias("page")))
+    def known(words: Column, first: Column) -> Column:
+        start = F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when((i < first["at"]) & ~_is(w, _CAPITAL), i))) + 1, F.lit(0))
+        journal = bound(start, lambda x: F.array_join(F.slice(words, x + 1, first["at"] - x), " "))
+        return F.when(first.isNotNull(), F.struct(journal.alias("journal"), F.regexp_replace(first["volume"], "^[A-Z]", "").alias("volume"), F.regexp_extract(first["page"], r"^[A-Za-z]?\d+", 0).alias("page")))
+
+    found = lambda words: F.get(F.filter(F.transform(words, lambda w, i: at(words, w, i)), lambda x: x["page"].isNotNull()), F.lit(0))
+    return bound(words_of(text, bare=True), lambda words: bound(found(words), lambda first: known(words, first)))
 
 
 def year_in(text: Column) -> Column:
@@ -119,17 +123,16 @@ def year_in(text: Column) -> Column:
 
 def looks_like_reference(text: Column) -> Column:
     """Whether a text has a year, and an author or a journal with volume and page."""
-    words, published = words_of(text), publication_in(text)
-    author = person_in(words).isNotNull() | F.exists(words, lambda w: _is(w, "(?i)^collaboration"))
-    journal = F.exists(F.split(F.lower(published["journal"]), " "), lambda w: F.lit(False) if not JOURNALS else _is(w, "^(?:" + "|".join(x.replace(".", r"\.") for x in JOURNALS) + ")"))
-    return (F.length(text) >= 5) & year_in(text).isNotNull() & (author | F.coalesce(journal, F.lit(False)))
+    author = bound(words_of(text), lambda words: person_in(words).isNotNull() | F.exists(words, lambda w: _is(w, "(?i)^collaboration")))
+    listed = F.lit(False) if not JOURNALS else F.exists(F.split(F.lower(publication_in(text)["journal"]), " "), lambda w: _is(w, "^(?:" + "|".join(x.replace(".", r"\.") for x in JOURNALS) + ")"))
+    return (F.length(text) >= 5) & year_in(text).isNotNull() & (author | F.coalesce(listed, F.lit(False)))
 
 
 def by_years(text: Column) -> Column:
     """An entry's stretches that end with a year each, where they look like references of their own; what follows the last year is none."""
     year = r"(?<![A-Za-z0-9_])(?:19|20)\d{2}(?![A-Za-z0-9_])"
-    between, years = F.split(text, year, -1), F.regexp_extract_all(text, F.lit(f"({year})"), F.lit(1))
-    stretches = F.transform(years, lambda y, i: F.trim(F.concat_ws(" ", F.get(between, i), y)))
+    years = F.regexp_extract_all(text, F.lit(f"({year})"), F.lit(1))
+    stretches = bound(F.split(text, year, -1), lambda between: F.transform(years, lambda y, i: F.trim(F.concat_ws(" ", F.get(between, i), y))))
     return F.filter(stretches, looks_like_reference)
 
 
@@ -140,10 +143,12 @@ def papers_in(found: DataFrame, split_years: bool = True) -> DataFrame:
     year are papers, if two or more look like references (by_years; not without split_years); else the entry is one paper. A part without an author has that
     of the part before."""
     parts = F.transform(F.split("text", r";\s*"), lambda p: F.trim(p))
-    counts = lambda p: looks_like_reference(p) | year_in(p).isNotNull() | doi_in(p).isNotNull() | arxiv_in(p).isNotNull() | F.contains(F.lower(p), F.lit("doi"))
+    counts = lambda p: year_in(p).isNotNull() | doi_in(p).isNotNull() | arxiv_in(p).isNotNull() | F.contains(F.lower(p), F.lit("doi"))
+    # A part that looks like a reference holds a year.
     good = F.filter(parts, counts)
-    dated = by_years(F.col("text")) if split_years else F.array().cast("array<string>")
-    each = found.select("id", "label", "text", good.alias("_g"), dated.alias("_d")).select("id", "label", F.posexplode(F.when(F.size("_g") >= 2, F.col("_g")).when(F.size("_d") >= 2, F.col("_d")).otherwise(F.array("text"))).alias("part", "text"))
+    several = F.rlike("text", F.lit(r"(?s)(?:19|20)\d{2}.*(?:19|20)\d{2}"))  # fewer years are fewer than two stretches
+    dated = F.when(several, bound(by_years(F.col("text")), lambda d: F.when(F.size(d) >= 2, d).otherwise(F.array("text")))).otherwise(F.array("text")) if split_years else F.array("text")
+    each = found.select("id", "label", F.posexplode(bound(good, lambda g: F.when(F.size(g) >= 2, g).otherwise(dated))).alias("part", "text"))
     text = F.col("text")
     known = each.withColumn("_p", publication_in(text)).select(
         "id", "label", "part", "text", F.rlike(text, F.lit(r"(?i)\(E\)|erratum")).alias("is_erratum"), doi_in(text).alias("doi"), arxiv_in(text).alias("arxiv"),
