@@ -151,27 +151,26 @@ def scored_pairs(parsed: DataFrame, entries: DataFrame, least: float = 3.0) -> D
     listed = lambda *c: F.array_compact(F.array(*c))
     key = lambda kind, c: F.concat(F.lit(f"{kind} "), c)
 
-    def keys(left: bool) -> Column:
-        plain = listed(*(key(c, F.col(c)) for c in ("arxiv", "doi", "volume", "page")))
-        years = F.transform(F.array(*map(F.lit, range(-2, 3) if left else [0])), lambda k: (F.col("year") + k).cast("string"))
-        own, group = F.left("author", F.lit(3)), F.when(F.contains("text", F.lit("data group")), F.array(F.lit("data group")))
-        short = F.length("author") < 3  # such an author may stand anywhere
+    def keys(p: str, left: bool) -> Column:
+        plain = listed(*(key(c, F.col(p + c)) for c in ("arxiv", "doi", "volume", "page")))
+        years = F.transform(F.array(*map(F.lit, range(-2, 3) if left else [0])), lambda k: (F.col(p + "year") + k).cast("string"))
+        own, group = F.left(p + "author", F.lit(3)), F.when(F.contains(F.col(p + "text"), F.lit("data group")), F.array(F.lit("data group")))
+        short = F.length(p + "author") < 3  # such an author may stand anywhere
         if left:
             said = F.array_compact(F.array(F.when(short, F.lit("any")).otherwise(own)))
         else:
-            line = F.coalesce("text", F.lit(""))
+            line = F.coalesce(p + "text", F.lit(""))
             said = F.when(line != "", F.concat(F.array(F.lit("any")), F.transform(F.sequence(F.lit(1), F.greatest(F.length(line) - 2, F.lit(1))), lambda i: F.substr(line, i, F.lit(3)))))
         said = F.concat(F.coalesce(said, F.array().cast("array<string>")), F.coalesce(group, F.array().cast("array<string>")))
         dated = F.flatten(F.transform(F.array_compact(years), lambda y: F.transform(F.array_distinct(said), lambda t: F.concat(F.lit("said "), y, F.lit(" "), t))))
-        return F.concat(plain, T.part_keys(F.col("author"), left), dated)
+        return F.concat(plain, T.part_keys(F.col(p + "author"), left), dated)
 
     # The normal forms are wanted twice: for the keys, and for the score.
     a = parsed.select("doc", "ref", *normal_parts(parsed, True))
     b = entries.select("doc", "entry", *normal_parts(entries, False))
-    pairs = pairs_of(a, b, ["ref", "entry"], keys(True), keys(False))
     named = lambda rows, name, p: rows.select("doc", name, *(F.col(c).alias(p + c) for c in [*_PARTS, "text"]))
-    met = pairs.join(named(a, "ref", "a_"), ["doc", "ref"]).join(named(b, "entry", "b_"), ["doc", "entry"])
-    return met.withColumn("score", match_score()).filter(F.col("score") >= least)
+    met = pairs_of(named(a, "ref", "a_"), named(b, "entry", "b_"), ["ref", "entry"], keys("a_", True), keys("b_", False))
+    return met.select("*", F.explode(F.filter(F.array(match_score()), lambda x: x >= least)).alias("score"))
 
 
 def best_matches(parsed: DataFrame, entries: DataFrame, least: float = 3.0) -> DataFrame:

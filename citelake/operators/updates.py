@@ -83,24 +83,21 @@ def mean_matches(parsed: DataFrame, entries: DataFrame, least: float = LEAST) ->
     counts. parsed: doc, ref, author, year, page; entries: doc, entry, author (the first one's last name), line (all authors), year, page and, if there is such a
     column, published (whether it has publication data; else those with a page have). Nulls and empty texts earn nothing."""
     filled = lambda c: F.coalesce(c != "", F.lit(False))
-    one = lambda kind: F.when(filled(F.col(kind)), F.concat(F.lit(f"{kind} "), F.col(kind)))
     low = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
 
-    def keys(left: bool) -> Column:
-        names = T.part_keys(low("author"), left)
-        return F.concat(F.array_compact(F.array(one("year"), one("page"))), names if left else F.concat(names, T.part_keys(low("line"), left)))
-
-    pairs = pairs_of(parsed, entries, ["ref", "entry"], keys(True), keys(False))
     published = F.col("published") if "published" in entries.columns else F.col("page").isNotNull()
     left = parsed.select("doc", "ref", low("author").alias("_a"), F.col("year").alias("_y"), F.col("page").alias("_p"))
     right = entries.select("doc", "entry", low("author").alias("_b"), low("line").alias("_l"), F.col("year").alias("_ey"), F.col("page").alias("_ep"), F.coalesce(published, F.lit(False)).alias("_pub"))
+    one = lambda kind, c: F.when(filled(F.col(c)), F.concat(F.lit(f"{kind} "), F.col(c)))
+    mine = F.concat(F.array_compact(F.array(one("year", "_y"), one("page", "_p"))), T.part_keys(F.col("_a"), True))
+    theirs = F.concat(F.array_compact(F.array(one("year", "_ey"), one("page", "_ep"))), T.part_keys(F.col("_b"), False), T.part_keys(F.col("_l"), False))
     a, b = F.col("_a"), F.col("_b")
     person = F.when(b == "", 0).when(a == b, AUTHOR).when(F.contains(a, b) | F.contains(b, a), AUTHOR_PART).otherwise(0)
     person = F.when(a == "", 0).when((person < AUTHOR_PART) & F.contains(F.col("_l"), a), person + IN_LINE).otherwise(person)
     paged = filled(F.col("_p")) & F.col("_pub")
     earned = person + F.when(filled(F.col("_y")) & F.coalesce(F.col("_y") == F.col("_ey"), F.lit(False)), YEAR).otherwise(0) + F.when(paged & F.coalesce(F.col("_p") == F.col("_ep"), F.lit(False)), PAGE).otherwise(0)
     checks = (a != "").cast("int") + filled(F.col("_y")).cast("int") + paged.cast("int")
-    met = pairs.join(left, ["doc", "ref"]).join(right, ["doc", "entry"])
+    met = pairs_of(left, right, ["ref", "entry"], mine, theirs)
     scored = met.filter(checks > 0).select("doc", "ref", "entry", (earned / checks).alias("score")).filter(F.col("score") >= least)
     best = F.max_by(F.struct("entry", "score"), F.struct(F.col("score"), -F.col("entry")))
     return scored.groupBy("doc", "ref").agg(best.alias("b")).select("doc", "ref", "b.entry", "b.score")

@@ -258,7 +258,7 @@ SELECT doc, ref, entry, score::DOUBLE AS score FROM (SELECT *, row_number() OVER
 
 @query("best_matches", SQL + _SCORE_SQL)
 def best_matches(spark, d):
-    p = tables.papers(spark, d).select("recid", "owner", "year", "arxiv_id", "journal_title")
+    p = tables.papers(spark, d, "recid", "owner", "year", "arxiv_id", "journal_title")
     met = tables.edges(spark, d).join(p.withColumnRenamed("recid", "cited"), "cited").withColumnRenamed("citing", "doc")
     parsed = met.selectExpr(
         "doc", "cited AS ref", "CASE WHEN cited % 12 = 0 THEN concat('arXiv:', arxiv_id, 'v2') WHEN cited % 6 = 0 THEN concat('https://arxiv.org/abs/', arxiv_id) END AS arxiv", "CASE WHEN cited % 15 = 0 THEN concat('10.1/A', cited, '.') END AS doi",
