@@ -41,3 +41,22 @@ def test_papers_read_what_is_asked_for(spark):
     whole = {r.recid: r for r in tables.papers(spark, DATA).collect()}
     for columns in (["recid", "title"], ["recid", "citation_count"], ["recid", "journal_title"], ["recid", "total_authors"]):
         assert all(r[1] == whole[r[0]][columns[1]] for r in tables.papers(spark, DATA, *columns).collect())
+
+
+def test_rows_of_a_graph_are_moved_once(spark):
+    import re
+
+    from citelake.sources import graph_files as G
+
+    nodes = spark.createDataFrame([], f"graph long, place int, {G._NODE}")
+    edges = spark.createDataFrame([], "graph long, source string, target string, type string")
+    plan = G.graph_documents(nodes, edges, spark.createDataFrame([], "graph long, createdAt string, sort string"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(graph#\w+, (?:recid|e)#", plan)
+
+
+def test_pairs_are_whole_rows(spark):
+    from citelake.operators.pairs import pairs_of
+
+    a, b = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "doc int, ref int, k string"), spark.createDataFrame([(1, 7, "y"), (2, 8, "x")], "doc int, entry int, m string")
+    for small, want in ((9, [(1, 1, "x", 7, "y"), (1, 2, "y", 7, "y")]), (0, [(1, 2, "y", 7, "y")])):
+        assert sorted(map(tuple, pairs_of(a, b, ["ref", "entry"], F.array("k"), F.array("m"), small).collect())) == want
