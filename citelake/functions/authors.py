@@ -64,20 +64,21 @@ def search_key(name: Column) -> Column:
     return F.when(last == "", F.lit("")).otherwise(F.concat_ws(" ", F.nullif(F.array_join(letters, " "), F.lit("")), F.lower(last)))
 
 
-def capped(names: Column, limit: int = SHOWN) -> Column:
-    """The first `limit` names; of large collaborations only the first; null gives none."""
+def capped(names: Column, limit: int = SHOWN, large: int | None = LARGE) -> Column:
+    """The first `limit` names; of more than `large` (None: of no list) only the first; null gives none."""
     names = F.coalesce(names, F.array().cast("array<string>"))
-    return F.slice(names, F.lit(1), F.when(F.size(names) > LARGE, 1).otherwise(limit))
+    return F.slice(names, F.lit(1), F.when(F.size(names) > F.lit(large), 1).otherwise(limit))
 
 
-def author_line(names: Column, total: Column, most: int = SHOWN, unknown: str = "Unknown author") -> Column:
+def author_line(names: Column, total: Column, most: int = SHOWN, unknown: str = "Unknown author", large: int | None = LARGE) -> Column:
     """The names as one line, with et al. if there are more than are shown or `others` is among them."""
     names = F.coalesce(names, F.array().cast("array<string>"))
     people = F.filter(F.transform(F.filter(names, lambda n: F.lower(n) != "others"), lambda n: display_name(n)), lambda n: n != "")
     others = F.exists(names, lambda n: F.lower(n) == "others")
     n = F.coalesce(total, F.size(names))
-    shown = F.when(n > LARGE, 1).otherwise(most)
-    more = (n > LARGE) | (F.size(people) > most) | (n > F.size(people)) | others
+    many = F.coalesce(n > F.lit(large), F.lit(False))
+    shown = F.when(many, 1).otherwise(most)
+    more = many | (F.size(people) > most) | (n > F.size(people)) | others
     line = F.concat(F.array_join(F.slice(people, F.lit(1), shown), ", "), F.when(more, " et al.").otherwise(""))
     return F.when(F.size(people) == 0, unknown).otherwise(line)
 

@@ -22,9 +22,14 @@ SHORT_TITLE = 20
 
 
 def first_of(array: Column, field: str | None = None) -> Column:
-    """The first element (or its field) that is there and isn't empty; null if none is."""
+    """The first element (or its field) that is there and holds more than blanks; null if none does."""
     values = array if field is None else F.transform(array, lambda x: x[field])
-    return F.try_element_at(F.filter(values, lambda v: F.coalesce(F.trim(v) != "", F.lit(False))), F.lit(1))
+    return F.try_element_at(F.filter(values, lambda v: F.coalesce(F.rlike(v, F.lit(r"[^\p{Zs}]")), F.lit(False))), F.lit(1))
+
+
+def without_blanks(text: Column) -> Column:
+    """A text without the blanks of any kind (no-break, wide) at its ends."""
+    return F.regexp_replace(text, r"\A\p{Zs}+|\p{Zs}+\z", "")
 
 
 def note_of(info: Column) -> Column:
@@ -68,19 +73,19 @@ def author_infos(authors: Column, limit: int = A.ID_LIMIT) -> Column:
     return F.transform(F.slice(authors, F.lit(1), F.when(F.size(authors) > A.LARGE, 1).otherwise(limit)), one)
 
 
-def entries_of(records: DataFrame, shown: int = A.SHOWN) -> DataFrame:
-    """One list entry for each record."""
+def entries_of(records: DataFrame, shown: int = A.SHOWN, large: int | None = A.LARGE) -> DataFrame:
+    """One list entry for each record, with the first `shown` authors; of more than `large` (None: of no list) only the first is shown."""
     names = F.coalesce(F.filter(F.transform("authors", lambda a: a["full_name"]), lambda n: F.coalesce(n != "", F.lit(False))), F.array().cast("array<string>"))
     total = F.coalesce("author_count", F.size("authors"), F.lit(0))
-    people = F.when(F.size(names) > 0, A.capped(names, shown)).otherwise(F.slice(F.coalesce("collaborations", F.array().cast("array<string>")), 1, shown))
+    people = F.when(F.size(names) > 0, A.capped(names, shown, large)).otherwise(F.slice(F.coalesce("collaborations", F.array().cast("array<string>")), 1, shown))
     info, eprint = primary_publication(F.col("publication_info")), F.try_element_at("arxiv_eprints", F.lit(1))
     year = F.coalesce(F.nullif(F.left("earliest_date", F.lit(4)), F.lit("")), info["year"].cast("string"))
     out = records.select(
-        "recid", F.coalesce(first_of(F.col("titles"), "title"), F.lit("No title")).alias("title"), people.alias("authors"), total.cast("int").alias("total_authors"), year.alias("year"), "earliest_date",
+        "recid", F.coalesce(without_blanks(first_of(F.col("titles"), "title")), F.lit("No title")).alias("title"), people.alias("authors"), total.cast("int").alias("total_authors"), year.alias("year"), "earliest_date",
         "citation_count", F.col("citation_count_without_self_citations").alias("citation_count_wo_self"), info["journal_title"].alias("journal_title"), eprint["value"].alias("arxiv_id"), eprint["categories"].alias("arxiv_categories"),
         first_of(F.col("dois"), "value").alias("doi"), F.try_element_at("texkeys", F.lit(1)).alias("texkey"), "document_type", publication_summary(F.col("publication_info"), eprint["value"], year).alias("summary"),
     )
-    out = out.withColumn("author_text", A.author_line(F.col("authors"), F.col("total_authors")))
+    out = out.withColumn("author_text", A.author_line(F.col("authors"), F.col("total_authors"), large=large))
     return out.withColumn("url", entry_url(F.col("recid"), F.col("doi"), F.col("arxiv_id")))
 
 
