@@ -485,13 +485,26 @@ def similar_links(source: DataFrame, least: float) -> tuple[DataFrame, DataFrame
     return whole, nodes, links
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def _with_groups(links: DataFrame, rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """`links` and those of each group of texts (text_hash, group) as a star around its least node; rows: text_hash, node."""
+    named = durable(rows.select("text_hash", "node").distinct().join(groups, "text_hash").select("group", "node").distinct())
+    least = named.groupBy(F.col("group").alias("_group")).agg(F.min("node").alias("a"), F.max("node").alias("_z")).filter("a < _z").drop("_z")
+    stars = named.join(least, F.col("group") == F.col("_group")).filter("node > a").select("a", F.col("node").alias("b"))
+    out = durable(links.union(stars).distinct())
+    forget(named, links)
+    return out
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, groups: DataFrame | None = None) -> DataFrame:
     """The rows of `docs` of which one stays for each group of texts whose five-word shingles are similar, directly or by others.
 
-    Every pair of texts with a Jaccard similarity of at least `similarity` is linked, and no other. All columns of `docs` are kept."""
+    Every pair of texts with a Jaccard similarity of at least `similarity` is linked, and no other but the texts of one of `groups` (text_hash, group: see
+    simhash.linked_texts), if these are given. All columns of `docs` are kept."""
     source = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     whole, nodes, links = similar_links(source, similarity)
     rows = whole.filter("chunk IS NULL").select("doc_id", "text_hash", "node")
+    if groups is not None:
+        links = _with_groups(links, rows, groups)
     touched = durable(nodes.filter("copies > 1").select("node").union(links.select("a")).union(links.select("b")).distinct())
     met = durable(rows.join(touched, "node"))  # rows that aren't alone: few, without their texts
     stays = durable(components_of(nodes.join(touched, "node", "left_semi").select("node", "first"), links).select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text")).distinct())

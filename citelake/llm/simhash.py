@@ -7,7 +7,7 @@ skipped. A tile and its neighbours are cut by a hash into blocks of about BLOCK
 task ever holds more than one pair of blocks, however many fingerprints share their counts. A pair of blocks gives
 back a forest of its links, never all pairs. Equal texts have equal fingerprints and are one row here however often they stand.
 
-The form for pipelines is near_dedup, whose rule is on sets of five-word shingles and not on fingerprints.
+Pipelines take the groups of linked_texts; near_dedup adds pairs of texts with similar sets of five-word shingles whose fingerprints are further apart.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and links like any other; rows that
 repeat, ids that repeat and null ids each keep their own row; a component's id is its smallest non-null doc_id, null
@@ -231,6 +231,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return rows.join(groups, F.col("fp") == F.col("_node")).select("doc_id", "fp", F.col("first.doc_id").alias("component_id"))
 
 
+def linked_texts(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(text_hash, group): the texts of `docs` (doc_id, text) in groups of those whose fingerprints link, directly or by others."""
+    rows = durable(fingerprints(docs, shingle).select("text_hash", "fp").distinct())
+    roots = components(links(durable(rows.select("fp").distinct()), radius))
+    return rows.join(roots, F.col("fp") == F.col("node"), "left").select("text_hash", F.coalesce("root", "fp").alias("group"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -12,6 +12,7 @@ from citelake.llm.bpe_chunks import encode_documents
 from citelake.llm.decontamination import contaminated, contamination
 from citelake.llm.line_dedup import dedup_lines
 from citelake.llm.near_dedup import drop_near_duplicates
+from citelake.llm.simhash import linked_texts
 from citelake.llm.toxicity import TOXIC, toxicity, train
 from citelake.sources.shared import clean_up, durable, written
 
@@ -32,8 +33,9 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest doc_id."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near-duplicates stays, that with the smallest doc_id. Texts are linked by their fingerprints, as op8_simhash does; pairs with
+    similar sets of shingles that fingerprints don't bring together are linked, too."""
+    return drop_near_duplicates(docs, groups=linked_texts(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

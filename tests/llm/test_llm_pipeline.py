@@ -125,3 +125,17 @@ def test_awkward_documents(spark):
         got.collect()
         assert stage(spark, docs.limit(0), DATA).count() == 0
     assert P.STAGES[-1][1](spark, docs, DATA).count() == len(data)
+
+
+def test_copies_stage_goes_by_fingerprints(spark):
+    """Two texts of one fingerprint whose sets of shingles are no more than two thirds alike: one stays, and their copies and a third text's are settled with them."""
+    from citelake.llm.simhash import RADIUS, fingerprint
+
+    shared = "alpha beta gamma " * 200 + " ".join(f"word{i}" for i in range(40))
+    a, b = (f"{shared} {' '.join(f'{x}{i}' for i in range(8))}" for x in "pq")
+    c = " ".join(f"other{i}" for i in range(200))
+    assert (fingerprint(a) ^ fingerprint(b)).bit_count() <= RADIUS < (fingerprint(a) ^ fingerprint(c)).bit_count()
+    sets = [_shingles(x) for x in (a, b)]
+    assert len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])
+    docs = spark.createDataFrame([(5, a), (4, b), (7, b), (9, c), (8, c), (3, None)], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in P.drop_copies(spark, docs, DATA).collect()) == [3, 4, 8]
