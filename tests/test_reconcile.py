@@ -240,3 +240,15 @@ def test_settled_labels_equal_the_plain_version(spark):
     assert not wrong, wrong[:3]
     assert {v[1] for v in expected.values()} == {"label", "strong", "id", "sequence", "best", "near", "place"}
     assert rc.settled_labels(labels.filter("false"), papers, entries).collect() == []
+
+
+def test_settled_labels_score_pairs_once(spark, monkeypatch):
+    """The pairs that strategies go by serve the sequence, too, and nothing is written for each strategy."""
+    labels = spark.createDataFrame([(1, 1, 1), (1, 2, 1)], "doc int, label int, n int")
+    papers = spark.createDataFrame([(1, k, 0, False, "smith", 1990 + k, "1", None, None, None, None) for k in (1, 2)], PARSED)
+    entries = spark.createDataFrame([(1, k - 1, None, "smith", 1990 + k, "1", None, None, None, None) for k in (1, 2)], ENTRY)
+    written, keep = [], rc.durable
+    monkeypatch.setattr(rc, "durable", lambda df: written.append(1) or keep(df))
+    monkeypatch.setattr(rc, "match_score", None)
+    got = sorted((r["label"], list(r["found"]), r["by"]) for r in rc.settled_labels(labels, papers, entries).collect())
+    assert got == [(1, [0], "near"), (2, [1], "near")] and len(written) <= 3
