@@ -43,3 +43,28 @@ def test_placed_graphs_are_the_same(spark):
     settings = spark.createDataFrame([(1, "2024-01-02", "relevance"), (2, "2024-01-03", None)], "graph int, createdAt string, sort string")
     want = sorted(map(str, G.graph_documents(nodes, edges, settings).collect()))
     assert len(want) == 2 and sorted(map(str, G.graph_documents(nodes.repartition("graph"), edges.repartition("graph"), settings, placed=True).collect())) == want
+
+
+def test_joined_in_place_moves_nothing(spark):
+    from citelake.operators.pairs import joined_in_place
+
+    rows = lambda name, n: spark.range(n).select((F.col("id") % 5).alias("doc"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("key"), F.col("id").alias(name)).repartition("doc")
+    a, b = rows("x", 60), rows("y", 40).filter("key IS NOT NULL")
+    got = joined_in_place(a, b, ["doc", "key"])
+    assert got.columns == ["doc", "key", "x", "y"] and sorted(map(tuple, got.collect())) == sorted(map(tuple, a.join(b, ["doc", "key"]).collect())) != []
+    plan = joined_in_place(a, b, ["doc", "key"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2
+
+
+@pytest.mark.parametrize("placed", [False, True])
+def test_author_year_entries_write_what_is_decided_alone(spark, placed):
+    from citelake.operators import author_year as AY
+
+    n = spark.range(40).select((F.col("id") % 6).alias("doc"), F.col("id").alias("k"), (F.col("id") % 4).alias("c")).repartition("doc")
+    cited = n.selectExpr("doc", "k AS citation", "array(concat('name', k)) AS authors", "cast(map() AS map<string,string>) AS initials", "CASE WHEN c = 1 THEN '2001a' ELSE '2001' END AS year", "false AS et_al")
+    read = n.filter("c < 3").selectExpr("doc", "k AS ref", "array(concat('Name', k)) AS authors", "CASE WHEN c = 1 THEN '2001a' ELSE '2001' END AS year", "'' AS raw", "cast(null AS string) AS arxiv", "CASE WHEN c < 2 THEN concat('10.1/X', k) END AS doi", "'' AS journal", "'' AS volume", "'' AS page")
+    listed = n.selectExpr("doc", "k AS entry", "array(concat('Name', k)) AS authors", "cast(null AS string) AS line", "'2001' AS year", "'' AS arxiv", "concat('10.1/x', k) AS doi", "'' AS journal", "'' AS volume", "'' AS page")
+    before = set(shared.written(spark))
+    got = {(r.citation, r.entry, r.by) for r in AY.author_year_entries(cited, read, listed, **({"placed": True} if placed else {})).collect()}
+    assert {(k, "precise" if k % 4 < 2 else "fuzzy") for k in range(40)} == {(k, by) for k, e, by in got if k == e}
+    assert len(set(shared.written(spark)) - before) == 3  # what is decided, and twice which documents are large
