@@ -68,3 +68,30 @@ def test_author_year_entries_write_what_is_decided_alone(spark, placed):
     got = {(r.citation, r.entry, r.by) for r in AY.author_year_entries(cited, read, listed, **({"placed": True} if placed else {})).collect()}
     assert {(k, "precise" if k % 4 < 2 else "fuzzy") for k in range(40)} == {(k, by) for k, e, by in got if k == e}
     assert len(set(shared.written(spark)) - before) == 3  # what is decided, and twice which documents are large
+
+
+def test_candidates_go_to_their_seed_with_ranks_alone(spark):
+    import math
+    import re
+
+    from citelake.operators import related
+
+    papers = spark.range(60).selectExpr("id AS recid", "concat('t', id) AS title", "CAST(2000 + id % 5 AS string) AS year", "id % 9 + 5 AS citation_count", "id % 9 + 5 AS citation_count_wo_self", "'J' AS journal_title", "array(CASE WHEN id % 10 = 7 THEN 'review' ELSE 'article' END) AS document_type")
+    pairs = {(a, b) for a in range(60) for b in range(12) if a != b and (a * 7 + b * b) % 5 < 2}
+    links, seeds = spark.createDataFrame(sorted(pairs), "citing long, cited long"), spark.range(0, 60, 6).withColumnRenamed("id", "seed")
+    out = related.coupling(links, papers, seeds)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(seed#\w+, \w+#", plan) and not re.search(r"hashpartitioning\(recid#\w+, seed#", plan)
+    review, cites = (lambda x: x % 10 == 7), (lambda x: x % 9 + 5)
+    want = {}
+    for s in range(0, 60, 6):
+        near = lambda r: (round(abs(math.log10(cites(r) + 1) - math.log10(51)), 12), r)
+        anchors = sorted((b for a, b in pairs if a == s and not review(b)), key=near)[:15]
+        weight = {r: 1 / (1 + math.log1p(cites(r))) for r in anchors}
+        by = {r: sorted((a for a, b in pairs if b == r), key=lambda a: (-cites(a), a))[:25] for r in anchors}
+        for c in {a for r in anchors for a in by[r]}:
+            if c != s and (s, c) not in pairs and not review(c):
+                met = [r for r in anchors if c in by[r]]
+                want[s, c] = len(met), round(sum(weight[r] for r in met) / max(0.0001, sum(weight.values())), 6), " | ".join(f"t{r}" for r in met[:3]), cites(c), 2000 + c % 5
+    got = {(r.seed, r.recid): (r.shared, round(r.coupling, 6), r.shared_titles, r.cites, r.year) for r in out.collect()}
+    assert got == want and len(want) > 100
